@@ -2,13 +2,13 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one buffer, which is
 right for groups with a known bound (a pixel's calendar, a 3 x 3 box) and fatal for a
-zone that holds a third of the table.  ``select_ranks`` resolves exact ranks without ever
+zone that holds a third of the table.  ``select_ranks`` finds exact ranks without ever
 bringing a whole group to one task:
 
-1. equal values collapse in a map-side combined count;
-2. a mergeable sketch gives each group value splits (only balance depends on it);
-3. counts per (group, bucket) locate the buckets that hold the wanted ranks;
-4. only those buckets are ordered, each one bounded by group size / buckets.
+1. a histogram over monotone logarithmic bins, one map-side combined count;
+2. cumulated per group (thousands of bins at most) it names the bins that hold a wanted rank;
+3. only the rows of those bins are read again, collapsed to value counts and ordered, each
+   bin on its own.  Bins decide the balance of the work, never the result.
 """
 
 from __future__ import annotations
@@ -18,11 +18,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BINS_PER_E = 1024
+
+
+def _bin(value: Column, resolution: int) -> Column:
+    """Monotone bin number: linear near zero, logarithmic beyond a millionth."""
+    return F.floor(F.signum(value) * F.log1p(F.abs(value) * 1e6) * resolution)
 
 
 def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
-                 ranks: Mapping[str, Column], buckets: int = BUCKETS) -> DataFrame:
+                 ranks: Mapping[str, Column], resolution: int = BINS_PER_E) -> DataFrame:
     """Exact values at given 0-based ranks of each group.
 
     ``ranks`` maps an output column to an expression over ``n`` (the group's non-null
@@ -30,30 +35,23 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
     """
     keys = list(keys)
     names = list(ranks)
-    counted = (df.where(F.col(value).isNotNull())
-               .groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    probs = [i / buckets for i in range(1, buckets)]
-    splits = counted.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("_v", probs, 20 * buckets)).alias("_s"),
-        F.sum("_c").alias("n"))
-    # A struct per group, so that one join carries both the splits and the ranks.
-    splits = splits.withColumn("_t", F.array(*[ranks[k].cast("long") for k in names]))
-    joined = counted.join(splits, keys) if keys else counted.crossJoin(F.broadcast(splits))
-    # Position of the value among the sorted splits, found by the number of smaller ones.
-    placed = joined.withColumn(
-        "_b", F.size(F.filter("_s", lambda s: s < F.col("_v"))))
-
-    per_bucket = (placed.groupBy(*keys, "_b")
-                  .agg(F.sum("_c").alias("_m"), F.first("n").alias("n"), F.first("_t").alias("_t")))
-    before = Window.partitionBy(*keys).orderBy("_b")      # at most ``buckets`` rows per group
-    per_bucket = per_bucket.withColumn("_end", F.sum("_m").over(before))
-    per_bucket = per_bucket.withColumn("_start", F.col("_end") - F.col("_m"))
-    wanted = per_bucket.where(F.exists("_t", lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
-    wanted = wanted.select(*keys, "_b", "_start", "n", "_t")
-
+    base = (df.where(F.col(value).isNotNull())
+            .select(*keys, F.col(value).cast("double").alias("_v"))
+            .withColumn("_b", _bin(F.col("_v"), resolution)))
+    bins = base.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_m"))
+    upto = Window.partitionBy(*keys).orderBy("_b")
+    whole = Window.partitionBy(*keys)
+    bins = (bins.withColumn("_end", F.sum("_m").over(upto)).withColumn("n", F.sum("_m").over(whole))
+            .withColumn("_start", F.col("_end") - F.col("_m"))
+            .withColumn("_t", F.array(*[ranks[k].cast("long") for k in names])))
+    wanted = (bins.where(F.exists("_t", lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
+              .select(*keys, "_b", "_start", "n", "_t"))
+
+    counted = (base.join(wanted, [*keys, "_b"])
+               .groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_start").alias("_start"),
+                                               F.first("n").alias("n"), F.first("_t").alias("_t")))
     inside = Window.partitionBy(*keys, "_b").orderBy("_v")
-    hits = (placed.select(*keys, "_b", "_v", "_c").join(wanted, [*keys, "_b"])
-            .withColumn("_hi", F.col("_start") + F.sum("_c").over(inside))
+    hits = (counted.withColumn("_hi", F.col("_start") + F.sum("_c").over(inside))
             .withColumn("_lo", F.col("_hi") - F.col("_c")))
     picks = [F.max(F.when((F.col("_t")[i] >= F.col("_lo")) & (F.col("_t")[i] < F.col("_hi")), F.col("_v"))).alias(k)
              for i, k in enumerate(names)]
@@ -61,7 +59,7 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
-                    probs: Mapping[str, float], buckets: int = BUCKETS) -> DataFrame:
+                    probs: Mapping[str, float], resolution: int = BINS_PER_E) -> DataFrame:
     """Exact linearly interpolated quantiles per group, for groups of any size.
 
     Returns ``keys``, ``n`` (non-null count) and one column per entry of ``probs``.
@@ -71,7 +69,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str,
         pos = (F.col("n") - 1) * F.lit(float(p))
         ranks[f"_lo_{name}"] = F.floor(pos)
         ranks[f"_hi_{name}"] = F.ceil(pos)
-    got = select_ranks(df, keys, value, ranks, buckets)
+    got = select_ranks(df, keys, value, ranks, resolution)
     out = [F.col(k) for k in keys] + [F.col("n")]
     for name, p in probs.items():
         pos = (F.col("n") - 1) * F.lit(float(p))

@@ -283,3 +283,12 @@ def mask_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Pixels two masks share, per grid."""
     return (a.select(*keys, "row", "col").intersect(b.select(*keys, "row", "col"))
             .groupBy(*keys).agg(F.count(F.lit(1)).alias("n_shared")))
+
+
+def select_in_boxes(px: DataFrame, boxes: DataFrame, keys: Sequence[str], tile: int = 32) -> DataFrame:
+    """Pixels inside each box (row0..row1, col0..col1): an equi-join on raster tiles, then the exact test."""
+    tiles = (boxes.withColumn("_tr", F.explode(F.sequence(F.floor(F.col("row0") / tile), F.floor(F.col("row1") / tile))))
+             .withColumn("_tc", F.explode(F.sequence(F.floor(F.col("col0") / tile), F.floor(F.col("col1") / tile)))))
+    keyed = px.withColumns({"_tr": F.floor(F.col("row") / tile), "_tc": F.floor(F.col("col") / tile)})
+    inside = F.col("row").between(F.col("row0"), F.col("row1")) & F.col("col").between(F.col("col0"), F.col("col1"))
+    return keyed.join(tiles, [*keys, "_tr", "_tc"]).where(inside).drop("_tr", "_tc", "row0", "row1", "col0", "col1")

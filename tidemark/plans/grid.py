@@ -40,9 +40,9 @@ def sql_dilate(name, src, k, with_values=True):
               f"WHERE a.row + dr BETWEEN 0 AND nr - 1 AND a.col + dc BETWEEN 0 AND nc - 1)")
 
 
-@query("erode", f"WITH {SQL_SCENES}, {MASK}, {sql_erode('e', 'm', 2)} SELECT scene, row, col FROM e")
+@query("erode", f"WITH {SQL_SCENES}, m AS MATERIALIZED (SELECT scene, row, col FROM scenes WHERE q % 17 < 16), {sql_erode('e', 'm', 2)} SELECT scene, row, col FROM e")
 def erode(spark, d):
-    return grid.erode(mask(spark, d), K, 2)
+    return grid.erode(scenes(spark, d).where(F.col("q") % 17 < 16), K, 2)
 
 
 @query("dilate", f"WITH {SQL_SCENES}, {MASK}, {SHAPE}, s AS (SELECT scene, row, col FROM scenes WHERE q % 29 = 0), {sql_dilate('g', 's', 3)} SELECT scene, row, col FROM g")
@@ -169,7 +169,7 @@ def static_water(spark, d):
 
 
 # A radar-like raster: decibels fall where the yearly sum is odd in blocks, water everywhere.
-SAR_DB = "CASE WHEN (row // 6 + col // 9 + scene) % 4 = 0 THEN -24.0 ELSE -15.0 END + q % 7 * 0.31e0"
+SAR_DB = "CASE WHEN (row // 4 + col // 5 + scene) % 5 = 0 THEN -24.0 ELSE -15.0 END + q % 7 * 0.31e0"
 
 
 @query("local_median_dark", f"""WITH RECURSIVE {SQL_SCENES}, {SHAPE}, s AS MATERIALIZED (SELECT scene, row, col, {SAR_DB} AS db FROM scenes),
@@ -181,23 +181,21 @@ p AS (SELECT cc.scene, cc.lbl, w.row, w.col, w.bg - w.db AS gap FROM cc JOIN w O
 r AS (SELECT scene, lbl, count(*) AS n, avg(row) AS cr, avg(col) AS ccol, var_samp(row) AS rr, var_samp(col) AS vc, covar_samp(row, col) AS rc, median(gap) AS gap FROM p GROUP BY 1, 2)
 SELECT scene, CAST(lbl AS BIGINT) AS label, n AS n_px, {r6('n * 0.0004e0')} AS area_km2, {r6('cr')} AS centroid_row, {r6('ccol')} AS centroid_col, {r6('gap')} AS contrast_db,
 {r6('sqrt(((rr + vc) / 2 + sqrt(pow((rr - vc) / 2, 2) + rc * rc)) / greatest((rr + vc) / 2 - sqrt(pow((rr - vc) / 2, 2) + rc * rc), 1e-9))', 3)} AS elongation,
-{r6('least(1, gap / 6) * CASE WHEN scene % 3 = 0 THEN 0.3 WHEN scene % 3 = 1 THEN 0.5 ELSE 1.0 END', 5)} AS confidence FROM r WHERE n * 0.0004e0 >= 0.004""")
+{r6('least(1, gap / 6) * CASE WHEN scene % 3 = 0 THEN 0.3 WHEN scene % 3 = 1 THEN 0.5 ELSE 1.0 END', 5)} AS confidence FROM r WHERE n * 0.0004e0 >= 0.003""")
 def local_median_dark(spark, d):
     row, col, scene = F.col("row"), F.col("col"), F.col("scene")
-    block = (F.floor(row / 6) + F.floor(col / 9) + scene) % 4 == 0
+    block = (F.floor(row / 4) + F.floor(col / 5) + scene) % 5 == 0
     s = scenes(spark, d).select("scene", "row", "col", (F.when(block, -24.0).otherwise(-15.0) + F.col("q") % 7 * 0.31).alias("db"))
     n = n_rows(spark, d)
     bg = s.join(grid.local_median(s, K, "db", 9, n, GRID_COLS), ["scene", "row", "col"])
     bg = bg.withColumn("drop", F.col("background") - F.col("db"))
     dark = grid.opening(bg.where(F.col("drop") > 3.0), K, 1, n, GRID_COLS)
     lab = grid.connected_components(dark, K, GRID_COLS).join(bg.select("scene", "row", "col", "drop"), ["scene", "row", "col"])
-    lab = lab.withColumn("wind", F.when(scene % 3 == 0, 2.0).when(scene % 3 == 1, 13.0).otherwise(6.0))
-    out = grid.dark_regions(lab, K, "drop", 20.0, 0.004)
     wind = F.when(scene % 3 == 0, 2.0).when(scene % 3 == 1, 13.0).otherwise(6.0)
-    factor = F.when(wind < 3.0, 0.3).when(wind > 12.0, 0.5).otherwise(1.0)
+    out = grid.dark_regions(lab, K, "drop", 20.0, 0.003, wind)
     return out.select("scene", "label", "n_px", F.round("area_km2", 6).alias("area_km2"),
                       *[F.round(c, 6).alias(c) for c in ("centroid_row", "centroid_col", "contrast_db")],
-                      F.round("elongation", 3).alias("elongation"), F.round(F.col("confidence") * factor, 5).alias("confidence"))
+                      F.round("elongation", 3).alias("elongation"), F.round("confidence", 5).alias("confidence"))
 
 
 @query("mask_overlap", f"""WITH {SQL_SCENES}, a AS (SELECT scene, row, col FROM scenes WHERE q % 5 < 3), b AS (SELECT scene + 1 AS scene, row, col FROM scenes WHERE q % 5 < 3)

@@ -55,6 +55,22 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("px") % GRID_COLS).cast("int").alias("col"), "q", "n", "disc"))
 
 
+def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raster stack of quarterly composites: scene number, nominal day, three features."""
+    year, quarter = F.year("l_shipdate"), F.quarter("l_shipdate")
+    return (table(spark, sf_dir, "lineitem")
+            .groupBy((year * 4 + quarter - 1).alias("scene"), F.make_date(year, quarter * 3 - 2, F.lit(15)).alias("d"),
+                     F.floor(F.col("l_partkey") / GRID_COLS).cast("int").alias("row"), (F.col("l_partkey") % GRID_COLS).cast("int").alias("col"))
+            .agg((F.avg("l_quantity") / 50).alias("ndci"), F.avg("l_discount").alias("mci"), (F.avg("l_extendedprice") / 1000).alias("tur")))
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site series: one value per supplier and calendar day."""
+    return (table(spark, sf_dir, "lineitem")
+            .groupBy(F.col("l_suppkey").alias("site"), F.to_date("l_shipdate").alias("d"))
+            .agg(F.avg("l_quantity").alias("v"), F.avg("l_discount").alias("w")))
+
+
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long spectra: band ``ix`` at 400 + 8 ix nm, reflectance and a per-band sigma."""
     return (table(spark, sf_dir, "embeddings")
@@ -85,6 +101,12 @@ SQL_SCENES = """scenes AS (SELECT year(l_shipdate) AS scene, CAST(l_partkey // 5
   CAST(l_partkey % 50 AS INTEGER) AS col, sum(l_quantity) AS q, count(*) AS n, avg(l_discount) AS disc
   FROM lineitem GROUP BY 1, 2, 3)"""
 
+SQL_STACK = """stack AS MATERIALIZED (SELECT CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS scene,
+  make_date(year(l_shipdate), quarter(l_shipdate) * 3 - 2, 15) AS d, CAST(l_partkey // 50 AS INTEGER) AS row, CAST(l_partkey % 50 AS INTEGER) AS col,
+  avg(l_quantity) / 50 AS ndci, avg(l_discount) AS mci, avg(l_extendedprice) / 1000 AS tur FROM lineitem GROUP BY 1, 2, 3, 4)"""
+
+SQL_SITES = """sites AS MATERIALIZED (SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS d, avg(l_quantity) AS v, avg(l_discount) AS w FROM lineitem GROUP BY 1, 2)"""
+
 SQL_SPECTRA = """spectra AS (SELECT vec_id, label, ix, CAST(400 + 8 * ix AS DOUBLE) AS nm,
   CAST(0.06 AS DOUBLE) + CAST(0.1 AS DOUBLE) * CAST(embedding[ix + 1] AS DOUBLE) AS refl,
   CAST(0.004 AS DOUBLE) + CAST(0.0003 AS DOUBLE) * ix AS sigma

@@ -97,7 +97,7 @@ def connected_components(mask: DataFrame, keys: Sequence[str], n_cols: int, max_
     Pixels collapse to row runs first, so the graph has a node per run.  Runs of adjacent
     rows are linked through an equi-join on the shared column (never all pairs of a row).
     The graph is contracted by alternating large-star and small-star rounds, a logarithmic
-    number of them; every round ends in a reliable checkpoint.
+    number of them; every second round ends in a reliable checkpoint.
     """
     keys = list(keys)
     px = _runs(mask.select(*keys, "row", "col"), keys, "row", "col", "c0")
@@ -112,7 +112,9 @@ def connected_components(mask: DataFrame, keys: Sequence[str], n_cols: int, max_
         if tuple(mark) == seen or mark[0] == 0:
             break
         seen = tuple(mark)
-        edges = cut_lineage(_small_star(_large_star(edges, keys), keys))
+        for _ in range(2):
+            edges = _small_star(_large_star(edges, keys), keys)
+        edges = cut_lineage(edges)
     roots = edges.select(*keys, F.col("u").alias("_node"), F.col("v").alias("_root"))
     return (px.join(roots, [*keys, "_node"], "left")
             .select(*keys, "row", "col", F.coalesce("_root", "_node").alias("label")))

@@ -97,7 +97,7 @@ def mosaic_skipped_tiles(spark, d):
     return s.agg(F.count(F.lit(1)).alias("n_skipped"), F.min("tile").alias("first_skipped"))
 
 
-SQL_CELL = "CAST(floor(((c_custkey * 37 % 1000) * 1.7 - 10) / 100) AS BIGINT) AS cx, CAST(floor(((c_custkey * 91 % 1000) * 2.3 - 20) / 100) AS BIGINT) AS cy"
+SQL_CELL = "CAST(floor(((c_custkey * 37 % 1000) * 1.7e0 - 10) / 100) AS BIGINT) AS cx, CAST(floor(((c_custkey * 91 % 1000) * 2.3e0 - 20) / 100) AS BIGINT) AS cy"
 
 
 @query("regrid_average", f"SELECT {SQL_CELL}, count(*) AS n, {r6('avg(c_acctbal)', 4)} AS c_acctbal FROM customer GROUP BY 1, 2 HAVING count(*) >= 4")

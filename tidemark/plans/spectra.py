@@ -139,8 +139,8 @@ def band_depth(spark, d):
 
 @query("event_spectrum_contrast", f"""WITH RECURSIVE {SQL_DETECT}, {sql_diamond(2)[0]}, rg AS MATERIALIZED (SELECT DISTINCT rp.scene, rp.row + dr AS row, rp.col + dc AS col FROM rp, o2),
 ev AS (SELECT scene, unnest(['ndci', 'mci', 'tur']) AS band, unnest([ndci, mci, tur]) AS v FROM rp), bg AS (SELECT scene, unnest(['ndci', 'mci', 'tur']) AS band, unnest([ndci, mci, tur]) AS v FROM an ANTI JOIN rg USING (scene, row, col) WHERE coalesce(z_ndci, 0) < 1),
-e AS (SELECT scene, band, median(v) AS e FROM ev GROUP BY 1, 2), b AS (SELECT scene, band, median(v) AS b, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.95) AS p95 FROM bg GROUP BY 1, 2)
-SELECT scene, band, {r6('e')} AS event_median, {r6('b')} AS background_median, {r6('p05')} AS background_p05, {r6('p95')} AS background_p95 FROM e JOIN b USING (scene, band)""")
+ee AS (SELECT scene, band, median(v) AS e FROM ev GROUP BY 1, 2), bb AS (SELECT scene, band, median(v) AS b, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.95) AS p95 FROM bg GROUP BY 1, 2)
+SELECT scene, band, {r6('e', 8)} AS event_median, {r6('b', 8)} AS background_median, {r6('p05', 8)} AS background_p05, {r6('p95', 8)} AS background_p95 FROM ee JOIN bb USING (scene, band)""")
 def event_spectrum_contrast(spark, d):
     a, lab, px = detected(spark, d)
     ring = grid.dilate(lab, ["scene"], 2, n_rows(spark, d), GRID_COLS)
@@ -150,7 +150,7 @@ def event_spectrum_contrast(spark, d):
     ev = exact_quantiles(long(px), ["scene", "band"], "v", {"event_median": 0.5}).drop("n")
     bg = exact_quantiles(long(back), ["scene", "band"], "v", {"background_median": 0.5, "background_p05": 0.05, "background_p95": 0.95}).drop("n")
     out = ev.join(bg, ["scene", "band"])
-    return out.select("scene", "band", *[rnd(F.col(c)).alias(c) for c in out.columns[2:]])
+    return out.select("scene", "band", *[rnd(F.col(c), 8).alias(c) for c in out.columns[2:]])
 
 
 # --- fingerprints --------------------------------------------------------------------------

@@ -19,18 +19,18 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys, order = list(keys), list(order)
     sources = list(columns)
-    chunked = df.withColumn("_chunk", chunk)
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    chunked = df.withColumn("__chunk", chunk)
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(*order)
     packed = F.struct(*[F.col(c) for c in sources])
-    lagged = (chunked.withColumn("_prev", F.lag(packed).over(inside))
-              .withColumn("_head", F.row_number().over(inside) == 1))
-    tails = chunked.groupBy(*keys, "_chunk").agg(
-        F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("_tail"))
-    across = Window.partitionBy(*keys).orderBy("_chunk")
-    tails = tails.withColumn("_carry", F.lag("_tail").over(across)).drop("_tail")
-    joined = lagged.join(tails, [*keys, "_chunk"], "left")
-    prev = F.when(F.col("_head"), F.col("_carry")).otherwise(F.col("_prev"))
-    joined = joined.withColumn("_p", prev)
+    lagged = (chunked.withColumn("__prev", F.lag(packed).over(inside))
+              .withColumn("__head", F.row_number().over(inside) == 1))
+    tails = chunked.groupBy(*keys, "__chunk").agg(
+        F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("__tail"))
+    across = Window.partitionBy(*keys).orderBy("__chunk")
+    tails = tails.withColumn("__carry", F.lag("__tail").over(across)).drop("__tail")
+    joined = lagged.join(tails, [*keys, "__chunk"], "left")
+    prev = F.when(F.col("__head"), F.col("__carry")).otherwise(F.col("__prev"))
+    joined = joined.withColumn("__p", prev)
     for source, out in columns.items():
-        joined = joined.withColumn(out, F.col(f"_p.{source}"))
-    return joined.drop("_p", "_prev", "_carry", "_head", "_chunk")
+        joined = joined.withColumn(out, F.col(f"__p.{source}"))
+    return joined.drop("__p", "__prev", "__carry", "__head", "__chunk")

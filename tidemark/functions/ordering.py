@@ -34,3 +34,22 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     for source, out in columns.items():
         joined = joined.withColumn(out, F.col(f"__p.{source}"))
     return joined.drop("__p", "__prev", "__carry", "__head", "__chunk")
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Column, chunk: Column, sums: Mapping[str, str]) -> DataFrame:
+    """Cumulative sums (inclusive) in ``order`` for groups of any size.
+
+    ``chunk`` must not decrease along ``order``: sums run inside (key, chunk) and are lifted
+    by the totals of the chunks before, a table of one row per key and chunk.  ``sums`` maps
+    source to output column names; ``order`` should be unique per key.
+    """
+    keys = list(keys)
+    chunked = df.withColumn("__chunk", chunk)
+    inside = Window.partitionBy(*keys, "__chunk").orderBy(order)
+    local = chunked.withColumns({f"__in_{s}": F.sum(s).over(inside) for s in sums})
+    totals = chunked.groupBy(*keys, "__chunk").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
+    across = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, "__chunk", *[F.coalesce(F.sum(f"__t_{s}").over(across), F.lit(0)).alias(f"__b_{s}") for s in sums])
+    out = local.join(totals, [*keys, "__chunk"])
+    return (out.withColumns({name: F.col(f"__in_{s}") + F.col(f"__b_{s}") for s, name in sums.items()})
+            .drop("__chunk", *[f"__{p}_{s}" for s in sums for p in ("in", "b")]))

@@ -11,8 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.session import cut_lineage
@@ -91,22 +94,68 @@ def closing(mask: DataFrame, keys: Sequence[str], k: int = 1, n_rows: int | None
     return closed if allowed is None else closed.join(allowed.select(*keys, "row", "col"), [*keys, "row", "col"], "left_semi")
 
 
-def connected_components(mask: DataFrame, keys: Sequence[str], n_cols: int, max_rounds: int = 60) -> DataFrame:
+TILE = 128
+SMALL_GRAPH = 100_000
+
+
+def _merge(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of each node's component for edges (a, b) between nodes 0..n-1."""
+    root = np.arange(n)
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _tile_roots(pdf: pd.DataFrame) -> pd.DataFrame:
+    """First pixel of each pixel's component inside one tile (at most TILE x TILE pixels)."""
+    pdf = pdf.sort_values("_lin", ignore_index=True)
+    r, c = (pdf[k].to_numpy() - pdf[k].min() for k in ("row", "col"))
+    board = np.full((r.max() + 2, c.max() + 2), -1)
+    board[r, c] = np.arange(len(pdf))
+    sides = np.concatenate([np.stack([board[r, c], board[r, c + 1]]), np.stack([board[r, c], board[r + 1, c]])], axis=1)
+    a, b = sides[:, sides[1] >= 0]
+    return pdf.assign(_node=pdf["_lin"].to_numpy()[_merge(len(pdf), a, b)])
+
+
+def _graph_roots(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges of one small border graph, each node linked to its component's smallest node."""
+    nodes, flat = np.unique(pdf[["u", "v"]].to_numpy().T.ravel(), return_inverse=True)
+    root = _merge(len(nodes), *flat.reshape(2, -1))
+    keys = {k: pdf[k].iloc[0] for k in pdf.columns if k not in ("u", "v")}
+    out = pd.DataFrame({**keys, "u": nodes, "v": nodes[root]})
+    return out.loc[out.u != out.v, list(pdf.columns)]
+
+
+def connected_components(mask: DataFrame, keys: Sequence[str], n_cols: int, max_rounds: int = 60, tile: int = TILE,
+                         small_graph: int = SMALL_GRAPH) -> DataFrame:
     """4-connected labels; the label is the linear index of the component's first pixel.
 
-    Pixels collapse to row runs first, so the graph has a node per run.  Runs of adjacent
-    rows are linked through an equi-join on the shared column (never all pairs of a row).
-    The graph is contracted by alternating large-star and small-star rounds, a logarithmic
-    number of them; every second round ends in a reliable checkpoint.
+    Each tile of the raster (a bounded group) is labelled on its own; only pixels on tile
+    borders then link tile components, through an equi-join on the shared edge.  While the
+    counted border edges are few, one task per raster resolves them; beyond SMALL_GRAPH the
+    graph is contracted by alternating large-star and small-star rounds, a logarithmic
+    number of them, every second one ending in a reliable checkpoint.
     """
     keys = list(keys)
-    px = _runs(mask.select(*keys, "row", "col"), keys, "row", "col", "c0")
-    px = px.withColumn("_node", F.col("row").cast("long") * n_cols + F.col("c0")).select(*keys, "row", "col", "_node")
-    px = cut_lineage(px)
-    above = px.select(*keys, (F.col("row") + 1).alias("row"), "col", F.col("_node").alias("v"))
-    edges = (px.join(above, [*keys, "row", "col"]).select(*keys, F.col("_node").alias("u"), "v").distinct())
-    edges = cut_lineage(edges)
+    m = mask.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
+    m = m.withColumns({"_tr": F.floor(F.col("row") / tile).cast("int"), "_tc": F.floor(F.col("col") / tile).cast("int"),
+                       "_lin": F.col("row").cast("long") * n_cols + F.col("col")})
+    schema = T.StructType([*m.schema.fields, T.StructField("_node", T.LongType())])
+    px = cut_lineage(m.groupBy(*keys, "_tr", "_tc").applyInPandas(_tile_roots, schema).select(*keys, "row", "col", "_node"))
+    low = px.where((F.col("row") % tile == 0) & (F.col("row") > 0)).select(*keys, (F.col("row") - 1).alias("row"), "col", F.col("_node").alias("u"))
+    left = px.where((F.col("col") % tile == 0) & (F.col("col") > 0)).select(*keys, "row", (F.col("col") - 1).alias("col"), F.col("_node").alias("u"))
+    border = px.where((F.col("row") % tile == tile - 1) | (F.col("col") % tile == tile - 1))
+    pairs = low.unionByName(left).join(border.withColumnRenamed("_node", "v"), [*keys, "row", "col"])
+    # The larger node points to the smaller one.
+    edges = cut_lineage(pairs.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
+    if edges.limit(small_graph + 1).count() <= small_graph:
+        edges = edges.groupBy(*keys).applyInPandas(_graph_roots, edges.schema)
+        max_rounds = 0
     for _ in range(max_rounds):
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*edges.columns).cast("decimal(20,0)"))).first()
         if tuple(mark) == seen or mark[0] == 0:

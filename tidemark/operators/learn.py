@@ -12,6 +12,7 @@ from tidemark.functions.nulls import clip
 from tidemark.functions.ordering import running_sums
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import metrics
+from tidemark.session import cut_lineage
 
 # --- Fixed values: triage features --------------------------------------------------------------
 TRIAGE_FEATURES = ["seasonal_pct_primary", "robust_z_primary", "rx_pct", "log10_area_km2", "persistence_frac", "dist_shore_km", "ndci_delta",
@@ -135,7 +136,7 @@ def fit_logistic(df: DataFrame, features: Sequence[str], y: str, weight: str | N
     total = pos + neg
     balanced = F.when(F.col(y) == 1, w * (total / (2 * pos))).otherwise(w * (total / (2 * neg)))
     train = _vector(df, params, features).select("_z", F.col(y).cast("double").alias("_y"), balanced.alias("_w"))
-    m = LogisticRegression(featuresCol="_z", labelCol="_y", weightCol="_w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, tol=1e-12, maxIter=500).fit(train)
+    m = LogisticRegression(featuresCol="_z", labelCol="_y", weightCol="_w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, tol=1e-9, maxIter=200).fit(train)
     return artifact("logistic", features, params, m.coefficients.toArray().tolist(), float(m.intercept))
 
 
@@ -235,6 +236,7 @@ def leave_one_group_out(df: DataFrame, group: str, features: Sequence[str], y: s
 
     Areas are a short list; each turn is a distributed fit and a distributed report.
     """
+    df = cut_lineage(df)
     classes = df.groupBy(group).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n")).orderBy(group).collect()
     p_all, n_all = sum(r["p"] for r in classes), sum(r["n"] for r in classes)
     out = None
@@ -249,6 +251,7 @@ def leave_one_group_out(df: DataFrame, group: str, features: Sequence[str], y: s
 
 def cross_validated(df: DataFrame, fold: str, features: Sequence[str], y: str, out: str) -> DataFrame:
     """Out-of-fold logistic probabilities (folds are a handful)."""
+    df = cut_lineage(df)
     folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
     res = None
     for f in folds:
@@ -279,7 +282,7 @@ def model_zoo(df: DataFrame, fold: str, features: Sequence[str], y: str, seed: i
         "gradient_boosting": lambda: GBTRegressor(featuresCol="_z", labelCol="_ly", maxIter=15, maxDepth=2, stepSize=0.1, subsamplingRate=0.8, seed=seed),
     }
     base = df.where(F.col(y) > 0).withColumn("_ly", F.log10(y))
-    z = _vector(base, scaler_params(base, features), features)
+    z = cut_lineage(_vector(base, scaler_params(base, features), features))
     folds = [r[0] for r in z.select(fold).distinct().orderBy(fold).collect()]
     out = None
     for name, make in makers.items():

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.nulls import ratio
 from tidemark.functions.quantiles import exact_quantiles
@@ -268,7 +269,7 @@ def fingerprint_groups(df: DataFrame, n_groups: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------- spatial / spectral anomaly (RX)
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def pseudo_inverse(cov: pd.Series) -> pd.Series:
     """Flattened pseudo-inverse of a flattened d x d covariance, one small matrix per row."""
     def one(flat):

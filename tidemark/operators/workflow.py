@@ -224,23 +224,27 @@ def audit_log(events: DataFrame, limit: int, entity_type: str | None = None, ent
     return out.orderBy(F.col("seq").desc()).limit(limit)
 
 
-def payload_problems(payload: Column) -> Column:
-    """Missing keys, invalid enums, ranges and geometry, physical units on an uncalibrated proxy."""
-    v = F.try_parse_json(payload)
-    text = lambda p: F.try_variant_get(v, p, "string")                                                  # noqa: E731
-    num = lambda p: F.try_variant_get(v, p, "double")                                                   # noqa: E731
-    problems = [F.when(F.variant_get(v, f"$.{k}", "variant").isNull(), F.lit(f"missing {k}")) for k in REQUIRED_KEYS]
-    problems.append(F.when(~F.coalesce(text("$.status").isin(STATES), F.lit(False)), "invalid status"))
-    problems.append(F.when(~F.coalesce(text("$.event_type_hypothesis").isin(list(EVENT_TYPES)), F.lit(False)), "invalid event type"))
+def payload_problems(df: DataFrame, payload: str) -> DataFrame:
+    """Add ``problems``: missing keys, invalid enums, ranges and geometry, physical units on a proxy.
+
+    The document is parsed once into its top-level members (raw text, so a present null
+    still counts as present) and only the nested members that matter are parsed again.
+    """
+    df = df.withColumn("_m", F.from_json(F.col(payload), "map<string,string>"))
+    text = lambda k: F.col("_m")[k]                                                                     # noqa: E731
+    df = df.withColumns({"_geo": F.from_json(text("geometry"), "type string"),
+                         "_est": F.from_json(text("water_quality"), "estimates map<string,struct<quantity_kind:string,units:string>>")["estimates"]})
+    has = lambda k: F.coalesce(F.map_contains_key("_m", k), F.lit(False))                               # noqa: E731
+    problems = [F.when(~has(k), F.lit(f"missing {k}")) for k in REQUIRED_KEYS]
+    problems.append(F.when(~F.coalesce(text("status").isin(STATES), F.lit(False)), "invalid status"))
+    problems.append(F.when(~F.coalesce(text("event_type_hypothesis").isin(list(EVENT_TYPES)), F.lit(False)), "invalid event type"))
     for k in ("severity", "confidence"):
-        problems.append(F.when(~num(f"$.{k}").between(0.0, 1.0), F.lit(f"{k} out of [0, 1]")))
-    kind = text("$.geometry.type")
-    has = F.variant_get(v, "$.geometry", "variant").isNotNull()
-    problems.append(F.when(has & ~F.coalesce(kind.isin("Polygon", "MultiPolygon", "Point"), F.lit(False)), "invalid geometry type"))
-    fixed = F.array_compact(F.array(*problems))
-    est = F.from_json(F.to_json(F.try_variant_get(v, "$.water_quality.estimates", "variant")), "map<string,struct<quantity_kind:string,units:string>>")
-    bad = F.map_filter(F.coalesce(est, F.create_map().cast("map<string,struct<quantity_kind:string,units:string>>")), lambda _, e: e["units"].isin(PHYSICAL_UNITS) & ~F.coalesce(e["quantity_kind"].isin("CALIBRATED", "GENERIC_CALIBRATION"), F.lit(False)))
-    return F.concat(fixed, F.transform(F.array_sort(F.map_keys(bad)), lambda k: F.concat(k, F.lit(": physical units on an uncalibrated proxy"))))
+        problems.append(F.when(~text(k).try_cast("double").between(0.0, 1.0), F.lit(f"{k} out of [0, 1]")))
+    kind = F.coalesce(F.col("_geo.type").isin("Polygon", "MultiPolygon", "Point"), F.lit(False))
+    problems.append(F.when(text("geometry").isNotNull() & ~kind, "invalid geometry type"))
+    uncalibrated = F.map_filter("_est", lambda _, e: e["units"].isin(PHYSICAL_UNITS) & ~F.coalesce(e["quantity_kind"].isin("CALIBRATED", "GENERIC_CALIBRATION"), F.lit(False)))
+    named = F.coalesce(F.transform(F.array_sort(F.map_keys(uncalibrated)), lambda k: F.concat(k, F.lit(": physical units on an uncalibrated proxy"))), F.array().cast("array<string>"))
+    return df.withColumn("problems", F.concat(F.array_compact(F.array(*problems)), named)).drop("_m", "_geo", "_est")
 
 
 def merge_sample_plan(current: DataFrame, plan: DataFrame) -> DataFrame:

@@ -240,7 +240,7 @@ def payloads(spark, d):
 SELECT k AS id, array_to_string(list_filter([CASE WHEN k % 7 = 0 THEN 'missing aoi_id' END, CASE WHEN c % 11 = 0 THEN 'missing model_id' END, CASE WHEN k % 13 = 0 THEN 'missing provenance' END, CASE WHEN st = 'ARCHIVED' THEN 'invalid status' END,
 CASE WHEN et = 'OTHER' THEN 'invalid event type' END, CASE WHEN c % 120 > 100 THEN 'severity out of [0, 1]' END, CASE WHEN k % 4 = 2 THEN 'invalid geometry type' END, CASE WHEN k % 6 = 0 AND c % 5 <> 0 THEN 'chl: physical units on an uncalibrated proxy' END], lambda z: z IS NOT NULL), '; ') AS problems FROM q""")
 def payload_validate(spark, d):
-    return payloads(spark, d).select("id", F.array_join(wf.payload_problems(F.col("payload")), "; ").alias("problems"))
+    return wf.payload_problems(payloads(spark, d), "payload").select("id", F.array_join("problems", "; ").alias("problems"))
 
 
 SQL_SMP = """cur AS (SELECT DISTINCT l_orderkey AS incident_id, 'S0' || CAST(l_linenumber AS VARCHAR) AS code, CASE (l_orderkey + l_linenumber) % 4 WHEN 0 THEN 'COLLECTED' WHEN 1 THEN 'REMOVED' ELSE 'PLANNED' END AS status FROM lineitem),

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.quantiles import exact_quantiles
+from tidemark.functions.quantiles import exact_quantiles, sorted_median
 from tidemark.session import cut_lineage
 
 
@@ -294,21 +294,28 @@ def sample_acquisitions(acquisitions: DataFrame, order: Sequence[str], total: in
     return numbered.where(F.col("_i") % step == 0).drop("_i")
 
 
+def _spread(df: DataFrame, at: str, size: int, half: int) -> DataFrame:
+    """Send an array column ``_a`` to every position within ``half``; edge values repeat as a replicated border would."""
+    target = F.sequence(F.greatest(F.col(at) - half, F.lit(0)), F.least(F.col(at) + half, F.lit(size - 1)))
+    out = df.withColumn("_t", F.explode(target))
+    extra = (F.when(F.col(at) == 0, F.greatest(half - F.col("_t"), F.lit(0))).otherwise(0)
+             + F.when(F.col(at) == size - 1, F.greatest(half - (size - 1 - F.col("_t")), F.lit(0))).otherwise(0))
+    return out.withColumn("_a", F.flatten(F.array_repeat("_a", extra + 1))).withColumn(at, F.col("_t")).drop("_t")
+
+
 def local_median(px: DataFrame, keys: Sequence[str], value: str, window: int, n_rows: int, n_cols: int) -> DataFrame:
     """Exact moving median over an odd square window, edges replicated.
 
-    Each pixel is read once per offset, so this suits windows of a few pixels; average to a
-    coarser grid first for windows of a hundred.
+    Values are gathered along rows first and along columns second, so a pixel is copied
+    2 x window times instead of window squared; a pixel ends with one array of the window's
+    values.  For windows of a hundred pixels average to a coarser grid first.
     """
-    h = window // 2
-    offsets = F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in range(-h, h + 1) for j in range(-h, h + 1)])
-    asked = (px.select(*keys, F.col("row").alias("r"), F.col("col").alias("c"), F.explode(offsets).alias("o"))
-             .select(*keys, "r", "c",
-                     F.least(F.greatest(F.col("r") + F.col("o.dr"), F.lit(0)), F.lit(n_rows - 1)).alias("row"),
-                     F.least(F.greatest(F.col("c") + F.col("o.dc"), F.lit(0)), F.lit(n_cols - 1)).alias("col")))
-    got = asked.join(px.select(*keys, "row", "col", F.col(value).alias("_v")), [*keys, "row", "col"])
-    return (got.groupBy(*keys, F.col("r").alias("row"), F.col("c").alias("col"))
-            .agg(F.percentile("_v", 0.5).alias("background")))
+    half = window // 2
+    cells = px.where(F.col(value).isNotNull()).select(*keys, "row", "col", F.array(F.col(value).cast("double")).alias("_a"))
+    along = _spread(cells, "col", n_cols, half).groupBy(*keys, "row", "col").agg(F.flatten(F.collect_list("_a")).alias("_a"))
+    square = _spread(along, "row", n_rows, half).groupBy(*keys, "row", "col").agg(F.array_sort(F.flatten(F.collect_list("_a"))).alias("_a"))
+    wanted = square.join(px.select(*keys, "row", "col"), [*keys, "row", "col"], "left_semi")
+    return wanted.select(*keys, "row", "col", sorted_median(F.col("_a")).alias("background"))
 
 
 def dark_regions(labelled: DataFrame, keys: Sequence[str], drop: str, pixel_m: float, min_area_km2: float,

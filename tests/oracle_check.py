@@ -33,7 +33,7 @@ def norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.12g}") if v else repr(v)
+        return repr(v)
     if isinstance(v, (dt.datetime, dt.date)):
         return str(v)
     if isinstance(v, (list, tuple)):

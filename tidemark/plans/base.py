@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
 
 def r6(expr: str, digits: int = 6) -> str:
     """SQL rounding that never yields negative zero."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"(round(CAST({expr} AS DOUBLE), {digits}) + 0.0)"

@@ -57,10 +57,10 @@ OBS_FEATS = {"ndci": 1.0, "tur": 2.0}
 
 
 @query("robust_anomaly", f"""WITH {SQL_OBS}, {sql_anomaly('obs', ['px'], OBS_FEATS)}
-SELECT px, CAST(d AS VARCHAR) AS d, {', '.join(f"CAST(n_{f} AS INTEGER) AS {f}_n, {r6(f'med_{f}')} AS {f}_med, {r6(f'CASE WHEN n_{f} > 0 THEN scale_{f} END')} AS {f}_scale, {r6(f'z_{f}')} AS {f}_z, {r6(f'pct_{f}')} AS {f}_pct" for f in OBS_FEATS)} FROM an""")
+SELECT px, CAST(d AS VARCHAR) AS d, {', '.join(f"CAST(n_{f} AS INTEGER) AS {f}_n, {r6(f'med_{f}', 9)} AS {f}_med, {r6(f'CASE WHEN n_{f} > 0 THEN scale_{f} END', 11)} AS {f}_scale, {r6(f'z_{f}')} AS {f}_z, {r6(f'pct_{f}')} AS {f}_pct" for f in OBS_FEATS)} FROM an""")
 def robust_anomaly(spark, d):
     a = cl.robust_anomaly(observations(spark, d), ["px"], OBS_FEATS)
-    cols = [F.col(f"{f}_n") for f in OBS_FEATS] + [rnd(F.col(f"{f}_{k}")).alias(f"{f}_{k}") for f in OBS_FEATS for k in ("med", "scale", "z", "pct")]
+    cols = [F.col(f"{f}_n") for f in OBS_FEATS] + [rnd(F.col(f"{f}_{k}"), {"med": 9, "scale": 11}.get(k, 6)).alias(f"{f}_{k}") for f in OBS_FEATS for k in ("med", "scale", "z", "pct")]
     return a.select("px", F.col("d").cast("string").alias("d"), *cols)
 
 

@@ -150,10 +150,11 @@ def significance_mask(spark, d):
     return bands(spark, d).select(*ID, *[rnd(ix[k]).alias(k) for k in ("ndci", "ndwi", "ndci_sigma", "fai", "fai_sigma")])
 
 
-@query("scl_usable", f"""WITH {SQL_BANDS} SELECT aoi, d, count(*) AS n, count(CASE WHEN scl NOT IN (0, 1, 3, 8, 9, 10, 11) THEN 1 END) AS n_usable
+@query("scl_usable", f"""WITH {SQL_BANDS} SELECT aoi, CAST(d AS VARCHAR) AS d, count(*) AS n, count(CASE WHEN scl NOT IN (0, 1, 3, 8, 9, 10, 11) THEN 1 END) AS n_usable
 FROM bands GROUP BY aoi, d""")
 def scl_usable(spark, d):
-    return bands(spark, d).groupBy("aoi", "d").agg(F.count(F.lit(1)).alias("n"), F.count_if(px.scl_usable(F.col("scl"))).alias("n_usable"))
+    out = bands(spark, d).groupBy("aoi", "d").agg(F.count(F.lit(1)).alias("n"), F.count_if(px.scl_usable(F.col("scl"))).alias("n_usable"))
+    return out.withColumn("d", F.col("d").cast("string"))
 
 
 FLAG_MASKS = {"INVALID": 1, "WATER": 2, "LAND": 4, "CLOUD": 8, "SNOW_ICE": 16, "COASTLINE": 32, "HIGHGLINT": 64, "AC_FAIL": 128}

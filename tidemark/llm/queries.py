@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.base import query, table
 from tidemark.llm.bpe import encode_digests
+from tidemark.llm.fmdedup import substring_dedup
 from tidemark.llm.tokenfile import token_files
 
 
@@ -15,3 +16,18 @@ def op2(spark, sf_dir):
 @query("op3_token_files")
 def op3(spark, sf_dir):
     return token_files(table(spark, sf_dir, "documents"))
+
+
+@query("op4_substring_dedup", r"""
+WITH w AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+numbered AS (SELECT row_number() OVER () AS rid, * FROM w),
+win AS (SELECT rid, doc_id, unnest(range(1, len(ws) - 11)) AS p, ws FROM numbered WHERE len(ws) >= 13),
+txt AS (SELECT rid, doc_id, p, md5(array_to_string(ws[p:p + 12], ' ')) AS t FROM win),
+first_doc AS (SELECT t, min(doc_id) AS least FROM txt GROUP BY t),
+bad AS (SELECT DISTINCT rid, unnest(range(p, p + 13)) AS q FROM txt JOIN first_doc USING (t) WHERE least < doc_id),
+word AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS q, unnest(ws) AS word FROM numbered),
+kept AS (SELECT rid, string_agg(word, ' ' ORDER BY q) AS k, count(*) AS n FROM word ANTI JOIN bad USING (rid, q) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM numbered LEFT JOIN kept USING (rid)""")
+def op4(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"))

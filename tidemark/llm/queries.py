@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.base import query, table
 from tidemark.llm.bpe import encode_digests
 from tidemark.llm.fmdedup import substring_dedup
+from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.tokenfile import token_files
 
 
@@ -31,3 +32,8 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM numbered LEFT JOIN kept USING (rid)""")
 def op4(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op7_simhash_groups")
+def op7(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))

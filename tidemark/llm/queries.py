@@ -5,6 +5,8 @@ from __future__ import annotations
 from tidemark.llm.base import query, table
 from tidemark.llm.bpe import encode_digests
 from tidemark.llm.fmdedup import substring_dedup
+from tidemark.llm.mixing import mix_sources
+from tidemark.llm.quality import quality_rules
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.tokenfile import token_files
 
@@ -37,3 +39,50 @@ def op4(spark, sf_dir):
 @query("op7_simhash_groups")
 def op7(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op8_quality_rules", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+g AS (SELECT rid, unnest(range(1, len(ws) - 3)) AS p, ws FROM w WHERE len(ws) >= 5),
+k AS (SELECT rid, p, array_to_string(ws[p:p + 4], ' ') AS s FROM g),
+twice AS (SELECT rid, s FROM k GROUP BY rid, s HAVING count(*) > 1),
+r AS (SELECT rid, count(DISTINCT q) AS n FROM (SELECT rid, unnest(range(p, p + 5)) AS q FROM k JOIN twice USING (rid, s)) GROUP BY rid),
+c AS (SELECT rid, doc_id, lang, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN r USING (rid)),
+v AS (SELECT rid, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS rate,
+  unnest([CASE WHEN n_words > 0 THEN word_chars * 1000 // n_words END, CASE WHEN n_words > 0 THEN n_symbols * 1000 // n_words END,
+          CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines END, CASE WHEN n_words > 0 THEN n_repeat_words * 1000 // n_words END]) AS v FROM c),
+b AS (SELECT rid, lang, source, rate, v, (v >> CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT)) << CAST(greatest(length(bin(v)) - 6, 0) AS BIGINT) AS low FROM v WHERE v IS NOT NULL),
+own AS (SELECT lang, source, rate, count(*) AS n, quantile_disc(low, 0.25) AS a, quantile_disc(low, 0.75) AS z FROM b GROUP BY ALL),
+bylang AS (SELECT lang, rate, count(*) AS n, quantile_disc(low, 0.25) AS a, quantile_disc(low, 0.75) AS z FROM b GROUP BY ALL),
+every AS (SELECT rate, quantile_disc(low, 0.25) AS a, quantile_disc(low, 0.75) AS z FROM b GROUP BY ALL),
+q AS (SELECT own.lang, own.source, own.rate, CASE WHEN own.n >= 200 THEN own.a WHEN bylang.n >= 200 THEN bylang.a ELSE every.a END AS a,
+  CASE WHEN own.n >= 200 THEN own.z WHEN bylang.n >= 200 THEN bylang.z ELSE every.z END AS z
+  FROM own JOIN bylang ON own.lang IS NOT DISTINCT FROM bylang.lang AND own.rate = bylang.rate JOIN every ON own.rate = every.rate),
+slack(rate, base, chance) AS (VALUES ('word_length', 500, 15000.0), ('symbols', 100, 3000.0), ('dup_lines', 100, 3000.0), ('repeats', 50, 2000.0)),
+bad AS (SELECT DISTINCT b.rid FROM b JOIN c USING (rid) JOIN q ON b.lang IS NOT DISTINCT FROM q.lang AND b.source IS NOT DISTINCT FROM q.source AND b.rate = q.rate JOIN slack ON slack.rate = b.rate
+  WHERE b.v > z + 6 * (z - a) + base + floor(CAST(chance AS DOUBLE) / sqrt(CAST(CASE WHEN b.rate = 'dup_lines' THEN n_lines ELSE n_words END AS DOUBLE)))
+     OR (b.rate = 'word_length' AND b.v < a - 6 * (z - a) - base - floor(CAST(chance AS DOUBLE) / sqrt(CAST(n_words AS DOUBLE))))),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND bad.rid IS NULL AS kept FROM f LEFT JOIN bad USING (rid)""")
+def op8(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op10_source_mix", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap FROM s0),
+o AS (SELECT *, row_number() OVER w AS k, coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fixed,
+  sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, (SELECT sum(size) FROM d) AS budget FROM s WINDOW w AS (ORDER BY CAST(cap AS DOUBLE) / weight, source)),
+l AS (SELECT k, CAST(budget - fixed AS DOUBLE) / CAST(rest AS DOUBLE) AS level, CAST(budget - fixed AS DOUBLE) / CAST(rest AS DOUBLE) * weight <= cap AS fits FROM o),
+lev AS (SELECT level FROM l WHERE fits ORDER BY k LIMIT 1),
+t AS (SELECT source, source_size, CASE WHEN level * weight > cap THEN CAST(cap AS DOUBLE) ELSE level * weight END AS target FROM s, lev),
+q AS (SELECT d.*, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, size, rid) AS upto
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST(greatest(least(size, floor(target) - (upto - size)), 0) + greatest(least(size, floor(target) - (source_size + upto - size)), 0)
+  + greatest(least(size, floor(target) - (2 * source_size + upto - size)), 0) AS BIGINT) AS taken FROM q""")
+def op10(spark, sf_dir):
+    return mix_sources(table(spark, sf_dir, "documents"))

@@ -5,10 +5,17 @@ from __future__ import annotations
 from tidemark.llm.base import query, table
 from tidemark.llm.bpe import encode_digests
 from tidemark.llm.fmdedup import substring_dedup
+from tidemark.llm.html import extract_pages
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.tokenfile import token_files
+from tidemark.llm.toxicity import toxicity
+
+
+@query("op1_toxicity")
+def op1(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query("op2_bpe_codec")
@@ -86,3 +93,14 @@ SELECT doc_id, size, source_size, target, CAST(greatest(least(size, floor(target
   + greatest(least(size, floor(target) - (2 * source_size + upto - size)), 0) AS BIGINT) AS taken FROM q""")
 def op10(spark, sf_dir):
     return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op9_html_text", r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(regexp_split_to_array(body, '</?(?:p|h1)>'),
+  lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'),
+    '&quot;?', '"', 'g'), '&#(?:x27|39);', chr(39), 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""")
+def op9(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))

@@ -6,7 +6,9 @@ from tidemark.llm.base import query, table
 from tidemark.llm.bpe import encode_digests
 from tidemark.llm.fmdedup import substring_dedup
 from tidemark.llm.html import extract_pages
+from tidemark.llm.license import scan_licenses
 from tidemark.llm.mixing import mix_sources
+from tidemark.llm.multiindex import nearest
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.tokenfile import token_files
@@ -104,3 +106,36 @@ t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''
 SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t""")
 def op9(spark, sf_dir):
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op5_multi_index")
+def op5(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_license_scan", r"""
+WITH rule(kind, label, n, pattern) AS (VALUES
+  ('base', 'mit', 4, 'under the mit license'), ('base', 'apache-2', 4, 'apache license version 2'), ('base', 'cc-by-nc', 3, 'cc by nc'),
+  ('more', 'mit', 46, 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files (?:[^ ]+ ){0,6}to deal in the (?:software|materials) without restriction including without limitation (?:on )?the rights to use copy modify merge publish distribute sublicense and or sell copies of the'),
+  ('more', 'mit', 5, 'released under (?:the terms of )?the mit (?:license|licence)'),
+  ('more', 'isc', 33, 'permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies'),
+  ('more', 'bsd', 21, 'redistribution and use in source and binary forms with or without modification are permitted (?:subject to the limitations in the disclaimer below )?provided that the following conditions are met'),
+  ('more', 'apache-2', 6, 'licensed under the apache license (?:version )?2'),
+  ('more', 'gpl-2', 6, 'gnu general public (?:license|licence) (?:as published by the free software foundation )?(?:either )?(?:version|v) 2'),
+  ('more', 'gpl-3', 6, 'gnu general public (?:license|licence) (?:as published by the free software foundation )?(?:either )?(?:version|v) 3'),
+  ('more', 'lgpl', 5, 'gnu lesser general public (?:license|licence)'), ('more', 'agpl', 5, 'gnu affero general public (?:license|licence)'),
+  ('more', 'mpl-2', 5, 'mozilla public license (?:(?:version|v) )?2 0'), ('more', 'unlicense', 11, 'this is free and unencumbered software released into the public domain'),
+  ('more', 'cc0', 3, 'cc0 1 0'), ('more', 'cc-by-sa', 5, 'creative commons attribution share (?:a )?(?:alike|like)'),
+  ('more', 'cc-by-nc', 4, 'creative commons attribution (?:non )?(?:noncommercial|commercial)')),
+w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+l AS (SELECT *, ' ' || array_to_string(ws, ' ') || ' ' AS line FROM w),
+p AS (SELECT rid, unnest(list_filter(range(1, len(ws) + 1), lambda i: array_to_string(ws[i:i + 3], ' ') IN ('under the mit license', 'apache license version 2') OR array_to_string(ws[i:i + 2], ' ') = 'cc by nc')) - 1 AS pos FROM l),
+b AS (SELECT rid, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word FROM p GROUP BY rid),
+h AS (SELECT rid, kind, label, n FROM l JOIN rule ON regexp_matches(line, ' ' || pattern || ' ')),
+g AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE kind = 'base') AS base_labels, sum(n) AS m FROM h GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, 1 - 1 / (1 + CAST(coalesce(m, 0) AS DOUBLE)) AS score
+FROM l LEFT JOIN b USING (rid) LEFT JOIN g USING (rid)""")
+def op6(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import stored
+from tidemark.llm.base import mix64, stored
 
 SHINGLE = 3
 SEED = 42
@@ -133,3 +133,120 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per document: id, fingerprint (16 hexadecimal digits), component_id."""
     prints = stored(fingerprints(docs, id_col, text_col, width), "prints")
     return grouped(prints, cell).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---- the pipeline's stage: five-word shingles, similarity 0.8 --------------------------------
+
+SIMILAR = 0.8
+WORDS = 5
+TABLES = 4
+ROUNDS = 4
+
+
+def _mixed(h: np.ndarray, table: int) -> np.ndarray:
+    return mix64(h ^ np.uint64(0x9E3779B97F4A7C15 * (table + 1) & (1 << 64) - 1))
+
+
+def word_set_prints(docs: DataFrame, tables: int = TABLES) -> DataFrame:
+    """Columns id, key of ``docs`` (id, key, text) and ``tables`` fingerprints over the set of lower-case words.
+
+    One changed word touches five shingles but two members of the set, so copies that share four
+    fifths of their shingles stay within two bits in one of a few independent fingerprints,
+    while unrelated texts differ in a quarter of all bits and more.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            prints = []
+            for k in range(0, batch.num_rows, 500):
+                for text in batch.column(2).slice(k, 500).to_pylist():
+                    words = set((text or "").encode().lower().split())
+                    h = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
+                    ones = [np.unpackbits(_mixed(h, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for t in range(tables)]
+                    prints.append([int(np.packbits(2 * o > len(h), bitorder="little").view("<i8")[0]) for o in ones])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.list_(pa.int64()))], ["id", "key", "fps"])
+
+    return docs.mapInArrow(run, "id long, key long, fps array<long>")
+
+
+def shingle_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
+    """Columns key and shingles (distinct hashes of ``width`` lower-case words; a shorter text is one shingle)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                part, sets = batch.slice(k, 200), []
+                for text in part.column(1).to_pylist():
+                    words = (text or "").encode().lower().split()
+                    got = {digest(b" ".join(words[j:j + width]), SEED) for j in range(max(1, len(words) - width + 1))}
+                    sets.append(np.fromiter(got, np.uint64, len(got)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
+
+    return docs.mapInArrow(run, "key long, shingles array<long>")
+
+
+def _print_links(contents: DataFrame, tables: int) -> DataFrame:
+    """Links u > v between contents (key, fps) whose fingerprints of one table are within two bits."""
+    out = None
+    for t in range(tables):
+        rows = contents.select("key", F.col("fps")[t].alias("fp"))
+        least = stored(rows.groupBy("fp").agg(F.min("key").alias("rep")), "classes")
+        near = close_links(least.select("fp"))
+        a, b = least.select(F.col("fp").alias("u"), F.col("rep").alias("x")), least.select(F.col("fp").alias("v"), F.col("rep").alias("y"))
+        links = (rows.join(least, "fp").where("key != rep").select(F.col("key").alias("x"), F.col("rep").alias("y"))
+                 .unionByName(near.join(a, "u").join(b, "v").select("x", "y")).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")))
+        out = links if out is None else out.unionByName(links)
+    return out.distinct()
+
+
+def _similar(a: str, b: str):
+    both = F.size(F.array_intersect(a, b))
+    return both >= SIMILAR * (F.size(a) + F.size(b) - both)
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of ``docs`` with one document (the smallest id) of each group of copies and near copies.
+
+    Groups come from fingerprint links; a member goes only if its five-word shingles have a
+    Jaccard similarity of 0.8 or more with the group's smallest id.  What is left of a group
+    is grouped again, and after ``rounds`` rounds each remaining link is verified by itself.
+    Rows with a null id stay; of rows that repeat an id and a text one stays.
+    """
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    base = keyed.select(F.col(id_col).cast("long").alias("id"), F.col("__key").alias("key"), F.col(text_col).cast("string").alias("text"))
+    known = base.where(F.col("id").isNotNull())
+    prints = stored(word_set_prints(known, tables), "prints")
+    contents = stored(prints.groupBy("key").agg(F.min("id").alias("low"), F.first("fps").alias("fps")), "contents")
+    gone = prints.join(contents.select("key", "low"), "key").where("id != low").select("id", "key")
+    left, sets = contents, None
+    for turn in range(rounds + 1):
+        links = stored(_print_links(left, tables), "links")
+        if links.first() is None:
+            break
+        if sets is None:                                            # shingles of every content with a link, once
+            linked = links.select(F.col("u").alias("key")).unionByName(links.select(F.col("v").alias("key"))).distinct()
+            wanted = stored(left.join(linked, "key", "left_semi").select("key", F.col("low").alias("id")), "wanted")
+            sets = stored(shingle_sets(known.join(wanted, ["key", "id"], "left_semi").select("key", "text")).dropDuplicates(["key"]), "shingles")
+        if turn == rounds:
+            pairs = (links.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u")
+                     .join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v").where(_similar("a", "b")).select("u", "v"))
+            links = stored(pairs, "verified")
+        roots = components(links).select(F.col("u").alias("key"), F.col("v").alias("root"))
+        members = stored(left.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
+        heads = stored(members.groupBy("root").agg(F.min(F.struct("low", "key")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                       .select("root", F.col("head.key").alias("head")), "heads")
+        rest = members.join(heads, "root").where("key != head")
+        if turn < rounds:
+            judged = (rest.join(sets.select("key", F.col("shingles").alias("a")), "key")
+                      .join(sets.select(F.col("key").alias("head"), F.col("shingles").alias("b")), "head")
+                      .select("key", "low", "fps", _similar("a", "b").alias("same")))
+            rest = stored(judged, "judged")
+            left = rest.where(~F.col("same")).select("key", "low", "fps")
+            rest = rest.where("same")
+        gone = gone.unionByName(rest.select(F.col("low").alias("id"), "key"))
+    gone = stored(gone.distinct(), "gone").select(F.col("id").alias("__gid"), F.col("key").alias("__gkey"))
+    out = keyed.join(gone, (keyed[id_col].cast("long") == gone["__gid"]) & (keyed["__key"] == gone["__gkey"]), "left_anti")
+    if prints.groupBy("id", "key").count().where("count > 1").first() is not None:
+        lone = out.where(F.col(id_col).isNull())
+        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__key"]).unionByName(lone)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -56,13 +56,18 @@ def test_erode_and_dilate(mask, k):
     np.testing.assert_array_equal(board(grid.dilate(mask, ["g"], k, R, C)), d)
 
 
-@pytest.mark.parametrize("tile,small", [(128, 100_000), (5, 100_000), (5, 0)])
-def test_components(mask, tile, small):
+@pytest.mark.parametrize("tile", [128, 5, 2])
+def test_components(mask, tile):
     want = flood(MASK)
-    got = {(r["row"], r["col"]): r["label"] for r in grid.connected_components(mask, ["g"], C, tile=tile, small_graph=small).collect()}
+    got = {(r["row"], r["col"]): r["label"] for r in grid.connected_components(mask, ["g"], C, tile=tile).collect()}
     assert got == {(int(r), int(c)): int(want[r, c]) for r, c in np.argwhere(MASK)}
 
 
+def test_components_of_a_long_line(spark):
+    line = spark.createDataFrame([(1, 0, c) for c in range(64)], "g int, row int, col int")
+    assert {r["label"] for r in grid.connected_components(line, ["g"], 64, tile=1).collect()} == {0}
+
+
 def test_fill_holes_and_filter(spark, mask):
     grids = spark.createDataFrame([(1, R, C)], "g int, n_rows int, n_cols int")
     back = flood(~MASK)

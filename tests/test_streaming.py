@@ -33,3 +33,13 @@ def test_alerts_once(spark, tmp_path):
         inc.run_to_end(inc.raise_alerts(spark.readStream.schema(schema).parquet(src), known, out, log, "seen_at"))
     got = sorted((r["incident_id"], r["level"]) for r in spark.read.parquet(out).select("incident_id", "level").collect())
     assert got == [(2, "HIGH"), (4, "HIGH")]
+
+
+def test_late_incident_still_alerts(spark, tmp_path):
+    src, out, log = (str(tmp_path / n) for n in ("src", "out", "log"))
+    schema = "incident_id long, status string, role string, priority string, seen_at timestamp"
+    known = spark.createDataFrame([], "incident_id long")
+    for i, day in ((1, dt.datetime(2024, 6, 1)), (2, dt.datetime(2024, 6, 2)), (3, dt.datetime(2024, 1, 1))):
+        spark.createDataFrame([(i, "DETECTED", "operational", "low", day)], schema).coalesce(1).write.mode("append").parquet(src)
+        inc.run_to_end(inc.raise_alerts(spark.readStream.schema(schema).parquet(src), known, out, log, "seen_at"))
+    assert sorted(r["incident_id"] for r in spark.read.parquet(out).select("incident_id").collect()) == [1, 2, 3]

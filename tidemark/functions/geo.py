@@ -21,6 +21,28 @@ def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colum
     return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
+def sphere_cell(lon: Column, lat: Column, size_m: float) -> list[Column]:
+    """Cube of edge ``size_m`` that holds the point of the Earth's sphere: three numbers.
+
+    A chord is never longer than its arc, so points within ``size_m`` lie in the same or in
+    neighbouring cubes at any latitude and across the date line.
+    """
+    p, q = F.radians(lat), F.radians(lon)
+    scale = EARTH_RADIUS_M / size_m
+    return [F.floor(F.cos(p) * F.cos(q) * scale), F.floor(F.cos(p) * F.sin(q) * scale), F.floor(F.sin(p) * scale)]
+
+
+def neighbour_cells(cell: list[Column]) -> Column:
+    """The 27 cubes around one, as an array of structs x, y, z."""
+    return F.array(*[F.struct((cell[0] + i).alias("x"), (cell[1] + j).alias("y"), (cell[2] + k).alias("z")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+
+
+def lon_gap(a: Column, b: Column) -> Column:
+    """Degrees between two longitudes, the short way round."""
+    d = F.pmod(a - b, F.lit(360.0))
+    return F.least(d, 360.0 - d)
+
+
 def bearing_deg(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
     p1, p2 = F.radians(lat1), F.radians(lat2)
     dl = F.radians(lon2 - lon1)

@@ -8,9 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import bearing_deg, compass, haversine_m
+from tidemark.functions.geo import bearing_deg, compass, haversine_m, neighbour_cells, sphere_cell
 from tidemark.functions.nulls import clip
 from tidemark.functions.quantiles import exact_quantiles, select_ranks
+from tidemark.session import cut_lineage
 
 # --- Fixed values: surface drift --------------------------------------------------------------
 DRIFT_FACTOR, DEFLECTION_DEG = 0.03, 15.0
@@ -20,21 +21,19 @@ M_PER_DEG_LAT, M_PER_DEG_LON = 110_574.0, 111_320.0
 ROLE_PRIORITY = {"EVENT_CORE": 1, "LEADING_EDGE": 2, "ASSET_BOUNDARY": 1, "BACKGROUND_CONTROL": 2, "UNCERTAINTY_POINT": 3}
 
 
-def nearest_assets(events: DataFrame, assets: DataFrame, radius_m: float = 40_000.0, lat_max: float = 60.0) -> DataFrame:
-    """Event / asset pairs within a radius, ranked nearest first per event.
+def nearest_assets(events: DataFrame, assets: DataFrame, radius_m: float = 40_000.0) -> DataFrame:
+    """Event / asset pairs within a radius, ranked nearest first per event, anywhere on the globe.
 
-    Degree cells no smaller than the radius (up to ``lat_max``) turn the distance join into
-    an equi-join on nine cells.  ``events``: event_id, lon, lat; ``assets``: asset_id, alon,
-    alat and anything else.
+    Cubes of the sphere no smaller than the radius turn the distance join into an equi-join
+    on 27 cells.  ``events``: event_id, lon, lat; ``assets``: asset_id, alon, alat and
+    anything else.
     """
-    dlat = radius_m / M_PER_DEG_LAT
-    dlon = radius_m / (M_PER_DEG_LON * math.cos(math.radians(lat_max)))
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asked = events.withColumns({"_cx": F.floor(F.col("lon") / dlon), "_cy": F.floor(F.col("lat") / dlat), "_o": F.explode(around)})
-    asked = asked.withColumns({"_cx": F.col("_cx") + F.col("_o.i"), "_cy": F.col("_cy") + F.col("_o.j")}).drop("_o")
-    keyed = assets.withColumns({"_cx": F.floor(F.col("alon") / dlon), "_cy": F.floor(F.col("alat") / dlat)})
+    size = radius_m * 1.001                                       # room for rounding at a cell's edge
+    asked = events.withColumn("_c", F.explode(neighbour_cells(sphere_cell(F.col("lon"), F.col("lat"), size))))
+    at = sphere_cell(F.col("alon"), F.col("alat"), size)
+    keyed = assets.withColumn("_c", F.struct(at[0].alias("x"), at[1].alias("y"), at[2].alias("z")))
     d = haversine_m(F.col("lon"), F.col("lat"), F.col("alon"), F.col("alat"))
-    pairs = asked.join(keyed, ["_cx", "_cy"]).withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_cx", "_cy")
+    pairs = asked.join(keyed, "_c").withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_c")
     w = Window.partitionBy("event_id").orderBy("distance_m", "asset_id")
     return pairs.withColumn("rank", F.row_number().over(w))
 
@@ -149,7 +148,7 @@ def sampling_plan(px: DataFrame, targets: DataFrame, keys: Sequence[str], min_se
         rank = F.when(cond if strict else cond & free, F.struct(order, *cell))
         g = joined.groupBy(*keys).agg(F.min_by(F.struct(point.alias("p"), free.alias("free")), rank).alias("_b"))
         g = g.select(*keys, F.when(F.col("_b.free"), F.col("_b.p")).alias(role))
-        t = t.join(g, keys, "left")
+        t = cut_lineage(t.join(g, keys, "left"))                 # one row per event, so later roles read the pixels once
         joined = px.join(t, keys)
         chosen.append(role)
 

@@ -95,7 +95,6 @@ def closing(mask: DataFrame, keys: Sequence[str], k: int = 1, n_rows: int | None
 
 
 TILE = 128
-SMALL_GRAPH = 100_000
 
 
 def _merge(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,24 +120,13 @@ def _tile_roots(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.assign(_node=pdf["_lin"].to_numpy()[_merge(len(pdf), a, b)])
 
 
-def _graph_roots(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one small border graph, each node linked to its component's smallest node."""
-    nodes, flat = np.unique(pdf[["u", "v"]].to_numpy().T.ravel(), return_inverse=True)
-    root = _merge(len(nodes), *flat.reshape(2, -1))
-    keys = {k: pdf[k].iloc[0] for k in pdf.columns if k not in ("u", "v")}
-    out = pd.DataFrame({**keys, "u": nodes, "v": nodes[root]})
-    return out.loc[out.u != out.v, list(pdf.columns)]
-
-
-def connected_components(mask: DataFrame, keys: Sequence[str], n_cols: int, max_rounds: int = 60, tile: int = TILE,
-                         small_graph: int = SMALL_GRAPH) -> DataFrame:
+def connected_components(mask: DataFrame, keys: Sequence[str], n_cols: int, tile: int = TILE) -> DataFrame:
     """4-connected labels; the label is the linear index of the component's first pixel.
 
     Each tile of the raster (a bounded group) is labelled on its own; only pixels on tile
-    borders then link tile components, through an equi-join on the shared edge.  While the
-    counted border edges are few, one task per raster resolves them; beyond SMALL_GRAPH the
-    graph is contracted by alternating large-star and small-star rounds, a logarithmic
-    number of them, every second one ending in a reliable checkpoint.
+    borders then link tile components, through an equi-join on the shared edge.  That graph is
+    contracted by alternating large-star and small-star rounds until it no longer changes,
+    a logarithmic number of them, every second one ending in a reliable checkpoint.
     """
     keys = list(keys)
     m = mask.select(*keys, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"))
@@ -153,10 +141,7 @@ def connected_components(mask: DataFrame, keys: Sequence[str], n_cols: int, max_
     # The larger node points to the smaller one.
     edges = cut_lineage(pairs.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
-    if edges.limit(small_graph + 1).count() <= small_graph:
-        edges = edges.groupBy(*keys).applyInPandas(_graph_roots, edges.schema)
-        max_rounds = 0
-    for _ in range(max_rounds):
+    while True:
         mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*edges.columns).cast("decimal(20,0)"))).first()
         if tuple(mark) == seen or mark[0] == 0:
             break

@@ -167,13 +167,14 @@ def assign_area(points: DataFrame, areas: DataFrame, cell_deg: float = 0.5) -> D
     return hit.groupBy(*points.columns).agg(F.min_by("aoi", F.struct("ord", "aoi")).alias("aoi"))
 
 
-def keep_separated(points: DataFrame, keys: Sequence[str], x: str, y: str, order: str, dx: float, dy: float, max_rounds: int = 200) -> DataFrame:
+def keep_separated(points: DataFrame, keys: Sequence[str], x: str, y: str, order: str, dx: float, dy: float) -> DataFrame:
     """Greedy thinning in ``order``: drop a point closer than (dx, dy) to an earlier kept one of its group.
 
     Same result as one ordered pass, computed in rounds.  Points live in cells of dx by dy,
     where any two exclude each other, so a cell offers only its earliest open point; an
     offer with no earlier open conflict nearby is kept, and what it excludes is closed.
-    Every join meets at most nine offers per point.  ``order`` must be unique in a group.
+    Every join meets at most nine offers per point.  ``order`` must be unique in a group and
+    not null: the earliest open point is then always kept, so every round closes some.
     """
     keys = list(keys)
     k = [*keys, "_cx", "_cy"]
@@ -189,7 +190,7 @@ def keep_separated(points: DataFrame, keys: Sequence[str], x: str, y: str, order
         return (F.abs(F.col(x) - F.col(a)) < dx) & (F.abs(F.col(y) - F.col(b)) < dy)
 
     kept = None
-    for _ in range(max_rounds):
+    while not open_.isEmpty():
         first = open_.groupBy(*k).agg(F.min_by(F.struct(*[F.col(c) for c in points.columns]), order).alias("_f"))
         offers = first.select(*k, *[F.col(f"_f.{c}").alias(c) for c in points.columns if c not in k])
         blocked = (open_.join(spread(offers, "_f"), k).where(close("_fx", "_fy") & (F.col(order) < F.col("_fo")))
@@ -197,10 +198,10 @@ def keep_separated(points: DataFrame, keys: Sequence[str], x: str, y: str, order
         chosen = cut_lineage(offers.join(blocked, [*keys, order], "left_anti"))
         kept = chosen if kept is None else kept.unionByName(chosen)
         gone = (open_.join(spread(chosen, "_g"), k).where(close("_gx", "_gy")).select(*keys, order).distinct())
+        if gone.isEmpty():
+            raise ValueError(f"{order} holds nulls: no point can be kept")
         open_ = cut_lineage(open_.join(gone, [*keys, order], "left_anti"))
-        if open_.isEmpty():
-            break
-    return kept.select(*points.columns)
+    return points.limit(0) if kept is None else kept.select(*points.columns)
 
 
 # ---------------------------------------------------------------- laboratory and products

@@ -246,6 +246,9 @@ def leave_one_group_out(df: DataFrame, group: str, features: Sequence[str], y: s
         art = fit_logistic(df.where(F.col(group) != r[group]), features, y, weight)
         one = metrics.classification(df.where(F.col(group) == r[group]).withColumn("_p", score(art)), [], y, "_p").withColumn("held_out", F.lit(r[group]))
         out = one if out is None else out.unionByName(one)
+    if out is None:                                               # no group can be scored: the same columns, no rows
+        empty = df.limit(0).withColumn("_p", F.lit(None).cast("double"))
+        out = metrics.classification(empty, [group], y, "_p").drop(group).withColumn("held_out", F.lit(None).cast(df.schema[group].dataType))
     return out
 
 
@@ -269,6 +272,9 @@ def compare_feature_sets(df: DataFrame, folds: Mapping[str, str], sets: Mapping[
             p = cross_validated(df, fold, feats, y, "_p")
             one = metrics.classification(p, [], y, "_p").withColumns({"scheme": F.lit(scheme), "arm": F.lit(name), "n_features": F.lit(len(feats))})
             out = one if out is None else out.unionByName(one)
+    if out is None:                                               # no group can be scored: the same columns, no rows
+        empty = df.limit(0).withColumn("_p", F.lit(None).cast("double"))
+        out = metrics.classification(empty, [group], y, "_p").drop(group).withColumn("held_out", F.lit(None).cast(df.schema[group].dataType))
     return out
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.geo import lon_gap, neighbour_cells, sphere_cell
+
 from tidemark.functions.nulls import ratio
 from tidemark.functions.quantiles import exact_quantiles
 
@@ -100,21 +102,17 @@ def failure_reasons(matchups: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def footprint_match(fine: DataFrame, coarse: DataFrame, keys: Sequence[str], values: Sequence[str], half_m: float = 150.0,
-                    min_count: int = 25, lat_max: float = 60.0) -> DataFrame:
-    """Average the fine pixels inside each coarse footprint (lon / lat boxes).
+                    min_count: int = 25) -> DataFrame:
+    """Average the fine pixels inside each coarse footprint (lon / lat boxes), anywhere on the globe.
 
-    Both sides are keyed by degree cells at least as wide as a half footprint up to
-    ``lat_max``; a coarse pixel reads nine of them, a fine pixel only its own.
+    Both sides are keyed by cubes of the sphere wider than a footprint's half diagonal; a
+    coarse pixel reads 27 of them, a fine pixel only its own.
     """
-    import math
-    dlat = half_m / 111320.0
-    cell_lon = dlat / math.cos(math.radians(lat_max))
-    cx, cy = F.floor(F.col("lon") / cell_lon), F.floor(F.col("lat") / dlat)
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    asked = coarse.withColumns({"_cx": cx, "_cy": cy, "_o": F.explode(around)})
-    asked = asked.select(*keys, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), (F.col("_cx") + F.col("_o.i")).alias("_cx"), (F.col("_cy") + F.col("_o.j")).alias("_cy"))
-    px = fine.select("lon", "lat", *values).withColumns({"_cx": cx, "_cy": cy})
-    near = asked.join(px, ["_cx", "_cy"]).where((F.abs(F.col("lon") - F.col("_lon")) <= half_m / (111320.0 * F.cos(F.radians("_lat")))) & (F.abs(F.col("lat") - F.col("_lat")) <= dlat))
+    dlat, size = half_m / 111320.0, 3 * half_m
+    asked = coarse.select(*keys, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.explode(neighbour_cells(sphere_cell(F.col("lon"), F.col("lat"), size))).alias("_c"))
+    at = sphere_cell(F.col("lon"), F.col("lat"), size)
+    px = fine.select("lon", "lat", *values, F.struct(at[0].alias("x"), at[1].alias("y"), at[2].alias("z")).alias("_c"))
+    near = asked.join(px, "_c").where((lon_gap(F.col("lon"), F.col("_lon")) <= half_m / (111320.0 * F.cos(F.radians("_lat")))) & (F.abs(F.col("lat") - F.col("_lat")) <= dlat))
     return near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_px"), *[F.avg(v).alias(v) for v in values]).where(F.col("n_px") >= min_count)
 
 

@@ -330,10 +330,11 @@ def missing_fields(sources: DataFrame, record: str, order: str) -> DataFrame:
 def aoi_status(rows: DataFrame, incidents: DataFrame, now: Column, min_water: int = 200) -> DataFrame:
     """Last usable observation, counts, recent activity and open incidents per area."""
     ok = F.col("error").isNull() & (F.col("n_water") >= min_water)
+    elapsed = F.floor((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(F.col("at").cast("timestamp"))) / 86_400)     # whole days since, not midnights
     g = rows.groupBy("aoi").agg(
         F.max(F.when(ok, F.col("at"))).alias("last_observation"), F.max_by("platform", F.when(ok, F.struct("at", "platform"))).alias("last_platform"),
         F.max_by("p95", F.when(ok, F.struct("at", "platform"))).alias("last_p95"), F.count_if(ok).alias("n_valid"),
-        F.count_if(ok & (F.datediff(now, F.col("at")) <= 7)).alias("n_obs_7d"))
+        F.count_if(ok & (elapsed <= 7)).alias("n_obs_7d"))
     i = incidents.groupBy("aoi").agg(F.count_if(F.col("status").isin(OPEN_STATES)).alias("open_incidents"))
     return g.join(i, "aoi", "left").fillna(0, ["open_incidents"])
 

@@ -67,12 +67,11 @@ def robust_anomaly(spark, d):
 @query("classify_state", f"""WITH {SQL_OBS}, {sql_anomaly('obs', ['px'], {'ndci': 1.0})}
 SELECT px, CAST(d AS VARCHAR) AS d, {r6('ndci')} AS value, {r6('z_ndci')} AS z, {r6('pct_ndci')} AS pct, CAST(n_ndci AS INTEGER) AS n,
 CASE WHEN pct_ndci IS NULL THEN 'UNKNOWN' WHEN pct_ndci >= 98 THEN 'HIGH_PRIORITY' WHEN pct_ndci >= 95 THEN 'INVESTIGATE' WHEN pct_ndci >= 90 THEN 'WATCH' ELSE 'NORMAL' END AS state
-FROM an WHERE pct_ndci >= 90 AND z_ndci >= 1""")
+FROM an""")
 def classify_state(spark, d):
     """Flagship: which observations are unusual for their place and season?"""
     a = cl.robust_anomaly(observations(spark, d), ["px"], {"ndci": 1.0})
-    return (a.where((F.col("ndci_pct") >= 90) & (F.col("ndci_z") >= 1))
-            .select("px", F.col("d").cast("string").alias("d"), rnd(F.col("ndci")).alias("value"), rnd(F.col("ndci_z")).alias("z"),
+    return (a.select("px", F.col("d").cast("string").alias("d"), rnd(F.col("ndci")).alias("value"), rnd(F.col("ndci_z")).alias("z"),
                     rnd(F.col("ndci_pct")).alias("pct"), F.col("ndci_n").alias("n"), cl.state_of(F.col("ndci_pct")).alias("state")))
 
 
@@ -300,9 +299,9 @@ def target_assessment(spark, d):
 
 
 @query("trend", f"""WITH {SQL_SITES}, t AS (SELECT site, v, (d - DATE '1970-01-01') / 365.25e0 AS t FROM sites), o AS (SELECT site, min(t) AS t0 FROM t GROUP BY 1)
-SELECT site, count(*) AS n, {r6('regr_slope(v, t - t0)')} AS slope_per_year, {r6('regr_intercept(v, t - t0)')} AS intercept, {r6('regr_r2(v, t - t0)')} AS r_squared, {r6('max(t) - min(t)')} AS span_years FROM t JOIN o USING (site) GROUP BY 1 HAVING count(*) >= 4""")
+SELECT site, count(*) AS n, {', '.join(f"CASE WHEN count(*) >= 4 THEN {r6(e)} END AS {k}" for k, e in (('slope_per_year', 'regr_slope(v, t - t0)'), ('intercept', 'regr_intercept(v, t - t0)'), ('r_squared', 'regr_r2(v, t - t0)'), ('span_years', 'max(t) - min(t)')))} FROM t JOIN o USING (site) GROUP BY 1""")
 def trend(spark, d):
-    out = cl.trend(sites(spark, d), ["site"], "v").where(F.col("n") >= 4)
+    out = cl.trend(sites(spark, d), ["site"], "v")
     return out.select("site", "n", *[rnd(F.col(c)).alias(c) for c in ("slope_per_year", "intercept", "r_squared", "span_years")])
 
 

@@ -142,7 +142,7 @@ def spearman(spark, d):
     return me.spearman(o, ["k"], "x", "y").withColumn("rho", rnd(F.col("rho")))
 
 
-NB = 100
+NB = 1000
 SQL_DRAWS = f"""gn AS (SELECT grp, row_number() OVER (ORDER BY sha256(grp), grp) - 1 AS i FROM (SELECT DISTINCT grp FROM scored)), ng AS (SELECT count(*) AS g FROM gn),
 dr AS MATERIALIZED (SELECT b AS rep, CAST('0x' || substr(sha256(CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % g AS i, count(*) AS t FROM gn, ng, generate_series(0, {NB - 1}) x(b) GROUP BY ALL), dg AS MATERIALIZED (SELECT rep, grp, t FROM dr JOIN gn USING (i))"""
 

@@ -338,7 +338,7 @@ NOW = "2001-08-03 09:30:00"
 
 
 @query("aoi_status", f"""WITH {SQL_ROWS}, {SQL_INC}, g AS (SELECT *, error IS NULL AND n_water >= 200 AS ok FROM rw), a AS (SELECT aoi, max(CASE WHEN ok THEN tm END) AS lo, arg_max(platform, (tm, platform)) FILTER (ok) AS lp, count(CASE WHEN ok THEN 1 END) AS nv,
-count(CASE WHEN ok AND date_diff('day', CAST(tm AS DATE), DATE '2001-08-03') <= 7 THEN 1 END) AS n7 FROM g GROUP BY 1), i AS (SELECT aoi, count(CASE WHEN status IN ('MONITORING', 'DETECTED', 'UNDER_REVIEW', 'FIELD_VALIDATION_REQUIRED') THEN 1 END) AS oi FROM inc GROUP BY 1)
+count(CASE WHEN ok AND floor((epoch(TIMESTAMP '{NOW}') - epoch(tm)) / 86400) <= 7 THEN 1 END) AS n7 FROM g GROUP BY 1), i AS (SELECT aoi, count(CASE WHEN status IN ('MONITORING', 'DETECTED', 'UNDER_REVIEW', 'FIELD_VALIDATION_REQUIRED') THEN 1 END) AS oi FROM inc GROUP BY 1)
 SELECT aoi, strftime(lo, '%Y-%m-%d') AS last_observation, lp AS last_platform, nv AS n_valid, n7 AS n_obs_7d, coalesce(oi, 0) AS open_incidents FROM a LEFT JOIN i USING (aoi)""")
 def aoi_status(spark, d):
     out = wf.aoi_status(rows(spark, d), incidents(spark, d), F.lit(NOW).cast("timestamp_ntz"))

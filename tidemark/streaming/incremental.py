@@ -48,16 +48,21 @@ def screen_overpasses(items: DataFrame, done: DataFrame | None, out: str, checkp
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def raise_alerts(incidents: DataFrame, known: DataFrame, out: str, checkpoint: str, event_time: str, delay: str = "30 days", available_now: bool = True):
-    """One alert per first-seen open incident; repeats inside the watermark are dropped by state."""
-    once = incidents.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["incident_id"])
+def raise_alerts(incidents: DataFrame, known: DataFrame, out: str, checkpoint: str, event_time: str, available_now: bool = True):
+    """One alert per first-seen open incident, however late it comes.
+
+    What was raised before is read back from the output, so nothing is dropped by a watermark
+    and no state grows; inside a micro-batch the first open row by ``event_time`` counts.
+    """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         earlier = written(df.sparkSession, out, _schema("incident_id long, level string"), batch_id).select("incident_id")
         seen = known.select("incident_id").unionByName(earlier)
-        workflow.new_alerts(df, seen).select("incident_id", "level").write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        fresh = workflow.new_alerts(df, seen)
+        level = F.min_by("level", F.struct(F.col(event_time), F.col("level")))
+        fresh.groupBy("incident_id").agg(F.coalesce(level, F.min("level")).alias("level")).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    w = once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    w = incidents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 

@@ -179,7 +179,8 @@ def train(texts: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: i
 
 def calibrate(net: Network, margins: np.ndarray, labels: np.ndarray, weights: np.ndarray, langs: list[str | None], least: int = 40) -> None:
     """Weighted logistic fit of the margin, then per language the threshold of best weighted F1 (geometric middle of the gap)."""
-    if not len(labels) or labels.min() == labels.max():
+    if labels.min() == labels.max():                                  # one class only: its smoothed share, whatever the text
+        net.scale, net.shift = 0.0, float(np.log((weights[labels == 1].sum() + 0.5) / (weights[labels == 0].sum() + 0.5)))
         return
     x = np.stack([margins, np.ones_like(margins)], 1).astype(float)
     beta = np.array([1.0, 0.0])
@@ -236,14 +237,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             .mapInArrow(features, "y int, late boolean, lang string, words binary").collect())             # bounded by ``sample``
     early = [r for r in rows if not r.late]
     if not early:
-        return Network.fresh()
+        net = Network.fresh()
+        net.scale, net.shift = 0.0, -40.0                             # nothing to learn from
+        return net
     unpack = lambda r: np.frombuffer(r.words, np.int32).reshape(-1, len(SPANS))                            # noqa: E731
     early.sort(key=lambda r: (r.words, r.y))
     net = train([unpack(r) for r in early], np.array([r.y for r in early]))
-    late = [r for r in rows if r.late] or early
+    late = [r for r in rows if r.late]
+    if len({r.y for r in late}) < 2:
+        late = sorted(rows, key=lambda r: (r.words, r.y))
     y = np.array([r.y for r in late])
     held = {k: max(1, int((y == k).sum())) for k in (0, 1)}
-    weights = np.array([counts.get((int(k), True), held[int(k)]) / held[int(k)] for k in y], float)
+    weights = np.array([max(1, counts.get((int(k), True), 0)) / held[int(k)] for k in y], float)
     margins = np.concatenate([net.margins(*_stack([unpack(r) for r in late[k:k + 64]]), len(late[k:k + 64])) for k in range(0, len(late), 64)])
     calibrate(net, margins, y, weights, [r.lang for r in late])
     net.table = net.table.astype(np.float32)
@@ -285,15 +290,9 @@ def score_documents(docs: DataFrame, net: Network | None, id_col: str = "doc_id"
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    net = fit(docs, labels)
-    if not net.thresholds and net.scale == 1.0 and net.shift == 0.0 and net.intercept == 0.0:
-        net.scale, net.shift = 0.0, -40.0                             # nothing was learnt
-    return score_documents(docs, net)
+    return score_documents(docs, fit(docs, labels))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that their language's threshold does not reject."""
-    net = fit(docs, labels)
-    if not net.thresholds and net.scale == 1.0 and net.shift == 0.0 and net.intercept == 0.0:
-        net.scale, net.shift = 0.0, -40.0
-    return score_documents(docs, net, keep=True)
+    return score_documents(docs, fit(docs, labels), keep=True)

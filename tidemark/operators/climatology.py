@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import join_small
 from tidemark.functions.nulls import clip, ratio
 from tidemark.functions.quantiles import exact_quantiles, sorted_median
 
@@ -252,7 +253,7 @@ def sensor_zscores(obs: DataFrame, keys: Sequence[str], indices: Sequence[str],
     for c in indices:
         aggs += [F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_s_{c}")]
     stats = obs.groupBy(*keys).agg(*aggs)
-    out = obs.join(stats, list(keys))
+    out = join_small(obs, stats, keys)
     for c in indices:
         out = out.withColumn(f"{c}_z", F.when(F.col(f"_s_{c}") > 1e-9, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")))
     out = out.withColumn("max_abs_z", F.greatest(*[F.abs(f"{c}_z") for c in indices]))
@@ -357,7 +358,7 @@ def candidate_pick(candidates: DataFrame, keys: Sequence[str], area: str, z: str
 def detection_context(event: DataFrame, background: DataFrame, keys: Sequence[str], value: str, depth: Column) -> DataFrame:
     """Percentile of the event mean among water, event / background ratio, bottom-influence risk."""
     e = event.groupBy(*keys).agg(F.avg(value).alias("event_mean"), F.avg(depth).alias("_depth"))
-    j = background.join(e, list(keys))
+    j = join_small(background, e, keys)
     out = j.groupBy(*keys, "event_mean", "_depth").agg(F.avg(value).alias("background_mean"),
                                                        (100.0 * F.count_if(F.col(value) < F.col("event_mean")) / F.count(value)).alias("anomaly_percentile"))
     return out.withColumns({"magnitude_ratio": ratio(F.col("event_mean"), F.col("background_mean")),

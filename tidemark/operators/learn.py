@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import join_small
 from tidemark.functions.nulls import clip
 from tidemark.functions.ordering import running_sums
 from tidemark.functions.quantiles import exact_quantiles
@@ -102,7 +103,7 @@ def scaler(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Median, mean and population sd per feature after median imputation (sd below 1e-12 counts as one)."""
     long = _long(df, features)
     med = exact_quantiles(long, ["feature"], "v", {"median": 0.5}).select("feature", F.coalesce("median", F.lit(0.0)).alias("median"))
-    filled = long.join(med, "feature").withColumn("v", F.coalesce("v", "median"))
+    filled = join_small(long, med, ["feature"]).withColumn("v", F.coalesce("v", "median"))
     return filled.groupBy("feature", "median").agg(F.avg("v").alias("mean"), F.when(F.stddev_pop("v") > 1e-12, F.stddev_pop("v")).otherwise(1.0).alias("scale"))
 
 

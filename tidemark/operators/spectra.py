@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.joins import join_small
 from tidemark.functions.nulls import ratio
 from tidemark.functions.quantiles import exact_quantiles
 
@@ -309,7 +310,7 @@ def _distance(features: Sequence[str], mu: str, inv: str) -> Column:
 
 def _attach(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join a parameter row per key; without keys it is a single row."""
-    return df.join(params, list(keys)) if keys else df.crossJoin(F.broadcast(params))
+    return join_small(df, params, keys) if keys else df.crossJoin(F.broadcast(params))
 
 
 def robust_background(df: DataFrame, keys: Sequence[str], features: Sequence[str], n_iter: int = 3,
@@ -409,8 +410,16 @@ def anomaly_mass_rank(regions: DataFrame, keys: Sequence[str], score: str = "mea
 
 
 def pca(df: DataFrame, features: Sequence[str], k: int):
-    """Spark ML principal components; returns the model and the projected frame."""
+    """Spark ML principal components; returns the model and the projected frame.
+
+    The sign of a component is free; here its largest loading is positive, so that scores
+    do not flip between runs.
+    """
     from pyspark.ml.feature import PCA, VectorAssembler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
     vec = VectorAssembler(inputCols=list(features), outputCol="_vec").transform(df)
     model = PCA(k=k, inputCol="_vec", outputCol="pc").fit(vec)
-    return model, model.transform(vec).drop("_vec")
+    loadings = model.pc.toArray()                                 # features x k
+    flip = np.where(loadings[np.abs(loadings).argmax(0), np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
+    scores = F.zip_with(vector_to_array("pc"), F.array(*[F.lit(float(x)) for x in flip]), lambda a, b: a * b)
+    return model, model.transform(vec).withColumn("pc", array_to_vector(scores)).drop("_vec")

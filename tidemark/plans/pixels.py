@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import join_small
 from tidemark.functions.nulls import normalised_difference, within
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import pixels as px
@@ -215,23 +216,31 @@ SELECT ok, px, ln, {r6('least(greatest((b8a - lo) / nullif(hi - lo, 0), 0), 1)')
 def contrast_stretch(spark, d):
     b = bands(spark, d)
     limits = exact_quantiles(b, ["aoi"], "b8a", {"lo": 0.02, "hi": 0.98}).select("aoi", "lo", "hi")
-    return px.stretch(b.join(limits, "aoi"), "b8a", F.col("lo"), F.col("hi")).select(*ID, rnd(F.col("stretched")).alias("stretched"))
-
-
-FEATURE_ROWS = ", ".join(
-    f"('{n}', {r}, '{k}', '{u}')" for n, _, r, k, u, _, _ in px.FEATURES if n in ("MNDWI", "NDCI", "TUR_NECHAD2016", "CDOM_RATIO"))
-
-
-@query("feature_catalog", f"""WITH {SQL_BANDS}, c(feature, resolution_m, kind, units) AS (VALUES {FEATURE_ROWS}),
-w AS (SELECT aoi, b03, b11, b03 - b12 AS g, b04 - b12 AS r, b05 - b12 AS e FROM bands),
-v AS (SELECT aoi, 'MNDWI' AS feature, (b03 - b11) / (b03 + b11) AS v, -1 AS lo, 1 AS hi FROM w
-UNION ALL SELECT aoi, 'NDCI', (e - r) / nullif(e + r, 0), -1, 1 FROM w
-UNION ALL SELECT aoi, 'TUR_NECHAD2016', CASE WHEN r < 0.5 * 0.19563e0 THEN 366.14e0 * r / (1 - r / 0.19563e0) END, 0, 1000 FROM w
-UNION ALL SELECT aoi, 'CDOM_RATIO', CASE WHEN r > 1e-3 THEN g / r END, 0, 20 FROM w)
-SELECT feature, resolution_m, kind, units, aoi, count(*) AS n, count(CASE WHEN v BETWEEN lo AND hi THEN 1 END) AS n_valid,
+    return px.stretch(join_small(b, limits, ["aoi"]), "b8a", F.col("lo"), F.col("hi")).select(*ID, rnd(F.col("stretched")).alias("stretched"))
+
+
+FEATURE_ROWS = ", ".join(f"('{n}', {r}, '{k}', '{u}')" for n, _, r, k, u, _, _ in px.FEATURES)
+
+
+@query("feature_catalog", f"""WITH {SQL_BANDS}, c(feature, resolution_m, kind, units) AS (VALUES {FEATURE_ROWS}), {SQL_HUE.replace('ok, px, ln', 'ok, px, ln, aoi')},
+wc AS (SELECT aoi, b03, b04, b11, b8a, b03 - b12 AS g, b04 - b12 AS r, b05 - b12 AS e, b06 - b12 AS i, b8a - b12 AS n,
+  {SQL_PLATFORM.format('(704.1e0 - 664.6e0) / (740.5e0 - 664.6e0)', '(703.8e0 - 664.9e0) / (739.1e0 - 664.9e0)')} AS fm, {SQL_PLATFORM.format('(864.7e0 - 664.6e0) / (1613.7e0 - 664.6e0)', '(864.0e0 - 664.9e0) / (1610.4e0 - 664.9e0)')} AS ff FROM bands),
+dg AS (SELECT aoi, 228.1e0 * r / nullif(1 - r / 0.1641e0, 0) AS tr, 3078.9e0 * n / nullif(1 - n / 0.2112e0, 0) AS tn, least(greatest((r - 0.05e0) / (0.07e0 - 0.05e0), 0), 1) AS k FROM wc),
+v AS (SELECT aoi, 'MNDWI' AS feature, (b03 - b11) / (b03 + b11) AS v, -1 AS lo, 1 AS hi FROM wc
+UNION ALL SELECT aoi, 'SWIR_B11', b11, NULL, NULL FROM wc
+UNION ALL SELECT aoi, 'NDCI', (e - r) / nullif(e + r, 0), -1, 1 FROM wc
+UNION ALL SELECT aoi, 'MCI', e - (r + (i - r) * fm), NULL, NULL FROM wc
+UNION ALL SELECT aoi, 'FAI', b8a - (b04 + (b11 - b04) * ff), NULL, NULL FROM wc
+UNION ALL SELECT aoi, 'RE_RATIO', CASE WHEN r > 1e-3 THEN e / r END, 0, 10 FROM wc
+UNION ALL SELECT aoi, 'CDOM_RATIO', CASE WHEN r > 1e-3 THEN g / r END, 0, 20 FROM wc
+UNION ALL SELECT aoi, 'TUR_NECHAD2016', CASE WHEN r < 0.5 * 0.19563e0 THEN 366.14e0 * r / (1 - r / 0.19563e0) END, 0, 1000 FROM wc
+UNION ALL SELECT aoi, 'SPM_NECHAD2016', CASE WHEN r < 0.5 * 0.19563e0 THEN 342.10e0 * r / (1 - r / 0.19563e0) END, 0, 1000 FROM wc
+UNION ALL SELECT aoi, 'TUR_DOGLIOTTI2015', (1 - k) * tr + k * tn, 0, 4000 FROM dg
+UNION ALL SELECT aoi, 'HUE_ANGLE', hue, 0, 360 FROM hue)
+SELECT feature, resolution_m, kind, units, aoi, count(*) AS n, count(CASE WHEN lo IS NULL AND v IS NOT NULL OR v BETWEEN lo AND hi THEN 1 END) AS n_valid,
   CAST(kind = 'PROXY' AND units IN ('mg m-3', 'g m-3', 'FNU', 'NTU', 'mg/L') AS INTEGER) AS proxy_with_units FROM v JOIN c USING (feature) GROUP BY ALL""")
 def feature_catalog(spark, d):
-    names = ["MNDWI", "NDCI", "TUR_NECHAD2016", "CDOM_RATIO"]
+    names = [n for n, *_ in px.FEATURES]
     f = px.feature_columns(BAND_COLUMNS, F.col("platform"))
     counted = (bands(spark, d).groupBy("aoi").agg(F.count(F.lit(1)).alias("n"), *[F.count(f[k]).alias(k) for k in names]))
     long = counted.unpivot(["aoi", "n"], names, "feature", "n_valid")

@@ -367,12 +367,12 @@ SQL_AREAS = f"""ar AS (SELECT o_custkey % 25 AS aoi, count(CASE WHEN o_orderstat
 
 @query("aoi_tournament", f"""WITH {SQL_AREAS}, m AS (SELECT greatest(max(usable), 1) AS mu, greatest(max(critical), 1) AS mc FROM ar), s AS (SELECT aoi, usable / CAST(mu AS DOUBLE) AS a, CASE WHEN regime LIKE '%optically deep%' THEN 1.0 WHEN regime LIKE '%lagoon%' THEN 0.2 WHEN regime LIKE '%shallow%' THEN 0.4 ELSE 0.55 END AS b,
 least(1, 0.5 * least(1, coalesce(positive, 0) / 10e0) + 0.5 * least(1, register / 3e0)) AS c, critical / CAST(mc AS DOUBLE) AS d, CASE WHEN positive IS NULL OR positive + negative = 0 THEN 0.5 ELSE positive / CAST(positive + negative AS DOUBLE) END AS e FROM ar, m)
-SELECT aoi, {r6('0.15 * a + 0.2 * b + 0.3 * c + 0.2 * d + 0.15 * e')} AS total, {r6('c')} AS s_evidence, {r6('e')} AS s_burden FROM s""")
+SELECT aoi, {r6('0.15 * a + 0.2 * b + 0.3 * c + 0.2 * d + 0.15 * e')} AS total, {r6('a')} AS s_data, {r6('b')} AS s_optics, {r6('c')} AS s_evidence, {r6('d')} AS s_exposure, {r6('e')} AS s_burden FROM s""")
 def aoi_tournament(spark, d):
     a = table(spark, d, "orders").withColumn("aoi", F.col("o_custkey") % 25).groupBy("aoi").agg(
         F.count_if(F.col("o_orderstatus") != "P").alias("usable"), F.count_if(F.col("o_totalprice") > 480000).alias("pos"), F.count_if(F.col("o_totalprice") < 20000).alias("negative"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("critical"))
     a = a.withColumns({"regime": F.expr(pick(REGIMES, "aoi % 4")), "positive": F.when(F.col("aoi") % 6 != 0, F.col("pos")), "register": F.col("aoi") % 5})
-    return wf.tournament(a).select("aoi", rnd(F.col("total")).alias("total"), rnd(F.col("s_evidence")).alias("s_evidence"), rnd(F.col("s_burden")).alias("s_burden"))
+    return wf.tournament(a).select("aoi", *[rnd(F.col(c)).alias(c) for c in ("total", "s_data", "s_optics", "s_evidence", "s_exposure", "s_burden")])
 
 
 SQL_REF = "rl AS (SELECT o_orderkey AS label_id, o_custkey % 12 AS aoi, 'coast' || CAST(o_custkey % 12 % 3 AS VARCHAR) AS coast, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS y, o_totalprice / 90000e0 AS area_km2 FROM orders)"

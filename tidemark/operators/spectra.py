@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.joins import join_small
 from tidemark.functions.nulls import ratio
+from tidemark.functions.ordering import running_sums
 from tidemark.functions.quantiles import exact_quantiles
 
 # --- Fixed values: shoulders of the diagnostic absorption features (nm) ----------------
@@ -388,18 +389,14 @@ def rx_percentile(scene_px: DataFrame, region_px: DataFrame, keys: Sequence[str]
     means = region_px.dropna(subset=list(features)).groupBy(*keys, "label").agg(*[F.avg(f).alias(f) for f in features])
     regions = means.join(stats, list(keys)).select(*keys, "label", *[z[f].alias(f) for f in features])
     regions = rx_scores(regions, bg, keys, features).select(*keys, "label", F.col("rx").alias("region_rx"))
-    # One sorted list of region scores per scene (regions of a raster), counted against by every pixel once.
-    ranked = regions.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("region_rx", "label"))).alias("_r"))
-    below = (water.join(ranked, list(keys))
-             .withColumn("_slot", F.size(F.filter("_r", lambda r: r["region_rx"] <= F.col("rx"))))
-             .groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_c"), F.first("_r").alias("_r")))
-    upto = Window.partitionBy(*keys).orderBy("_slot")
-    below = below.withColumn("_cum", F.sum("_c").over(upto)).withColumn("_all", F.sum("_c").over(Window.partitionBy(*keys)))
-    steps = below.groupBy(*keys).agg(F.first("_r").alias("_r"), F.max("_all").alias("_all"), F.collect_list(F.struct("_slot", "_cum")).alias("_steps"))
-    out = steps.select(*keys, "_all", "_steps", F.posexplode("_r").alias("_pos", "_reg"))
-    # Pixels below region number p (0-based, ascending) are those with slot <= p.
-    count = F.coalesce(F.array_max(F.transform(F.filter("_steps", lambda s: s["_slot"] <= F.col("_pos")), lambda s: s["_cum"])), F.lit(0))
-    return out.select(*keys, F.col("_reg.label").alias("label"), F.col("_reg.region_rx").alias("region_rx"), (100.0 * count / F.col("_all")).alias("rx_pct"))
+    # Pixels and regions in one order; a region's row reads how many pixels stand strictly below it.
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    merged = (water.select(*keys, F.col("rx").alias("_s"), one.alias("_px"), F.lit(None).cast(regions.schema["label"].dataType).alias("label"))
+              .unionByName(regions.select(*keys, F.col("region_rx").alias("_s"), zero.alias("_px"), "label")))
+    counted = running_sums(merged, keys, F.struct("_s", "_px", "label"), F.floor(F.log1p("_s") * 64), {"_px": "_below"})
+    total = water.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"))
+    return (join_small(counted.where("_px = 0"), total, keys)
+            .select(*keys, "label", F.col("_s").alias("region_rx"), (100.0 * F.col("_below") / F.col("_all")).alias("rx_pct")))
 
 
 def anomaly_mass_rank(regions: DataFrame, keys: Sequence[str], score: str = "mean_score", size: str = "n_px", label: str = "label") -> DataFrame:

@@ -389,10 +389,10 @@ def tournament(areas: DataFrame) -> DataFrame:
 
 def confirmation_rates(labels: DataFrame) -> DataFrame:
     """Confirmed over referenced, per area and pooled per coast, in one grouping-sets pass."""
-    labels.createOrReplaceTempView("_reference_labels")
-    return labels.sparkSession.sql("""
-        SELECT coast, aoi, count(*) AS referenced, count_if(y = 1) AS confirmed, count_if(y = 1) / count(*) AS rate
-        FROM _reference_labels WHERE y IS NOT NULL GROUP BY GROUPING SETS ((coast, aoi), (coast))""")
+    known = labels.where(F.col("y").isNotNull())
+    confirmed = F.count_if(F.col("y") == 1)
+    return known.groupingSets([["coast", "aoi"], ["coast"]], "coast", "aoi").agg(
+        F.count(F.lit(1)).alias("referenced"), confirmed.alias("confirmed"), (confirmed / F.count(F.lit(1))).alias("rate"))
 
 
 def largest_rejections(labels: DataFrame, k: int = 5) -> DataFrame:

@@ -120,6 +120,37 @@ def hits(anomalies: DataFrame, primary: str, secondary: Sequence[str] = (), z_mi
     return anomalies.where(cond)
 
 
+def hypothesis_hits(anomalies: DataFrame, hypotheses: Mapping[str, Sequence[str]] | None = None, water: Column | None = None, z_min: float = Z_MIN,
+                    pct_min: float = PCT_MIN, second_z: float = SECOND_Z) -> DataFrame:
+    """Hit pixels of every hypothesis at once: one row per pixel and hypothesis it meets.
+
+    The first feature of a hypothesis must be anomalous, the others must agree; a hypothesis
+    whose first feature is absent is left out, an absent other feature is not asked.
+    ``primary_z`` is the z of the first feature.  Only ``water`` pixels count.
+    """
+    have = set(anomalies.columns)
+    tests = []
+    for name, (primary, *others) in (HYPOTHESES if hypotheses is None else hypotheses).items():
+        if f"{primary}_z" in have:
+            cond = (F.col(f"{primary}_z") >= z_min) & (F.col(f"{primary}_pct") >= pct_min)
+            for f in others:
+                if f"{f}_z" in have:
+                    cond = cond & (F.col(f"{f}_z") >= second_z)
+            tests.append(F.when(cond, F.struct(F.lit(name).alias("hypothesis"), F.col(f"{primary}_z").alias("primary_z"))))
+    px = anomalies if water is None else anomalies.where(water)
+    met = px.withColumn("_h", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())))
+    return met.select(*anomalies.columns, "_h.hypothesis", "_h.primary_z")
+
+
+def primary_z(hypotheses: Mapping[str, Sequence[str]]) -> Column:
+    """z of the first feature of a row's ``hypothesis``."""
+    return F.coalesce(*[F.when(F.col("hypothesis") == name, F.col(f"{parts[0]}_z")) for name, parts in hypotheses.items()])
+
+
+def large_enough(regions: DataFrame, min_area_km2: float = MIN_AREA_KM2) -> DataFrame:
+    return regions.where(F.col("area_km2") >= min_area_km2)
+
+
 def eligible_scenes(anomalies: DataFrame, keys: Sequence[str], pairs: DataFrame, min_dates: int = MIN_CLIM,
                     min_water_px: int = MIN_WATER_PX) -> DataFrame:
     """Scenes with enough water pixels and enough climatology acquisitions."""

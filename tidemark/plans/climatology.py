@@ -103,19 +103,45 @@ def detected(spark, d, history=False):
     return a, labelled, labelled.join(a, ["scene", "row", "col"])
 
 
-@query("detect_candidates", f"""WITH RECURSIVE {SQL_DETECT}, w AS (SELECT t.scene, count(*) AS water_px FROM stack t GROUP BY 1),
+# Every hypothesis whose features the stack holds; a raster of this size needs a smaller area rule.
+HYPS = {"BLOOM_LIKE": ["ndci", "mci"], "SEDIMENT_LIKE": ["tur"], "SURFACE_FILM_LIKE": ["fai"]}
+MIN_AREA = 0.0016
+WATER = "tur < 95"
+SQL_HYPS = f"""{SQL_STACK}, {sql_anomaly('stack', ['row', 'col'], FEATS, DAYS, MIN_N)}, {SHAPE},
+h AS MATERIALIZED (SELECT scene * 10 AS scene, row, col FROM an WHERE {WATER} AND z_ndci >= {Z} AND pct_ndci >= {PCT} AND z_mci >= {Z2}
+  UNION ALL SELECT scene * 10 + 1, row, col FROM an WHERE {WATER} AND z_tur >= {Z} AND pct_tur >= {PCT}), {sql_erode('e', 'h', 1)}, {sql_dilate('g', 'e', 1, False)},
+m AS MATERIALIZED (SELECT scene, row, col, row * 50 + col AS id FROM g), {sql_components('m')},
+rh AS MATERIALIZED (SELECT cc.scene // 10 AS scene, CASE WHEN cc.scene % 10 = 0 THEN 'BLOOM_LIKE' ELSE 'SEDIMENT_LIKE' END AS hypothesis, cc.lbl AS label, an.row, an.col, CASE WHEN cc.scene % 10 = 0 THEN z_ndci ELSE z_tur END AS z
+  FROM cc JOIN an ON an.scene = cc.scene // 10 AND an.row = cc.id // 50 AND an.col = cc.id % 50),
+rg AS MATERIALIZED (SELECT scene, hypothesis, label, count(*) AS n_px, count(*) * 0.0004e0 AS area_km2, avg(row) AS centroid_row, avg(col) AS centroid_col, min(row) AS row0, min(col) AS col0, max(row) AS row1, max(col) AS col1, max(z) AS max_score
+  FROM rh GROUP BY 1, 2, 3 HAVING count(*) * 0.0004e0 >= {MIN_AREA})"""
+
+
+def hypothesis_regions(spark, d):
+    """Anomalies of every pixel and the regions of every hypothesis that pass the area rule."""
+    a = cl.robust_anomaly(stack(spark, d).drop("scene"), ["row", "col"], FEATS, window_days=DAYS, min_n=MIN_N)
+    a = a.withColumn("scene", F.year("d") * 4 + F.quarter("d") - 1)
+    k = ["scene", "hypothesis"]
+    hit = cut_lineage(cl.hypothesis_hits(a, HYPS, F.expr(WATER), Z, PCT, Z2).select(*k, "row", "col"))
+    opened = grid.opening(hit, k, 1, n_rows(spark, d), GRID_COLS)
+    labelled = grid.connected_components(opened, k, GRID_COLS)
+    # Opening keeps hit pixels only, but their scores are read where they are: by the region pixels alone.
+    px = labelled.join(a, ["scene", "row", "col"]).withColumn("z", cl.primary_z({k_: v for k_, v in HYPS.items() if v[0] in FEATS}))
+    return a, cl.large_enough(grid.region_stats(px, k, 20.0, "z"), MIN_AREA)
+
+
+@query("detect_candidates", f"""WITH RECURSIVE {SQL_HYPS}, w AS (SELECT t.scene, count(*) AS water_px FROM stack t WHERE {WATER} GROUP BY 1),
 cn AS (SELECT a.scene, count(*) AS n_climatology FROM (SELECT DISTINCT scene, d FROM stack) a JOIN (SELECT DISTINCT d FROM stack) b ON {sql_season('a.d', 'b.d', DAYS)} GROUP BY 1)
-SELECT scene, CAST(label AS BIGINT) AS label, count(*) AS n_px, {r6('count(*) * 0.0004e0')} AS area_km2, {r6('avg(row)')} AS centroid_row, {r6('avg(col)')} AS centroid_col, min(row) AS row0, min(col) AS col0,
-max(row) AS row1, max(col) AS col1, {r6('max(z_ndci)')} AS max_score, any_value(n_climatology) AS n_climatology FROM rp JOIN w USING (scene) JOIN cn USING (scene) WHERE water_px >= 200 AND n_climatology >= 6 GROUP BY 1, 2""")
+SELECT scene, hypothesis, CAST(label AS BIGINT) AS label, n_px, {r6('area_km2')} AS area_km2, {r6('centroid_row')} AS centroid_row, {r6('centroid_col')} AS centroid_col, row0, col0,
+row1, col1, {r6('max_score')} AS max_score, n_climatology FROM rg JOIN w USING (scene) JOIN cn USING (scene) WHERE water_px >= 200 AND n_climatology >= 6""")
 def detect_candidates(spark, d):
-    a, _, px = detected(spark, d)
+    a, regions = hypothesis_regions(spark, d)
     dates = a.select("scene", "d").distinct()
     # One row per scene: the acquisition list pairs with itself by season, never the pixels.
     pairs = cl.climatology_pairs(dates.select("d").withColumn("k", F.lit(0)), ["k"], window_days=DAYS).join(dates, "d")
-    ok = cl.eligible_scenes(a, ["scene"], pairs)
-    stats = grid.region_stats(px.join(ok.select("scene"), "scene", "left_semi"), ["scene"], 20.0, "ndci_z")
-    return stats.join(ok.select("scene", "n_climatology"), "scene").select(
-        "scene", "label", "n_px", "row0", "col0", "row1", "col1", "n_climatology",
+    ok = cl.eligible_scenes(a.where(WATER), ["scene"], pairs)
+    return regions.join(ok.select("scene", "n_climatology"), "scene").select(
+        "scene", "hypothesis", "label", "n_px", "row0", "col0", "row1", "col1", "n_climatology",
         *[rnd(F.col(c)).alias(c) for c in ("area_km2", "centroid_row", "centroid_col", "max_score")])
 
 
@@ -170,15 +196,12 @@ def candidate_pick(spark, d):
     return cl.candidate_pick(c, ["scene"], "area_km2", "ndci_z", "label").withColumn("score", rnd(F.col("score"), 7))
 
 
-@query("date_summary", f"""WITH RECURSIVE {SQL_DETECT}, c AS (SELECT scene, CASE WHEN label % 2 = 0 THEN 'BLOOM_LIKE' ELSE 'SEDIMENT_LIKE' END AS hyp, label, count(*) * 0.0004e0 AS area, max(z_ndci) AS z FROM rp GROUP BY 1, 2, 3)
-SELECT scene, count(CASE WHEN hyp = 'BLOOM_LIKE' THEN 1 END) AS bloom_n, {r6("coalesce(sum(CASE WHEN hyp = 'BLOOM_LIKE' THEN area END), 0)")} AS bloom_area, {r6("max(CASE WHEN hyp = 'BLOOM_LIKE' THEN z END)")} AS bloom_max_z,
-count(CASE WHEN hyp = 'SEDIMENT_LIKE' THEN 1 END) AS sediment_n, {r6("coalesce(sum(CASE WHEN hyp = 'SEDIMENT_LIKE' THEN area END), 0)")} AS sediment_area, {r6("max(CASE WHEN hyp = 'SEDIMENT_LIKE' THEN z END)")} AS sediment_max_z FROM c GROUP BY 1""")
+@query("date_summary", f"""WITH RECURSIVE {SQL_HYPS} SELECT scene, {', '.join(f"count(CASE WHEN hypothesis = '{h}' THEN 1 END) AS {n}_n, {r6(f"coalesce(sum(CASE WHEN hypothesis = '{h}' THEN area_km2 END), 0)")} AS {n}_area, {r6(f"max(CASE WHEN hypothesis = '{h}' THEN max_score END)")} AS {n}_max_z" for n, h in (('bloom', 'BLOOM_LIKE'), ('sediment', 'SEDIMENT_LIKE')))} FROM rg GROUP BY 1""")
 def date_summary(spark, d):
-    _, _, px = detected(spark, d)
-    c = grid.region_stats(px, ["scene"], 20.0, "ndci_z")
-    bloom = F.col("label") % 2 == 0
+    _, c = hypothesis_regions(spark, d)
     aggs = []
-    for name, cond in (("bloom", bloom), ("sediment", ~bloom)):
+    for name in ("bloom", "sediment"):
+        cond = F.col("hypothesis") == f"{name.upper()}_LIKE"
         aggs += [F.count_if(cond).alias(f"{name}_n"), rnd(F.coalesce(F.sum(F.when(cond, F.col("area_km2"))), F.lit(0.0))).alias(f"{name}_area"),
                  rnd(F.max(F.when(cond, F.col("max_score")))).alias(f"{name}_max_z")]
     return c.groupBy("scene").agg(*aggs)

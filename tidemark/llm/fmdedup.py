@@ -38,7 +38,7 @@ from tidemark.llm.base import mix64, prefix_sums, slices, span_hashes, stored, u
 
 WINDOW = 13
 GRAM = 6
-SHARED_LIMIT = 2_000_000
+SHARED_LIMIT = 8_000_000
 HOT_SEGMENTS = 20_000
 SHARD_WORDS = 200_000
 FLUSH = 1_000_000
@@ -279,7 +279,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, shared_limit: int =
     known = docs.where(F.col("id").isNotNull() & F.col("text").isNotNull())
     shared = stored(shared_grams(known.select("id", "text"), window), "grams")
     if shared.count() <= shared_limit:
-        wanted = np.sort(np.array([r.gram for r in shared.toLocalIterator()], np.int64).view(np.uint64))
+        wanted = np.sort(shared.toArrow().column("gram").to_numpy().astype(np.int64).view(np.uint64))      # bounded by shared_limit
         found = segments(known, window, spark.sparkContext.broadcast(wanted))
     else:
         found = segments(known, window).join(shared, "gram", "left_semi")

@@ -56,10 +56,19 @@ def test_documents_round_trip(spark):
     assert got == {k: t or "" for k, t in enumerate(TEXTS)}
 
 
-def test_library_encoder(library):
-    enc = tokenfile.LibraryEncoder(bpe.default_vocabulary())
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode([t or "" for t in TEXTS])] == [expected(library, t) for t in TEXTS]
+@pytest.mark.parametrize("slots", [8, 1 << 12])
+def test_library_encoder(library, slots):
+    """Small tables are emptied again and again; texts are met in several orders."""
+    enc = tokenfile.LibraryEncoder(bpe.default_vocabulary(), slots)
+    texts = [t or "" for t in TEXTS] + ["plain words here", "plain, words. Here\nNext line\u2028sep", "\u201cquoted\u201d text\u00a0nbsp", "", "tab\there", "end\n", "\nstart", "é\u3000x", "a\x1cb", "A" * 500 + " b"]
+    for order in (texts, texts[::-1], texts * 2, [""], ["", ""], [" "]):
+        got = enc.encode(order)
+        assert [x.tolist() for x in got] == [expected(library, t) for t in order]
+    raw = "".join(texts).encode()
+    at = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    ids, counts = enc.encode_rows(np.frombuffer(raw, np.uint8), at, 2)
+    assert ids.tolist() == [x for t in texts for x in [*expected(library, t), 2]] and counts.sum() == len(ids)
+    assert enc.encode([]) == []
 
 
 def test_token_files(spark, library):

@@ -29,66 +29,168 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import shared_folder
+from tidemark.llm.base import prefix_sums, shared_folder, slices, span_hashes, utf8_parts
 from tidemark.llm.bpe import default_vocabulary
 
-CACHE = 400_000
+#: Table size of an encoder: 16 bytes each, plus four bytes for every id kept.
+SLOTS = 1 << 22
 END_ID = 2
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a bounded cache of pieces.
+    """The tokenizers library behind a bounded table of pieces.
 
-    A text is cut before each space (or line end) between two words, where the byte-level
-    pre-tokenizer always cuts, and the library encodes pieces it has not met lately; texts
-    with longer runs of white space or with an added token go to the library whole.
+    A text is cut before each space or line end that stands between two words, where the
+    byte-level pre-tokenizer always cuts.  Pieces are found by a 64-bit hash in an
+    open-addressing table (numpy arrays, emptied when full), and the library encodes those
+    not met lately; texts with other white space, with runs of it or with an added token go
+    to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, slots: int = SLOTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.pieces) > CACHE:
-            self.pieces.clear()
-        get, cut, whole, heads, missing = self.pieces.get, [], [], [], {}
-        for k, text in enumerate(texts):
-            head, *rest = text.replace("\n", " \n").split(" ")
-            got = list(map(get, rest))
-            odd = any(a in text for a in self.added)
-            if None in got and not odd:
-                for piece, known in zip(rest, got, strict=True):
-                    if known is None and piece not in missing:
-                        body = piece[1:] if piece[:1] == "\n" else piece
-                        if not body or body[0].isspace():
-                            odd = True
-                            break
-                        missing[piece] = piece if piece[0] == "\n" else " " + piece
-            if odd:
-                whole.append(k)
-            heads.append(head)
-            cut.append(rest)
-        fresh = dict(zip(missing, self._ask(list(missing.values())), strict=True))
-        self.pieces.update(fresh)
-        out = [b""] * len(texts)
-        for k, ids in zip(whole, self._ask([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        skip, starts = set(whole), self._ask(heads)
-        find = self.pieces.__getitem__
-        for k, rest in enumerate(cut):
-            if k not in skip:
-                out[k] = starts[k] + b"".join(map(find, rest))
-        return out
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        (self.newline,) = self.library.encode("\n", add_special_tokens=False).ids
+        self.slots = slots
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(self.slots, np.uint64)
+        self.place, self.length = np.zeros(self.slots, np.int32), np.zeros(self.slots, np.int32)
+        self.store, self.used, self.held = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 where it is not in the table."""
+        slot = (h >> np.uint64(20)).astype(np.int64) & (self.slots - 1)
+        found = np.where(self.keys[slot] == h, slot, -1)
+        open_ = np.flatnonzero((found < 0) & (self.keys[slot] != 0))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & (self.slots - 1)
+            key = self.keys[slot]
+            hit = key == h[open_]
+            found[open_[hit]] = slot[hit]
+            more = ~hit & (key != 0)
+            open_, slot = open_[more], slot[more]
+        return found
+
+    def _insert(self, h: np.ndarray, ids: np.ndarray, length: np.ndarray) -> None:
+        """Add distinct hashes that are not in the table; ``ids`` of all end to end."""
+        if self.used + len(ids) > len(self.store):
+            grown = np.zeros(2 * (self.used + len(ids)), np.uint32)
+            grown[:self.used] = self.store[:self.used]
+            self.store = grown
+        self.store[self.used:self.used + len(ids)] = ids
+        place = self.used + np.cumsum(length) - length
+        self.used += len(ids)
+        self.held += len(h)
+        slot, todo = (h >> np.uint64(20)).astype(np.int64) & (self.slots - 1), np.arange(len(h))
+        while len(todo):
+            free = self.keys[slot[todo]] == 0
+            self.keys[slot[todo[free]]] = h[todo[free]]              # of two for one slot the later stays, the other moves on
+            mine = self.keys[slot[todo]] == h[todo]
+            done = todo[mine]
+            self.place[slot[done]], self.length[slot[done]] = place[done], length[done]
+            todo = todo[~mine]
+            slot[todo] = (slot[todo] + 1) & (self.slots - 1)
+
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, raw: bytes, start: np.ndarray, end: np.ndarray, h: np.ndarray) -> None:
+        """Encode pieces in one text, a piece a line: a line end between words is always a token of its own."""
+        pieces = [raw[i:j] for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+        led = np.array([p[:1] == b"\n" for p in pieces])
+        text = b"".join(p if own else b"\n" + p for p, own in zip(pieces, led.tolist(), strict=True)) + b"\n"
+        ids = self._ask([text.decode()])[0]
+        ends = np.flatnonzero(ids == self.newline)
+        length = np.diff(ends) - 1 + led
+        keep = np.ones(len(ids), bool)
+        keep[ends[:-1][~led]] = False
+        keep[ends[-1]] = False
+        self._insert(h, ids[keep], length)
+
+    def _odd(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rows whose white space or added tokens forbid cutting."""
+        blank = (raw == 0x20) | (raw == 0x0A)
+        after = np.append(raw[1:], 0)
+        third = np.append(raw[2:], [0, 0])[:len(raw)]
+        bad = (raw < 0x20) & (raw != 0x0A) | (raw == 0xC2) & ((after == 0x85) | (after == 0xA0)) | (raw == 0xE1) & (after == 0x9A) | (raw == 0xE3) & (after == 0x80) & (third == 0x80)
+        wide = (raw == 0xE2) & ((after == 0x80) & ((third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF)) | (after == 0x81) & (third == 0x9F))
+        closing = np.zeros(len(raw) + 1, bool)
+        closing[at[1:][at[1:] > at[:-1]] - 1] = True                 # last byte of each text
+        bad |= wide | blank & (np.append(blank[1:], False) | closing[:-1])
+        odd = np.zeros(len(at) - 1, bool)
+        odd[np.searchsorted(at, np.flatnonzero(bad), "right") - 1] = True
+        whole = raw.tobytes()
+        for token in self.added:
+            k = whole.find(token)
+            while k >= 0:
+                odd[np.searchsorted(at, k, "right") - 1] = True
+                k = whole.find(token, k + 1)
+        return odd
+
+    def encode_rows(self, raw: np.ndarray, at: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts laid end to end (``at`` begins with 0), each followed by ``end_id``; number of ids of each."""
+        n = len(at) - 1
+        odd = self._odd(raw, at) if len(raw) else np.zeros(n, bool)
+        cut = (raw == 0x20) | (raw == 0x0A)
+        cut[at[:-1][at[:-1] < at[1:]]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], len(raw)) if len(start) else start
+        row = np.searchsorted(at, start, "right") - 1
+        if odd.any():
+            usual = ~odd[row]
+            start, end, row = start[usual], end[usual], row[usual]
+        h = np.maximum(span_hashes(prefix_sums(raw), start, end), np.uint64(1))
+        if self.held > self.slots * 5 // 8:
+            self._clear()
+        slot = self._find(h)
+        missing = np.flatnonzero(slot < 0)
+        if len(missing):
+            fresh, first = np.unique(h[missing], return_index=True)
+            if self.held + len(fresh) > self.slots * 3 // 4:
+                self._clear()
+                fresh, first = np.unique(h, return_index=True)
+                missing = np.arange(len(h))
+                if len(fresh) > self.slots * 3 // 4:
+                    self.slots *= 4
+                    self._clear()
+            self._learn(raw.tobytes(), start[missing[first]], end[missing[first]], fresh)
+            slot[missing] = self._find(h[missing])
+        length = self.length[slot].astype(np.int64)
+        counts = np.bincount(row, length, n).astype(np.int64) if len(row) else np.zeros(n, np.int64)
+        extra = 0 if end_id is None else 1
+        if odd.any():
+            texts = self._ask([raw[at[k]:at[k + 1]].tobytes().decode() for k in np.flatnonzero(odd)])
+            counts[odd] = [len(t) for t in texts]
+        out = np.empty(int(counts.sum()) + extra * n, np.uint32)
+        begin = np.cumsum(counts + extra) - (counts + extra)
+        total = int(length.sum())
+        source = np.repeat(self.place[slot] - (np.cumsum(length) - length), length) + np.arange(total)
+        if odd.any() or extra:
+            ahead = np.cumsum(counts * ~odd) - counts * ~odd         # ids of the cut rows before each row
+            target = np.arange(total) + np.repeat(begin[row] - ahead[row], length)
+            out[target] = self.store[source]
+        else:
+            out[:] = self.store[source]
+        if odd.any():
+            for k, ids in zip(np.flatnonzero(odd).tolist(), texts, strict=True):
+                out[begin[k]:begin[k] + len(ids)] = ids
+        if extra:
+            out[begin + counts] = end_id
+        return out, counts + extra
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        data = [t.encode() for t in texts]
+        ids, counts = self.encode_rows(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]).astype(np.int64))
+        return np.split(ids, np.cumsum(counts)[:-1]) if texts else []
 
 
 @lru_cache(maxsize=2)
@@ -111,21 +213,21 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         lib = encoder(vocabulary or default_vocabulary())
         kind_of = np.dtype("<u2" if max(lib.size - 1, end_id) < 1 << 16 else "<u4")
         attempt = f"{base}/.{shard:05d}-{uuid.uuid4().hex}"
-        end, sizes, done = np.array([end_id], "<u4").tobytes(), [], 0
+        sizes, done = [np.zeros(0, np.int64)], 0
         with store.open_output_stream(f"{attempt}.bin") as sink:
             for batch in batches:
-                for first in range(0, batch.num_rows, 400):
-                    part = batch.slice(first, 400)
-                    coded = lib.encode([t or "" for t in part.column(1).to_pylist()])
-                    sizes += [len(x) // 4 + 1 for x in coded]
-                    sink.write(np.frombuffer(end.join([*coded, b""]), "<u4").astype(kind_of).tobytes())
-                    n = part.num_rows
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(done, done + n, dtype=np.int64)), part.column(0)], ["shard", "place", "id"])
-                    done += n
+                data, at = utf8_parts(batch.column(1))
+                for first, last in slices(at):
+                    ids, counts = lib.encode_rows(data[at[first]:at[last]], at[first:last + 1] - at[first], end_id)
+                    sizes.append(counts)
+                    sink.write(ids.astype(kind_of).tobytes())
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(done, done + n, dtype=np.int64)), batch.column(0)], ["shard", "place", "id"])
+                done += n
         with store.open_output_stream(f"{attempt}.idx") as sink:
             offsets = np.zeros(done + 2, "<i8")
             offsets[0] = done
-            np.cumsum(np.array(sizes, "<i8"), out=offsets[2:])
+            np.cumsum(np.concatenate(sizes), out=offsets[2:])
             sink.write(offsets.tobytes())
         for end_of in ("bin", "idx"):
             store.move(f"{attempt}.{end_of}", f"{base}/shard-{shard:05d}.{end_of}")

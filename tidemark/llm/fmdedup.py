@@ -284,20 +284,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, shared_limit: int =
     else:
         found = segments(known, window).join(shared, "gram", "left_semi")
     found = stored(found, "segments")
-    contents = (found.groupBy("gram", "content").agg(F.max("words").alias("words"), F.min("id").alias("low"), F.max("id").alias("high")))
-    contents = stored(contents, "contents").withColumn("n", F.size(F.split("words", " ")))
-    hot = stored(contents.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot_segments).select("gram"), "hot")
-    total = contents.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, -(-int(total) // shard_words))
-    usual = (contents.join(hot, "gram", "left_anti").withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
+    # Written words bound the distinct segments of a gram and the words of all of them from above.
+    written = found.where("words IS NOT NULL").select("gram", F.size(F.split("words", " ")).alias("n"))
+    hot = stored(written.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > hot_segments).select("gram"), "hot")
+    shards = max(1, -(-int(written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]) // shard_words))
+    contents = found.groupBy("gram", "content").agg(F.max("words").alias("words"), F.min("id").alias("low"), F.max("id").alias("high"))
+    crowded = hot.first() is not None
+    usual = ((contents.join(hot, "gram", "left_anti") if crowded else contents).withColumn("shard", F.pmod(F.xxhash64("gram"), F.lit(shards)))
              .groupBy("shard").applyInArrow(_shard(window), "gram long, content long, mins array<long>"))
-    # A gram with very many segments: its windows one by one.
-    places = (contents.join(hot, "gram", "left_semi")
-              .select("gram", "content", "low", F.posexplode(F.expr(f"transform(sequence(1, n - {window - 1}), i -> array_join(slice(split(words, ' '), i, {window}), ' '))")).alias("k", "w")))
-    least = places.groupBy("gram", "w").agg(F.min("low").alias("least"))
-    single = (places.join(least, ["gram", "w"]).groupBy("gram", "content")
-              .agg(F.expr("transform(array_sort(collect_list(struct(k, least))), x -> x.least)").alias("mins")))
-    mins = stored(usual.unionByName(single), "windows")
+    if crowded:                                                     # grams with very many segments: their windows one by one
+        places = (contents.join(hot, "gram", "left_semi").withColumn("n", F.size(F.split("words", " ")))
+                  .select("gram", "content", "low", F.posexplode(F.expr(f"transform(sequence(1, n - {window - 1}), i -> array_join(slice(split(words, ' '), i, {window}), ' '))")).alias("k", "w")))
+        least = places.groupBy("gram", "w").agg(F.min("low").alias("least"))
+        single = (places.join(least, ["gram", "w"]).groupBy("gram", "content")
+                  .agg(F.expr("transform(array_sort(collect_list(struct(k, least))), x -> x.least)").alias("mins")))
+        usual = usual.unionByName(single)
+    mins = stored(usual, "windows")
     hits = (found.select("gram", "content", "id", "key", "place").join(mins, ["gram", "content"])
             .select("id", "key", F.expr("filter(transform(mins, (m, i) -> IF(m < id, place + i, -1)), p -> p >= 0)").alias("p"))
             .where(F.size("p") > 0))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import mix64, stored
+from tidemark.llm.base import mix64, release, stored
 
 SHINGLE = 3
 SEED = 42
@@ -81,20 +81,26 @@ def grid_points(counts: Column) -> Column:
     return F.filter(F.array(*near), lambda x: x.isNotNull())
 
 
-def close_links(distinct: DataFrame, cell: int = CELL) -> DataFrame:
-    """Links u > v between distinct fingerprints (column fp): every pair within two bits is linked or,
-    at crowded grid points, joined through a third within two bits of both."""
-    points = distinct.select("fp", F.explode(grid_points(popcounts(F.col("fp")))).alias("point"))
-    crowd = stored(points.groupBy("point").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "points")
-    met = stored(points.join(crowd, "point"), "met")
-    few = met.where(F.col("m") <= cell).select("point", "fp")
-    pairs = (few.withColumnRenamed("fp", "v").join(few.withColumnRenamed("fp", "u"), "point")
-             .where((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select("u", "v"))
-    flips = [F.lit(0).cast("long"), *[F.lit((1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(64)]]
-    many = (met.where(F.col("m") > cell).select("fp").distinct()
-            .select(F.col("fp").alias("u"), F.explode(F.array(*[F.col("fp").bitwiseXOR(x) for x in flips])).alias("flip")))
-    stars = many.join(many.groupBy("flip").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "flip").where("u > v").select("u", "v")
-    return pairs.unionByName(stars).distinct()
+def close_links(distinct: DataFrame, cell: int = CELL, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Links u > v between distinct fingerprints (columns ``keys``, fp; linked inside a key only): every pair
+    within two bits is linked or, at crowded grid points, joined through a third within two bits of both."""
+    k = list(keys)
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Each row becomes 33: spread the few small files first, or few tasks would aggregate all points.
+    points = distinct.repartition(tasks, *k, "fp").select(*k, "fp", F.explode(grid_points(popcounts(F.col("fp")))).alias("point"))
+    crowd = stored(points.groupBy(*k, "point").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "points")
+    met = stored(points.join(crowd, [*k, "point"]), "met")
+    few = met.where(F.col("m") <= cell).select(*k, "point", "fp")
+    links = (few.withColumnRenamed("fp", "v").join(few.withColumnRenamed("fp", "u"), [*k, "point"])
+             .where((F.col("u") > F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)).select(*k, "u", "v"))
+    crowded = met.where(F.col("m") > cell)
+    if crowded.first() is not None:
+        flips = [F.lit(0).cast("long"), *[F.lit((1 << i) - (1 << 64 if i == 63 else 0)).cast("long") for i in range(64)]]
+        many = (crowded.select(*k, "fp").distinct()
+                .select(*k, F.col("fp").alias("u"), F.explode(F.array(*[F.col("fp").bitwiseXOR(x) for x in flips])).alias("flip")))
+        least = many.groupBy(*k, "flip").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        links = links.unionByName(many.join(least, [*k, "flip"]).where("u > v").select(*k, "u", "v"))
+    return links.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -165,6 +171,7 @@ def word_set_prints(docs: DataFrame, tables: int = TABLES) -> DataFrame:
                     ones = [np.unpackbits(_mixed(h, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for t in range(tables)]
                     prints.append([int(np.packbits(2 * o > len(h), bitorder="little").view("<i8")[0]) for o in ones])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.list_(pa.int64()))], ["id", "key", "fps"])
+        release()
 
     return docs.mapInArrow(run, "id long, key long, fps array<long>")
 
@@ -185,18 +192,15 @@ def shingle_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, "key long, shingles array<long>")
 
 
-def _print_links(contents: DataFrame, tables: int) -> DataFrame:
+def _print_links(contents: DataFrame) -> DataFrame:
     """Links u > v between contents (key, fps) whose fingerprints of one table are within two bits."""
-    out = None
-    for t in range(tables):
-        rows = contents.select("key", F.col("fps")[t].alias("fp"))
-        least = stored(rows.groupBy("fp").agg(F.min("key").alias("rep")), "classes")
-        near = close_links(least.select("fp"))
-        a, b = least.select(F.col("fp").alias("u"), F.col("rep").alias("x")), least.select(F.col("fp").alias("v"), F.col("rep").alias("y"))
-        links = (rows.join(least, "fp").where("key != rep").select(F.col("key").alias("x"), F.col("rep").alias("y"))
-                 .unionByName(near.join(a, "u").join(b, "v").select("x", "y")).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")))
-        out = links if out is None else out.unionByName(links)
-    return out.distinct()
+    rows = contents.select("key", F.posexplode("fps").alias("t", "fp"))
+    least = stored(rows.groupBy("t", "fp").agg(F.min("key").alias("rep")), "classes")
+    near = stored(close_links(least.select("t", "fp"), keys=("t",)), "near")
+    same = rows.join(least, ["t", "fp"]).where("key != rep").select(F.col("key").alias("x"), F.col("rep").alias("y"))
+    a, b = least.select("t", F.col("fp").alias("u"), F.col("rep").alias("x")), least.select("t", F.col("fp").alias("v"), F.col("rep").alias("y"))
+    pairs = same.unionByName(near.join(a, ["t", "u"]).join(b, ["t", "v"]).select("x", "y"))
+    return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
 
 
 def _similar(a: str, b: str):
@@ -220,7 +224,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     gone = prints.join(contents.select("key", "low"), "key").where("id != low").select("id", "key")
     left, sets = contents, None
     for turn in range(rounds + 1):
-        links = stored(_print_links(left, tables), "links")
+        links = stored(_print_links(left), "links")
         if links.first() is None:
             break
         if sets is None:                                            # shingles of every content with a link, once

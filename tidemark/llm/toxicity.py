@@ -18,6 +18,7 @@ rows get equal scores; columns other than id, text and language are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import prefix_sums, slices, span_hashes, utf8_parts, word_spans
+from tidemark.llm.base import prefix_sums, release, slices, span_hashes, utf8_parts, word_spans
 
 SAMPLE = 4_000
 BUCKETS = 1 << 18
@@ -234,23 +235,40 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = (docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
             .join(F.broadcast(picked), "id").select("y", (F.col("part") == 3).alias("late"), "lang", "text")
-            .mapInArrow(features, "y int, late boolean, lang string, words binary").collect())             # bounded by ``sample``
-    early = [r for r in rows if not r.late]
-    if not early:
-        net = Network.fresh()
-        net.scale, net.shift = 0.0, -40.0                             # nothing to learn from
-        return net
-    unpack = lambda r: np.frombuffer(r.words, np.int32).reshape(-1, len(SPANS))                            # noqa: E731
-    early.sort(key=lambda r: (r.words, r.y))
-    net = train([unpack(r) for r in early], np.array([r.y for r in early]))
-    late = [r for r in rows if r.late]
-    if len({r.y for r in late}) < 2:
-        late = sorted(rows, key=lambda r: (r.words, r.y))
-    y = np.array([r.y for r in late])
+            .mapInArrow(features, "y int, late boolean, lang string, words binary"))
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for batch in batches for r in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)]
+        if held:
+            model = pickle.dumps(fitted(held, counts))
+            held.clear()
+            release()
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
+
+    # One task trains on the sample, which ``sample`` bounds; only the model comes to the driver.
+    got = rows.repartition(1).mapInArrow(learn, "model binary").collect()
+    if got:
+        return pickle.loads(got[0].model)
+    net = Network.fresh()
+    net.scale, net.shift = 0.0, -40.0                                 # nothing to learn from
+    return net
+
+
+def fitted(rows: list[tuple[int, bool, str | None, bytes]], counts: dict[tuple[int, bool], int]) -> Network:
+    """Train on the early rows and calibrate on the late ones (label, late, language, hashed words), weighted
+    to the ``counts`` of all labelled rows."""
+    rows = sorted(rows, key=lambda r: (r[1], r[3], r[0], r[2] or ""))
+    unpack = lambda r: np.frombuffer(r[3], np.int32).reshape(-1, len(SPANS))                               # noqa: E731
+    early = [r for r in rows if not r[1]] or rows
+    net = train([unpack(r) for r in early], np.array([r[0] for r in early]))
+    late = [r for r in rows if r[1]]
+    if len({r[0] for r in late}) < 2:
+        late = rows
+    y = np.array([r[0] for r in late])
     held = {k: max(1, int((y == k).sum())) for k in (0, 1)}
     weights = np.array([max(1, counts.get((int(k), True), 0)) / held[int(k)] for k in y], float)
     margins = np.concatenate([net.margins(*_stack([unpack(r) for r in late[k:k + 64]]), len(late[k:k + 64])) for k in range(0, len(late), 64)])
-    calibrate(net, margins, y, weights, [r.lang for r in late])
+    calibrate(net, margins, y, weights, [r[2] for r in late])
     net.table = net.table.astype(np.float32)
     return net
 
@@ -276,6 +294,7 @@ def score_documents(docs: DataFrame, net: Network | None, id_col: str = "doc_id"
             for batch in batches:
                 score, limit = scores(batch.column(names.index(text_col)), batch.column(names.index(lang_col)))
                 yield batch.filter(pa.array(score < limit))
+            release()
         return docs.mapInArrow(drop, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ no rows; columns other than id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,6 +148,9 @@ SIMILAR = 0.8
 WORDS = 5
 TABLES = 4
 ROUNDS = 4
+#: Members and shingles of a group that one task settles.
+MEMBERS = 1000
+SHINGLES = 1_000_000
 
 
 def _mixed(h: np.ndarray, table: int) -> np.ndarray:
@@ -208,12 +212,91 @@ def _similar(a: str, b: str):
     return both >= SIMILAR * (F.size(a) + F.size(b) - both)
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rounds: int = ROUNDS) -> DataFrame:
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (key, head and others) with ``same``, whether the two contents' shingles are similar."""
+    return (pairs.join(sets.select("key", F.col("shingles").alias("a")), "key")
+            .join(sets.select(F.col("key").alias("head"), F.col("shingles").alias("b")), "head")
+            .withColumn("same", _similar("a", "b")).drop("a", "b"))
+
+
+def _prefixes(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """The shingles of ``left`` (root, key, low) by which similar members of a root must meet: root, token, key, low.
+
+    Similar sets share four fifths of the larger one, so with one order of all shingles the first
+    size - ceil(0.8 size) + 1 of both have one in common.  Rare ones come first, so that wording all members
+    have meets nobody; a shingle that one member has takes its place in the order but meets nobody either.
+    """
+    tokens = left.join(sets, "key").select("root", "key", "low", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    often = tokens.groupBy("root", "token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    ranked = tokens.join(often, ["root", "token"]).groupBy("root", "key", "low", "n").agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("shared"))
+    lone = F.col("n") - F.size("shared")
+    # A whole number is left out of the product's rounding: one token too many costs a comparison, one too few a pair.
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(SIMILAR) - 1e-6).cast("int") + 1 - lone
+    return ranked.where(first > 0).select("root", "key", "low", F.explode(F.slice("shared", F.lit(1), first)).alias("s")).select("root", "s.token", "key", "low")
+
+
+def _greedy(t: pa.Table) -> pa.Table:
+    """The members of one root that go, taken in the order of (low, key): columns key, low."""
+    t = t.sort_by([("low", "ascending"), ("key", "ascending")])
+    sets = [np.sort(x.values.to_numpy()) for x in t.column("shingles")]
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    met: dict[int, list[int]] = {}
+    gone, at = [], 0
+    for i, x in enumerate(sets):
+        order = np.sort(rank[place[at:at + len(x)]])
+        at += len(x)
+        first = order[:len(x) - math.ceil(len(x) * SIMILAR - 1e-6) + 1].tolist()
+        for j in {j for r in first for j in met.get(r, ())}:
+            both = len(np.intersect1d(x, sets[j], assume_unique=True))
+            if both >= SIMILAR * (len(x) + len(sets[j]) - both):
+                gone.append(i)
+                break
+        else:
+            for r in first:
+                met.setdefault(r, []).append(i)
+    return t.select(["key", "low"]).take(pa.array(gone, pa.int64()))
+
+
+def _settled(left: DataFrame, sets: DataFrame, members: int = MEMBERS) -> DataFrame:
+    """Contents of ``left`` (root, key, low) that go, in the order of (low, key) in each root: columns key, low.
+
+    A root of up to ``members`` members and ``SHINGLES`` shingles is settled in one task.  In a larger one a content
+    that is the least at all its tokens has no smaller similar one left: it is kept and compared with those that
+    meet it, turn by turn, until the root is small or no two members meet.
+    """
+    meet = gone = None
+    while True:
+        sized = stored(left.join(sets.select("key", F.size("shingles").alias("n")), "key"), "left")
+        roots = stored(sized.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).where("m > 1")
+                       .select("root", ((F.col("m") <= members) & (F.col("n") <= SHINGLES)).alias("small")), "roots")
+        few = sized.drop("n").join(roots.where("small").select("root"), "root", "left_semi")
+        out = stored(few.join(sets, "key").groupBy("root").applyInArrow(_greedy, "key long, low long"), "out")
+        gone = out if gone is None else gone.unionByName(out)
+        large = roots.where(~F.col("small")).select("root")
+        if large.first() is None:
+            return gone
+        if meet is None:
+            meet = stored(_prefixes(sized.drop("n").join(large, "root", "left_semi"), sets), "prefixes")
+        meet = meet.join(large, "root", "left_semi")
+        least = meet.groupBy("root", "token").agg(F.min(F.struct("low", "key")).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+        met = stored(meet.join(least, ["root", "token"]).select("root", "token", "key", "low", F.col("least.key").alias("head")), "met")
+        kept = stored(met.groupBy("key").agg(F.bool_and(F.col("key") == F.col("head")).alias("all")).where("all").select("key"), "kept")
+        pairs = met.where("key != head").select("key", "low", "head").distinct().join(kept.select(F.col("key").alias("head")), "head", "left_semi")
+        out = stored(_compared(pairs, sets).where("same").select("key", "low").distinct(), "out")
+        gone = gone.unionByName(out)
+        meet = stored(met.join(kept.unionByName(out.select("key")), "key", "left_anti").select("root", "token", "key", "low"), "prefixes")
+        left = meet.select("root", "key", "low").distinct()
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rounds: int = ROUNDS, members: int = MEMBERS) -> DataFrame:
     """The rows of ``docs`` with one document (the smallest id) of each group of copies and near copies.
 
-    Groups come from fingerprint links; a member goes only if its five-word shingles have a
-    Jaccard similarity of 0.8 or more with the group's smallest id.  What is left of a group
-    is grouped again, and after ``rounds`` rounds each remaining link is verified by itself.
+    Groups come from fingerprint links; in a group a member goes if its five-word shingles have a
+    Jaccard similarity of 0.8 or more with a smaller id that is kept, and no two similar ones stay.
+    ``rounds`` rounds compare all with the smallest id left, which settles groups of few families
+    at once; what is left of a group meets by shingles, however many families it has.
     Rows with a null id stay; of rows that repeat an id and a text one stays.
     """
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
@@ -222,32 +305,24 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     prints = stored(word_set_prints(known, tables), "prints")
     contents = stored(prints.groupBy("key").agg(F.min("id").alias("low"), F.first("fps").alias("fps")), "contents")
     gone = prints.join(contents.select("key", "low"), "key").where("id != low").select("id", "key")
-    left, sets = contents, None
-    for turn in range(rounds + 1):
-        links = stored(_print_links(left), "links")
-        if links.first() is None:
-            break
-        if sets is None:                                            # shingles of every content with a link, once
-            linked = links.select(F.col("u").alias("key")).unionByName(links.select(F.col("v").alias("key"))).distinct()
-            wanted = stored(left.join(linked, "key", "left_semi").select("key", F.col("low").alias("id")), "wanted")
-            sets = stored(shingle_sets(known.join(wanted, ["key", "id"], "left_semi").select("key", "text")).dropDuplicates(["key"]), "shingles")
-        if turn == rounds:
-            pairs = (links.join(sets.select(F.col("key").alias("u"), F.col("shingles").alias("a")), "u")
-                     .join(sets.select(F.col("key").alias("v"), F.col("shingles").alias("b")), "v").where(_similar("a", "b")).select("u", "v"))
-            links = stored(pairs, "verified")
-        roots = components(links).select(F.col("u").alias("key"), F.col("v").alias("root"))
-        members = stored(left.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "members")
-        heads = stored(members.groupBy("root").agg(F.min(F.struct("low", "key")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-                       .select("root", F.col("head.key").alias("head")), "heads")
-        rest = members.join(heads, "root").where("key != head")
-        if turn < rounds:
-            judged = (rest.join(sets.select("key", F.col("shingles").alias("a")), "key")
-                      .join(sets.select(F.col("key").alias("head"), F.col("shingles").alias("b")), "head")
-                      .select("key", "low", "fps", _similar("a", "b").alias("same")))
-            rest = stored(judged, "judged")
-            left = rest.where(~F.col("same")).select("key", "low", "fps")
-            rest = rest.where("same")
-        gone = gone.unionByName(rest.select(F.col("low").alias("id"), "key"))
+    roots = components(stored(_print_links(contents), "links")).select(F.col("u").alias("key"), F.col("v").alias("root"))
+    linked = roots.unionByName(roots.select(F.col("root").alias("key"), "root")).distinct()
+    left = stored(contents.select("key", "low").join(linked, "key"), "members")
+    if left.first() is not None:
+        wanted = left.select("key", F.col("low").alias("id"))
+        sets = stored(shingle_sets(known.join(wanted, ["key", "id"], "left_semi").select("key", "text")).dropDuplicates(["key"]), "shingles")
+        for _ in range(rounds):
+            heads = stored(left.groupBy("root").agg(F.min(F.struct("low", "key")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
+                           .select("root", F.col("head.key").alias("head")), "heads")
+            if heads.first() is None:
+                break
+            judged = stored(_compared(left.join(heads, "root").where("key != head"), sets), "judged")
+            gone = gone.unionByName(judged.where("same").select(F.col("low").alias("id"), "key"))
+            left = judged.where(~F.col("same")).select("root", "key", "low")
+        several = left.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        left = stored(left.join(several, "root", "left_semi"), "left")
+        if left.first() is not None:
+            gone = gone.unionByName(_settled(left, sets, members).select(F.col("low").alias("id"), "key"))
     gone = stored(gone.distinct(), "gone").select(F.col("id").alias("__gid"), F.col("key").alias("__gkey"))
     out = keyed.join(gone, (keyed[id_col].cast("long") == gone["__gid"]) & (keyed["__key"] == gone["__gkey"]), "left_anti")
     if prints.groupBy("id", "key").count().where("count > 1").first() is not None:

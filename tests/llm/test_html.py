@@ -42,6 +42,35 @@ def test_blocks_and_references(model):
     assert html.extract([cut], model)[0].endswith("last words")
 
 
+def texts(source):
+    return [t for _, t in html.Page(source).runs]
+
+
+@pytest.mark.parametrize("tag", ['<p class="a"">', "<p title='it's'>", '<p class="a"b">', "<p it's>", '<p class=a"b>', "<p class = 'a' \">", '<p ="x>', '<p class="never closed>'])
+def test_stray_quotes_end_at_the_next_bracket(tag):
+    assert texts(f"<div>{tag}Text one</p><p>Two</p></div><p>Three</p>") == ["Text one", "Two", "Three"]
+
+
+def test_quotes_of_values():
+    assert texts('<p title="a > b" class=\'c > d\' data-x = "e>">One</p><p a="x"b=\'>\'/>Two</p>') == ["One", "Two"]
+    assert texts('<p class="a"">He said "yes" and "no".</p><p>Two</p>') == ['He said "yes" and "no".', "Two"]
+    assert texts("x a <b and it's so</p><p>Two</p>") == ["x a", "Two"]
+    assert texts('<div><p class="a>One</p><p>She "left') == ["One", 'She "left']     # closed by a quote of the text: no bracket follows that
+
+
+@pytest.mark.parametrize("name", ["noscript", "button", "select", "svg", "object", "iframe"])
+def test_unclosed_silent_elements_end_with_their_parent(name):
+    assert texts(f"<div><p>One</p><{name} a='b'>no <p>no</p></div><p>Two</p>") == ["One", "Two"]
+    assert texts(f"<div><{name}>no</div><p>Two</p><div><{name}>no</{name}>Three</div>") == ["Two", "Three"]
+    assert texts(f"<div><{name}><div>no</div><style></div></style>no</{name}>Two</div>") == ["Two"]
+
+
+def test_silent_in_the_head_and_math():
+    assert texts("<html><head><noscript><link></head><body><p>One</p></body></html>") == ["One"]
+    assert texts("<head><noscript><link><body><p>One</p>") == ["One"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> hold.</p>") == ["Let x=2 hold."]
+
+
 def test_held_out_pages(model):
     rng = random.Random(123)
     pages = [html.Page(html.sample_page(rng)) for _ in range(150)]

@@ -11,7 +11,9 @@ The trees are trained on pages written by ``sample_page``: random layouts (seman
 containers, with or without telling attributes) around random prose, whose labels are known.
 
 Null and empty html give the empty text; repeated rows repeat; an empty table gives no rows;
-columns other than id, url and html are not read.  Text of an unfinished tag is markup.
+columns other than id, url and html are not read.  Text of an unfinished tag is markup; a stray
+quote is a character of its tag, which ends at the next ``>``; an unclosed silent element ends
+with the block around it (script, style, title and textarea run to the end of the page).
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from tidemark.llm.boosting import Booster, boost
 # Element vocabulary of HTML.
 BLOCKS = """html body div section article main aside nav header footer form fieldset ul ol li dl dt dd p h1 h2 h3 h4 h5 h6 blockquote pre
 table thead tbody tfoot tr td th caption figure figcaption details summary address menu dialog legend center hgroup""".split()
-SILENT = {"script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "select", "button", "object", "math", "canvas", "audio", "video", "datalist"}
+SILENT = {"script", "style", "title", "textarea", "noscript", "template", "svg", "iframe", "select", "button", "object", "annotation", "annotation-xml", "canvas", "audio", "video", "datalist"}
+RAW = {"script", "style", "title", "textarea"}                     # no tags inside: only their own end tag ends them
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "tfoot": {"table"}}
 # Attribute tokens that tell furniture from article.
@@ -42,7 +45,8 @@ overlay newsletter subscribe subscription signup login search form share sharing
 tags pagination pager legal copyright disclaimer skip hidden contact rating reader readers""".split())
 ARTICLE = set("article content main post entry story body text page prose blog news copy read detail".split())
 
-TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>?)|<[!?/][^>]*>?", re.S)
+# A quote opens a value only right after the equals sign; any other is a character of a name or value.
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[\s/]+|[^\s/>][^\s/>=]*(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*))?)*+)(>?)|<[!?/][^>]*>?""", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|data-y|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 PIECE = re.compile(r"[a-z]+|[A-Z][a-z]*")
 TAGS = {t: k + 1 for k, t in enumerate(BLOCKS)}
@@ -65,6 +69,11 @@ def attribute_tokens(attrs: str) -> tuple[int, int, int]:
     return bad, good, label
 
 
+def tag_end(source: str, m: re.Match) -> int:
+    """Where the tag of a match ends: a value quoted to the end of the page holds the next ``>``; 0 if there is none."""
+    return m.end() if m[4] else source.find(">", m.end(2)) + 1
+
+
 class Page:
     """Block nodes in document order (parents first) and text runs with their owner."""
 
@@ -81,24 +90,52 @@ class Page:
                 break
             if m.start() > at:
                 self._add(source[at:m.start()])
-            at = m.end()
             name = m[2]
             if name is None:
+                at = m.end()
                 continue
-            if not m[4]:                                            # a tag that never ends
+            at = tag_end(source, m)
+            if not at:                                              # a tag that never ends
                 break
-            name = name.lower()
-            if not m[1] and name in SILENT and not m[3].endswith("/"):
-                end = re.compile(f"</{name}\\b[^>]*>?", re.I).search(source, at)
-                at = end.end() if end else n
+            name, attrs = name.lower(), source[m.end(2):at - 1]
+            if not m[1] and name in SILENT and not attrs.endswith("/"):
+                at = self._skip(source, at, name)
             elif name in TAGS:
-                self._close(name) if m[1] else self._open(name, m[3])
+                self._close(name) if m[1] else self._open(name, attrs)
             elif name == "a":
                 self.link = not m[1]
             elif name in ("br", "hr", "img", "wbr", "input"):
                 self.text.append(" ")
         self._flush()
 
+    def _skip(self, source: str, at: int, name: str) -> int:
+        """Where a silent element ends: after its end tag, or before the end of a block around it."""
+        if name in RAW:
+            end = re.compile(f"</{name}(?![^\\s/>])[^>]*>?", re.I).search(source, at)
+            return end.end() if end else len(source)
+        around, inside = {self.tag[i] for i in self.stack} | {"head"}, []
+        while m := TOKEN.search(source, at):
+            if m[2] is None:
+                at = m.end()
+                continue
+            at, tag = tag_end(source, m), m[2].lower()
+            if not at:
+                break
+            if not m[1]:
+                if tag in RAW:
+                    at = self._skip(source, at, tag)
+                elif tag == "body" and tag not in around:           # an element left open in the head
+                    return m.start()
+                elif tag in TAGS:
+                    inside.append(tag)
+            elif tag == name:
+                return at
+            elif tag in inside:
+                del inside[len(inside) - 1 - inside[::-1].index(tag):]
+            elif tag in around:
+                return m.start()
+        return len(source)
+
     def _add(self, text: str) -> None:
         self.text.append(text)
         if self.link:

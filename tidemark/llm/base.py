@@ -6,12 +6,13 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from tidemark.session import ensure_checkpoint_dir
 
@@ -53,6 +54,40 @@ def stored(df: DataFrame, label: str = "step") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows up to which a counted side is broadcast by ``join_counted``.
+COUNTED_ROWS = 100_000
+
+
+def join_counted(df: DataFrame, side: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = COUNTED_ROWS) -> DataFrame:
+    """Null-safe join with a stored ``side``: broadcast if its counted rows are within ``limit``, else a shuffled join."""
+    renamed = side.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & df[k].eqNullSafe(renamed[f"_k_{k}"])
+    few = side.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(renamed) if few else renamed, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[str], label: str = "numbered") -> DataFrame:
+    """``df`` with ``rank`` (0-based place within its group in ``order``) and ``n`` (the group's rows), for groups of any size.
+
+    Rows are range-sorted over all tasks and stored; a table of one row per task and group gives the place
+    where each task's rows begin.  Ties get different places; a salt spreads them over tasks.  Nulls come first.
+    """
+    group = list(group)
+    parts = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    laid = (df.withColumn("_salt", F.monotonically_increasing_id())
+            .repartitionByRange(parts, *group, *order, "_salt").sortWithinPartitions(*group, *order, "_salt").drop("_salt")
+            .withColumns({"_part": F.spark_partition_id(), "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    laid = stored(laid, label)
+    runs = laid.groupBy(*group, "_part").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_m"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = stored(runs.select(*group, "_part", "_first", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_base"),
+                              F.sum("_m").over(Window.partitionBy(*group)).alias("n")), label)
+    placed = join_counted(laid, runs, [*group, "_part"])
+    return placed.withColumn("rank", F.col("_base") + F.col("_pos") - F.col("_first")).drop("_part", "_pos", "_first", "_base")
+
+
 def release() -> None:
     """Give freed memory of a Python worker back to the machine, where the C library can."""
     gc.collect()

@@ -6,13 +6,16 @@ from tidemark.llm.base import query, table
 from tidemark.llm.bpe import encode_digests
 from tidemark.llm.fmdedup import substring_dedup
 from tidemark.llm.html import extract_pages
+from tidemark.llm.lexical import ranked_search
 from tidemark.llm.license import scan_licenses
+from tidemark.llm.merkle import tampered_proofs
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.multiindex import nearest
 from tidemark.llm.quality import quality_rules
 from tidemark.llm.simhash import near_duplicates
 from tidemark.llm.tokenfile import token_files
 from tidemark.llm.toxicity import toxicity
+from tidemark.llm.urlfilter import rule_table, url_verdicts
 
 
 @query("op1_toxicity")
@@ -139,3 +142,71 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS B
 FROM l LEFT JOIN b USING (rid) LEFT JOIN g USING (rid)""")
 def op6(spark, sf_dir):
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op11_merkle_manifest", r"""
+WITH RECURSIVE f AS (SELECT row_number() OVER () AS rid, doc_id, lang, n_chars, text, coalesce('=' || lang, '-') AS g,
+  coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+  coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+  coalesce(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 0) AS crc FROM documents),
+leaf AS (SELECT rid, doc_id, lang, g, sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+  sha256(head || coalesce(length(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) AS other, doc_id IS NOT NULL AND xor(crc, 4294967295) % 7 = 0 AS hit FROM f),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM leaf),
+tree(l, g, p, n, h) AS (SELECT 0, g, p, n, leaf FROM placed UNION ALL SELECT l + 1, g, p // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM tree WHERE n > 1 GROUP BY l, g, p // 2),
+sub AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g = '-' DESC, g) - 1 AS k, count(*) OVER () AS m FROM tree WHERE n = 1),
+top(l, p, n, h) AS (SELECT 0, k, m, subroot FROM sub UNION ALL SELECT l + 1, p // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM top WHERE n > 1 GROUP BY l, p // 2),
+inner_steps AS (SELECT rid, q.l, q.p, t.p AS other, t.h FROM (SELECT rid, g, s.l, p >> s.l AS p FROM placed JOIN (SELECT DISTINCT g, l FROM tree WHERE n > 1) s USING (g)) q
+  LEFT JOIN tree t ON t.g = q.g AND t.l = q.l AND t.p = xor(q.p, 1::BIGINT)),
+outer_steps AS (SELECT g, q.l, q.p, t.p AS other, t.h FROM (SELECT g, s.l, k >> s.l AS p FROM sub CROSS JOIN (SELECT DISTINCT l FROM top WHERE n > 1) s) q LEFT JOIN top t ON t.l = q.l AND t.p = xor(q.p, 1::BIGINT)),
+steps AS (SELECT rid, l, p, other, h FROM inner_steps UNION ALL SELECT rid, o.l + 1000, o.p, o.other, o.h FROM placed JOIN outer_steps o USING (g)),
+proof AS (SELECT rid, coalesce(string_agg(h, '' ORDER BY l), '') AS s, list(CASE WHEN h IS NULL THEN '-' WHEN other < p THEN 'L' || h ELSE 'R' || h END ORDER BY l) AS path FROM steps GROUP BY rid),
+folded AS (SELECT rid, doc_id, g, leaf, sha256(coalesce(s, '')) AS proof_sha256,
+  list_reduce(list_concat([CASE WHEN hit THEN other ELSE leaf END], coalesce(path, [])), lambda a, x: CASE x[1] WHEN 'L' THEN sha256(x[2:] || a) WHEN 'R' THEN sha256(a || x[2:]) ELSE sha256(a) END) AS folded_root FROM placed LEFT JOIN proof USING (rid))
+SELECT doc_id, leaf, subroot, r.h AS root, proof_sha256, folded_root, folded_root = r.h AS verified FROM folded JOIN sub USING (g) CROSS JOIN (SELECT h FROM top WHERE n = 1) r""")
+def op11(spark, sf_dir):
+    return tampered_proofs(table(spark, sf_dir, "documents"))
+
+
+@query("op12_lexical_search", r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+total AS (SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+tf AS (SELECT rid, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT n FROM total) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf GROUP BY term),
+q AS (SELECT item_id, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+len AS (SELECT rid, doc_id, 25 + (75 * CAST(len(ts) AS BIGINT) * n) // l AS m FROM d, total),
+s AS (SELECT item_id, rid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN tf USING (term) JOIN w USING (term) JOIN len USING (rid) GROUP BY ALL HAVING score > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s QUALIFY rank <= 10""")
+def op12(spark, sf_dir):
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: The rules of the query: host, path, action.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query("op13_url_filter", r"""
+WITH RECURSIVE rule(rh, rp, action) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+p0 AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+links AS (SELECT rid, unnest(list_concat(
+    list_transform(list_filter(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<(?i:script).*?</(?i:script)', ' ', 'g'), '(?i)<link[^>]*>'), lambda t: regexp_matches(t, '(?i)rel\s*=\s*["'']?canonical')), lambda t: regexp_extract(t, '(?i)href\s*=\s*["'']?([^"''\s>]+)', 1)),
+    list_transform(list_filter(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->|<(?i:script).*?</(?i:script)', ' ', 'g'), '(?i)<meta[^>]*>'), lambda t: regexp_matches(t, '(?i)http-equiv\s*=\s*["'']?refresh')), lambda t: regexp_extract(t, '(?i)content\s*=\s*["'']?[^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1)))) AS link
+  FROM p0 WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+rel AS (SELECT rid, replace(link, '&amp;', '&') AS link, url, regexp_extract(url, '(?s)^(.*?)://', 1) AS scheme, regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) AS site, regexp_extract(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '(?s)^(.*/)', 1) AS folder FROM links JOIN p0 USING (rid)),
+full_link AS (SELECT rid, CASE WHEN link = '' THEN NULL WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN NOT contains(url, '://') THEN NULL WHEN starts_with(link, '//') THEN scheme || ':' || link
+    WHEN starts_with(link, '/') THEN scheme || '://' || site || link WHEN regexp_matches(link, '^(#|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL ELSE scheme || '://' || site || CASE WHEN folder = '' THEN '/' ELSE folder END || link END AS url FROM rel),
+every AS (SELECT rid, true AS own, url FROM p0 UNION ALL SELECT rid, false, url FROM full_link WHERE url IS NOT NULL),
+cut AS (SELECT rid, own, url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+  array_to_string(list_filter(string_split(regexp_extract(regexp_extract(url, '(?s)^.*?://([^#]*)', 1), '(?s)\?(.*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_')), '&') AS asked FROM every),
+named AS (SELECT rid, own, host, path, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '') || CASE WHEN asked = '' THEN '' ELSE '?' || asked END END AS node FROM cut),
+edge AS (SELECT DISTINCT a.node AS a, b.node AS b FROM named a JOIN named b ON a.rid = b.rid AND a.own AND NOT b.own AND a.node <> b.node),
+both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+class AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a),
+fit AS (SELECT rid, rh || rp AS rule, action, row_number() OVER (PARTITION BY rid ORDER BY length(rh || rp) DESC, length(rh) DESC, action) AS k FROM named JOIN rule ON own AND (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+told AS (SELECT n.*, rule, action, coalesce(root, node) AS root FROM named n LEFT JOIN fit ON fit.rid = n.rid AND k = 1 LEFT JOIN class USING (node) WHERE own),
+mark AS (SELECT root, bool_or(action = 'allow') AS allows, bool_or(action = 'block') AS blocks FROM told WHERE root IS NOT NULL GROUP BY root)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN allows THEN 'allow' WHEN blocks THEN 'block' ELSE 'allow' END) AS verdict FROM told JOIN p0 USING (rid) LEFT JOIN mark USING (root)""")
+def op13(spark, sf_dir):
+    return url_verdicts(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES)).drop("url_class")

@@ -81,3 +81,13 @@ def test_index_statistics():
         if best:
             piece = "".join(map(str, query[e - best:e]))
             assert high[e - 1] - low[e - 1] == sum(sum(t.startswith(piece, k) for k in range(len(t))) for t in texts)
+
+
+def test_doubling_words_are_different_words(spark):
+    a, b = "a", "b"
+    while len(a) < 4096:
+        a, b = a + b, b + a
+    rows = [(1, " ".join([a, *map(str, range(12))])), (2, " ".join([b, *map(str, range(12))])), (3, " ".join([a, *map(str, range(12))]))]
+    got = fmdedup.substring_dedup(spark.createDataFrame([(*r, "x", 1, 1) for r in rows], SCHEMA)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert [r.n_removed for r in sorted(got)] == [0, 0, 13]

@@ -83,3 +83,34 @@ def test_token_files(spark, library):
     assert tokenfile.token_files(spark.createDataFrame([], SCHEMA)).collect() == []
     with_null = tokenfile.token_files(spark.createDataFrame([(None, "a", "", 0), (1, None, "", 0)], SCHEMA)).orderBy("start").collect()
     assert [(r.doc_id, r.n_tokens) for r in with_null] == [(None, 2), (1, 1)]
+
+
+def doubling(length):
+    """Two strings of the kind that collide under every polynomial hash modulo a power of two."""
+    a, b = "a", "b"
+    while len(a) < length:
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("length", [64, 1024, 4096])
+def test_span_hashes_and_token_files_tell_doubling_strings_apart(library, length):
+    from tidemark.llm.base import span_hashes
+    a, b = doubling(length)
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    h = span_hashes(raw, np.array([0, len(a)]), np.array([len(a), 2 * len(a)]))
+    assert h[0] != h[1]
+    encoder = tokenfile.LibraryEncoder(bpe.default_vocabulary())
+    texts = [f"x {a} y", f"x {b} y"]
+    assert [t.tolist() for t in encoder.encode(texts)] == [expected(library, t) for t in texts]
+
+
+def test_span_hashes_depend_on_bytes_only():
+    from tidemark.llm.base import LONG_SPAN, span_hashes
+    parts = [b"", b"a", b"b", b"a\0", b"12345678", b"123456780", b"x" * (LONG_SPAN + 5), b"x" * LONG_SPAN, "é日本".encode()]
+    seen = []
+    for lead in (b"", b"#", b"#######"):
+        raw = np.frombuffer(lead + b"".join(parts), np.uint8)
+        at = len(lead) + np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        seen.append(span_hashes(raw, at[:-1], at[1:]).tolist())
+    assert seen[0] == seen[1] == seen[2] and len(set(seen[0])) == len(parts)

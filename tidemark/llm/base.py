@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -141,20 +142,6 @@ def word_spans(raw: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
-_BASE = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit (unsigned 64-bit, wrapping)."""
     x = x.astype(np.uint64, copy=True)
@@ -166,14 +153,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_sums(raw: np.ndarray) -> np.ndarray:
-    up, _ = _power(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:len(raw)], out=sums[1:])
-    return sums
-
-
-def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: differences of polynomial prefix sums, moved to power zero and mixed."""
-    _, down = _power(len(sums))
-    return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+#: Spans beyond this length are hashed one by one.
+LONG_SPAN = 2048
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte span: eight bytes at a time enter a mixed state that begins with the length."""
+    length = (end - start).astype(np.int64)
+    padded = np.zeros(len(raw) + 16, np.uint8)
+    padded[:len(raw)] = raw
+    eight = np.ndarray((len(raw) + 8,), "<u8", buffer=padded, strides=(1,))
+    h = mix64(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    live, k = np.flatnonzero((length > 0) & (length <= LONG_SPAN)), 0
+    while len(live):
+        part = eight[start[live] + k] & _MASKS[np.minimum(length[live] - k, 8)]
+        h[live] = mix64((h[live] ^ part) + np.uint64(0xD6E8FEB86659FD93))
+        k += 8
+        live = live[length[live] > k]
+    for i in np.flatnonzero(length > LONG_SPAN).tolist():
+        h[i] = xxhash.xxh64_intdigest(padded[start[i]:end[i]].tobytes(), seed=42)
+    return h

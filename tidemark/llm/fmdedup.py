@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import mix64, prefix_sums, slices, span_hashes, stored, utf8_parts, word_spans
+from tidemark.llm.base import mix64, slices, span_hashes, stored, utf8_parts, word_spans
 
 WINDOW = 13
 GRAM = 6
@@ -147,8 +147,7 @@ class FMIndex:
 def _segments_of(raw: np.ndarray, at: np.ndarray, window: int):
     """Segments of texts laid end to end: gram hash, first word, last word, words' bytes and rows."""
     start, end, row = word_spans(raw, at)
-    sums = prefix_sums(raw)
-    hashes = span_hashes(sums, start, end)
+    hashes = span_hashes(raw, start, end)
     first, best, grams = window_minimizers(hashes, row, window)
     if not len(first):
         return None

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import prefix_sums, shared_folder, slices, span_hashes, utf8_parts
+from tidemark.llm.base import shared_folder, slices, span_hashes, utf8_parts
 from tidemark.llm.bpe import default_vocabulary
 
 #: Table size of an encoder: 16 bytes each, plus four bytes for every id kept.
@@ -147,7 +147,7 @@ class LibraryEncoder:
         if odd.any():
             usual = ~odd[row]
             start, end, row = start[usual], end[usual], row[usual]
-        h = np.maximum(span_hashes(prefix_sums(raw), start, end), np.uint64(1))
+        h = np.maximum(span_hashes(raw, start, end), np.uint64(1))
         if self.held > self.slots * 5 // 8:
             self._clear()
         slot = self._find(h)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import prefix_sums, release, slices, span_hashes, utf8_parts, word_spans
+from tidemark.llm.base import release, slices, span_hashes, utf8_parts, word_spans
 
 SAMPLE = 4_000
 BUCKETS = 1 << 18
@@ -44,10 +44,9 @@ def hashed_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Bucket numbers (one row per word, one column per span) and the text of each word."""
     raw = LOWER[raw]
     start, end, row = word_spans(raw, at, SEPARATOR)
-    sums = prefix_sums(raw)
     ids = np.empty((len(start), len(SPANS)), np.int32)
     for k, span in enumerate(SPANS):
-        mixed = span_hashes(sums, start, np.minimum(end, start + span)) * np.uint64(2 * k + 1)
+        mixed = span_hashes(raw, start, np.minimum(end, start + span)) * np.uint64(2 * k + 1)
         ids[:, k] = (mixed >> np.uint64(40)) % np.uint64(BUCKETS)
     return ids, row
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import bearing_deg, compass, haversine_m
+from tidemark.functions.joins import join_small
 from tidemark.functions.nulls import clip, finite, ratio, within
 from tidemark.functions.ordering import previous_row, running_sums
 from tidemark.functions.quantiles import exact_quantiles, select_ranks
@@ -67,3 +68,26 @@ def test_geography(spark):
                               compass(F.lit(350.0)).alias("n"), compass(F.lit(200.0)).alias("s")).first()
     assert abs(r["d"] - 6371000 * np.pi / 180) < 1e-3 and abs(r["b"] - 90) < 1e-9
     assert (r["n"], r["s"]) == ("N", "SSW")
+
+
+def test_null_keys_are_groups_of_their_own(spark):
+    rows = [(None, 1, 4.0), (None, 2, 6.0), ("a", 1, 1.0), ("a", 2, 3.0), (None, 3, None)]
+    df = spark.createDataFrame(rows, "k string, i int, v double")
+    assert {r.k: (r.n, r.m) for r in exact_quantiles(df, ["k"], "v", {"m": 0.5}).collect()} == {None: (2, 5.0), "a": (2, 2.0)}
+    run = running_sums(df, ["k"], F.col("i"), F.floor(F.col("i") / 2), {"v": "s"}).collect()
+    assert sorted(((r.k, r.i, r.s) for r in run), key=str) == sorted([(None, 1, 4.0), (None, 2, 10.0), (None, 3, 10.0), ("a", 1, 1.0), ("a", 2, 4.0)], key=str)
+    lag = previous_row(df, ["k"], ["i"], F.floor(F.col("i") / 2), {"v": "p"}).collect()
+    assert sorted(((r.k, r.i, r.p) for r in lag), key=str) == sorted([(None, 1, None), (None, 2, 4.0), (None, 3, 6.0), ("a", 1, None), ("a", 2, 1.0)], key=str)
+    small = spark.createDataFrame([(None, 7), ("a", 8)], "k string, w int")
+    for limit in (0, 10):
+        assert sorted(((r.k, r.i, r.w) for r in join_small(df, small, ["k"], limit=limit).collect()), key=str) == sorted([(k, i, 8 if k else 7) for k, i, _ in rows], key=str)
+
+
+def test_asof_bracket_and_sensor_scores_keep_null_keys(spark):
+    from tidemark.operators import climatology as cl
+    series = spark.createDataFrame([(None, 1, 0.5), (None, 5, 0.7), ("a", 2, 0.1)], "k string, t int, v double")
+    targets = spark.createDataFrame([(None, 3), ("a", 1)], "k string, target int")
+    got = {r.k: (r.before and r.before.v, r.after and r.after.v) for r in cl.asof_bracket(series, targets, ["k"], "t", ["v"], F.floor(F.col("t") / 2)).collect()}
+    assert got == {None: (0.5, 0.7), "a": (None, 0.1)}
+    obs = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "k string, x double")
+    assert sorted(((r.k, r.x_z) for r in cl.sensor_zscores(obs, ["k"], ["x"]).collect()), key=str) == sorted([(None, -1.0), (None, 1.0), ("a", None)], key=str)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import join_nulls
+
 
 def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  chunk: Column, columns: Mapping[str, str]) -> DataFrame:
@@ -16,6 +18,7 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     size).  Rows see their predecessor inside their chunk through a window over
     ``keys + chunk``; the first row of each chunk takes the last row of the chunk before,
     from a table of one row per (key, chunk).  ``columns`` maps source to output names.
+    NULL keys and chunks are values like any other.
     """
     keys, order = list(keys), list(order)
     sources = list(columns)
@@ -28,7 +31,7 @@ def previous_row(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("__tail"))
     across = Window.partitionBy(*keys).orderBy("__chunk")
     tails = tails.withColumn("__carry", F.lag("__tail").over(across)).drop("__tail")
-    joined = lagged.join(tails, [*keys, "__chunk"], "left")
+    joined = join_nulls(lagged, tails, [*keys, "__chunk"], "left")
     prev = F.when(F.col("__head"), F.col("__carry")).otherwise(F.col("__prev"))
     joined = joined.withColumn("__p", prev)
     for source, out in columns.items():
@@ -41,7 +44,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Column, chunk: Colum
 
     ``chunk`` must not decrease along ``order``: sums run inside (key, chunk) and are lifted
     by the totals of the chunks before, a table of one row per key and chunk.  ``sums`` maps
-    source to output column names; ``order`` should be unique per key.
+    source to output column names; ``order`` should be unique per key.  NULL is a key like any other.
     """
     keys = list(keys)
     chunked = df.withColumn("__chunk", chunk)
@@ -50,6 +53,6 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: Column, chunk: Colum
     totals = chunked.groupBy(*keys, "__chunk").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     across = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*keys, "__chunk", *[F.coalesce(F.sum(f"__t_{s}").over(across), F.lit(0)).alias(f"__b_{s}") for s in sums])
-    out = local.join(totals, [*keys, "__chunk"])
+    out = join_nulls(local, totals, [*keys, "__chunk"])
     return (out.withColumns({name: F.col(f"__in_{s}") + F.col(f"__b_{s}") for s, name in sums.items()})
             .drop("__chunk", *[f"__{p}_{s}" for s in sums for p in ("in", "b")]))

@@ -18,6 +18,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import join_nulls
+
 BINS_PER_E = 1024
 
 
@@ -31,7 +33,7 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
     """Exact values at given 0-based ranks of each group.
 
     ``ranks`` maps an output column to an expression over ``n`` (the group's non-null
-    count).  Returns ``keys``, ``n`` and one column per rank.
+    count).  Returns ``keys``, ``n`` and one column per rank.  NULL is a group like any other.
     """
     keys = list(keys)
     names = list(ranks)
@@ -47,7 +49,7 @@ def select_ranks(df: DataFrame, keys: Sequence[str], value: str,
     wanted = (bins.where(F.exists("_t", lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
               .select(*keys, "_b", "_start", "n", "_t"))
 
-    counted = (base.join(wanted, [*keys, "_b"])
+    counted = (join_nulls(base, wanted, [*keys, "_b"])
                .groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_start").alias("_start"),
                                                F.first("n").alias("n"), F.first("_t").alias("_t")))
     inside = Window.partitionBy(*keys, "_b").orderBy("_v")

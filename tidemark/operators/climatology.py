@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import join_small
+from tidemark.functions.joins import join_nulls, join_small
 from tidemark.functions.nulls import clip, ratio
 from tidemark.functions.quantiles import exact_quantiles, sorted_median
 
@@ -187,7 +187,7 @@ def zone_statistics(px: DataFrame, keys: Sequence[str], features: Sequence[str],
     long = px.select(*keys, *features).unpivot(list(keys), list(features), "feature", "value")
     q = exact_quantiles(long, [*keys, "feature"], "value", {f"p{p}": p / 100 for p in pcts})
     mean = long.groupBy(*keys, "feature").agg(F.avg("value").alias("mean"))
-    out = q.join(mean, [*keys, "feature"])
+    out = join_nulls(q, mean, [*keys, "feature"])
     enough = F.col("n") >= min_n
     return out.select(*keys, "feature", "n", *[F.when(enough, F.col(c)).alias(c) for c in [f"p{p}" for p in pcts] + ["mean"]])
 
@@ -287,7 +287,7 @@ def sensor_zscores(obs: DataFrame, keys: Sequence[str], indices: Sequence[str],
     out = join_small(obs, stats, keys)
     for c in indices:
         out = out.withColumn(f"{c}_z", F.when(F.col(f"_s_{c}") > 1e-9, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")))
-    out = out.withColumn("max_abs_z", F.greatest(*[F.abs(f"{c}_z") for c in indices]))
+    out = out.withColumn("max_abs_z", F.array_max(F.array(*[F.abs(f"{c}_z") for c in indices])))
     worst = F.coalesce(*[F.when(F.abs(f"{c}_z") == F.col("max_abs_z"), F.lit(c)) for c in indices])
     flagged = F.coalesce(F.col("max_abs_z") > limit, F.lit(False))
     out = out.withColumn("flagged", flagged).withColumn("flagged_index", F.when(flagged, worst))
@@ -324,7 +324,7 @@ def asof_bracket(series: DataFrame, targets: DataFrame, keys: Sequence[str], ord
     ends = ends.select(*keys, "_c",
                        F.last("_last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_back"),
                        F.first("_first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_ahead"))
-    return (inside.join(ends, [*keys, "_c"])
+    return (join_nulls(inside, ends, [*keys, "_c"])
             .select(*keys, F.col(order).alias("target"), F.coalesce("_before", "_carry_back").alias("before"),
                     F.coalesce("_after", "_carry_ahead").alias("after")))
 

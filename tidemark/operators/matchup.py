@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import lon_gap, neighbour_cells, sphere_cell
-from tidemark.functions.joins import join_small
+from tidemark.functions.joins import join_nulls
 
 from tidemark.functions.nulls import ratio
 from tidemark.functions.quantiles import exact_quantiles
@@ -30,7 +30,7 @@ def nearest_scenes(records: DataFrame, scenes: DataFrame, keys: Sequence[str], m
     asked = records.withColumn("_b", F.explode(F.array(b - 1, b, b + 1)))
     keyed = scenes.withColumn("_b", F.floor(F.col("ts") / width))
     dt = (F.col("ts") - F.col("t")) / 3600.0
-    return join_small(asked, keyed, [*keys, "_b"]).withColumn("dt_h", dt).where(F.abs("dt_h") <= max_dt_h).drop("_b")
+    return asked.join(keyed, [*keys, "_b"]).withColumn("dt_h", dt).where(F.abs("dt_h") <= max_dt_h).drop("_b")
 
 
 def box_extract(records: DataFrame, raster: DataFrame, keys: Sequence[str], bands: Sequence[str], valid: Column, half: int = 1) -> DataFrame:
@@ -91,7 +91,7 @@ def summary(matchups: DataFrame, keys: Sequence[str] = (), station: str = "stati
     g = g.withColumn("pass_rate", F.round(ratio(F.col("n_passed").cast("double"), F.col("n_records").cast("double")), 4))
     med = exact_quantiles(matchups.where("passed").withColumn("_a", F.abs("dt_h")), keys, "_a", {"median_abs_dt_h": 0.5}).drop("n")
     if keys:
-        return g.join(med, keys, "left")
+        return join_nulls(g, med, keys, "left")
     return g.withColumn("_k", F.lit(1)).join(med.withColumn("_k", F.lit(1)), "_k", "left").drop("_k")
 
 

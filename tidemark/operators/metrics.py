@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.nulls import ratio
+from tidemark.functions.joins import join_nulls
 from tidemark.functions.ordering import running_sums
 from tidemark.functions.quantiles import BINS_PER_E, _bin, exact_quantiles
 
@@ -95,10 +96,11 @@ def regression(df: DataFrame, keys: Sequence[str], y: str, yhat: str) -> DataFra
 def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Ranks with ties averaged, for groups of any size (counts per value, cumulated in chunks)."""
     keys = list(keys)
+    df = df.where(F.col(value).isNotNull())
     per = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     run = running_sums(per, keys, F.col(value), _bin(F.col(value), BINS_PER_E), {"_c": "_cum"})
     ranks = run.select(*keys, value, (F.col("_cum") - (F.col("_c") - 1) / 2).alias(out))
-    return df.join(ranks, [*keys, value])
+    return join_nulls(df, ranks, [*keys, value])
 
 
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, min_n: int = 5) -> DataFrame:

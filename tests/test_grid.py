@@ -108,3 +108,64 @@ def test_local_median_replicates_edges(spark):
     pad = np.pad(v, 1, mode="edge")
     for x in grid.local_median(px, ["g"], "v", 3, R, C).where(F.col("row") < 3).collect():
         assert x["background"] == np.median(pad[x["row"]:x["row"] + 3, x["col"]:x["col"] + 3])
+
+
+@pytest.mark.parametrize(("window", "tile"), [(5, 4), (9, 5), (25, 128), (7, 3)])
+def test_local_median_of_tiles_fills_with_the_scene_median(spark, window, tile):
+    v = rng.normal(size=(R, C)).round(2)
+    gone = rng.random((R, C)) < 0.3
+    rows = [(1, r, c, None if gone[r, c] and (r + c) % 2 else float(v[r, c])) for r in range(R) for c in range(C) if not gone[r, c] or (r + c) % 2]
+    board = np.full((R, C), np.nan)
+    for _, r, c, x in rows:
+        board[r, c] = np.nan if x is None else x
+    board = np.where(np.isnan(board), np.nanmedian(board), board)
+    pad = np.pad(board, window // 2, mode="edge")
+    px = spark.createDataFrame([*rows, (2, 0, 0, None), (None, 3, 3, 4.0)], "g int, row int, col int, v double")
+    got = grid.local_median(px, ["g"], "v", window, R, C, tile=tile).collect()
+    assert len(got) == len(rows) + 2
+    for x in got:
+        if x["g"] == 1:
+            assert x["background"] == np.median(pad[x["row"]:x["row"] + window, x["col"]:x["col"] + window])
+        else:
+            assert x["background"] == (4.0 if x["g"] is None else None)
+
+
+def test_moving_median_of_a_wide_window():
+    b = rng.normal(size=(170, 190)).round(1)
+    got = grid.moving_medians(b, 151)
+    assert got.shape == (20, 40)
+    for r, c in [(0, 0), (19, 39), (7, 21)]:
+        assert got[r, c] == np.median(b[r:r + 151, c:c + 151])
+
+
+def test_distance_on_rows_wider_than_ten_thousand_pixels(spark):
+    width = 12_000
+    land = sorted(rng.choice(width, 25, replace=False).tolist())
+    rows = [(r, c) for r in range(3) for c in range(width) if not (r == 1 and c in land)]
+    got = {(x["row"], x["col"]): x["dist_px"] for x in grid.distance_transform(spark.createDataFrame(rows, "row int, col int"), [], 3, width).collect()}
+    for r in range(3):
+        want = np.sqrt(np.min((np.arange(width)[:, None] - np.array(land)[None, :]) ** 2, axis=1) + (r - 1) ** 2)
+        for c in range(width):
+            assert (r, c) not in got or got[r, c] == want[c]
+    assert len(got) == len(rows)
+
+
+def test_lower_envelope_of_many_runs():
+    for _ in range(50):
+        sizes = rng.integers(1, 60, 5)
+        end = np.cumsum(sizes)
+        start, n = end - sizes, int(end[-1])
+        place = np.concatenate([np.arange(k) + rng.integers(0, 99) for k in sizes])
+        height = np.where(rng.random(n) < 0.4, np.inf, rng.integers(0, 20, n))
+        got = grid.nearest_squares(place, height, start, end)
+        for a, z in zip(start, end):
+            np.testing.assert_array_equal(got[a:z], ((place[a:z, None] - place[None, a:z]) ** 2 + height[None, a:z] ** 2).min(axis=1))
+
+
+def test_dark_regions_tell_wind_and_lookalikes(spark):
+    lab = spark.createDataFrame([(g, r, c, 7, 6.0) for g in (1, 2, 3) for r in range(4) for c in range(9)], "g int, row int, col int, label int, drop double")
+    wind = F.when(F.col("g") == 1, 2.04).when(F.col("g") == 2, 13.0).otherwise(6.0)
+    got = {x["g"]: x for x in grid.dark_regions(lab, ["g"], "drop", 20.0, 0.001, wind).collect()}
+    assert got[1]["notes"] == ["wind 2.0 m/s: most of the sea is smooth, lookalikes dominate"] and got[3]["notes"] == []
+    assert got[2]["notes"][0].startswith("wind 13.0 m/s") and [got[k]["confidence"] for k in (1, 2, 3)] == [0.3, 0.5, 1.0]
+    assert all(x["event_type"] == "SURFACE_DARK_ANOMALY" and len(x["lookalikes"]) == 6 for x in got.values())

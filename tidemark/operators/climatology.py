@@ -1,7 +1,7 @@
 """Seasonal climatology, robust anomalies, baselines and series statistics.
 
 Histories enter with one value per site and day (a map-side combine of whatever the day
-holds), so a site's history is bounded by the calendar and may safely be one array.  Zones
+holds), so a site's history is bounded by the calendar and may safely stand in one task.  Zones
 and other groups without such a bound go through ``exact_quantiles``.
 """
 
@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import map_blocks
 from tidemark.functions.joins import join_nulls, join_small
 from tidemark.functions.nulls import clip, ratio
 from tidemark.functions.quantiles import exact_quantiles, sorted_median
+from tidemark.functions.seasonal import season_stats
 
 # --- Fixed values: detection rule ------------------------------------------------------
 FLOORS = {"NDCI": 0.02, "MCI": 0.002, "FAI": 0.002, "TUR_NECHAD2016": 1.0, "HUE_ANGLE": 5.0, "CDOM_RATIO": 0.1}
@@ -33,8 +37,9 @@ def doy_distance(a: Column, b: Column) -> Column:
     return F.least(gap, 365 - gap)
 
 
-def climatology_pairs(dates: DataFrame, keys: Sequence[str], date: str = "d", window_days: int = WINDOW_DAYS) -> DataFrame:
-    """(target, same-season date of another year) pairs per site.
+def season_join(targets: DataFrame, history: DataFrame, keys: Sequence[str], values: Sequence[str] = (), date: str = "d",
+                window_days: int = WINDOW_DAYS) -> DataFrame:
+    """``targets`` with every same-season day of another year of the same site: ``clim_d`` and ``clim_<value>``.
 
     The day-of-year axis is cut into buckets as wide as the window; a target reads its own
     and the two neighbouring buckets, so the interval join is an equi-join plus a filter.
@@ -43,61 +48,50 @@ def climatology_pairs(dates: DataFrame, keys: Sequence[str], date: str = "d", wi
     width = 366 / n_buckets
     doy = F.dayofyear(date)
     bucket = F.least(F.floor((doy - 1) / width), F.lit(n_buckets - 1)).cast("int")
-    clim = dates.select(*keys, F.col(date).alias("clim_d"), doy.alias("_cdoy"), bucket.alias("_b"))
+    clim = history.select(*keys, F.col(date).alias("clim_d"), doy.alias("_cdoy"), bucket.alias("_b"), *[F.col(v).alias(f"clim_{v}") for v in values])
     near = F.array_distinct(F.array(*[F.pmod(bucket + i, F.lit(n_buckets)) for i in (-1, 0, 1)]))
-    target = dates.select(*keys, F.col(date), doy.alias("_doy"), F.explode(near).alias("_b"))
-    pairs = target.join(clim, [*keys, "_b"])
-    return (pairs.where((doy_distance(F.col("_doy"), F.col("_cdoy")) <= window_days) & (F.year(date) != F.year("clim_d")))
-            .select(*keys, date, "clim_d"))
-
-
-def robust_anomaly(daily: DataFrame, keys: Sequence[str], floors: Mapping[str, float], date: str = "d",
-                   window_days: int = WINDOW_DAYS, min_n: int = MIN_CLIM, keep_history: bool = False) -> DataFrame:
-    """Robust z, seasonal percentile, count, median and scale of every site-day and feature.
-
-    One shuffle by site: the site's calendar is one array, every day filters the array for
-    its own season in other years, and only the filtered values travel on.  ``keep_history``
-    also returns the (date, value) history used, for persistence tests.
-    """
-    feats = list(floors)
-    entry = F.struct(F.col(date).alias("d"), F.dayofyear(date).alias("doy"), F.year(date).alias("yr"), *[F.col(f) for f in feats])
-    site = daily.groupBy(*keys).agg(F.collect_list(entry).alias("_h"))
+    asked = targets.withColumns({"_doy": doy, "_b": F.explode(near)})
+    pairs = asked.join(clim, [*keys, "_b"])
+    return pairs.where((doy_distance(F.col("_doy"), F.col("_cdoy")) <= window_days) & (F.year(date) != F.year("clim_d"))).drop("_b", "_doy", "_cdoy")
 
-    def season(t, f):
-        return F.filter("_h", lambda h: (h["yr"] != t["yr"]) & (doy_distance(h["doy"], t["doy"]) <= window_days) & h[f].isNotNull())
 
-    def row(t):
-        cols = [t["d"].alias("d")] + [t[f].alias(f) for f in feats]
-        for f in feats:
-            if keep_history:
-                cols.append(F.transform(season(t, f), dated(f)).alias(f"{f}_hist"))
-            cols.append(F.array_sort(F.transform(season(t, f), field(f))).alias(f"{f}_clim"))
-        return F.struct(*cols)
+def climatology_pairs(dates: DataFrame, keys: Sequence[str], date: str = "d", window_days: int = WINDOW_DAYS) -> DataFrame:
+    """(target, same-season date of another year) pairs per site."""
+    return season_join(dates.select(*keys, date), dates, keys, (), date, window_days).select(*keys, date, "clim_d")
 
-    def field(f):
-        return lambda h: h[f]
 
-    def dated(f):
-        return lambda h: F.struct(h["d"].alias("d"), h[f].alias("v"))
+def _season_columns(table: pa.Table, new: np.ndarray, floors: Mapping[str, float], window_days: int, min_n: int) -> pa.Table:
+    site = np.cumsum(new) - 1
+    doy, year = (table.column(c).to_numpy().astype(np.int64) for c in ("_doy", "_yr"))
+    undated = year < 0
+    for f, floor in floors.items():
+        x = np.where(undated, np.nan, table.column(f).to_numpy().astype(np.float64))
+        n, median, mad, below = season_stats(site, doy, year, x, window_days)
+        n, median, mad = np.where(undated, 0, n), np.where(undated, np.nan, median), np.where(undated, np.nan, mad)
+        scale = MAD_SCALE * mad + floor
+        judged = (n >= min_n) & np.isfinite(x)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            z, pct = (x - median) / scale, 100.0 * below / np.maximum(n, 1)
+        table = (table.append_column(f"{f}_n", pa.array(n, pa.int32())).append_column(f"{f}_med", pa.array(median, mask=n == 0))
+                 .append_column(f"{f}_scale", pa.array(scale, mask=n == 0)).append_column(f"{f}_z", pa.array(z, mask=~judged | (n == 0))).append_column(f"{f}_pct", pa.array(pct, mask=~judged)))
+    return table.drop_columns(["_doy", "_yr"])
 
-    def deviation(f):
-        return lambda x: F.abs(x - F.col(f"{f}_med"))
 
-    def smaller(f):
-        return lambda x: x < F.col(f)
+def robust_anomaly(daily: DataFrame, keys: Sequence[str], floors: Mapping[str, float], date: str = "d",
+                   window_days: int = WINDOW_DAYS, min_n: int = MIN_CLIM) -> DataFrame:
+    """Robust z, seasonal percentile, count, median and scale of every site-day and feature.
 
-    out = site.select(*keys, F.explode(F.transform("_h", row)).alias("_t")).select(*keys, "_t.*")
-    out = out.withColumnRenamed("d", date) if date != "d" else out
-    for f, floor in floors.items():
-        clim = F.col(f"{f}_clim")
-        out = out.withColumn(f"{f}_n", F.size(clim)).withColumn(f"{f}_med", sorted_median(clim))
-        mad = sorted_median(F.array_sort(F.transform(clim, deviation(f))))
-        out = out.withColumn(f"{f}_scale", MAD_SCALE * mad + floor)
-        ok = (F.col(f"{f}_n") >= min_n) & F.col(f).isNotNull()
-        below = F.size(F.filter(clim, smaller(f)))
-        out = out.withColumn(f"{f}_z", F.when(ok, (F.col(f) - F.col(f"{f}_med")) / F.col(f"{f}_scale")))
-        out = out.withColumn(f"{f}_pct", F.when(ok, 100.0 * below / F.greatest(F.col(f"{f}_n"), F.lit(1))))
-    return out.drop(*[f"{f}_clim" for f in feats])
+    One shuffle by site; sites follow each other in sorted partitions, and blocks of whole sites get
+    their order statistics in numpy, n log n in the days of a site (``functions/seasonal.py``).  No array of a
+    history is built.  NULL and non-finite values and rows without a date take part in no season; NULL keys are a
+    site like any other.
+    """
+    keys, feats = list(keys), list(floors)
+    day = {"_doy": F.coalesce(F.dayofyear(date), F.lit(1)), "_yr": F.coalesce(F.year(date), F.lit(-1))}
+    src = daily.select(*keys, date, *[F.col(f).cast("double").alias(f) for f in feats]).withColumns(day)
+    kinds = {c: src.schema[c].dataType.simpleString() for c in [*keys, date, *feats]}
+    out = {f"{f}_{c}": t for f in feats for c, t in (("n", "int"), ("med", "double"), ("scale", "double"), ("z", "double"), ("pct", "double"))}
+    return map_blocks(src, keys, lambda t, new: _season_columns(t, new, floors, window_days, min_n), ", ".join(f"`{c}` {t}" for c, t in (kinds | out).items()))
 
 
 def order_stat_baseline(daily: DataFrame, keys: Sequence[str], value: str, share: float = 0.95) -> DataFrame:
@@ -159,19 +153,21 @@ def eligible_scenes(anomalies: DataFrame, keys: Sequence[str], pairs: DataFrame,
     return water.join(clim, list(keys))
 
 
-def persistence(region_px: DataFrame, keys: Sequence[str], primary: str, z_min: float = Z_MIN) -> DataFrame:
+def persistence(region_px: DataFrame, daily: DataFrame, keys: Sequence[str], site: Sequence[str], primary: str, date: str = "d",
+                window_days: int = WINDOW_DAYS, z_min: float = Z_MIN) -> DataFrame:
     """Share of past same-season dates on which half of the region already passed half the threshold.
 
-    ``region_px`` carries the pixel's history array ``<primary>_hist``, median and scale.
+    ``region_px`` carries the site columns, the date, ``<primary>_med`` and ``<primary>_scale``.  Only the sites of region
+    pixels are read from ``daily``, and only the season of each: no other pixel's history is built.
     """
-    size = region_px.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     limit = F.col(f"{primary}_med") + 0.5 * z_min * F.col(f"{primary}_scale")
-    past = region_px.select(*keys, limit.alias("_limit"), F.explode(f"{primary}_hist").alias("_h"))
-    per_date = past.groupBy(*keys, F.col("_h.d").alias("_pd")).agg(
-        F.count(F.lit(1)).alias("_valid"), F.count_if(F.col("_h.v") >= F.col("_limit")).alias("_exceed"))
-    usable = per_date.join(size, list(keys)).where(F.col("_valid") >= 0.5 * F.col("_size"))
+    asked = region_px.select(*keys, *site, date, limit.alias("_limit"))
+    size = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    past = season_join(asked, daily.select(*site, date, primary).where(F.col(primary).isNotNull() & ~F.isnan(F.col(primary).cast("double"))), site, [primary], date, window_days)
+    per_date = past.groupBy(*keys, "clim_d").agg(F.count(F.lit(1)).alias("_valid"), F.count_if(F.col(f"clim_{primary}") >= F.col("_limit")).alias("_exceed"))
+    usable = join_nulls(per_date, size, keys).where(F.col("_valid") >= 0.5 * F.col("_size"))
     share = usable.groupBy(*keys).agg(F.avg((F.col("_exceed") >= 0.5 * F.col("_valid")).cast("double")).alias("persistence_frac"))
-    return size.drop("_size").join(share, list(keys), "left")
+    return join_nulls(size.drop("_size"), share, keys, "left")
 
 
 def region_medians(region_px: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

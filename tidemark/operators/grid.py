@@ -13,14 +13,25 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.quantiles import exact_quantiles, sorted_median
+from tidemark.functions.blocks import map_blocks
+from tidemark.functions.joins import join_small
+from tidemark.functions.quantiles import exact_quantiles
 from tidemark.session import cut_lineage
 
 
+# --- Fixed values: dark patches on radar -------------------------------------------------
+DARK_TYPE = "SURFACE_DARK_ANOMALY"
+LOOKALIKES = ("low wind area", "biogenic surface film (blooms)", "rain cell", "upwelling", "wind shadow behind land", "grease ice / newly formed ice (not in the UAE)")
+CALM_MS, ROUGH_MS = 3.0, 12.0
+CALM_NOTE = "most of the sea is smooth, lookalikes dominate"
+ROUGH_NOTE = "surface films break up; a dark patch is unusual"
+
+
 def _runs(df: DataFrame, keys: Sequence[str], line: str, along: str, run: str) -> DataFrame:
     """Mark maximal runs of consecutive pixels of one line: adds the run's first position."""
     w = Window.partitionBy(*keys, line).orderBy(along)
@@ -234,30 +245,67 @@ def fill_holes(mask: DataFrame, grids: DataFrame, keys: Sequence[str], n_cols: i
     return mask.select(*keys, "row", "col").unionByName(holes.select(*keys, "row", "col"))
 
 
+def nearest_squares(place: np.ndarray, height: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """min over j of (place - place_j) ** 2 + height_j ** 2 within each run [start, end) of ascending places.
+
+    The lower envelope of the parabolas: the best j never moves back as the place moves on, so the best of
+    a middle place parts the candidates of the places on either side.  All runs take a step together, every step
+    reads each candidate about once, and there are log2 (longest run) steps.
+    """
+    out = np.empty(len(place))
+    rise = height.astype(np.float64) ** 2
+    x0, x1, j0, j1 = (np.asarray(v, np.int64) for v in (start, end, start, np.asarray(end) - 1))
+    while len(x0):
+        mid = (x0 + x1) // 2
+        size = j1 - j0 + 1
+        first = np.cumsum(size) - size
+        j = np.repeat(j0 - first, size) + np.arange(int(size.sum()))
+        cost = (np.repeat(place[mid], size) - place[j]).astype(np.float64) ** 2 + rise[j]
+        least = np.minimum.reduceat(cost, first)
+        out[mid] = least
+        hit = np.flatnonzero(cost == np.repeat(least, size))
+        best = j[hit[np.searchsorted(hit, first)]]
+        x0, x1, j0, j1 = (np.concatenate(v) for v in ((x0, mid + 1), (mid, x1), (j0, best), (best, j1)))
+        some = x0 < x1
+        x0, x1, j0, j1 = x0[some], x1[some], j0[some], j1[some]
+    return out
+
+
+def _row_distances(table: pa.Table, new: np.ndarray, n_cols: int) -> pa.Table:
+    col = table.column("col").to_numpy().astype(np.int64)
+    gap = table.column("_g").to_numpy().astype(np.float64)
+    gap = np.where(np.isnan(gap), np.inf, gap)
+    head = new.copy()
+    head[1:] |= col[1:] != col[:-1] + 1                                      # runs of neighbouring pixels
+    at = np.flatnonzero(head)
+    size = np.diff(np.append(at, len(col)))
+    tail = at + size - 1
+    run = np.cumsum(head) - 1
+    # each run stands between the pixels at its ends: false ones, or the border of the raster
+    start = at + 2 * np.arange(len(at))
+    place, height = np.empty(len(col) + 2 * len(at), np.int64), np.empty(len(col) + 2 * len(at))
+    own = np.arange(len(col)) + 2 * run + 1
+    place[own], height[own] = col, gap
+    place[start], height[start] = col[at] - 1, np.where(col[at] > 0, 0.0, np.inf)
+    place[start + size + 1], height[start + size + 1] = col[tail] + 1, np.where(col[tail] < n_cols - 1, 0.0, np.inf)
+    d = np.sqrt(nearest_squares(place, height, start, start + size + 2)[own])
+    return table.drop_columns(["_g"]).append_column("dist_px", pa.array(d, mask=~np.isfinite(d)))
+
+
 def distance_transform(mask: DataFrame, keys: Sequence[str], n_rows: int, n_cols: int) -> DataFrame:
     """Exact Euclidean distance (pixels) from each true pixel to the nearest false pixel of the grid.
 
-    Separable: the vertical distance comes from the column run; along the row only the
-    pixel's own run matters, because its end is a false pixel.  A run is one array (at most
-    a raster row), and each pixel looks no further than the best distance it already has.
-    NULL where the grid has no false pixel in reach.
+    Separable: the vertical distance comes from the column run; along a row run the lower envelope of
+    the parabolas over those distances gives the nearest pixel (``nearest_squares``).  A task holds
+    one row of a raster at a time; nothing is copied per pixel.  NULL where the grid has no false pixel in reach.
     """
-    m = _depth(mask.select(*keys, "row", "col"), keys)
+    m = _runs(mask.select(*keys, "row", "col"), keys, "col", "row", "r0")
+    m = m.withColumn("r1", F.max("row").over(Window.partitionBy(*keys, "col", "r0")))
     up = F.when(F.col("r0") > 0, F.col("row") - F.col("r0") + 1)
     down = F.when(F.col("r1") < n_rows - 1, F.col("r1") - F.col("row") + 1)
-    m = m.withColumn("_g", F.least(up, down))                       # least skips NULL
-    run = (m.groupBy(*keys, "row", "c0", "c1")
-           .agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "_g"))), lambda s: s["_g"]).alias("_gs")))
-    px = run.withColumn("col", F.explode(F.sequence("c0", "c1")))
-    left = F.when(F.col("c0") > 0, F.col("col") - F.col("c0") + 1)
-    right = F.when(F.col("c1") < n_cols - 1, F.col("c1") - F.col("col") + 1)
-    own = F.get("_gs", F.col("col") - F.col("c0"))
-    px = px.withColumn("_side", F.least(left, right)).withColumn("_reach", F.coalesce(F.least("_side", own), F.lit(n_cols)))
-    a = F.greatest(F.col("col") - F.col("_reach"), F.col("c0"))
-    b = F.least(F.col("col") + F.col("_reach"), F.col("c1"))
-    best = F.array_min(F.transform(F.sequence(a, b), lambda j: F.pow(F.col("col") - j, 2) + F.pow(F.get("_gs", j - F.col("c0")), 2)))
-    sq = F.least(best, F.pow(F.col("_side"), 2))
-    return px.select(*keys, "row", "col", F.sqrt(sq).alias("dist_px"))
+    m = m.select(*keys, "row", "col", F.least(up, down).cast("double").alias("_g"))                       # least skips NULL
+    schema = ", ".join(f"`{c}` {m.schema[c].dataType.simpleString()}" for c in [*keys, "row", "col"])
+    return map_blocks(m, [*keys, "row"], lambda t, new: _row_distances(t, new, n_cols), f"{schema}, dist_px double", ["col"])
 
 
 def shore_zones(dist: DataFrame, pixel_m: float, nearshore_m: float = 1500.0) -> DataFrame:
@@ -279,33 +327,93 @@ def sample_acquisitions(acquisitions: DataFrame, order: Sequence[str], total: in
     return numbered.where(F.col("_i") % step == 0).drop("_i")
 
 
-def _spread(df: DataFrame, at: str, size: int, half: int) -> DataFrame:
-    """Send an array column ``_a`` to every position within ``half``; edge values repeat as a replicated border would."""
-    target = F.sequence(F.greatest(F.col(at) - half, F.lit(0)), F.least(F.col(at) + half, F.lit(size - 1)))
-    out = df.withColumn("_t", F.explode(target))
-    extra = (F.when(F.col(at) == 0, F.greatest(half - F.col("_t"), F.lit(0))).otherwise(0)
-             + F.when(F.col(at) == size - 1, F.greatest(half - (size - 1 - F.col("_t")), F.lit(0))).otherwise(0))
-    return out.withColumn("_a", F.flatten(F.array_repeat("_a", extra + 1))).withColumn(at, F.col("_t")).drop("_t")
+#: Side of the tiles of a moving median; a tile is read with a border of half a window.
+MEDIAN_TILE = 128
 
 
-def local_median(px: DataFrame, keys: Sequence[str], value: str, window: int, n_rows: int, n_cols: int) -> DataFrame:
-    """Exact moving median over an odd square window, edges replicated.
+def moving_medians(board: np.ndarray, window: int) -> np.ndarray:
+    """Median of every full ``window`` x ``window`` square of ``board`` (odd window).
 
-    Values are gathered along rows first and along columns second, so a pixel is copied
-    2 x window times instead of window squared; a pixel ends with one array of the window's
-    values.  For windows of a hundred pixels average to a coarser grid first.
+    Every cell gets its own rank once.  A row of output keeps which ranks its window holds, with counts per
+    256 ranks; moving on by a column, one column of ranks enters and one leaves, for all rows at once.
     """
+    tall, wide = board.shape
+    rows, cols, half = tall - window + 1, wide - window + 1, window * window // 2
+    order = np.argsort(board, axis=None, kind="stable")
+    ranks = np.empty(board.size, np.int64)
+    ranks[order] = np.arange(board.size)
+    ranks = ranks.reshape(board.shape)
+    values = board.ravel()[order]
+    coarse = (board.size >> 8) + 1
+    held = np.zeros((rows, coarse << 8), bool)
+    count = np.zeros((rows, coarse), np.int64)
+    down = np.arange(rows)[:, None] + np.arange(window)[None, :]             # the window's rows of each row of output
+    line = np.broadcast_to(np.arange(rows)[:, None], down.shape)
+
+    def turn(col: int, on: bool) -> None:
+        r = ranks[down, col]
+        held[line, r] = on
+        moved = np.bincount((line * coarse + (r >> 8)).ravel(), minlength=rows * coarse).reshape(rows, coarse)
+        count[...] += moved if on else -moved
+
+    out, every = np.empty((rows, cols)), np.arange(rows)
+    for col in range(wide):
+        turn(col, True)
+        if col >= window:
+            turn(col - window, False)
+        if col >= window - 1:
+            upto = np.cumsum(count, axis=1)
+            part = (upto > half).argmax(axis=1)
+            rest = half - (upto[every, part] - count[every, part])
+            inside = np.cumsum(held.reshape(rows, coarse, 256)[every, part], axis=1)
+            out[:, col - window + 1] = values[(part << 8) + (inside > rest[:, None]).argmax(axis=1)]
+    return out
+
+
+def _tile_medians(keys: list[str], value: str, window: int, n_rows: int, n_cols: int, tile: int):
     half = window // 2
-    cells = px.where(F.col(value).isNotNull()).select(*keys, "row", "col", F.array(F.col(value).cast("double")).alias("_a"))
-    along = _spread(cells, "col", n_cols, half).groupBy(*keys, "row", "col").agg(F.flatten(F.collect_list("_a")).alias("_a"))
-    square = _spread(along, "row", n_rows, half).groupBy(*keys, "row", "col").agg(F.array_sort(F.flatten(F.collect_list("_a"))).alias("_a"))
-    wanted = square.join(px.select(*keys, "row", "col"), [*keys, "row", "col"], "left_semi")
-    return wanted.select(*keys, "row", "col", sorted_median(F.col("_a")).alias("background"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r0, c0 = int(pdf["_tr"].iloc[0]) * tile, int(pdf["_tc"].iloc[0]) * tile
+        r1, c1 = min(r0 + tile, n_rows), min(c0 + tile, n_cols)
+        top, left, bottom, right = max(r0 - half, 0), max(c0 - half, 0), min(r1 + half, n_rows), min(c1 + half, n_cols)
+        row, col = pdf["row"].to_numpy().astype(np.int64), pdf["col"].to_numpy().astype(np.int64)
+        board = np.full((bottom - top, right - left), float(pdf["_fill"].iloc[0]))
+        v = pdf[value].to_numpy(dtype=np.float64, na_value=np.nan)
+        known = np.isfinite(v)
+        board[row[known] - top, col[known] - left] = v[known]
+        board = np.pad(board, ((half - (r0 - top), half - (bottom - r1)), (half - (c0 - left), half - (right - c1))), mode="edge")
+        own = (row >= r0) & (row < r1) & (col >= c0) & (col < c1)
+        out = pdf.loc[own, [*keys, "row", "col"]]
+        if not own.any():
+            return out.assign(background=np.zeros(0))
+        return out.assign(background=moving_medians(board, window)[row[own] - r0, col[own] - c0])
+    return run
+
+
+def local_median(px: DataFrame, keys: Sequence[str], value: str, window: int, n_rows: int, n_cols: int, tile: int = MEDIAN_TILE) -> DataFrame:
+    """Exact moving median over an odd square window of any size, edges replicated.
+
+    Cells of the grid that are absent, NULL or not finite count with the scene's median.  The raster is cut into
+    tiles that are read with a border of half a window, so a pixel is copied to the few tiles it reaches and a
+    task holds one tile, whatever the raster's size.  NULL where a scene has no value at all.
+    """
+    keys, half = list(keys), window // 2
+    known = F.when(~F.isnan(F.col(value).cast("double")) & (F.abs(F.col(value)) < float("inf")), F.col(value).cast("double"))
+    cells = px.select(*keys, "row", "col", known.alias(value))
+    fill = exact_quantiles(cells, keys, value, {"_fill": 0.5}).drop("n")
+    reach = lambda c, n: F.sequence(F.greatest(F.floor((F.col(c) - half) / tile), F.lit(0)), F.least(F.floor((F.col(c) + half) / tile), F.lit((n - 1) // tile)))
+    spread = (join_small(cells, fill, keys, "left") if keys else cells.crossJoin(F.broadcast(fill)))
+    empty = spread.where(F.col("_fill").isNull()).select(*keys, "row", "col", F.lit(None).cast("double").alias("background"))
+    spread = spread.where(F.col("_fill").isNotNull()).withColumn("_tr", F.explode(reach("row", n_rows))).withColumn("_tc", F.explode(reach("col", n_cols)))
+    schema = ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in [*keys, "row", "col"])
+    medians = spread.groupBy(*keys, "_tr", "_tc").applyInPandas(_tile_medians(keys, value, window, n_rows, n_cols, tile), f"{schema}, background double")
+    return medians.unionByName(empty)
 
 
 def dark_regions(labelled: DataFrame, keys: Sequence[str], drop: str, pixel_m: float, min_area_km2: float,
                  wind: Column | None = None) -> DataFrame:
-    """Dark patches: area, median contrast, elongation from the 2 x 2 covariance, confidence by wind."""
+    """Dark patches: area, median contrast, elongation from the 2 x 2 covariance, confidence by wind, notes and lookalikes."""
     cov = labelled.groupBy(*keys, "label").agg(
         F.count(F.lit(1)).alias("n_px"), F.avg("row").alias("centroid_row"), F.avg("col").alias("centroid_col"),
         F.var_samp("row").alias("_rr"), F.var_samp("col").alias("_cc"), F.covar_samp("row", "col").alias("_rc"))
@@ -316,10 +424,13 @@ def dark_regions(labelled: DataFrame, keys: Sequence[str], drop: str, pixel_m: f
     gap = F.sqrt(F.pow((F.col("_rr") - F.col("_cc")) / 2, 2) + F.pow("_rc", 2))
     stretch = F.when(F.col("n_px") > 2, F.sqrt((half + gap) / F.greatest(half - gap, F.lit(1e-9)))).otherwise(F.lit(1.0))
     out = cov.withColumn("elongation", stretch).drop("_rr", "_cc", "_rc").join(contrast, [*keys, "label"])
-    factor = F.lit(1.0)
+    factor, note = F.lit(1.0), F.lit(None).cast("string")
     if wind is not None:
-        factor = F.when(wind < 3.0, 0.3).when(wind > 12.0, 0.5).otherwise(1.0)
-    return out.withColumn("confidence", F.least(F.lit(1.0), F.col("contrast_db") / 6.0) * factor)
+        factor = F.when(wind < CALM_MS, 0.3).when(wind > ROUGH_MS, 0.5).otherwise(1.0)
+        speed = F.format_string("wind %.1f m/s: ", wind)
+        note = F.when(wind < CALM_MS, F.concat(speed, F.lit(CALM_NOTE))).when(wind > ROUGH_MS, F.concat(speed, F.lit(ROUGH_NOTE)))
+    return out.withColumns({"confidence": F.least(F.lit(1.0), F.col("contrast_db") / 6.0) * factor, "notes": F.array_compact(F.array(note)),
+                            "event_type": F.lit(DARK_TYPE), "lookalikes": F.array(*[F.lit(x) for x in LOOKALIKES])})
 
 
 def mask_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -322,7 +322,7 @@ def robust_background(df: DataFrame, keys: Sequence[str], features: Sequence[str
     population would fall below three times the dimension keeps its previous estimate.
     """
     from tidemark.session import cut_lineage
-    df = df.select(*keys, *features)
+    df = cut_lineage(df.select(*keys, *features))                           # the input is read once, whatever comes before it
     current = cut_lineage(moments(df, keys, features)).withColumn("stop", F.lit(False))
     previous = None
     for _ in range(n_iter):
@@ -377,7 +377,7 @@ def rx_percentile(scene_px: DataFrame, region_px: DataFrame, keys: Sequence[str]
     ``scene_px``: water pixels (keys, features); ``region_px``: region pixels (keys, label, features).
     """
     from tidemark.session import cut_lineage
-    full = scene_px.dropna(subset=list(features))
+    full = cut_lineage(scene_px.select(*keys, *features).dropna(subset=list(features)))
     size = full.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_px).drop("_n")
     full = full.join(size, list(keys), "left_semi")
     stats = full.groupBy(*keys).agg(*[F.avg(f).alias(f"_m_{f}") for f in features], *[F.stddev_pop(f).alias(f"_s_{f}") for f in features])

@@ -10,6 +10,8 @@ from tidemark.functions.ordering import previous_row
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import climatology as cl
 from tidemark.operators import grid
+from tidemark.operators import spectra as sp
+from tidemark.operators.learn import TRIAGE_FEATURES
 from tidemark.operators.pixels import feature_columns, scl_usable
 from tidemark.plans.base import query, r6
 from tidemark.session import cut_lineage
@@ -85,49 +87,65 @@ def order_stat_baseline(spark, d):
 
 # --- detection on the quarterly raster stack -------------------------------------------
 FEATS = {"ndci": 0.02, "mci": 0.002, "tur": 1.0}
+ALL_FEATS = FEATS | {"fai": 0.002, "hue": 5.0}
 DAYS, MIN_N, Z, PCT, Z2 = 100, 4, 0.1, 45.0, -1.5
-SQL_DETECT = f"""{SQL_STACK}, {sql_anomaly('stack', ['row', 'col'], FEATS, DAYS, MIN_N)}, {SHAPE},
+
+
+def sql_detect(feats):
+    return f"""{SQL_STACK}, {sql_anomaly('stack', ['row', 'col'], feats, DAYS, MIN_N)}, {SHAPE},
 h AS MATERIALIZED (SELECT scene, row, col FROM an WHERE z_ndci >= {Z} AND pct_ndci >= {PCT} AND z_mci >= {Z2}), {sql_erode('e', 'h', 1)}, {sql_dilate('g', 'e', 1, False)},
 m AS MATERIALIZED (SELECT scene, row, col, row * 50 + col AS id FROM g), {sql_components('m')},
 rp AS MATERIALIZED (SELECT cc.scene, cc.lbl AS label, an.* EXCLUDE (scene) FROM cc JOIN an ON an.scene = cc.scene AND an.row = cc.id // 50 AND an.col = cc.id % 50)"""
 
 
-def detected(spark, d, history=False):
-    """Anomalies of every pixel and the labelled pixels of the detected regions."""
-    a = cl.robust_anomaly(stack(spark, d).drop("scene"), ["row", "col"], FEATS, window_days=DAYS, min_n=MIN_N, keep_history=history)
-    # Read by the hit rule, the regions and their evidence: computed once, kept reliably.
-    a = cut_lineage(a.withColumn("scene", F.year("d") * 4 + F.quarter("d") - 1))
-    hit = cl.hits(a, "ndci", ["mci"], Z, PCT, Z2).select("scene", "row", "col")
-    opened = grid.opening(hit, ["scene"], 1, n_rows(spark, d), GRID_COLS)
-    labelled = grid.connected_components(opened, ["scene"], GRID_COLS)
-    return a, labelled, labelled.join(a, ["scene", "row", "col"])
+SQL_DETECT = sql_detect(FEATS)
+
+
+def anomalies(st, feats):
+    """Anomalies of the given pixels of the stack, each against its own season."""
+    return cl.robust_anomaly(st, ["row", "col"], feats, window_days=DAYS, min_n=MIN_N).withColumn("scene", F.year("d") * 4 + F.quarter("d") - 1)
+
+
+def region_anomalies(st, labelled, feats):
+    """Region pixels with their anomalies: only the sites of regions are read, and only their histories are ordered."""
+    sites = labelled.select("row", "col").distinct()
+    return cut_lineage(labelled.join(anomalies(st.join(sites, ["row", "col"], "left_semi"), feats), ["scene", "row", "col"]))
 
 
-# Every hypothesis whose features the stack holds; a raster of this size needs a smaller area rule.
+def detected(spark, d, feats=FEATS):
+    """The stack, the labelled pixels of the detected regions and their anomalies."""
+    st = stack(spark, d)
+    hit = cut_lineage(cl.hits(anomalies(st, {f: FEATS[f] for f in ("ndci", "mci")}), "ndci", ["mci"], Z, PCT, Z2).select("scene", "row", "col"))
+    labelled = cut_lineage(grid.connected_components(grid.opening(hit, ["scene"], 1, n_rows(spark, d), GRID_COLS), ["scene"], GRID_COLS))
+    return st, labelled, region_anomalies(st, labelled, feats)
+
+
+# Every hypothesis; a raster of this size needs a smaller area rule.
 HYPS = {"BLOOM_LIKE": ["ndci", "mci"], "SEDIMENT_LIKE": ["tur"], "SURFACE_FILM_LIKE": ["fai"]}
+HYP_FEATS = {f: ALL_FEATS[f] for parts in HYPS.values() for f in parts}
 MIN_AREA = 0.0016
 WATER = "tur < 95"
-SQL_HYPS = f"""{SQL_STACK}, {sql_anomaly('stack', ['row', 'col'], FEATS, DAYS, MIN_N)}, {SHAPE},
+_PRIMARY = "CASE {0} % 10 WHEN 0 THEN {1}ndci WHEN 1 THEN {1}tur ELSE {1}fai END"
+SQL_HYPS = f"""{SQL_STACK}, {sql_anomaly('stack', ['row', 'col'], HYP_FEATS, DAYS, MIN_N)}, {SHAPE},
 h AS MATERIALIZED (SELECT scene * 10 AS scene, row, col FROM an WHERE {WATER} AND z_ndci >= {Z} AND pct_ndci >= {PCT} AND z_mci >= {Z2}
-  UNION ALL SELECT scene * 10 + 1, row, col FROM an WHERE {WATER} AND z_tur >= {Z} AND pct_tur >= {PCT}), {sql_erode('e', 'h', 1)}, {sql_dilate('g', 'e', 1, False)},
+  UNION ALL SELECT scene * 10 + 1, row, col FROM an WHERE {WATER} AND z_tur >= {Z} AND pct_tur >= {PCT}
+  UNION ALL SELECT scene * 10 + 2, row, col FROM an WHERE {WATER} AND z_fai >= {Z} AND pct_fai >= {PCT}), {sql_erode('e', 'h', 1)}, {sql_dilate('g', 'e', 1, False)},
 m AS MATERIALIZED (SELECT scene, row, col, row * 50 + col AS id FROM g), {sql_components('m')},
-rh AS MATERIALIZED (SELECT cc.scene // 10 AS scene, CASE WHEN cc.scene % 10 = 0 THEN 'BLOOM_LIKE' ELSE 'SEDIMENT_LIKE' END AS hypothesis, cc.lbl AS label, an.row, an.col, CASE WHEN cc.scene % 10 = 0 THEN z_ndci ELSE z_tur END AS z
+rh AS MATERIALIZED (SELECT cc.scene // 10 AS scene, CASE cc.scene % 10 WHEN 0 THEN 'BLOOM_LIKE' WHEN 1 THEN 'SEDIMENT_LIKE' ELSE 'SURFACE_FILM_LIKE' END AS hypothesis, cc.lbl AS label, an.row, an.col, {_PRIMARY.format('cc.scene', 'z_')} AS z
   FROM cc JOIN an ON an.scene = cc.scene // 10 AND an.row = cc.id // 50 AND an.col = cc.id % 50),
 rg AS MATERIALIZED (SELECT scene, hypothesis, label, count(*) AS n_px, count(*) * 0.0004e0 AS area_km2, avg(row) AS centroid_row, avg(col) AS centroid_col, min(row) AS row0, min(col) AS col0, max(row) AS row1, max(col) AS col1, max(z) AS max_score
   FROM rh GROUP BY 1, 2, 3 HAVING count(*) * 0.0004e0 >= {MIN_AREA})"""
 
 
 def hypothesis_regions(spark, d):
-    """Anomalies of every pixel and the regions of every hypothesis that pass the area rule."""
-    a = cl.robust_anomaly(stack(spark, d).drop("scene"), ["row", "col"], FEATS, window_days=DAYS, min_n=MIN_N)
-    a = a.withColumn("scene", F.year("d") * 4 + F.quarter("d") - 1)
-    k = ["scene", "hypothesis"]
-    hit = cut_lineage(cl.hypothesis_hits(a, HYPS, F.expr(WATER), Z, PCT, Z2).select(*k, "row", "col"))
-    opened = grid.opening(hit, k, 1, n_rows(spark, d), GRID_COLS)
-    labelled = grid.connected_components(opened, k, GRID_COLS)
-    # Opening keeps hit pixels only, but their scores are read where they are: by the region pixels alone.
-    px = labelled.join(a, ["scene", "row", "col"]).withColumn("z", cl.primary_z({k_: v for k_, v in HYPS.items() if v[0] in FEATS}))
-    return a, cl.large_enough(grid.region_stats(px, k, 20.0, "z"), MIN_AREA)
+    """The stack and the regions of every hypothesis that pass the area rule.  Anomalies are computed once, for the
+    hits; a hit row carries the score of its hypothesis, and opening keeps hit pixels only, so regions read theirs from the hits."""
+    st, k = stack(spark, d), ["scene", "hypothesis"]
+    found = cl.hypothesis_hits(anomalies(st, HYP_FEATS), HYPS, F.expr(WATER), Z, PCT, Z2)
+    hit = cut_lineage(found.select(*k, "row", "col", F.col("primary_z").alias("z")))
+    opened = grid.opening(hit.select(*k, "row", "col"), k, 1, n_rows(spark, d), GRID_COLS)
+    px = grid.connected_components(opened, k, GRID_COLS).join(hit, [*k, "row", "col"])
+    return st, cl.large_enough(grid.region_stats(px, k, 20.0, "z"), MIN_AREA)
 
 
 @query("detect_candidates", f"""WITH RECURSIVE {SQL_HYPS}, w AS (SELECT t.scene, count(*) AS water_px FROM stack t WHERE {WATER} GROUP BY 1),
@@ -135,11 +153,11 @@ cn AS (SELECT a.scene, count(*) AS n_climatology FROM (SELECT DISTINCT scene, d
 SELECT scene, hypothesis, CAST(label AS BIGINT) AS label, n_px, {r6('area_km2')} AS area_km2, {r6('centroid_row')} AS centroid_row, {r6('centroid_col')} AS centroid_col, row0, col0,
 row1, col1, {r6('max_score')} AS max_score, n_climatology FROM rg JOIN w USING (scene) JOIN cn USING (scene) WHERE water_px >= 200 AND n_climatology >= 6""")
 def detect_candidates(spark, d):
-    a, regions = hypothesis_regions(spark, d)
-    dates = a.select("scene", "d").distinct()
+    st, regions = hypothesis_regions(spark, d)
+    dates = st.select("scene", "d").distinct()
     # One row per scene: the acquisition list pairs with itself by season, never the pixels.
     pairs = cl.climatology_pairs(dates.select("d").withColumn("k", F.lit(0)), ["k"], window_days=DAYS).join(dates, "d")
-    ok = cl.eligible_scenes(a.where(WATER), ["scene"], pairs)
+    ok = cl.eligible_scenes(st.where(WATER), ["scene"], pairs)
     return regions.join(ok.select("scene", "n_climatology"), "scene").select(
         "scene", "hypothesis", "label", "n_px", "row0", "col0", "row1", "col1", "n_climatology",
         *[rnd(F.col(c)).alias(c) for c in ("area_km2", "centroid_row", "centroid_col", "max_score")])
@@ -153,39 +171,71 @@ ps AS (SELECT sz.scene, sz.label, avg(CASE WHEN valid >= 0.5 * n THEN CAST(ex >=
 
 @query("persistence_fraction", f"WITH RECURSIVE {SQL_DETECT}, {SQL_PERSIST} SELECT scene, CAST(label AS BIGINT) AS label, {r6('persistence_frac')} AS persistence_frac FROM ps")
 def persistence_fraction(spark, d):
-    _, _, px = detected(spark, d, history=True)
-    return cl.persistence(px, ["scene", "label"], "ndci", Z).withColumn("persistence_frac", rnd(F.col("persistence_frac")))
+    st, _, px = detected(spark, d, {"ndci": FEATS["ndci"]})
+    return cl.persistence(px, st, ["scene", "label"], ["row", "col"], "ndci", "d", DAYS, Z).withColumn("persistence_frac", rnd(F.col("persistence_frac")))
 
 
+#: Water for the shore line: pixels that were clear enough on half of all acquisitions.
+SHORE_WATER = "tur < 45"
 _D3, _D2 = sql_diamond(3)[0], sql_diamond(2)[0]
 SQL_FEATURES = f"""{_D3}, {_D2}, cloud AS MATERIALIZED (SELECT scene, row, col FROM stack WHERE tur < 12),
 cring AS MATERIALIZED (SELECT DISTINCT c.scene, c.row + dr AS row, c.col + dc AS col FROM cloud c, o3), cr AS MATERIALIZED (SELECT * FROM cring ANTI JOIN cloud USING (scene, row, col)),
 ring AS (SELECT DISTINCT rp.scene, rp.label, rp.row + dr AS row, rp.col + dc AS col FROM rp, o2, shape WHERE rp.row + dr BETWEEN 0 AND nr - 1 AND rp.col + dc BETWEEN 0 AND 49),
 rr AS (SELECT ring.* FROM ring ANTI JOIN rp USING (scene, label, row, col)),
 ca AS (SELECT rr.scene, rr.label, avg(CAST(cr.row IS NOT NULL AS INTEGER)) AS cloud_adjacent_frac FROM rr LEFT JOIN cr USING (scene, row, col) GROUP BY 1, 2),
-vf AS (SELECT scene, count(*) / CAST((SELECT nr * nc FROM shape) AS DOUBLE) AS valid_frac_aoi FROM stack GROUP BY 1)"""
+vf AS (SELECT scene, count(CASE WHEN {WATER} THEN 1 END) / CAST((SELECT nr * nc FROM shape) AS DOUBLE) AS valid_frac_aoi FROM stack GROUP BY 1),
+pw AS MATERIALIZED (SELECT row, col FROM stack GROUP BY 1, 2 HAVING avg(CAST({SHORE_WATER} AS INTEGER)) >= 0.5),
+land AS MATERIALIZED (SELECT * FROM (SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM shape, generate_series(0, nr - 1) a(r), generate_series(0, nc - 1) b(c)) ANTI JOIN pw USING (row, col)),
+sh AS MATERIALIZED (SELECT pw.row, pw.col, sqrt(min(pow(pw.row - land.row, 2) + pow(pw.col - land.col, 2))) AS px FROM pw, land GROUP BY 1, 2),
+ds AS (SELECT rp.scene, rp.label, median(coalesce(px, 0)) * 20 / 1000.0e0 AS dist_shore_km FROM rp LEFT JOIN sh USING (row, col) GROUP BY 1, 2)"""
 
 
-@query("candidate_features", f"""WITH RECURSIVE {SQL_DETECT}, {SQL_PERSIST}, {SQL_FEATURES}
-SELECT scene, CAST(label AS BIGINT) AS label, {r6('median(pct_ndci)')} AS seasonal_pct_primary, {r6('median(z_ndci)')} AS robust_z_primary, {r6('log10(count(*) * 0.0004e0)')} AS log10_area_km2,
-{r6('any_value(persistence_frac)')} AS persistence_frac, {r6('median(ndci - med_ndci)')} AS ndci_delta, {r6('median(mci - med_mci)')} AS mci_delta, {r6('median(tur - med_tur)')} AS tur_delta,
-{r6('any_value(cloud_adjacent_frac)')} AS cloud_adjacent_frac, {r6('any_value(valid_frac_aoi)')} AS valid_frac_aoi
-FROM rp JOIN ps USING (scene, label) JOIN vf USING (scene) LEFT JOIN ca USING (scene, label) GROUP BY 1, 2""")
+def sql_rx(src, keys, a, b, n_iter=3, trim=0.95):
+    """Trimmed two-feature background per key with the 2 x 2 inverse written out."""
+    k = ", ".join(keys)
+    d2 = lambda s: (f"(({a} - {s}.ma) * ({a} - {s}.ma) * {s}.vb - 2 * ({a} - {s}.ma) * ({b} - {s}.mb) * {s}.vab + ({b} - {s}.mb) * ({b} - {s}.mb) * {s}.va) / ({s}.va * {s}.vb - {s}.vab * {s}.vab)")
+    agg = f"count(*) AS n, avg({a}) AS ma, avg({b}) AS mb, var_samp({a}) AS va, var_samp({b}) AS vb, covar_samp({a}, {b}) AS vab"
+    parts = [f"t0 AS MATERIALIZED (SELECT {k}, {agg} FROM {src} GROUP BY {k})", f"k0 AS MATERIALIZED (SELECT * FROM {src})"]
+    for i in range(n_iter):
+        parts.append(f"q{i} AS MATERIALIZED (SELECT {k}, quantile_cont({d2('s')}, {trim}) AS cut FROM k{i} JOIN t{i} s USING ({k}) GROUP BY {k})")
+        parts.append(f"k{i + 1} AS MATERIALIZED (SELECT x.* FROM {src} x JOIN t{i} s USING ({k}) JOIN q{i} USING ({k}) WHERE {d2('s')} <= cut)")
+        parts.append(f"t{i + 1} AS MATERIALIZED (SELECT {k}, {agg} FROM k{i + 1} GROUP BY {k})")
+    return ", ".join(parts), d2
+
+
+_RP, _RD2 = sql_rx("st2", ["scene"], "f1", "f2")
+#: Spatial RX of region means among all pixels of their scene: CTE rx with scene, label, region_rx, rx_pct.
+SQL_REGION_RX = f"""wn AS (SELECT scene, avg(ndci) AS m1, stddev_pop(ndci) AS s1, avg(tur) AS m2, stddev_pop(tur) AS s2 FROM an GROUP BY 1 HAVING count(*) >= 200),
+st2 AS MATERIALIZED (SELECT scene, (ndci - m1) / s1 AS f1, (tur - m2) / s2 AS f2 FROM an JOIN wn USING (scene)), {_RP}, wr AS (SELECT x.scene, {_RD2('s')} AS rx FROM st2 x JOIN t3 s USING (scene)),
+rm AS (SELECT rp.scene, rp.label, (avg(ndci) - any_value(m1)) / any_value(s1) AS f1, (avg(tur) - any_value(m2)) / any_value(s2) AS f2 FROM rp JOIN wn USING (scene) GROUP BY 1, 2), rs AS (SELECT x.scene, x.label, {_RD2('s')} AS rrx FROM rm x JOIN t3 s USING (scene)),
+rx AS MATERIALIZED (SELECT scene, label, any_value(rrx) AS region_rx, 100.0 * avg(CAST(rx < rrx AS INTEGER)) AS rx_pct FROM rs JOIN wr USING (scene) GROUP BY 1, 2)"""
+RX_FEATURES = ["ndci", "tur"]
+
+
+@query("candidate_features", f"""WITH RECURSIVE {sql_detect(ALL_FEATS)}, {SQL_PERSIST}, {SQL_FEATURES}, {SQL_REGION_RX}
+SELECT scene, CAST(label AS BIGINT) AS label, {r6('median(pct_ndci)')} AS seasonal_pct_primary, {r6('median(z_ndci)')} AS robust_z_primary, {r6('any_value(rx_pct)')} AS rx_pct, {r6('log10(count(*) * 0.0004e0)')} AS log10_area_km2,
+{r6('any_value(persistence_frac)')} AS persistence_frac, {r6('any_value(dist_shore_km)')} AS dist_shore_km, {r6('median(ndci - med_ndci)')} AS ndci_delta, {r6('median(mci - med_mci)')} AS mci_delta, {r6('median(tur - med_tur)')} AS tur_delta,
+{r6('median(fai)')} AS fai_mean, {r6('median(hue - med_hue)')} AS hue_delta_deg, {r6('any_value(cloud_adjacent_frac)')} AS cloud_adjacent_frac, {r6('any_value(valid_frac_aoi)')} AS valid_frac_aoi
+FROM rp JOIN ps USING (scene, label) JOIN vf USING (scene) JOIN ds USING (scene, label) LEFT JOIN ca USING (scene, label) LEFT JOIN rx USING (scene, label) GROUP BY 1, 2""")
 def candidate_features(spark, d):
-    _, labelled, px = detected(spark, d, history=True)
+    """The triage vector of every region, in the order that models are trained on."""
+    st, labelled, px = detected(spark, d, ALL_FEATS)
     k, n = ["scene", "label"], n_rows(spark, d)
-    st = stack(spark, d)
-    deltas = px.select(*k, F.col("ndci_pct").alias("seasonal_pct_primary"), F.col("ndci_z").alias("robust_z_primary"),
+    shore = grid.distance_transform(grid.static_water(st, [], F.expr(SHORE_WATER)).where("persistent"), [], n, GRID_COLS)
+    px = px.join(shore, ["row", "col"], "left")
+    deltas = px.select(*k, F.col("ndci_pct").alias("seasonal_pct_primary"), F.col("ndci_z").alias("robust_z_primary"), F.col("fai").alias("fai_mean"),
+                       (F.coalesce("dist_px", F.lit(0.0)) * 20 / 1000).alias("dist_shore_km"), (F.col("hue") - F.col("hue_med")).alias("hue_delta_deg"),
                        *[(F.col(f) - F.col(f"{f}_med")).alias(f"{f}_delta") for f in FEATS])
-    out = cl.region_medians(deltas, k, ["seasonal_pct_primary", "robust_z_primary", "ndci_delta", "mci_delta", "tur_delta"])
+    out = cl.region_medians(deltas, k, [c for c in deltas.columns if c not in k])
     area = px.groupBy(*k).agg(F.log10(F.count(F.lit(1)) * (20.0 ** 2 / 1e6)).alias("log10_area_km2"))
     cloud = st.where(F.col("tur") < 12).select("scene", "row", "col")
     cloud_ring = grid.dilate(cloud, ["scene"], 3, n, GRID_COLS).join(cloud, ["scene", "row", "col"], "left_anti").withColumn("c", F.lit(1.0))
     ring = grid.dilate(labelled, k, 2, n, GRID_COLS).join(labelled, [*k, "row", "col"], "left_anti")
     adjacent = ring.join(cloud_ring, ["scene", "row", "col"], "left").groupBy(*k).agg(F.avg(F.coalesce("c", F.lit(0.0))).alias("cloud_adjacent_frac"))
-    valid = st.groupBy("scene").agg((F.count(F.lit(1)) / F.lit(float(n * GRID_COLS))).alias("valid_frac_aoi"))
-    out = out.join(area, k).join(cl.persistence(px, k, "ndci", Z), k).join(adjacent, k, "left").join(valid, "scene")
-    return out.select(*k, *[rnd(F.col(c)).alias(c) for c in out.columns if c not in k])
+    valid = st.groupBy("scene").agg((F.count_if(F.expr(WATER)) / F.lit(float(n * GRID_COLS))).alias("valid_frac_aoi"))
+    rx = sp.rx_percentile(st.select("scene", *RX_FEATURES), px.select(*k, *RX_FEATURES), ["scene"], RX_FEATURES).select(*k, "rx_pct")
+    out = out.join(area, k).join(cl.persistence(px, st, k, ["row", "col"], "ndci", "d", DAYS, Z), k).join(adjacent, k, "left").join(valid, "scene").join(rx, k, "left")
+    return out.select(*k, *[rnd(F.col(c)).alias(c) for c in TRIAGE_FEATURES])
 
 
 @query("candidate_pick", f"""WITH RECURSIVE {SQL_DETECT}, c AS (SELECT scene, label, count(*) * 0.0004e0 AS area, median(z_ndci) AS z FROM rp GROUP BY 1, 2)
@@ -196,11 +246,11 @@ def candidate_pick(spark, d):
     return cl.candidate_pick(c, ["scene"], "area_km2", "ndci_z", "label").withColumn("score", rnd(F.col("score"), 7))
 
 
-@query("date_summary", f"""WITH RECURSIVE {SQL_HYPS} SELECT scene, {', '.join(f"count(CASE WHEN hypothesis = '{h}' THEN 1 END) AS {n}_n, {r6(f"coalesce(sum(CASE WHEN hypothesis = '{h}' THEN area_km2 END), 0)")} AS {n}_area, {r6(f"max(CASE WHEN hypothesis = '{h}' THEN max_score END)")} AS {n}_max_z" for n, h in (('bloom', 'BLOOM_LIKE'), ('sediment', 'SEDIMENT_LIKE')))} FROM rg GROUP BY 1""")
+@query("date_summary", f"""WITH RECURSIVE {SQL_HYPS} SELECT scene, {', '.join(f"count(CASE WHEN hypothesis = '{h}' THEN 1 END) AS {n}_n, {r6(f"coalesce(sum(CASE WHEN hypothesis = '{h}' THEN area_km2 END), 0)")} AS {n}_area, {r6(f"max(CASE WHEN hypothesis = '{h}' THEN max_score END)")} AS {n}_max_z" for n, h in (('bloom', 'BLOOM_LIKE'), ('sediment', 'SEDIMENT_LIKE'), ('surface_film', 'SURFACE_FILM_LIKE')))} FROM rg GROUP BY 1""")
 def date_summary(spark, d):
     _, c = hypothesis_regions(spark, d)
     aggs = []
-    for name in ("bloom", "sediment"):
+    for name in ("bloom", "sediment", "surface_film"):
         cond = F.col("hypothesis") == f"{name.upper()}_LIKE"
         aggs += [F.count_if(cond).alias(f"{name}_n"), rnd(F.coalesce(F.sum(F.when(cond, F.col("area_km2"))), F.lit(0.0))).alias(f"{name}_area"),
                  rnd(F.max(F.when(cond, F.col("max_score")))).alias(f"{name}_max_z")]
@@ -219,9 +269,9 @@ def event_summary(spark, d):
 @query("region_reselect", f"""WITH RECURSIVE {SQL_DETECT}, b AS (SELECT scene, label, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM rp GROUP BY 1, 2)
 SELECT b.scene, CAST(b.label AS BIGINT) AS label, count(*) AS n_px FROM b JOIN an ON an.scene = b.scene AND an.row BETWEEN r0 AND r1 AND an.col BETWEEN c0 AND c1 WHERE z_ndci >= {Z} AND pct_ndci >= {PCT} GROUP BY 1, 2""")
 def region_reselect(spark, d):
-    a, _, px = detected(spark, d)
+    st, _, px = detected(spark, d)
     box = grid.region_stats(px, ["scene"], 20.0).select("scene", "label", "row0", "row1", "col0", "col1")
-    return grid.select_in_boxes(cl.hits(a, "ndci", (), Z, PCT), box, ["scene"]).groupBy("scene", "label").agg(F.count(F.lit(1)).alias("n_px"))
+    return grid.select_in_boxes(cl.hits(anomalies(st, {"ndci": FEATS["ndci"]}), "ndci", (), Z, PCT), box, ["scene"]).groupBy("scene", "label").agg(F.count(F.lit(1)).alias("n_px"))
 
 
 # --- zones and series ---------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import grid, pixels
 from tidemark.plans.base import query, r6
+from tidemark.session import cut_lineage
 from tidemark.sources.tables import GRID_COLS, SQL_BANDS, SQL_SCENES, bands, scenes, table
 
 K = ["scene"]
@@ -172,30 +173,48 @@ def static_water(spark, d):
 SAR_DB = "CASE WHEN (row // 4 + col // 5 + scene) % 5 = 0 THEN -24.0 ELSE -15.0 END + q % 7 * 0.31e0"
 
 
-@query("local_median_dark", f"""WITH RECURSIVE {SQL_SCENES}, {SHAPE}, s AS MATERIALIZED (SELECT scene, row, col, {SAR_DB} AS db FROM scenes),
-w AS (SELECT a.scene, a.row, a.col, any_value(a.db) AS db, median(b.db) AS bg FROM s a, shape, unnest(generate_series(-4, 4)) x(dr), unnest(generate_series(-4, 4)) y(dc)
- JOIN s b ON b.scene = a.scene AND b.row = least(greatest(a.row + dr, 0), nr - 1) AND b.col = least(greatest(a.col + dc, 0), nc - 1) GROUP BY 1, 2, 3),
-h AS MATERIALIZED (SELECT scene, row, col FROM w WHERE db < bg - 3), {sql_erode('e', 'h', 1)}, {sql_dilate('g', 'e', 1, False)},
+def sql_reach(name, size, half):
+    """CTE (a, r, m): how often line r stands in the window around line a, border lines repeated."""
+    return f"""{name} AS MATERIALIZED (SELECT CAST(a AS INTEGER) AS a, CAST(r AS INTEGER) AS r, CASE WHEN r = 0 THEN greatest(0, {half} - a + 1) WHEN r = n - 1 THEN greatest(0, {half} - (n - 1 - a) + 1) WHEN abs(r - a) <= {half} THEN 1 ELSE 0 END AS m
+ FROM (SELECT {size} AS n FROM shape), generate_series(0, n - 1) x(a), generate_series(0, n - 1) y(r))"""
+
+
+#: A window of 3 km on pixels of 20 m.
+SAR_WINDOW = 151
+
+
+@query("local_median_dark", f"""WITH RECURSIVE {SQL_SCENES}, {SHAPE}, s AS MATERIALIZED (SELECT scene, row, col, {SAR_DB} AS db FROM scenes), {sql_reach('rm', 'nr', SAR_WINDOW // 2)}, {sql_reach('cm', 'nc', SAR_WINDOW // 2)},
+fm AS (SELECT scene, median(db) AS med FROM s GROUP BY 1),
+fl AS MATERIALIZED (SELECT fm.scene, c.row, c.col, coalesce(s.db, med) AS db FROM fm CROSS JOIN (SELECT DISTINCT rm.a AS row, cm.a AS col FROM rm, cm) c LEFT JOIN s ON s.scene = fm.scene AND s.row = c.row AND s.col = c.col),
+va AS MATERIALIZED (SELECT scene, a AS row, col, db, sum(m) AS m FROM fl JOIN rm ON rm.r = fl.row AND m > 0 GROUP BY 1, 2, 3, 4),
+vb AS MATERIALIZED (SELECT scene, row, a AS col, db, sum(va.m * cm.m) AS m FROM va JOIN cm ON cm.r = va.col AND cm.m > 0 GROUP BY 1, 2, 3, 4),
+vc AS (SELECT *, sum(m) OVER (PARTITION BY scene, row, col ORDER BY db) AS upto FROM vb),
+bg AS MATERIALIZED (SELECT scene, row, col, min(db) AS bg FROM vc WHERE upto > {SAR_WINDOW ** 2 // 2} GROUP BY 1, 2, 3),
+w AS MATERIALIZED (SELECT s.*, bg FROM s JOIN bg USING (scene, row, col)),
+h AS MATERIALIZED (SELECT scene, row, col FROM w WHERE bg - db > 3), {sql_erode('e', 'h', 1)}, {sql_dilate('g', 'e', 1, False)},
 m AS MATERIALIZED (SELECT scene, row, col, row * 50 + col AS id FROM g), {sql_components('m')},
 p AS (SELECT cc.scene, cc.lbl, w.row, w.col, w.bg - w.db AS gap FROM cc JOIN w ON w.scene = cc.scene AND w.row = cc.id // 50 AND w.col = cc.id % 50),
 r AS (SELECT scene, lbl, count(*) AS n, avg(row) AS cr, avg(col) AS ccol, var_samp(row) AS rr, var_samp(col) AS vc, covar_samp(row, col) AS rc, median(gap) AS gap FROM p GROUP BY 1, 2)
 SELECT scene, CAST(lbl AS BIGINT) AS label, n AS n_px, {r6('n * 0.0004e0')} AS area_km2, {r6('cr')} AS centroid_row, {r6('ccol')} AS centroid_col, {r6('gap')} AS contrast_db,
 {r6('sqrt(((rr + vc) / 2 + sqrt(pow((rr - vc) / 2, 2) + rc * rc)) / greatest((rr + vc) / 2 - sqrt(pow((rr - vc) / 2, 2) + rc * rc), 1e-9))', 3)} AS elongation,
-{r6('least(1, gap / 6) * CASE WHEN scene % 3 = 0 THEN 0.3 WHEN scene % 3 = 1 THEN 0.5 ELSE 1.0 END', 5)} AS confidence FROM r WHERE n * 0.0004e0 >= 0.003""")
+{r6('least(1, gap / 6) * CASE WHEN scene % 3 = 0 THEN 0.3 WHEN scene % 3 = 1 THEN 0.5 ELSE 1.0 END', 3)} AS confidence,
+CASE scene % 3 WHEN 0 THEN 'wind 2.0 m/s: most of the sea is smooth, lookalikes dominate' WHEN 1 THEN 'wind 13.0 m/s: surface films break up; a dark patch is unusual' ELSE '' END AS notes,
+'SURFACE_DARK_ANOMALY' AS event_type, 6 AS n_lookalikes FROM r WHERE n * 0.0004e0 >= 0.003""")
 def local_median_dark(spark, d):
     row, col, scene = F.col("row"), F.col("col"), F.col("scene")
     block = (F.floor(row / 4) + F.floor(col / 5) + scene) % 5 == 0
     s = scenes(spark, d).select("scene", "row", "col", (F.when(block, -24.0).otherwise(-15.0) + F.col("q") % 7 * 0.31).alias("db"))
     n = n_rows(spark, d)
-    bg = s.join(grid.local_median(s, K, "db", 9, n, GRID_COLS), ["scene", "row", "col"])
-    bg = bg.withColumn("drop", F.col("background") - F.col("db"))
+    bg = s.join(grid.local_median(s, K, "db", SAR_WINDOW, n, GRID_COLS), ["scene", "row", "col"])
+    bg = cut_lineage(bg.withColumn("drop", F.col("background") - F.col("db")))
     dark = grid.opening(bg.where(F.col("drop") > 3.0), K, 1, n, GRID_COLS)
     lab = grid.connected_components(dark, K, GRID_COLS).join(bg.select("scene", "row", "col", "drop"), ["scene", "row", "col"])
     wind = F.when(scene % 3 == 0, 2.0).when(scene % 3 == 1, 13.0).otherwise(6.0)
     out = grid.dark_regions(lab, K, "drop", 20.0, 0.003, wind)
     return out.select("scene", "label", "n_px", F.round("area_km2", 6).alias("area_km2"),
                       *[F.round(c, 6).alias(c) for c in ("centroid_row", "centroid_col", "contrast_db")],
-                      F.round("elongation", 3).alias("elongation"), F.round("confidence", 5).alias("confidence"))
+                      F.round("elongation", 3).alias("elongation"), F.round("confidence", 3).alias("confidence"), F.array_join("notes", "; ").alias("notes"),
+                      "event_type", F.size("lookalikes").alias("n_lookalikes"))
 
 
 @query("mask_overlap", f"""WITH {SQL_SCENES}, a AS (SELECT scene, row, col FROM scenes WHERE q % 5 < 3), b AS (SELECT scene + 1 AS scene, row, col FROM scenes WHERE q % 5 < 3)

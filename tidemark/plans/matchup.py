@@ -11,7 +11,7 @@ from tidemark.operators import exposure as ex
 from tidemark.operators import matchup as mu
 from tidemark.operators import pixels as px_ops
 from tidemark.plans.base import query, r6
-from tidemark.plans.climatology import SQL_DETECT, detected
+from tidemark.plans.climatology import FEATS, SQL_DETECT, anomalies, detected
 from tidemark.plans.grid import GRID_COLS, n_rows
 from tidemark.sources.tables import SQL_BANDS, SQL_SCENES, bands, scenes, table
 
@@ -301,8 +301,8 @@ al AS (SELECT scene, row, col, score, 'EVENT_CORE' AS role, 1 AS priority, 0 AS
 
 @query("sampling_plan", f"WITH RECURSIVE {SQL_DETECT}, {SQL_PLAN} SELECT scene, printf('S%02d', row_number() OVER (PARTITION BY scene ORDER BY priority, o)) AS sample_id, role, priority, row, col, {r6('score')} AS score FROM al")
 def sampling_plan(spark, d):
-    a, _, region = detected(spark, d)
-    px = a.join(region.select("scene", "row", "col", F.lit(True).alias("in_event")), ["scene", "row", "col"], "left")
+    st, _, region = detected(spark, d, {"ndci": FEATS["ndci"]})
+    px = anomalies(st, {"ndci": FEATS["ndci"]}).join(region.select("scene", "row", "col", F.lit(True).alias("in_event")), ["scene", "row", "col"], "left")
     px = px.select("scene", "row", "col", (54 + F.col("col") * 0.01).alias("lon"), (24 + F.col("row") * 0.01).alias("lat"), F.col("ndci_z").alias("score"),
                    F.coalesce("in_event", F.lit(False)).alias("in_event"), (F.col("row") % 10 * 120).alias("shore_m"))
     t = region.select("scene").distinct().select("scene", F.lit(54.35).alias("drift_lon"), F.lit(24.05).alias("drift_lat"), F.lit(54.1).alias("asset_lon"), F.lit(24.3).alias("asset_lat"))

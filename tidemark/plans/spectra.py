@@ -9,7 +9,7 @@ from tidemark.operators import climatology as cl
 from tidemark.operators import grid
 from tidemark.operators import spectra as sp
 from tidemark.plans.base import query, r6
-from tidemark.plans.climatology import SQL_DETECT, detected
+from tidemark.plans.climatology import FEATS, RX_FEATURES, SQL_DETECT, SQL_REGION_RX, anomalies, detected, sql_rx
 from tidemark.plans.grid import GRID_COLS, n_rows, sql_diamond
 from tidemark.sources.tables import SQL_SPECTRA, spectra, table
 
@@ -142,7 +142,8 @@ ev AS (SELECT scene, unnest(['ndci', 'mci', 'tur']) AS band, unnest([ndci, mci,
 ee AS (SELECT scene, band, median(v) AS e FROM ev GROUP BY 1, 2), bb AS (SELECT scene, band, median(v) AS b, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.95) AS p95 FROM bg GROUP BY 1, 2)
 SELECT scene, band, {r6('e', 8)} AS event_median, {r6('b', 8)} AS background_median, {r6('p05', 8)} AS background_p05, {r6('p95', 8)} AS background_p95 FROM ee JOIN bb USING (scene, band)""")
 def event_spectrum_contrast(spark, d):
-    a, lab, px = detected(spark, d)
+    st, lab, px = detected(spark, d)
+    a = anomalies(st, FEATS)
     ring = grid.dilate(lab, ["scene"], 2, n_rows(spark, d), GRID_COLS)
     back = a.where(F.coalesce("ndci_z", F.lit(0.0)) < 1).join(ring, ["scene", "row", "col"], "left_anti")
     b = ["ndci", "mci", "tur"]
@@ -221,19 +222,6 @@ def fingerprint_groups(spark, d):
 
 
 # --- RX ----------------------------------------------------------------------------------------
-def sql_rx(src, keys, a, b, n_iter=3, trim=0.95):
-    """Trimmed two-feature background per key with the 2 x 2 inverse written out."""
-    k = ", ".join(keys)
-    d2 = lambda s: (f"(({a} - {s}.ma) * ({a} - {s}.ma) * {s}.vb - 2 * ({a} - {s}.ma) * ({b} - {s}.mb) * {s}.vab + ({b} - {s}.mb) * ({b} - {s}.mb) * {s}.va) / ({s}.va * {s}.vb - {s}.vab * {s}.vab)")
-    agg = f"count(*) AS n, avg({a}) AS ma, avg({b}) AS mb, var_samp({a}) AS va, var_samp({b}) AS vb, covar_samp({a}, {b}) AS vab"
-    parts = [f"t0 AS MATERIALIZED (SELECT {k}, {agg} FROM {src} GROUP BY {k})", f"k0 AS MATERIALIZED (SELECT * FROM {src})"]
-    for i in range(n_iter):
-        parts.append(f"q{i} AS MATERIALIZED (SELECT {k}, quantile_cont({d2('s')}, {trim}) AS cut FROM k{i} JOIN t{i} s USING ({k}) GROUP BY {k})")
-        parts.append(f"k{i + 1} AS MATERIALIZED (SELECT x.* FROM {src} x JOIN t{i} s USING ({k}) JOIN q{i} USING ({k}) WHERE {d2('s')} <= cut)")
-        parts.append(f"t{i + 1} AS MATERIALIZED (SELECT {k}, {agg} FROM k{i + 1} GROUP BY {k})")
-    return ", ".join(parts), d2
-
-
 _RX, _D2 = sql_rx("gs", ["half"], "g1", "g4")
 SQL_RX = f"{SQL_GROUPS}, gs AS MATERIALIZED (SELECT vec_id, label % 2 AS half, g1, g4 FROM gv), {_RX}"
 
@@ -258,17 +246,11 @@ def rx_anomaly(spark, d):
     return out.select("vec_id", "half", rnd(F.col("rx")).alias("rx"), rnd(sp.chi2_tail(F.col("rx"), 2)).alias("p_chi2"), (F.col("rx") >= F.col("limit")).cast("int").alias("anomalous"))
 
 
-_RP, _RD2 = sql_rx("st2", ["scene"], "f1", "f2")
-
-
-@query("rx_percentile_region", f"""WITH RECURSIVE {SQL_DETECT}, wn AS (SELECT scene, avg(ndci) AS m1, stddev_pop(ndci) AS s1, avg(tur) AS m2, stddev_pop(tur) AS s2 FROM an GROUP BY 1 HAVING count(*) >= 200),
-st2 AS MATERIALIZED (SELECT scene, (ndci - m1) / s1 AS f1, (tur - m2) / s2 AS f2 FROM an JOIN wn USING (scene)), {_RP}, wr AS (SELECT x.scene, {_RD2('s')} AS rx FROM st2 x JOIN t3 s USING (scene)),
-rm AS (SELECT rp.scene, rp.label, (avg(ndci) - any_value(m1)) / any_value(s1) AS f1, (avg(tur) - any_value(m2)) / any_value(s2) AS f2 FROM rp JOIN wn USING (scene) GROUP BY 1, 2), rs AS (SELECT x.scene, x.label, {_RD2('s')} AS rrx FROM rm x JOIN t3 s USING (scene))
-SELECT scene, CAST(label AS BIGINT) AS label, {r6('any_value(rrx)')} AS region_rx, {r6('100.0 * avg(CAST(rx < rrx AS INTEGER))')} AS rx_pct FROM rs JOIN wr USING (scene) GROUP BY 1, 2""")
+@query("rx_percentile_region", f"""WITH RECURSIVE {SQL_DETECT}, {SQL_REGION_RX} SELECT scene, CAST(label AS BIGINT) AS label, {r6('region_rx')} AS region_rx, {r6('rx_pct')} AS rx_pct FROM rx""")
 def rx_percentile_region(spark, d):
-    a, _, px = detected(spark, d)
-    f = ["ndci", "tur"]
-    out = sp.rx_percentile(a.select("scene", *f), px.select("scene", "label", *f), ["scene"], f)
+    st, _, px = detected(spark, d, {"ndci": 0.02})
+    px = px.select("scene", "label", "row", "col").join(st.select("scene", "row", "col", *RX_FEATURES), ["scene", "row", "col"])
+    out = sp.rx_percentile(st.select("scene", *RX_FEATURES), px, ["scene"], RX_FEATURES)
     return out.select("scene", "label", rnd(F.col("region_rx")).alias("region_rx"), rnd(F.col("rx_pct")).alias("rx_pct"))
 
 

@@ -56,12 +56,13 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raster stack of quarterly composites: scene number, nominal day, three features."""
+    """Raster stack of quarterly composites: scene number, nominal day, five features."""
     year, quarter = F.year("l_shipdate"), F.quarter("l_shipdate")
     return (table(spark, sf_dir, "lineitem")
             .groupBy((year * 4 + quarter - 1).alias("scene"), F.make_date(year, quarter * 3 - 2, F.lit(15)).alias("d"),
                      F.floor(F.col("l_partkey") / GRID_COLS).cast("int").alias("row"), (F.col("l_partkey") % GRID_COLS).cast("int").alias("col"))
-            .agg((F.avg("l_quantity") / 50).alias("ndci"), F.avg("l_discount").alias("mci"), (F.avg("l_extendedprice") / 1000).alias("tur")))
+            .agg((F.avg("l_quantity") / 50).alias("ndci"), F.avg("l_discount").alias("mci"), (F.avg("l_extendedprice") / 1000).alias("tur"),
+                 (F.avg("l_tax") / 10 - 0.004).alias("fai"), (40 + 10 * F.avg("l_linenumber")).alias("hue")))
 
 
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +104,8 @@ SQL_SCENES = """scenes AS (SELECT year(l_shipdate) AS scene, CAST(l_partkey // 5
 
 SQL_STACK = """stack AS MATERIALIZED (SELECT CAST(year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS scene,
   make_date(year(l_shipdate), quarter(l_shipdate) * 3 - 2, 15) AS d, CAST(l_partkey // 50 AS INTEGER) AS row, CAST(l_partkey % 50 AS INTEGER) AS col,
-  avg(l_quantity) / 50 AS ndci, avg(l_discount) AS mci, avg(l_extendedprice) / 1000 AS tur FROM lineitem GROUP BY 1, 2, 3, 4)"""
+  avg(l_quantity) / 50 AS ndci, avg(l_discount) AS mci, avg(l_extendedprice) / 1000 AS tur,
+  avg(l_tax) / 10 - CAST(0.004 AS DOUBLE) AS fai, 40 + 10 * avg(l_linenumber) AS hue FROM lineitem GROUP BY 1, 2, 3, 4)"""
 
 SQL_SITES = """sites AS MATERIALIZED (SELECT l_suppkey AS site, CAST(l_shipdate AS DATE) AS d, avg(l_quantity) AS v, avg(l_discount) AS w FROM lineitem GROUP BY 1, 2)"""
 

@@ -45,9 +45,12 @@ def test_thinning_of_a_chain(spark):
     assert ingest.keep_separated(points.limit(0), ["g"], "x", "y", "o", 1.0, 1.0).collect() == []
 
 
-def test_no_scorable_group(spark):
+def test_groups_that_cannot_be_scored_are_reported(spark):
     df = spark.createDataFrame([("a", 1.0, 1)] * 3 + [("b", 2.0, 0)] * 3, "g string, x double, y int")
     out = learn.leave_one_group_out(df, "g", ["x"], "y")
-    assert out.collect() == [] and {"held_out", "auroc"} <= set(out.columns)
+    assert {(r.held_out, r.n_test, r.test_positive, r.n_train, r.auroc, r.status) for r in out.collect()} == {(g, 3, p, 3, None, "needs both classes in train and test") for g, p in (("a", 3), ("b", 0))}
     some = spark.createDataFrame([(g, float(k), int(k % 2)) for g in "ab" for k in range(8)], "g string, x double, y int")
-    assert sorted(out.columns) == sorted(learn.leave_one_group_out(some, "g", ["x"], "y").columns)
+    full = learn.leave_one_group_out(some, "g", ["x"], "y")
+    assert sorted(out.columns) == sorted(full.columns) and all(r.status is None and r.n == 8 for r in full.collect())
+    assert learn.leave_one_group_out(df.limit(0), "g", ["x"], "y").collect() == []
+    assert learn.compare_feature_sets(some, {"s": "g"}, {"one": ["x"]}, "y").collect() == []        # folds of eight rows are too small

@@ -8,10 +8,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.joins import join_small
+from tidemark.functions.joins import join_nulls, join_small
 from tidemark.functions.nulls import clip
 from tidemark.functions.ordering import running_sums
 from tidemark.functions.quantiles import exact_quantiles
+from tidemark.operators import folds as folds_
 from tidemark.operators import metrics
 from tidemark.session import cut_lineage
 
@@ -118,7 +119,7 @@ def scaler_params(df: DataFrame, features: Sequence[str]) -> dict[str, dict[str,
 
 
 def standardised(params: Mapping[str, Mapping[str, float]], features: Sequence[str]) -> list[Column]:
-    return [(F.coalesce(F.col(f).cast("double"), F.lit(params[f]["median"])) - params[f]["mean"]) / params[f]["scale"] for f in features]
+    return [(F.coalesce(folds_.finite(F.col(f)), F.lit(params[f]["median"])) - params[f]["mean"]) / params[f]["scale"] for f in features]
 
 
 def _vector(df: DataFrame, params, features: Sequence[str]) -> DataFrame:
@@ -127,52 +128,42 @@ def _vector(df: DataFrame, params, features: Sequence[str]) -> DataFrame:
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, c: float = 1.0) -> dict:
-    """Class-balanced L2 logistic regression as a portable artifact."""
-    from pyspark.ml.classification import LogisticRegression
-    params = scaler_params(df, features)
-    w = F.col(weight) if weight else F.lit(1.0)
-    pos, neg = df.agg(F.sum(F.when(F.col(y) == 1, w)), F.sum(F.when(F.col(y) == 0, w))).first()
-    if not pos or not neg:
+    """Class-balanced L2 logistic regression as a portable artifact: Newton steps, one pass over the rows each."""
+    p = folds_.prepare(df, features, F.col(y), weight)
+    m = folds_.model(p, "all", 0, features)
+    if m is None:
         raise ValueError("need both classes to train a triage model")
-    total = pos + neg
-    balanced = F.when(F.col(y) == 1, w * (total / (2 * pos))).otherwise(w * (total / (2 * neg)))
-    train = _vector(df, params, features).select("_z", F.col(y).cast("double").alias("_y"), balanced.alias("_w"))
-    m = LogisticRegression(featuresCol="_z", labelCol="_y", weightCol="_w", regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False, tol=1e-9, maxIter=200).fit(train)
-    return artifact("logistic", features, params, m.coefficients.toArray().tolist(), float(m.intercept))
+    folds_.newton(p, [m], c)
+    return folds_.artifact_of(p, m)
 
 
 def fit_ridge_log10(df: DataFrame, features: Sequence[str], y: str, weight: str | None = None, alpha: float = 1.0, group: str | None = None) -> dict:
-    """Ridge on log10(y); with groups, the 90th percentile of leave-group-out residuals.
+    """Ridge on log10(y); with three groups or more, the 90th percentile of leave-group-out residuals.
 
-    Spark divides the penalty by the sum of weights and scales it by the label's sd, so the
-    parameter is set to give alpha exactly.
+    All held-out fits come from one pass: the Gram matrix of a group is taken from the total.  Held-out fits
+    are unweighted and scale by their own training rows; gaps take the overall median.
     """
-    from pyspark.ml.regression import LinearRegression
-    params = scaler_params(df, features)
-    base = df.withColumn("_ly", F.log10(y)).withColumn("_w", F.col(weight).cast("double") if weight else F.lit(1.0))
-
-    def fit(train):
-        n, sw, m1, m2 = train.agg(F.count(F.lit(1)), F.sum("_w"), F.sum(F.col("_w") * F.col("_ly")), F.sum(F.col("_w") * F.col("_ly") * F.col("_ly"))).first()
-        sd = max(m2 / sw - (m1 / sw) ** 2, 0.0) ** 0.5
-        return LinearRegression(featuresCol="_z", labelCol="_ly", weightCol="_w", solver="normal", standardization=False, elasticNetParam=0.0, regParam=alpha / sw * sd).fit(train)
-
-    z = _vector(base, params, features)
-    model = fit(z)
-    art = artifact("ridge_log10", features, params, model.coefficients.toArray().tolist(), float(model.intercept))
-    resid = model.transform(z).select((F.col("_ly") - F.col("prediction")).alias("_r"))
-    art["resid_sd"] = resid.agg(F.stddev_samp("_r")).first()[0]
+    if df.where(F.coalesce(~(folds_.finite(F.col(y)) > 0), F.lit(True))).limit(1).count():
+        raise ValueError("regression targets must be positive and finite")
+    p = folds_.prepare(df, features, F.log10(y), weight, group)
+    overall = p.scalers[-1]
+    full = folds_.grams(p, True)[-1]
+    coef, intercept = folds_.ridge(full, overall, overall, alpha)
+    art = artifact("ridge_log10", features, {f: {k: float(overall[k][i]) for k in ("median", "mean", "scale")} for i, f in enumerate(features)}, coef.tolist(), intercept)
+    base = df.withColumn("_ly", F.log10(y))
+    art["resid_sd"] = base.agg(F.stddev_samp(F.col("_ly") - decision(art))).first()[0]
     if group:
-        names = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]          # held-out areas: one model each
-        out = None
-        for g in names if len(names) >= 3 else []:
-            train = base.where(F.col(group) != g)
-            if train.limit(3).count() < 3:
-                continue
-            p2 = {f: {**v, "median": params[f]["median"]} for f, v in scaler_params(train, features).items()}
-            m = fit(_vector(train, p2, features))
-            r = m.transform(_vector(base.where(F.col(group) == g), p2, features)).select(F.abs(F.col("_ly") - F.col("prediction")).alias("_r"))
-            out = r if out is None else out.unionByName(r)
-        art["conformal_q90"] = metrics.residual_quantile(out, "_r").first()["q"] if out is not None else None
+        art["conformal_q90"] = None
+        if len(p.folds) >= 3:
+            grams = folds_.grams(p, False)
+            arts = {}
+            for k, value in enumerate(p.folds):
+                if p.count[:, 0].sum() - p.count[k, 0] >= 3:
+                    own = p.scalers[k]
+                    w, b = folds_.ridge(grams[-1] - grams[k], overall, own, alpha)
+                    arts[value] = artifact("ridge_log10", features, {f: {"median": float(overall["median"][i]), "mean": float(own["mean"][i]), "scale": float(own["scale"][i])} for i, f in enumerate(features)}, w.tolist(), b)
+            resid = base.select(F.abs(F.col("_ly") - folds_.by_fold(group, arts, decision)).alias("_r"))
+            art["conformal_q90"] = metrics.residual_quantile(resid, "_r").first()["q"] if arts else None
     return art
 
 
@@ -182,10 +173,10 @@ def artifact(kind: str, features: Sequence[str], params, coef: Sequence[float],
 
 
 def decision(art: Mapping) -> Column:
-    """Impute, scale and dot product as one expression of literals."""
+    """Impute (missing and non-finite values), scale and dot product as one expression of literals."""
     s = F.lit(float(art["intercept"]))
     for f, med, mu, sd, c in zip(art["features"], art["medians"], art["mean"], art["scale"], art["coef"]):
-        s = s + (F.coalesce(F.col(f).cast("double"), F.lit(float(med))) - float(mu)) / float(sd) * float(c)
+        s = s + (F.coalesce(folds_.finite(F.col(f)), F.lit(float(med))) - float(mu)) / float(sd) * float(c)
     return s
 
 
@@ -232,50 +223,86 @@ def next_version(models: DataFrame, task: str, version: str, bump: str = "minor"
 
 
 # ---------------------------------------------------------------- cross-validation
-def leave_one_group_out(df: DataFrame, group: str, features: Sequence[str], y: str, weight: str | None = None) -> DataFrame:
-    """Metrics of a model trained without each area, on that area; one-class splits are skipped.
+#: A fold is scored if this many rows train its model and this many are held out.
+MIN_TRAIN, MIN_TEST = 50, 10
 
-    Areas are a short list; each turn is a distributed fit and a distributed report.
-    """
-    df = cut_lineage(df)
-    classes = df.groupBy(group).agg(F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n")).orderBy(group).collect()
-    p_all, n_all = sum(r["p"] for r in classes), sum(r["n"] for r in classes)
-    out = None
-    for r in classes:
-        if not (r["p"] and r["n"] and p_all - r["p"] and n_all - r["n"]):
-            continue
-        art = fit_logistic(df.where(F.col(group) != r[group]), features, y, weight)
-        one = metrics.classification(df.where(F.col(group) == r[group]).withColumn("_p", score(art)), [], y, "_p").withColumn("held_out", F.lit(r[group]))
-        out = one if out is None else out.unionByName(one)
-    if out is None:                                               # no group can be scored: the same columns, no rows
-        empty = df.limit(0).withColumn("_p", F.lit(None).cast("double"))
-        out = metrics.classification(empty, [group], y, "_p").drop(group).withColumn("held_out", F.lit(None).cast(df.schema[group].dataType))
-    return out
 
+def leave_one_group_out(df: DataFrame, group: str, features: Sequence[str], y: str, weight: str | None = None, rule: Column | None = None) -> DataFrame:
+    """Metrics of a model trained without each area, on that area, beside those of the rule.
 
-def cross_validated(df: DataFrame, fold: str, features: Sequence[str], y: str, out: str) -> DataFrame:
-    """Out-of-fold logistic probabilities (folds are a handful)."""
+    All areas are fitted together (``operators/folds.py``).  Areas whose training or held-out rows lack a class are
+    reported with their counts, a status and no metrics.  ``rule_*`` columns exist where ``rule`` is given.
+    """
+    df = cut_lineage(df)
+    p = folds_.prepare(df, features, F.col(y), weight, group)
+    sizes, total = p.classes, p.classes.sum(axis=0)
+    models = {k: folds_.model(p, "all", k, features) for k in range(len(p.folds)) if (sizes[k] > 0).all() and (total - sizes[k] > 0).all()}
+    models = {k: m for k, m in models.items() if m is not None}
+    folds_.newton(p, list(models.values()))
+    scored = df.withColumn("_p", folds_.by_fold(group, {p.folds[k]: folds_.artifact_of(p, m) for k, m in models.items()}, score))
+    rows = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_test"), F.count_if(F.col(y) == 1).alias("test_positive"))
+    every = rows.agg(F.sum("n_test").alias("_all"))
+    out = rows.crossJoin(F.broadcast(every)).withColumn("n_train", F.col("_all") - F.col("n_test")).drop("_all")       # one row of totals
+    report = metrics.classification(scored.where(F.col("_p").isNotNull()), [group], y, "_p")
+    out = join_nulls(out, report, [group], "left")
+    if rule is not None:
+        base = metrics.classification(df.withColumn("_p", rule).join(report.select(group), group, "left_semi"), [group], y, "_p")
+        out = join_nulls(out, base.select(group, *[F.col(c).alias(f"rule_{c}") for c in base.columns if c != group]), [group], "left")
+    return out.withColumn("status", F.when(F.col("n").isNull(), "needs both classes in train and test")).withColumnRenamed(group, "held_out")
+
+
+def cross_validated(df: DataFrame, fold: str, sets: Mapping[str, Sequence[str]], y: str, min_train: int = MIN_TRAIN, min_test: int = MIN_TEST) -> DataFrame:
+    """Out-of-fold logistic probabilities ``p_<arm>`` of several feature sets, all fitted together.
+
+    Folds with too few rows, or whose training rows lack a class, are skipped: their probabilities are NULL.
+    """
     df = cut_lineage(df)
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).collect()]
-    res = None
-    for f in folds:
-        art = fit_logistic(df.where(F.col(fold) != f), features, y)
-        part = df.where(F.col(fold) == f).withColumn(out, score(art))
-        res = part if res is None else res.unionByName(part)
-    return res
+    features = list(dict.fromkeys(f for feats in sets.values() for f in feats))
+    p = folds_.prepare(df, features, F.col(y), None, fold)
+    total = p.count[:, 0].sum()
+    use = [k for k in range(len(p.folds)) if p.count[k, 0] >= min_test and total - p.count[k, 0] >= min_train]
+    models = [m for name, feats in sets.items() for k in use if (m := folds_.model(p, name, k, feats)) is not None]
+    folds_.newton(p, models)
+    return df.withColumns({f"p_{name}": folds_.by_fold(fold, {p.folds[m.side]: folds_.artifact_of(p, m) for m in models if m.arm == name}, score) for name in sets})
 
 
 def compare_feature_sets(df: DataFrame, folds: Mapping[str, str], sets: Mapping[str, Sequence[str]], y: str) -> DataFrame:
     """The same rows under several feature sets and fold schemes: one report row per pair."""
     out = None
     for scheme, fold in folds.items():
-        for name, feats in sets.items():
-            p = cross_validated(df, fold, feats, y, "_p")
-            one = metrics.classification(p, [], y, "_p").withColumns({"scheme": F.lit(scheme), "arm": F.lit(name), "n_features": F.lit(len(feats))})
-            out = one if out is None else out.unionByName(one)
-    if out is None:                                               # no group can be scored: the same columns, no rows
-        empty = df.limit(0).withColumn("_p", F.lit(None).cast("double"))
-        out = metrics.classification(empty, [group], y, "_p").drop(group).withColumn("held_out", F.lit(None).cast(df.schema[group].dataType))
+        p = cross_validated(df, fold, sets, y)
+        long = p.select(F.col(y), *[F.col(f"p_{a}").alias(a) for a in sets]).unpivot([y], list(sets), "arm", "_p").where(F.col("_p").isNotNull())
+        one = metrics.classification(long, ["arm"], y, "_p").withColumn("scheme", F.lit(scheme))
+        out = one if out is None else out.unionByName(one)
+    size = F.create_map(*[x for a, f in sets.items() for x in (F.lit(a), F.lit(len(f)))])
+    return out.withColumn("n_features", size[F.col("arm")])
+
+
+LIFTED = ("f1", "auroc", "precision", "recall", "auprc")
+
+
+def lift_table(oof: DataFrame, base: str, arms: Sequence[str], y: str, group: str, n_boot: int = 1000) -> DataFrame:
+    """Gain of each arm over the base arm on the rows both could score.
+
+    Absolute and relative gain of every metric in long form, and for F1 the paired 95 % interval, drawn over whole groups.
+    ``oof`` carries ``p_<arm>``.
+    """
+    out = None
+    for arm in arms:
+        both = oof.where(F.col(f"p_{base}").isNotNull() & F.col(f"p_{arm}").isNotNull())
+        long = both.select(y, F.col(f"p_{base}").alias("base"), F.col(f"p_{arm}").alias("arm")).unpivot([y], ["base", "arm"], "side", "_p")
+        rep = metrics.classification(long, ["side"], y, "_p")
+        of = lambda s, m: F.max(F.when(F.col("side") == s, F.col(m)))                                           # noqa: E731
+        gains = rep.agg(F.array(*[F.struct(F.lit(m).alias("metric"), of("base", m).alias("baseline"), of("arm", m).alias("value")) for m in LIFTED]).alias("g"))
+        gains = gains.select(F.explode("g").alias("g")).select("g.*")
+        pos = F.col(y) == 1
+        sums = {f"{k}_{s}": F.when(cond, 1).otherwise(0) for s, col in (("a", f"p_{base}"), ("b", f"p_{arm}"))
+                for k, cond in (("tp", (F.col(col) >= 0.5) & pos), ("wrong", (F.col(col) >= 0.5) != pos))}
+        f1 = lambda s: F.when(2 * F.col(f"tp_{s}") + F.col(f"wrong_{s}") > 0, 2.0 * F.col(f"tp_{s}") / (2 * F.col(f"tp_{s}") + F.col(f"wrong_{s}"))).otherwise(0.0)
+        ci = metrics.grouped_bootstrap(both, group, sums, f1("a"), f1("b"), n_boot).select(F.lit("f1").alias("metric"), "ci_low", "ci_high", (F.col("ci_low") > 0).alias("significant"), F.col("share_positive").alias("p_gain_positive"))
+        one = gains.join(ci, "metric", "left").select(F.lit(arm).alias("arm"), "metric", "baseline", "value", (F.col("value") - F.col("baseline")).alias("absolute_gain"),
+                                                      F.when(F.col("baseline") != 0, 100 * (F.col("value") - F.col("baseline")) / F.col("baseline")).alias("relative_gain_pct"), "ci_low", "ci_high", "significant", "p_gain_positive")
+        out = one if out is None else out.unionByName(one)
     return out
 
 

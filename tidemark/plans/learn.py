@@ -48,22 +48,73 @@ def impute_scale(spark, d):
     return s.select("feature", *[rnd(F.col(c)).alias(c) for c in ("median", "mean", "scale")])
 
 
-@query("fit_logistic")
+def sql_solve(src, n, keys):
+    """Nested SELECTs that solve the symmetric system h x = g of every row of ``src`` (h0_0 .., g0 ..) by elimination."""
+    for k in range(n):
+        rest = [f"h{i}_{j} - h{k}_{i} * h{k}_{j} / h{k}_{k} AS h{i}_{j}" if i > k else f"h{i}_{j}" for i in range(n) for j in range(i, n)]
+        src = f"(SELECT {keys}, {', '.join(rest)}, {', '.join(f'g{i} - h{k}_{i} * g{k} / h{k}_{k} AS g{i}' if i > k else f'g{i}' for i in range(n))} FROM {src})"
+    for k in range(n - 1, -1, -1):
+        known = "".join(f" - h{k}_{j} * x{j}" for j in range(k + 1, n))
+        src = f"(SELECT *, (g{k}{known}) / h{k}_{k} AS x{k} FROM {src})"
+    return src
+
+
+def sql_newton(rows, d, steps=14):
+    """CTE nw(step, m, b0 ..): Newton steps of L2 logistic fits for every model m of ``rows`` (m, y, w, z1 .. zd)."""
+    z = ["1.0e0"] + [f"z{i}" for i in range(1, d + 1)]
+    n = d + 1
+    lin = " + ".join(f"b{i} * {z[i]}" for i in range(n))
+    prob = f"(1 / (1 + exp(-({lin}))))"
+    sums = [f"sum(w * {prob} * (1 - {prob}) * {z[i]} * {z[j]}) + {1 if i == j and i else 0} AS h{i}_{j}" for i in range(n) for j in range(i, n)]
+    sums += [f"sum(w * ({prob} - y) * {z[i]})" + (f" + any_value(b{i})" if i else "") + f" AS g{i}" for i in range(n)]
+    agg = f"(SELECT step, m, {', '.join(f'any_value(b{i}) AS b{i}' for i in range(n))}, {', '.join(sums)} FROM nw JOIN {rows} USING (m) WHERE step < {steps} GROUP BY step, m)"
+    b = ", ".join(f"b{i}" for i in range(n))
+    return f"""nw(step, m, {b}) AS (SELECT DISTINCT 0, m, {', '.join('0.0e0' for _ in range(n))} FROM {rows} UNION ALL SELECT step + 1, m, {', '.join(f'b{i} - x{i}' for i in range(n))} FROM {sql_solve(agg, n, f'step, m, {b}')}),
+fit AS MATERIALIZED (SELECT * FROM nw WHERE step = {steps})"""
+
+
+def sql_scaled(src, name, features, keys):
+    """CTE: rows of ``src`` (keys, y, w, features) with balanced weights bw and scaled columns z1 .. within each model."""
+    med = ", ".join(f"coalesce(median({f}), 0) AS md_{f}" for f in features)
+    mom = ", ".join(f"avg(coalesce({f}, md_{f})) AS mu_{f}, CASE WHEN stddev_pop(coalesce({f}, md_{f})) > 1e-12 THEN stddev_pop(coalesce({f}, md_{f})) ELSE 1 END AS sd_{f}" for f in features)
+    return f"""{name}_md AS (SELECT {keys}, {med} FROM {src} GROUP BY {keys}), {name}_sc AS MATERIALIZED (SELECT {keys}, {', '.join(f'any_value(md_{f}) AS md_{f}' for f in features)}, {mom},
+ count(*) AS n_tr, count(CASE WHEN y = 1 THEN 1 END) AS n1, count(CASE WHEN y = 0 THEN 1 END) AS n0 FROM {src} JOIN {name}_md USING ({keys}) GROUP BY {keys})"""
+
+
+def sql_z(f, alias=""):
+    return f"(coalesce({alias}{f}, md_{f}) - mu_{f}) / sd_{f}"
+
+
+LOGIT = ["x1", "x2", "x3", "pb"]
+
+
+@query("fit_logistic", f"""WITH RECURSIVE {SQL_SCORED}, al AS (SELECT 'all' AS m, * FROM scored), {sql_scaled('al', 'a', LOGIT, 'm')},
+tr AS MATERIALIZED (SELECT m, y, CASE WHEN y = 1 THEN n_tr / (2.0e0 * n1) ELSE n_tr / (2.0e0 * n0) END AS w, {', '.join(f'{sql_z(f)} AS z{i + 1}' for i, f in enumerate(LOGIT))} FROM al JOIN a_sc USING (m)), {sql_newton('tr', 4)}
+SELECT unnest({[*LOGIT, 'intercept']!r}) AS feature, unnest([{', '.join(r6(f'b{i}') for i in (1, 2, 3, 4, 0))}]) AS coef FROM fit""")
 def fit_logistic(spark, d):
-    """Coefficients of the L2 logistic fit (an iterative optimum: the tests check its gradient)."""
-    art = le.fit_logistic(scored(spark, d), ["x1", "x2", "x3", "pb"], "y")
-    return spark.createDataFrame([(f, float(c)) for f, c in zip(art["features"] + ["intercept"], art["coef"] + [art["intercept"]])], "feature string, coef double")
+    """Coefficients of the L2 logistic fit."""
+    art = le.fit_logistic(scored(spark, d), LOGIT, "y")
+    return spark.createDataFrame([(f, round(float(c), 6) + 0.0) for f, c in zip(art["features"] + ["intercept"], art["coef"] + [art["intercept"]])], "feature string, coef double")
 
 
-@query("fit_ridge_log10", f"""WITH {SQL_SCORED}, b AS (SELECT x2, x3, log10(1 + x2 + 0.5e0 * x3 + (id % 5)) AS ly FROM scored), s AS (SELECT count(*) AS n, avg(x2) AS m2, stddev_pop(x2) AS s2, avg(x3) AS m3, stddev_pop(x3) AS s3, avg(ly) AS my FROM b),
-z AS (SELECT (x2 - m2) / s2 AS a, (x3 - m3) / s3 AS b, ly - my AS t FROM b, s), q AS (SELECT sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(a * t) AS at_, sum(b * t) AS bt FROM z),
-c AS (SELECT (at_ * bb - bt * ab) / (aa * bb - ab * ab) AS c2, (bt * aa - at_ * ab) / (aa * bb - ab * ab) AS c3 FROM q)
-SELECT 'x2' AS feature, {r6('c2')} AS coef FROM c UNION ALL SELECT 'x3', {r6('c3')} FROM c UNION ALL SELECT 'intercept', {r6('my')} FROM s""")
+def sql_ridge2(src, keys):
+    """Ridge (alpha 1) on ly with the scaled columns za, zb of each group of ``keys``: c2, c3 and the intercept c0."""
+    return f"""(SELECT {keys}, c2, c3, my - c2 * ma - c3 * mb AS c0 FROM (SELECT *, (at_ * bb - bt * ab) / (aa * bb - ab * ab) AS c2, (bt * aa - at_ * ab) / (aa * bb - ab * ab) AS c3 FROM
+ (SELECT {keys}, avg(za) AS ma, avg(zb) AS mb, avg(ly) AS my, var_pop(za) * count(*) + 1 AS aa, var_pop(zb) * count(*) + 1 AS bb, covar_pop(za, zb) * count(*) AS ab, covar_pop(za, ly) * count(*) AS at_, covar_pop(zb, ly) * count(*) AS bt FROM {src} GROUP BY {keys})))"""
+
+
+@query("fit_ridge_log10", f"""WITH {SQL_SCORED}, b AS MATERIALIZED (SELECT id, sub, x2, x3, log10(1 + x2 + 0.5e0 * x3 + (id % 5)) AS ly FROM scored), sides AS (SELECT DISTINCT sub AS out FROM b UNION ALL SELECT '(none)'),
+s AS MATERIALIZED (SELECT out, avg(x2) AS m2, stddev_pop(x2) AS s2, avg(x3) AS m3, stddev_pop(x3) AS s3 FROM sides JOIN b ON sub <> out GROUP BY 1),
+z AS MATERIALIZED (SELECT out, id, sub, ly, (x2 - m2) / s2 AS za, (x3 - m3) / s3 AS zb FROM b, s), c AS MATERIALIZED (SELECT * FROM {sql_ridge2('(SELECT * FROM z WHERE sub <> out)', 'out')}),
+r AS (SELECT out, ly - c0 - c2 * za - c3 * zb AS r FROM z JOIN c USING (out) WHERE sub = out OR out = '(none)')
+SELECT 'x2' AS feature, {r6('c2')} AS coef FROM c WHERE out = '(none)' UNION ALL SELECT 'x3', {r6('c3')} FROM c WHERE out = '(none)' UNION ALL SELECT 'intercept', {r6('c0')} FROM c WHERE out = '(none)'
+UNION ALL SELECT 'resid_sd', {r6('stddev_samp(r)')} FROM r WHERE out = '(none)' UNION ALL SELECT 'conformal_q90', {r6('quantile_cont(abs(r), 0.9)')} FROM r WHERE out <> '(none)'""")
 def fit_ridge_log10(spark, d):
+    """Coefficients, residual sd and the 90 % leave-group-out interval (half width in log10)."""
     s = scored(spark, d).withColumn("target", 1 + F.col("x2") + 0.5 * F.col("x3") + F.col("id") % 5)
-    art = le.fit_ridge_log10(s, ["x2", "x3"], "target")
-    rows = [(f, round(float(c), 6)) for f, c in zip(art["features"] + ["intercept"], art["coef"] + [art["intercept"]])]
-    return spark.createDataFrame(rows, "feature string, coef double")
+    art = le.fit_ridge_log10(s, ["x2", "x3"], "target", group="sub")
+    rows = [(f, float(c)) for f, c in zip(art["features"] + ["intercept"], art["coef"] + [art["intercept"]])] + [(k, float(art[k])) for k in ("resid_sd", "conformal_q90")]
+    return spark.createDataFrame([(f, round(c, 6) + 0.0) for f, c in rows], "feature string, coef double")
 
 
 ART = {"kind": "logistic", "features": ["x1", "x2", "x3"], "medians": [1.2, 4.8, 3.5], "mean": [1.5, 4.7, 3.6], "scale": [1.1, 2.8, 2.2], "coef": [0.8, -0.4, 0.25], "intercept": 0.3}
@@ -167,11 +218,29 @@ def bootstrap_ranking(spark, d):
     return out.select(rnd(F.col("ci_low")).alias("ci_low"), rnd(F.col("ci_high")).alias("ci_high"), "n_boot")
 
 
-@query("leave_one_group_out")
+def sql_report(src, keys, p):
+    """Classification metrics of column ``p`` of ``src`` (y) per keys, each its own subquery: auroc, auprc, brier, ece, f1."""
+    on = lambda q: q.replace("FROM scored", f"FROM {src}")                                             # noqa: E731
+    return f"""(SELECT * FROM ({on(sql_auc(p, keys))}) JOIN ({on(sql_ap(p, keys))}) USING ({keys}) JOIN ({on(sql_ece(p, keys))}) USING ({keys}) JOIN (SELECT {keys}, count(*) AS n, count(CASE WHEN y = 1 THEN 1 END) AS positives,
+ avg(pow({p} - y, 2)) AS brier, count(CASE WHEN {p} >= 0.5 AND y = 1 THEN 1 END) AS tp, count(CASE WHEN {p} >= 0.5 AND y = 0 THEN 1 END) AS fp, count(CASE WHEN {p} < 0.5 AND y = 1 THEN 1 END) AS fn FROM {src} GROUP BY {keys}) USING ({keys}))"""
+
+
+LOGO = ["x1", "x2", "pb"]
+RULE = "least(greatest(0.05e0 + 0.9e0 * (least(greatest((100 * pa - 80) / 20, 0), 1) * (1 - (id % 10) / 9e0) * (1 - 0.6e0 * ((id % 8) / 7e0))), 0), 1)"
+
+
+@query("leave_one_group_out", f"""WITH RECURSIVE {SQL_SCORED}, hd AS (SELECT sub AS m, count(*) AS n_test, count(CASE WHEN y = 1 THEN 1 END) AS test_positive FROM scored GROUP BY 1), ks AS (SELECT hd.* FROM hd WHERE test_positive BETWEEN 1 AND n_test - 1 AND
+ (SELECT count(DISTINCT y) FROM scored WHERE sub <> m) = 2), al AS MATERIALIZED (SELECT m, s.* FROM ks JOIN scored s ON s.sub <> m), {sql_scaled('al', 'a', LOGO, 'm')},
+tr AS MATERIALIZED (SELECT m, y, CASE WHEN y = 1 THEN n_tr / (2.0e0 * n1) ELSE n_tr / (2.0e0 * n0) END AS w, {', '.join(f'{sql_z(f)} AS z{i + 1}' for i, f in enumerate(LOGO))} FROM al JOIN a_sc USING (m)), {sql_newton('tr', 3)},
+oof AS MATERIALIZED (SELECT sub, y, 1 / (1 + exp(-(b0 + {' + '.join(f'b{i + 1} * {sql_z(f)}' for i, f in enumerate(LOGO))}))) AS p, {RULE} AS q FROM scored JOIN fit ON m = sub JOIN a_sc USING (m)),
+c AS (SELECT * FROM {sql_report('oof', 'sub', 'p')}), q AS (SELECT * FROM {sql_report('oof', 'sub', 'q')})
+SELECT m AS held_out, n_test, test_positive, (SELECT count(*) FROM scored) - n_test AS n_train, CASE WHEN c.n IS NULL THEN 'needs both classes in train and test' END AS status,
+{', '.join(f"{r6(f'c.{k}', 4)} AS {k}, {r6(f'q.{k}', 4)} AS rule_{k}" for k in ('auroc', 'auprc', 'brier', 'ece'))} FROM hd LEFT JOIN c ON c.sub = m LEFT JOIN q ON q.sub = m""")
 def leave_one_group_out(spark, d):
-    """Per held-out area report of a refitted model (iterative fits: no SQL counterpart)."""
-    out = le.leave_one_group_out(scored(spark, d), "sub", ["x1", "x2", "pb"], "y")
-    return out.select("held_out", "n", "positives", *[rnd(F.col(c), 4).alias(c) for c in ("auroc", "auprc", "brier", "ece")])
+    """Per held-out area: a model that never saw it, beside the rule."""
+    rule = le.rules_score(100 * F.col("pa"), (F.col("id") % 10) / 9, (F.col("id") % 8) / 7)
+    out = le.leave_one_group_out(scored(spark, d), "sub", LOGO, "y", rule=rule)
+    return out.select("held_out", "n_test", "test_positive", "n_train", "status", *[rnd(F.col(c), 4).alias(c) for k in ("auroc", "auprc", "brier", "ece") for c in (k, f"rule_{k}")])
 
 
 SQL_XY = "pt AS (SELECT c_custkey AS k, 54 + (c_custkey * 37 % 1000) * 0.0031e0 AS lon, 24 + (c_custkey * 91 % 1000) * 0.0017e0 AS lat FROM customer)"
@@ -194,13 +263,45 @@ def blocked_folds(spark, d):
     return le.blocked_folds(blocks(spark, d), "block", 5).select("k", "block", "fold")
 
 
-@query("blocked_cv_compare")
+CV_FOLDS = 5
+CV_SETS = {"small": ["x2"], "full": ["x1", "x2", "x3", "pb"]}
+CV_ALL = ["x1", "x2", "x3", "pb"]
+SQL_OOF = f"""bf AS (SELECT grp, (row_number() OVER (ORDER BY sha256(CAST(grp AS VARCHAR)), grp) - 1) % {CV_FOLDS} AS fold FROM (SELECT DISTINCT grp FROM scored)),
+fr AS MATERIALIZED (SELECT 'blocked' AS scheme, fold, s.* FROM scored s JOIN bf USING (grp) UNION ALL SELECT 'random', {SQL_HEXSUM.format('CAST(id AS VARCHAR)')} % {CV_FOLDS}, s.* FROM scored s),
+ks AS (SELECT scheme, k FROM (SELECT f.scheme, k, count(CASE WHEN fold = k THEN 1 END) AS te, count(CASE WHEN fold <> k THEN 1 END) AS tr, count(DISTINCT CASE WHEN fold <> k THEN y END) AS c FROM fr f, generate_series(0, {CV_FOLDS - 1}) g(k) GROUP BY 1, 2) WHERE te >= 10 AND tr >= 50 AND c = 2),
+al AS MATERIALIZED (SELECT ks.scheme || ':' || k AS m, fr.* FROM ks JOIN fr ON fr.scheme = ks.scheme AND fold <> k), {sql_scaled('al', 'a', CV_ALL, 'm')},
+tr AS MATERIALIZED (SELECT m || ':small' AS m, y, CASE WHEN y = 1 THEN n_tr / (2.0e0 * n1) ELSE n_tr / (2.0e0 * n0) END AS w, 0.0e0 AS z1, {sql_z('x2')} AS z2, 0.0e0 AS z3, 0.0e0 AS z4 FROM al JOIN a_sc USING (m)
+ UNION ALL SELECT m || ':full', y, CASE WHEN y = 1 THEN n_tr / (2.0e0 * n1) ELSE n_tr / (2.0e0 * n0) END, {', '.join(sql_z(f) for f in CV_ALL)} FROM al JOIN a_sc USING (m)), {sql_newton('tr', 4)},
+oof AS MATERIALIZED (SELECT scheme, arm, id, grp, y, 1 / (1 + exp(-(b0 + {' + '.join(f'b{i + 1} * {sql_z(f)}' for i, f in enumerate(CV_ALL))}))) AS p FROM (SELECT fr.*, unnest(['small', 'full']) AS arm FROM fr) f JOIN a_sc a ON a.m = f.scheme || ':' || f.fold JOIN fit ON fit.m = a.m || ':' || arm)"""
+
+
+def cv_rows(spark, d):
+    s = le.blocked_folds(scored(spark, d), "grp", CV_FOLDS)
+    return s.withColumn("row_fold", le.hash_mod(F.col("id").cast("string"), CV_FOLDS).cast("int"))
+
+
+@query("blocked_cv_compare", f"""WITH RECURSIVE {SQL_SCORED}, {SQL_OOF} SELECT scheme, arm, CASE arm WHEN 'small' THEN 1 ELSE 4 END AS n_features, n, positives, {r6('2.0 * tp / nullif(2 * tp + fp + fn, 0)', 4)} AS f1, {r6('auroc', 4)} AS auroc, {r6('auprc', 4)} AS auprc
+FROM {sql_report('oof', 'scheme, arm', 'p')}""")
 def blocked_cv_compare(spark, d):
-    """Two feature sets under grouped and row-wise folds (iterative fits: no SQL counterpart)."""
-    s = scored(spark, d)
-    s = le.blocked_folds(s, "grp", 3).withColumn("row_fold", le.hash_mod(F.col("id").cast("string"), 3).cast("int"))
-    out = le.compare_feature_sets(s, {"blocked": "fold", "random": "row_fold"}, {"small": ["x2"], "full": ["x1", "x2", "x3", "pb"]}, "y")
-    return out.select("scheme", "arm", "n_features", "n", *[rnd(F.col(c), 4).alias(c) for c in ("f1", "auroc", "auprc")])
+    """Two feature sets under grouped and row-wise folds, all fits of a scheme together."""
+    out = le.compare_feature_sets(cv_rows(spark, d), {"blocked": "fold", "random": "row_fold"}, CV_SETS, "y")
+    return out.select("scheme", "arm", "n_features", "n", "positives", *[rnd(F.col(c), 4).alias(c) for c in ("f1", "auroc", "auprc")])
+
+
+_F1 = lambda s: f"2.0 * sum(t * tp_{s}) / nullif(sum(t * (2 * tp_{s} + w_{s})), 0)"
+
+
+@query("feature_set_lift", f"""WITH RECURSIVE {SQL_SCORED}, {SQL_OOF}, {{draws}}, ob AS MATERIALIZED (SELECT * FROM oof WHERE scheme = 'blocked'), rp AS MATERIALIZED (SELECT *, tp / CAST(nullif(tp + fp, 0) AS DOUBLE) AS precision, tp / CAST(nullif(tp + fn, 0) AS DOUBLE) AS recall, 2.0 * tp / nullif(2 * tp + fp + fn, 0) AS f1 FROM {sql_report('ob', 'arm', 'p')}),
+u AS (SELECT arm, unnest(['f1', 'auroc', 'precision', 'recall', 'auprc']) AS metric, unnest([f1, auroc, precision, recall, auprc]) AS v FROM rp), gs AS (SELECT grp, {', '.join(f"sum(CASE WHEN arm = '{a}' AND p >= 0.5 AND y = 1 THEN 1 ELSE 0 END) AS tp_{s}, sum(CASE WHEN arm = '{a}' AND (p >= 0.5) <> (y = 1) THEN 1 ELSE 0 END) AS w_{s}" for s, a in (('a', 'small'), ('b', 'full')))} FROM ob GROUP BY 1),
+bt AS (SELECT coalesce({_F1('b')}, 0) - coalesce({_F1('a')}, 0) AS df FROM dg JOIN gs USING (grp) GROUP BY rep), ci AS (SELECT 'f1' AS metric, quantile_cont(df, 0.025) AS lo, quantile_cont(df, 0.975) AS hi, avg(CAST(df > 0 AS INTEGER)) AS sp FROM bt)
+SELECT 'full' AS arm, metric, {r6('a.v', 4)} AS baseline, {r6('b.v', 4)} AS value, {r6('b.v - a.v', 4)} AS absolute_gain, {r6('100 * (b.v - a.v) / nullif(a.v, 0)', 2)} AS relative_gain_pct, {r6('lo', 4)} AS ci_low, {r6('hi', 4)} AS ci_high, CAST(lo > 0 AS INTEGER) AS significant, {r6('sp', 3)} AS p_gain_positive
+FROM (SELECT * FROM u WHERE arm = 'small') a JOIN (SELECT * FROM u WHERE arm = 'full') b USING (metric) LEFT JOIN ci USING (metric)""".replace("{draws}", SQL_DRAWS))
+def feature_set_lift(spark, d):
+    """Gain of the full feature set over the small one on blocked folds, with the paired interval of F1."""
+    oof = le.cross_validated(cv_rows(spark, d), "fold", CV_SETS, "y")
+    out = le.lift_table(oof, "small", ["full"], "y", "grp", NB)
+    return out.select("arm", "metric", *[rnd(F.col(c), 4).alias(c) for c in ("baseline", "value", "absolute_gain")], rnd(F.col("relative_gain_pct"), 2).alias("relative_gain_pct"),
+                      rnd(F.col("ci_low"), 4).alias("ci_low"), rnd(F.col("ci_high"), 4).alias("ci_high"), F.col("significant").cast("int").alias("significant"), rnd(F.col("p_gain_positive"), 3).alias("p_gain_positive"))
 
 
 @query("false_alarm_share", f"""WITH {SQL_SCORED}, c AS (SELECT 'base' AS arm, count(CASE WHEN pa >= 0.5 AND y = 1 THEN 1 END) AS tp, count(CASE WHEN pa >= 0.5 AND y = 0 THEN 1 END) AS fp FROM scored UNION ALL SELECT 'full', count(CASE WHEN pb >= 0.5 AND y = 1 THEN 1 END), count(CASE WHEN pb >= 0.5 AND y = 0 THEN 1 END) FROM scored),

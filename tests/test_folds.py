@@ -84,3 +84,45 @@ def test_one_class_training_rows_are_skipped(spark):
     assert {r[0]: r[1] for r in got} == {"a": 60, "b": 60, "c": 60}
     got = learn.cross_validated(df.where("g <> 'c'"), "g", {"one": ["x"]}, "y").collect()
     assert len(got) == 120 and all(r.p_one is None for r in got)
+
+
+def nipals(z, t, components):
+    zc, tc = z - z.mean(0), t - t.mean()
+    x, y, w_, p_, q_ = zc.copy(), tc.copy(), [], [], []
+    for _ in range(components):
+        w = x.T @ y / np.linalg.norm(x.T @ y)
+        s = x @ w
+        p, q = x.T @ s / (s @ s), y @ s / (s @ s)
+        x, y = x - np.outer(s, p), y - s * q
+        w_.append(w)
+        p_.append(p)
+        q_.append(q)
+    w, p = np.array(w_).T, np.array(p_).T
+    coef = w @ np.linalg.solve(p.T @ w, np.array(q_))
+    return coef, t.mean() - z.mean(0) @ coef
+
+
+def test_linear_zoo_equals_fits_on_the_rest(df):
+    got = {(round(r.q, 12), round(r.w, 6)): r for r in learn.linear_zoo(df, "g", NAMES, "q").collect()}
+    assert len(got) == N
+    ly, x = np.log10(Q), np.where(GAP, np.nan, X)
+    med = np.nanmedian(x, axis=0)
+    xi = np.where(np.isnan(x), med, x)
+    for g in set(G):
+        use = np.array([v != g for v in G])
+        mu, sd = xi[use].mean(0), xi[use].std(0)
+        z = (xi - mu) / sd
+        zc, tc = z[use] - z[use].mean(0), ly[use] - ly[use].mean()
+        want = {"ridge_log10": np.linalg.solve(zc.T @ zc + np.eye(D), zc.T @ tc), "linear": np.linalg.solve(zc.T @ zc, zc.T @ tc), "plsr": nipals(z[use], ly[use], 3)[0]}
+        for i in np.flatnonzero(~use):
+            r = got[round(float(Q[i]), 12), round(float(W[i]), 6)]
+            for name, coef in want.items():
+                assert r[f"p_{name}"] == pytest.approx(ly[use].mean() + z[i] @ coef, abs=1e-8), name
+
+
+def test_ensembles_and_intervals(df):
+    small = df.select("g", "q", "f0", "f1")
+    long = learn.model_zoo(small, "g", ["f0", "f1"], "q", forest={"numTrees": 3}, boosting={"maxIter": 3, "maxDepth": 2})
+    rep = {r.model: r for r in learn.zoo_report(long, "g", 50).collect()}
+    assert set(rep) == {"linear", "ridge_log10", "plsr", "random_forest", "gradient_boosting"}
+    assert all(r.rmse_lo <= r.rmse_hi and r.n_boot == 50 for r in rep.values())

@@ -204,6 +204,46 @@ def ridge(gram: np.ndarray, overall: dict, scaler: dict, alpha: float) -> tuple[
     return coef, float(total_y / n - coef @ z / n)
 
 
+def gram_scaler(gram: np.ndarray, overall: dict) -> dict:
+    """Mean and scale of the rows of a Gram matrix, gaps filled by the overall median."""
+    n, d = max(gram[0, 0], 1.0), len(gram) - 2
+    shift = gram[0, 1:d + 1] / n
+    sd = np.sqrt(np.maximum(np.diag(gram)[1:d + 1] / n - shift ** 2, 0.0))
+    return {"median": overall["median"], "mean": overall["mean"] + shift, "scale": np.where(sd > 1e-12, sd, 1.0)}
+
+
+def partial_least_squares(gram: np.ndarray, overall: dict, scaler: dict, components: int) -> tuple[np.ndarray, float]:
+    """Coefficients and intercept of a one-target partial least squares fit from a Gram matrix.
+
+    Scores are never formed: weights, loadings and their deflation need only the products of the scaled columns.
+    """
+    n, d = gram[0, 0], len(gram) - 2
+    shift, s = scaler["mean"] - overall["mean"], scaler["scale"]
+    sums = gram[0, 1:d + 1] - n * shift
+    cross = gram[1:d + 1, 1:d + 1] - np.outer(shift, gram[0, 1:d + 1]) - np.outer(gram[0, 1:d + 1], shift) + n * np.outer(shift, shift)
+    zz = cross / np.outer(s, s) - np.outer(sums / s, sums / s) / n
+    zt = (gram[1:d + 1, d + 1] - shift * gram[0, d + 1]) / s - sums / s * gram[0, d + 1] / n
+    weights, loadings, gains = [], [], []
+    for _ in range(min(components, d)):
+        size = np.linalg.norm(zt)
+        if size < 1e-12:
+            break
+        w = zt / size
+        spread = w @ zz @ w
+        if spread < 1e-12:
+            break
+        load, gain = zz @ w / spread, zt @ w / spread
+        zz, zt = zz - np.outer(load, load) * spread, zt - load * gain * spread
+        weights.append(w)
+        loadings.append(load)
+        gains.append(gain)
+    if not weights:
+        return np.zeros(d), float(gram[0, d + 1] / n)
+    w, p = np.array(weights).T, np.array(loadings).T
+    coef = w @ np.linalg.solve(p.T @ w, np.array(gains))
+    return coef, float(gram[0, d + 1] / n - coef @ (sums / s) / n)
+
+
 def by_fold(fold: str, arts: Mapping, score) -> Column:
     """The score of the model that did not see the row's fold; NULL where there is none."""
     out = F.lit(None).cast("double")

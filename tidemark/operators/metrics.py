@@ -11,11 +11,12 @@ from tidemark.functions.nulls import ratio
 from tidemark.functions.joins import join_nulls
 from tidemark.functions.ordering import running_sums
 from tidemark.functions.quantiles import BINS_PER_E, _bin, exact_quantiles
+from tidemark.session import cut_lineage
 
 # --- Fixed values: gates -----------------------------------------------------------------------
 MAX_ECE, SUBGROUP_MIN, SUBGROUP_TOLERANCE = 0.15, 5, 0.05
 MIN_MATCHUPS, MIN_GROUPS, MIN_R2 = 20, 5, 0.4
-COMPLEXITY = ["linear", "ridge_log10", "random_forest", "gradient_boosting"]
+COMPLEXITY = ["linear", "ridge_log10", "plsr", "svr", "random_forest", "gradient_boosting"]
 EDGES = [i * 0.1 for i in range(1, 10)]
 CLIP = 1e-9
 
@@ -126,20 +127,41 @@ def bootstrap_draws(groups: DataFrame, group: str, n_boot: int) -> DataFrame:
     return counts.join(numbered, "_i").select("replicate", group, "times")
 
 
+def bootstrap_intervals(df: DataFrame, keys: Sequence[str], group: str, sums: Mapping[str, Column], stats: Mapping[str, Column], n_boot: int) -> DataFrame:
+    """Every statistic that follows from per-group sums, with its 95 % interval over replicates of whole groups.
+
+    Rows collapse to one row of sums per key and group before any replicate is drawn, so the work is
+    replicates x groups whatever the number of rows.  Per key: each statistic, ``<name>_lo``, ``<name>_hi`` and n_boot.
+    """
+    keys = list(keys)
+    per_group = cut_lineage(df.groupBy(*keys, group).agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
+    draws = bootstrap_draws(per_group.select(group).distinct(), group, n_boot)
+    reps = draws.join(per_group, group).groupBy(*keys, "replicate").agg(*[F.sum(F.col(n) * F.col("times")).alias(n) for n in sums])
+    reps = reps.select(*keys, "replicate", *[c.alias(f"_{n}") for n, c in stats.items()])
+    ends = F.array(F.lit(0.025), F.lit(0.975))
+    ci = reps.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_boot"), *[F.percentile(f"_{n}", ends).alias(f"_{n}") for n in stats])
+    full = per_group.groupBy(*keys).agg(*[F.sum(n).alias(n) for n in sums]).select(*keys, *[c.alias(n) for n, c in stats.items()])
+    joined = join_nulls(full, ci, keys) if keys else full.crossJoin(F.broadcast(ci))                            # one row each without keys
+    return joined.select(*keys, "n_boot", *[x for n in stats for x in (F.col(n), F.get(f"_{n}", 0).alias(f"{n}_lo"), F.get(f"_{n}", 1).alias(f"{n}_hi"))])
+
+
 def grouped_bootstrap(df: DataFrame, group: str, sums: Mapping[str, Column], metric_a: Column, metric_b: Column, n_boot: int) -> DataFrame:
-    """Paired difference of two metrics that follow from per-group sums: observed value and 95 % interval.
+    """Paired difference of two metrics that follow from per-group sums: observed values and 95 % intervals of the
+    difference and of each arm, over the replicates in which both arms have a value.
 
     Rows collapse to one row of sums per group before any replicate is drawn, so the work is
     replicates x groups whatever the number of rows.
     """
-    per_group = df.groupBy(group).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    per_group = cut_lineage(df.groupBy(group).agg(*[F.sum(c).alias(n) for n, c in sums.items()]))
     draws = bootstrap_draws(per_group, group, n_boot)
     reps = draws.join(per_group, group).groupBy("replicate").agg(*[F.sum(F.col(n) * F.col("times")).alias(n) for n in sums])
     reps = reps.select("replicate", metric_a.alias("_a"), metric_b.alias("_b")).withColumn("_d", F.col("_b") - F.col("_a")).where(F.col("_d").isNotNull())
-    ci = reps.agg(F.count(F.lit(1)).alias("n_boot"), F.percentile("_d", F.array(F.lit(0.025), F.lit(0.975))).alias("_q"), F.avg((F.col("_d") > 0).cast("double")).alias("share_positive"))
+    ends = F.array(F.lit(0.025), F.lit(0.975))
+    ci = reps.agg(F.count(F.lit(1)).alias("n_boot"), *[F.percentile(f"_{x}", ends).alias(f"_{x}") for x in "dab"], F.avg((F.col("_d") > 0).cast("double")).alias("share_positive"))
     full = per_group.agg(*[F.sum(n).alias(n) for n in sums]).select((metric_b - metric_a).alias("difference"))
-    return (full.withColumn("_k", F.lit(1)).join(ci.withColumn("_k", F.lit(1)), "_k")
-            .select("difference", F.get("_q", 0).alias("ci_low"), F.get("_q", 1).alias("ci_high"), "n_boot", "share_positive"))
+    return (full.crossJoin(F.broadcast(ci))                                                                     # one row each
+            .select("difference", F.get("_d", 0).alias("ci_low"), F.get("_d", 1).alias("ci_high"), "n_boot", "share_positive",
+                    *[F.get(f"_{x}", i).alias(f"{x}_{e}") for x in "ab" for i, e in ((0, "low"), (1, "high"))]))
 
 
 def bootstrap_ranking(df: DataFrame, group: str, y: str, a: str, b: str, n_boot: int) -> DataFrame:

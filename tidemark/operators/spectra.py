@@ -309,9 +309,9 @@ def _distance(features: Sequence[str], mu: str, inv: str) -> Column:
     return total
 
 
-def _attach(df: DataFrame, params: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join a parameter row per key; without keys it is a single row."""
-    return join_small(df, params, keys) if keys else df.crossJoin(F.broadcast(params))
+def _attach(df: DataFrame, params: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a parameter row per key; without keys it is a single row (none gives NULLs with ``how="left"``)."""
+    return join_small(df, params, keys, how) if keys else df.join(F.broadcast(params), F.lit(True), how)
 
 
 def robust_background(df: DataFrame, keys: Sequence[str], features: Sequence[str], n_iter: int = 3,
@@ -353,6 +353,62 @@ def rx_scores(df: DataFrame, background: DataFrame, keys: Sequence[str], feature
     return _attach(df, background.select(*keys, "mu", "inv"), keys).withColumn("rx", _distance(features, "mu", "inv")).drop("mu", "inv")
 
 
+@F.pandas_udf("struct<axes: array<double>, share: double>")
+def principal_axes(cov: pd.Series, k: pd.Series) -> pd.DataFrame:
+    """First k eigenvectors of a flattened covariance, one after the other, and the share of variance they hold.
+
+    The largest loading of an axis is positive.  One small matrix per row.
+    """
+    axes, share = [], []
+    for flat, n in zip(cov, k, strict=True):
+        if flat is None or any(v is None for v in flat):
+            axes.append(None)
+            share.append(None)
+            continue
+        d = int(round(math.sqrt(len(flat))))
+        values, vectors = np.linalg.eigh(np.asarray(flat, dtype="float64").reshape(d, d))
+        order = np.argsort(values)[::-1][:int(n)]
+        v = vectors[:, order]
+        v = v * np.where(v[np.abs(v).argmax(axis=0), np.arange(v.shape[1])] < 0, -1.0, 1.0)
+        axes.append(v.T.ravel().tolist())
+        share.append(float(values[order].sum() / values.sum()) if values.sum() > 0 else 0.0)
+    return pd.DataFrame({"axes": axes, "share": share})
+
+
+def pooled_rx(px: DataFrame, features: Sequence[str], background: Column, keys: Sequence[str] = (), k: int = 4, shrinkage: float = 0.0,
+              alpha: float = 0.01, robust: bool = True) -> DataFrame:
+    """RX on principal components against one background pooled over whatever the keys leave together (all dates without keys).
+
+    Every row with finite features gets ``rx``, ``p_value`` (even k only, else NULL), ``sam`` (angle to the mean background spectrum),
+    ``anomalous`` (rx at or above the background's own 1 - alpha quantile), and its key's ``threshold``,
+    ``explained_variance``, ``n_components`` and ``n_background`` (after trimming).  A background of fewer than three times as many rows as features
+    gives NULL scores.  The input is read once; moments, axes and trimming work on the checked-out features, and the moments of
+    the components need no second look at the spectra.  ``shrinkage`` blends the covariance with its mean variance after trimming.
+    """
+    from tidemark.session import cut_lineage
+    keys, d = list(keys), len(features)
+    whole = px.withColumn("_bg", F.coalesce(background, F.lit(False)))
+    for f in features:
+        whole = whole.where(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")) & (F.abs(F.col(f)) < float("inf")))
+    whole = cut_lineage(whole)
+    base = cut_lineage(moments(whole.where("_bg"), keys, features)).where(F.col("_n") >= 3 * d)
+    least = base.agg(F.min("_n")).first()[0]
+    k = max(1, min(k, d, least // 3 - 1 if least else k))
+    axes = cut_lineage(base.withColumn("_p", principal_axes("cov", F.lit(k))).select(*keys, F.col("mu").alias("_mu"), "_p.axes", F.col("_p.share").alias("explained_variance")))
+    rows = _attach(whole, axes, keys, "left")
+    z = [f"_z{i}" for i in range(k)]
+    rows = rows.withColumns({z[i]: sum([(F.col(f) - F.get("_mu", j)) * F.get("axes", i * d + j) for j, f in enumerate(features)], F.lit(0.0)) for i in range(k)})
+    dot = sum([F.col(f) * F.get("_mu", j) for j, f in enumerate(features)], F.lit(0.0))
+    size = F.sqrt(sum([F.col(f) * F.col(f) for f in features], F.lit(0.0))) * F.sqrt(sum([F.get("_mu", j) * F.get("_mu", j) for j in range(d)], F.lit(0.0)))
+    rows = cut_lineage(rows.withColumn("sam", F.when(size > 0, F.acos(F.least(F.greatest(dot / size, F.lit(-1.0)), F.lit(1.0))))).drop("_mu", "axes"))
+    center = robust_background(rows.where("_bg").where(F.col("_z0").isNotNull()), keys, z, n_iter=3 if robust else 0, shrinkage=shrinkage)
+    scored = cut_lineage(_attach(rows, center, keys, "left").withColumn("rx", _distance(z, "mu", "inv")).drop("mu", "inv", *z))
+    cut = exact_quantiles(scored.where("_bg"), keys, "rx", {"threshold": 1.0 - alpha}).drop("n")
+    out = _attach(scored, cut, keys, "left").drop("_bg")
+    tail = chi2_tail(F.col("rx"), k) if k % 2 == 0 else F.lit(None).cast("double")
+    return out.withColumns({"p_value": tail, "anomalous": F.col("rx") >= F.col("threshold"), "n_components": F.when(F.col("rx").isNotNull(), F.lit(k))})
+
+
 def chi2_tail(x: Column, k: int) -> Column:
     """Upper chi-squared tail for an even number of degrees of freedom (closed form)."""
     if k % 2:

@@ -198,13 +198,14 @@ SQL_DRAWS = f"""gn AS (SELECT grp, row_number() OVER (ORDER BY sha256(grp), grp)
 dr AS MATERIALIZED (SELECT b AS rep, CAST('0x' || substr(sha256(CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % g AS i, count(*) AS t FROM gn, ng, generate_series(0, {NB - 1}) x(b) GROUP BY ALL), dg AS MATERIALIZED (SELECT rep, grp, t FROM dr JOIN gn USING (i))"""
 
 
-@query("grouped_bootstrap", f"""WITH {SQL_SCORED}, {SQL_DRAWS}, s AS (SELECT grp, count(*) AS n, sum(pow(pa - y, 2)) AS a, sum(pow(pb - y, 2)) AS b FROM scored GROUP BY 1), r AS (SELECT rep, sum(b * t) / sum(n * t) - sum(a * t) / sum(n * t) AS df FROM dg JOIN s USING (grp) GROUP BY 1)
-SELECT {r6('(SELECT sum(b) / sum(n) - sum(a) / sum(n) FROM s)')} AS difference, {r6('quantile_cont(df, 0.025)')} AS ci_low, {r6('quantile_cont(df, 0.975)')} AS ci_high, count(*) AS n_boot, {r6('avg(CAST(df > 0 AS INTEGER))')} AS share_positive FROM r""")
+@query("grouped_bootstrap", f"""WITH {SQL_SCORED}, {SQL_DRAWS}, s AS (SELECT grp, count(*) AS n, sum(pow(pa - y, 2)) AS a, sum(pow(pb - y, 2)) AS b FROM scored GROUP BY 1), r AS (SELECT rep, sum(b * t) / sum(n * t) - sum(a * t) / sum(n * t) AS df, sum(a * t) / sum(n * t) AS a, sum(b * t) / sum(n * t) AS b FROM dg JOIN s USING (grp) GROUP BY 1)
+SELECT {r6('(SELECT sum(b) / sum(n) - sum(a) / sum(n) FROM s)')} AS difference, {r6('quantile_cont(df, 0.025)')} AS ci_low, {r6('quantile_cont(df, 0.975)')} AS ci_high, count(*) AS n_boot, {r6('avg(CAST(df > 0 AS INTEGER))')} AS share_positive,
+{', '.join(f"{r6(f'quantile_cont({x}, {q})')} AS {x}_{e}" for x in ('a', 'b') for q, e in ((0.025, 'low'), (0.975, 'high')))} FROM r""")
 def grouped_bootstrap(spark, d):
     s = scored(spark, d)
     sums = {"n": F.lit(1), "a": F.pow(F.col("pa") - F.col("y"), 2), "b": F.pow(F.col("pb") - F.col("y"), 2)}
     out = me.grouped_bootstrap(s, "grp", sums, F.col("a") / F.col("n"), F.col("b") / F.col("n"), NB)
-    return out.select("n_boot", *[rnd(F.col(c)).alias(c) for c in ("difference", "ci_low", "ci_high", "share_positive")])
+    return out.select("n_boot", *[rnd(F.col(c)).alias(c) for c in ("difference", "ci_low", "ci_high", "share_positive", "a_low", "a_high", "b_low", "b_high")])
 
 
 def _sql_boot_ap(p):
@@ -324,18 +325,41 @@ def class_cap_sample(spark, d):
     return le.class_cap(scored(spark, d), "y", "id", 40).select("y", "id")
 
 
+ZOO = ["x1", "x2", "x3"]
+
+
 def zoo(spark, d):
     s = scored(spark, d).withColumn("target", 1 + F.col("x2") + 0.5 * F.col("x3") + F.col("id") % 5)
-    s = le.blocked_folds(s, "grp", 3)
-    return le.model_zoo(s.select("id", "grp", "x1", "x2", "x3", "target", "fold"), "fold", ["x1", "x2", "x3"], "target")
+    return le.blocked_folds(s, "grp", CV_FOLDS).select("id", "grp", *ZOO, "target", "fold")
+
+
+_CENTRED = ", ".join([f"covar_pop(z{i + 1}, z{j + 1}) * count(*) + {{a}} * {1 if i == j else 0} AS h{i}_{j}" for i in range(3) for j in range(i, 3)] + [f"covar_pop(z{i + 1}, ly) * count(*) AS g{i}" for i in range(3)])
+_ZOO_FIT = lambda name, alpha: (f"SELECT '{name}' AS model, m, x0, x1, x2, my - x0 * a1 - x1 * a2 - x2 * a3 AS c FROM " + sql_solve(
+    f"(SELECT m, avg(ly) AS my, avg(z1) AS a1, avg(z2) AS a2, avg(z3) AS a3, {_CENTRED.format(a=alpha)} FROM tz GROUP BY m)", 3, "m, my, a1, a2, a3"))
+_ZOO_STATS = {"rmse": "sqrt(sum(t * rr) / sum(t * n))", "mae": "sum(t * ra) / sum(t * n)", "bias": "sum(t * rs) / sum(t * n)", "r2": "1 - sum(t * rr) / (sum(t * tt) - sum(t * ty) * sum(t * ty) / sum(t * n))"}
+
+
+@query("model_zoo_linear", f"""WITH {SQL_SCORED}, {SQL_DRAWS}, bf AS (SELECT grp, (row_number() OVER (ORDER BY sha256(CAST(grp AS VARCHAR)), grp) - 1) % {CV_FOLDS} AS fold FROM (SELECT DISTINCT grp FROM scored)), md AS (SELECT median(x1) AS m1 FROM scored),
+tg AS MATERIALIZED (SELECT id, grp, fold, coalesce(x1, m1) AS v1, x2 AS v2, x3 AS v3, log10(1 + x2 + 0.5e0 * x3 + (id % 5)) AS ly FROM scored JOIN bf USING (grp), md),
+sc AS MATERIALIZED (SELECT m, {', '.join(f'avg(v{i}) AS mu{i}, stddev_pop(v{i}) AS sd{i}' for i in (1, 2, 3))} FROM generate_series(0, {CV_FOLDS - 1}) g(m) JOIN tg ON fold <> m GROUP BY m),
+az AS MATERIALIZED (SELECT m, id, grp, fold, ly, {', '.join(f'(v{i} - mu{i}) / sd{i} AS z{i}' for i in (1, 2, 3))} FROM tg, sc), tz AS (SELECT * FROM az WHERE fold <> m), ft AS MATERIALIZED ({_ZOO_FIT('linear', 0)} UNION ALL {_ZOO_FIT('ridge_log10', 1)}),
+pr AS (SELECT model, grp, ly, c + x0 * z1 + x1 * z2 + x2 * z3 - ly AS r FROM az JOIN ft USING (m) WHERE fold = m), gs AS MATERIALIZED (SELECT model, grp, count(*) AS n, sum(r * r) AS rr, sum(abs(r)) AS ra, sum(r) AS rs, sum(ly) AS ty, sum(ly * ly) AS tt FROM pr GROUP BY 1, 2),
+fu AS (SELECT model, {', '.join(f'{e} AS {k}' for k, e in _ZOO_STATS.items())} FROM (SELECT *, 1 AS t FROM gs) GROUP BY 1), re AS (SELECT model, rep, {', '.join(f'{e} AS {k}' for k, e in _ZOO_STATS.items())} FROM dg JOIN gs USING (grp) GROUP BY 1, 2),
+ci AS (SELECT model, count(*) AS n_boot, {', '.join(f'quantile_cont({k}, 0.025) AS {k}_lo, quantile_cont({k}, 0.975) AS {k}_hi' for k in _ZOO_STATS)} FROM re GROUP BY 1)
+SELECT model, n_boot, {', '.join(f"{r6(k, 5)} AS {k}, {r6(f'{k}_lo', 5)} AS {k}_lo, {r6(f'{k}_hi', 5)} AS {k}_hi" for k in _ZOO_STATS)} FROM fu JOIN ci USING (model)""")
+def model_zoo_linear(spark, d):
+    """Grouped cross-validation of the linear and ridge regressors, intervals over whole groups."""
+    wide = le.linear_zoo(zoo(spark, d), "fold", ZOO, "target")
+    long = wide.select("grp", "_ly", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"p_{m}").alias("_pred")) for m in ("linear", "ridge_log10")])).alias("_m")).select("grp", "_ly", "_m.*")
+    out = le.zoo_report(long, "grp", NB)
+    return out.select("model", "n_boot", *[rnd(F.col(c), 5).alias(c) for c in out.columns[2:]])
 
 
 @query("model_zoo_cv")
 def model_zoo_cv(spark, d):
-    """Grouped cross-validation of four regressors (iterative fits: no SQL counterpart)."""
-    p = zoo(spark, d).withColumns({"y10": F.pow(F.lit(10.0), "_ly"), "p10": F.pow(F.lit(10.0), "_pred")})
-    out = me.regression(p, ["model"], "y10", "p10")
-    return out.select("model", "n", *[rnd(F.col(c), 4).alias(c) for c in ("rmse_log10", "r2_log10", "rmse_linear", "bias_linear")])
+    """Grouped cross-validation of five regressors with intervals (the ensembles have no SQL counterpart)."""
+    out = le.zoo_report(le.model_zoo(zoo(spark, d), "fold", ZOO, "target"), "grp", NB)
+    return out.select("model", "n_boot", *[rnd(F.col(c), 4).alias(c) for c in out.columns[2:]])
 
 
 # Model reports per priority class, made of order statistics.

@@ -262,9 +262,56 @@ def anomaly_mass_rank(spark, d):
     return out.select("scene", "label", rnd(F.col("mass")).alias("mass"), "mass_rank")
 
 
-@query("pca_reduce")
+# Pooled background: every label below 7, both halves together; features of two band groups.
+_PX, _PD2 = sql_rx("gb", ["one"], "g1", "g4")
+_SHRUNK = "ps AS MATERIALIZED (SELECT 1 AS one, n, ma, mb, 0.85e0 * va + 0.075e0 * (va + vb) AS va, 0.85e0 * vb + 0.075e0 * (va + vb) AS vb, 0.85e0 * vab AS vab FROM t3)"
+
+
+@query("rx_pooled", f"""WITH {SQL_SPECTRA}, {SQL_GROUPS}, ga AS MATERIALIZED (SELECT vec_id, label % 2 AS half, label < 7 AS bg, g1, g4 FROM gv), gb AS MATERIALIZED (SELECT 1 AS one, g1, g4 FROM ga WHERE bg), {_PX}, {_SHRUNK},
+rf AS (SELECT avg(g1) AS r1, avg(g4) AS r4 FROM gb), sc AS MATERIALIZED (SELECT x.*, {_PD2('s')} AS rx, n, acos(least(greatest((g1 * r1 + g4 * r4) / (sqrt(g1 * g1 + g4 * g4) * sqrt(r1 * r1 + r4 * r4)), -1), 1)) AS sam FROM ga x, ps s, rf), th AS (SELECT quantile_cont(rx, 0.9) AS lim FROM sc WHERE bg)
+SELECT vec_id, half, {r6('rx')} AS rx, {r6('exp(-rx / 2)')} AS p_value, {r6('sam')} AS sam, CAST(rx >= lim AS INTEGER) AS anomalous, {r6('lim')} AS threshold, n AS n_background, 2 AS n_components, 1.0e0 AS explained_variance FROM sc, th""")
+def rx_pooled(spark, d):
+    """Spectra of both dates against one pooled, trimmed and shrunk background, in principal components."""
+    x = group_values(spark, d).select("vec_id", (F.col("label") % 2).alias("half"), (F.col("label") < 7).alias("bg"), "g1", "g4")
+    out = sp.pooled_rx(x, ["g1", "g4"], F.col("bg"), (), 2, 0.15, 0.10)
+    return out.select("vec_id", "half", *[rnd(F.col(c)).alias(c) for c in ("rx", "p_value", "sam", "threshold", "explained_variance")], F.col("anomalous").cast("int").alias("anomalous"), "n_background", "n_components")
+
+
+@query("rx_principal", f"""WITH {SQL_SPECTRA}, {SQL_GROUPS}, ga AS MATERIALIZED (SELECT vec_id, label % 2 AS half, label < 7 AS bg, g1, g4 FROM gv), mo AS (SELECT half, avg(g1) AS m1, avg(g4) AS m4, var_samp(g1) AS a, var_samp(g4) AS b, covar_samp(g1, g4) AS c FROM ga WHERE bg GROUP BY 1),
+ei AS (SELECT *, (a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c) AS l1 FROM mo), ax AS (SELECT *, c / sqrt(c * c + (l1 - a) * (l1 - a)) AS e1, (l1 - a) / sqrt(c * c + (l1 - a) * (l1 - a)) AS e4 FROM ei),
+z0 AS MATERIALIZED (SELECT ga.*, ((g1 - m1) * e1 + (g4 - m4) * e4) AS z, l1 / (a + b) AS evr FROM ga JOIN ax USING (half)),
+{', '.join(f"s{i} AS MATERIALIZED (SELECT half, count(*) AS n, avg(z) AS m, var_samp(z) AS v FROM {'z0 WHERE bg' if i == 0 else f'k{i}'} GROUP BY half), q{i} AS MATERIALIZED (SELECT half, quantile_cont((z - m) * (z - m) / v, 0.95) AS cut FROM {'(SELECT * FROM z0 WHERE bg)' if i == 0 else f'k{i}'} JOIN s{i} USING (half) GROUP BY half), k{i + 1} AS MATERIALIZED (SELECT z0.* FROM z0 JOIN s{i} USING (half) JOIN q{i} USING (half) WHERE bg AND (z - m) * (z - m) / v <= cut)" for i in range(3))},
+s3 AS MATERIALIZED (SELECT half, count(*) AS n, avg(z) AS m, var_samp(z) AS v FROM k3 GROUP BY half), sc AS (SELECT z0.*, n, (z - m) * (z - m) / v AS rx FROM z0 JOIN s3 USING (half)), th AS (SELECT half, quantile_cont(rx, 0.99) AS lim FROM sc WHERE bg GROUP BY 1)
+SELECT vec_id, half, {r6('rx', 5)} AS rx, {r6('evr')} AS explained_variance, CAST(rx >= lim AS INTEGER) AS anomalous, n AS n_background FROM sc JOIN th USING (half)""")
+def rx_principal(spark, d):
+    """The same per date on the first principal component alone."""
+    x = group_values(spark, d).select("vec_id", (F.col("label") % 2).alias("half"), (F.col("label") < 7).alias("bg"), "g1", "g4")
+    out = sp.pooled_rx(x, ["g1", "g4"], F.col("bg"), ["half"], 1)
+    return out.select("vec_id", "half", rnd(F.col("rx"), 5).alias("rx"), rnd(F.col("explained_variance")).alias("explained_variance"), F.col("anomalous").cast("int").alias("anomalous"), "n_background")
+
+
+_COV = ", ".join(f"covar_pop(g{min(i, j)}, g{max(i, j)})" for i in range(NG) for j in range(NG))
+_IJ = f"list_transform(range({NG * NG}), lambda i: {{}})"
+_SQUARE = _IJ.format(f"list_sum(list_transform(range({NG}), lambda k: p[(i // {NG}) * {NG} + k + 1] * p[k * {NG} + i % {NG} + 1]))")
+_TRACE = "list_sum(list_transform(range({n}), lambda k: {m}[k * {s} + 1]))"
+
+
+def sql_axes(k):
+    """CTEs ax0 .. : eigenvectors of the band groups' covariance, each by repeated squaring of what the ones before leave."""
+    parts = [f"a0 AS MATERIALIZED (SELECT [{_COV}] AS a FROM gv)"]
+    for c in range(k):
+        parts.append(f"""p{c}(step, p) AS (SELECT 0, list_transform(a, lambda v: v / {_TRACE.format(n=NG, m='a', s=NG + 1)}) FROM a{c} UNION ALL SELECT step + 1, list_transform(q, lambda v: v / {_TRACE.format(n=NG, m='q', s=NG + 1)}) FROM (SELECT step, {_SQUARE} AS q FROM p{c} WHERE step < 24)),
+j{c} AS (SELECT p, list_position(list_transform(range({NG}), lambda k: p[k * {NG + 1} + 1]), list_max(list_transform(range({NG}), lambda k: p[k * {NG + 1} + 1]))) - 1 AS j FROM p{c} WHERE step = 24),
+ax{c} AS MATERIALIZED (SELECT list_transform(range({NG}), lambda i: p[i * {NG} + j + 1] / sqrt(p[j * {NG + 1} + 1])) AS e FROM j{c}),
+l{c} AS MATERIALIZED (SELECT list_sum({_IJ.format(f'e[i // {NG} + 1] * a[i + 1] * e[i % {NG} + 1]')}) AS l FROM a{c}, ax{c}),
+a{c + 1} AS MATERIALIZED (SELECT {_IJ.format(f'a[i + 1] - l * e[i // {NG} + 1] * e[i % {NG} + 1]')} AS a FROM a{c}, ax{c}, l{c})""")
+    return ", ".join(parts)
+
+
+@query("pca_reduce", f"""WITH RECURSIVE {SQL_SPECTRA}, {SQL_GROUPS}, {sql_axes(4)}
+SELECT vec_id, {', '.join(r6(' + '.join(f'g{i} * ax{c}.e[{i + 1}]' for i in range(NG))) + f' AS pc{c}' for c in range(4))} FROM gv, ax0, ax1, ax2, ax3""")
 def pca_reduce(spark, d):
-    """Component scores of every spectrum: no SQL counterpart, checked against numpy in the tests."""
+    """Component scores of every spectrum."""
     from pyspark.ml.functions import vector_to_array
     f = [f"g{i}" for i in range(NG)]
     _, out = sp.pca(group_values(spark, d), f, 4)

@@ -83,3 +83,20 @@ def test_same_model_again():
     whole = a.margins(ids, row, 5)
     single = [a.margins(*tox._stack([t]), 1)[0] for t in texts[:5]]
     assert np.allclose(whole, single, atol=1e-5)
+
+
+@pytest.mark.parametrize("far", [3, 30, 300, 3000])
+@pytest.mark.parametrize("middle", [0.0, -50.0, 400.0])
+def test_calibration_of_margins_far_apart_keeps_the_classes_apart(far, middle):
+    """A full Newton step from saturated margins leaves the optimum for good; every text then scored 1."""
+    rng = np.random.default_rng(1)
+    labels = np.r_[np.ones(300, int), np.zeros(2000, int)]
+    margins = middle + np.where(labels == 1, far, -far) + rng.normal(0, 1 + far / 10, len(labels))
+    net = tox.Network.fresh()
+    tox.calibrate(net, margins, labels, np.where(labels == 1, 1.0, 40.0), ["en", None] * 1150)
+    score = 1 / (1 + np.exp(-np.clip(net.scale * margins + net.shift, -40, 40)))
+    assert (score[labels == 1] > net.threshold).mean() > 0.9 and (score[labels == 0] < net.threshold).mean() > 0.9
+    beta = np.array([net.scale, net.shift])
+    x, w = np.stack([margins, np.ones_like(margins)], 1), np.where(labels == 1, 1.0, 40.0)
+    slope = x.T @ (w * (1 / (1 + np.exp(-np.clip(x @ beta, -500, 500))) - np.where(labels == 1, 0.999, 0.001))) + 1e-3 * (beta - [1.0, 0.0])
+    assert np.abs(slope / np.abs(x).max(0)).max() < 1e-2

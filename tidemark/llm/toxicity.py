@@ -183,12 +183,24 @@ def calibrate(net: Network, margins: np.ndarray, labels: np.ndarray, weights: np
         net.scale, net.shift = 0.0, float(np.log((weights[labels == 1].sum() + 0.5) / (weights[labels == 0].sum() + 0.5)))
         return
     x = np.stack([margins, np.ones_like(margins)], 1).astype(float)
-    beta = np.array([1.0, 0.0])
+    beta, prior = np.array([1.0, 0.0]), np.array([1.0, 0.0])
     smooth = np.where(labels == 1, 0.999, 0.001)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        hess = (x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        beta = beta - np.linalg.solve(hess, x.T @ (weights * (p - smooth)) + 1e-3 * (beta - [1.0, 0.0]))
+
+    def loss(b):
+        eta = x @ b
+        return float((weights * (np.logaddexp(0, eta) - smooth * eta)).sum() + 5e-4 * ((b - prior) ** 2).sum())
+
+    # Newton steps, each halved until the loss falls: on margins far apart a full step can leave the optimum for good
+    for _ in range(100):
+        p = 0.5 * (1 + np.tanh(0.5 * (x @ beta)))
+        slope = x.T @ (weights * (p - smooth)) + 1e-3 * (beta - prior)
+        step = np.linalg.solve((x * (weights * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), slope)
+        now, part = loss(beta), 1.0
+        while loss(beta - part * step) > now - 1e-4 * part * float(slope @ step) and part > 1e-12:
+            part /= 2
+        beta = beta - part * step
+        if part * np.abs(step).max() < 1e-9:
+            break
     net.scale, net.shift = float(max(beta[0], 1e-3)), float(beta[1])
     score = 1 / (1 + np.exp(-np.clip(net.scale * margins + net.shift, -40, 40)))
 

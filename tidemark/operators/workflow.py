@@ -47,6 +47,25 @@ PHYSICAL_UNITS = ["mg m-3", "mg/m3", "NTU", "mg/L", "g m-3"]
 SOURCE_FIELDS = ["satellite", "sensor", "scene_id", "acquisition_utc", "product", "processing_level", "provider", "licence", "units"]
 GENESIS = "0" * 64
 TOURNAMENT_WEIGHTS = {"data": 0.15, "optics": 0.20, "evidence": 0.30, "exposure": 0.20, "burden": 0.15}
+# Texts of recommendations; $name stands for a value.
+REASONS = {
+    "seasonal": ("Main indicator at the ", "$pct", " percentile for this place and season."),
+    "spatial": ("Stands out from the surrounding water (", "$pct", " percentile)."),
+    "agreement": ("$n", " satellite source(s) agree: ", "$names", "."),
+    "confidence": ("Model confidence ", "$p", "."),
+    "nearest": ("Nearest asset: ", "$name", ", ", "$km", " km away."),
+}
+NO_SAMPLE, CLOSED = "No water sample yet.", "Incident closed."
+NORMAL_HERE = "Normal for this place and season. The contrast is a permanent feature, not a new event."
+NEEDED = {
+    "NO_ACTION": [],
+    "STAND_DOWN_CONTINUE_MONITORING": ["Next clear satellite image"],
+    "MANAGE_CONFIRMED_EVENT": ["Follow-up samples to track the decline", "Tell the asset operator (their own procedure)"],
+    "FIELD_VERIFICATION": ["Water sample at the event centre, plus one from normal water the same day",
+                           "Lab tests: chlorophyll-a, turbidity, suspended sediment, temperature, salinity", "Algae species ID if a bloom is suspected"],
+    "ANALYST_REVIEW": ["Analyst review of the colour and history evidence"],
+}
+NOT_ADVISED = ["Automatic plant shutdown: not advised on satellite evidence alone.", "Public health warning: needs a lab result first."]
 SYSTEM_ACTORS = ["", "system", "pipeline", "trainer", "gate", "auto"]
 
 
@@ -160,36 +179,104 @@ def incident_list(incidents: DataFrame, status: str | None = None, include_contr
     return out.orderBy(F.col("observation_time").desc())
 
 
-def incident_detail(incidents: DataFrame, reviews: DataFrame, samples: DataFrame, measurements: DataFrame) -> DataFrame:
-    """Incident rows with what hangs off them, each side summarised before the join.
+#: Children of one kind that a detail page shows; the rest follow by continuation key.
+PAGE = 100
 
-    Children stay in their own tables under ``incident_id`` (an incident may have any
-    number); the detail carries counts, the latest review and the canonical field values.
+
+def child_page(children: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], page: int = PAGE, after: DataFrame | None = None) -> DataFrame:
+    """First ``page`` children of every parent in ``order``: key, n (all children), rows (array), next (order values of the last row shown
+    if more follow, else NULL).
+
+    ``after`` (key, after: struct of the order columns, as ``next`` gave it) turns the page.  Ranks are cut per task before
+    the shuffle, so a parent with any number of children sends a page from each task at most.  ``order`` should be unique per parent.
+    """
+    at = F.struct(*[F.col(o) for o in order])
+    src = children
+    if after is not None:
+        src = src.join(after.select(key, "after"), key, "left").where(F.col("after").isNull() | (at > F.col("after"))).drop("after")
+    w = Window.partitionBy(key).orderBy(*order)
+    top = src.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= page + 1)
+    entry = F.struct(F.col("_r").alias("r"), F.struct(*[F.col(f) for f in fields]).alias("row"), at.alias("at"))
+    shown = top.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_a"))
+    total = children.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    more = F.size("_a") > page
+    out = total.join(shown, key, "left")
+    return out.select(key, "n", F.transform(F.slice(F.coalesce("_a", F.array()), 1, page), lambda x: x["row"]).alias("rows"), F.when(more, F.get("_a", page - 1)["at"]).alias("next"))
+
+
+def incident_detail(incidents: DataFrame, reviews: DataFrame, samples: DataFrame, measurements: DataFrame, predictions: DataFrame | None = None,
+                    page: int = PAGE, after: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Incident rows with their children as nested arrays and the recommendation they lead to.
+
+    Reviews by time, samples that were not removed by code, measurements by entry, predictions by id; each kind as
+    ``child_page`` gives it (``<kind>``, ``n_<kind>``, ``next_<kind>``), besides the latest review, the results received and the
+    mean measured value.  The recommendation is formed where the incident carries the columns that ``recommend`` needs;
+    an incident with a measurement has field data.
     """
-    r = reviews.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n_reviews"), F.max_by("decision", F.struct("created_at", "review_id")).alias("last_decision"))
-    s = samples.where(F.col("status") != "REMOVED").groupBy("incident_id").agg(F.count(F.lit(1)).alias("n_samples"), F.count_if(F.col("status") == "RESULT_RECEIVED").alias("n_results"))
-    m = measurements.groupBy("incident_id").agg(F.count(F.lit(1)).alias("n_measurements"), F.avg("value").alias("mean_value"))
-    out = incidents.join(r, "incident_id", "left").join(s, "incident_id", "left").join(m, "incident_id", "left")
-    return out.fillna(0, ["n_reviews", "n_samples", "n_results", "n_measurements"])
+    after = dict(after or {})
+    kept = samples.where(F.col("status") != "REMOVED")
+    kinds = {"reviews": (reviews, ["created_at", "review_id"]), "samples": (kept, ["code"]), "measurements": (measurements, ["entered_at", "measurement_id"])}
+    if predictions is not None:
+        kinds["predictions"] = (predictions, ["prediction_id"])
+    latest = reviews.groupBy("incident_id").agg(F.max_by("decision", F.struct("created_at", "review_id")).alias("last_decision"))
+    results = kept.groupBy("incident_id").agg(F.count_if(F.col("status") == "RESULT_RECEIVED").alias("n_results"))
+    means = measurements.groupBy("incident_id").agg(F.avg("value").alias("mean_value"))
+    out = incidents
+    for side in (latest, results, means):
+        out = out.join(side, "incident_id", "left")
+    for kind, (table, order) in kinds.items():
+        one = child_page(table, "incident_id", order, [c for c in table.columns if c != "incident_id"], page, after.get(kind))
+        out = out.join(one.withColumnsRenamed({"rows": kind, "n": f"n_{kind}", "next": f"next_{kind}"}), "incident_id", "left")
+    out = out.fillna(0, [f"n_{k}" for k in kinds] + ["n_results"])
+    if {"status", "role", "pct", "severity", "top_exposure", "observation_time"} <= set(out.columns):
+        told = recommend(out.withColumn("has_field", F.col("n_measurements") > 0))
+        parts = ["action", "action_priority", "reasons", "evidence_needed", "decision_deadline", "not_recommended"]
+        out = told.withColumn("recommendation", F.struct(*parts)).drop(*parts, "has_field")
+    return out
+
+
+def ordinal(pct: Column) -> Column:
+    """A percentile in words."""
+    return F.when(pct.isNull() | F.isnan(pct.cast("double")), "unknown").otherwise(F.concat(F.rint(pct).cast("long").cast("string"), F.lit("th")))
 
 
 def recommend(df: DataFrame) -> DataFrame:
-    """Operator action, priority and decision deadline of an incident row.
+    """Operator action, priority, reasons, evidence still needed, decision deadline and what is never advised.
 
-    Needs status, role, pct, severity, has_field, top_exposure and observation_time.
+    Needs status, role, pct, severity, has_field, top_exposure and observation_time; rx_pct, agreeing (array of source names), confidence,
+    nearest_name and nearest_m add their reasons where they exist.
     """
     pct, sev, top = F.col("pct"), F.coalesce("severity", F.lit(0.0)), F.coalesce("top_exposure", F.lit(0.0))
+    has = lambda c: c in df.columns                                                                            # noqa: E731
+    no_field = ~F.coalesce("has_field", F.lit(False))
     closed = F.col("status").isin("FALSE_POSITIVE", "RESOLVED")
-    stand_down = (F.col("role") == "negative_control") | F.coalesce(pct <= 50, F.lit(False))
-    managed = (F.col("status") == "CONFIRMED") & F.col("has_field")
-    verify = ~F.col("has_field") & ((F.coalesce(pct, F.lit(0.0)) >= 90) | (sev >= 0.5))
+    stand_down = F.coalesce(F.col("role") == "negative_control", F.lit(False)) | F.coalesce(pct <= 50, F.lit(False))
+    managed = (F.col("status") == "CONFIRMED") & ~no_field
+    verify = no_field & ((F.coalesce(pct, F.lit(0.0)) >= 90) | (sev >= 0.5))
     action = (F.when(closed, "NO_ACTION").when(stand_down, "STAND_DOWN_CONTINUE_MONITORING").when(managed, "MANAGE_CONFIRMED_EVENT")
               .when(verify, "FIELD_VERIFICATION").otherwise("ANALYST_REVIEW"))
     urgent = (top >= 0.5) | (F.coalesce(pct, F.lit(0.0)) >= 97)
     level = (F.when(closed, "NONE").when(stand_down, "LOW").when(managed, "HIGH").when(verify, F.when(urgent, "HIGH").otherwise("MEDIUM")).otherwise("MEDIUM"))
     hours = F.when((sev >= 0.6) | (top >= 0.5), 24).otherwise(72)
     deadline = F.when(~closed, F.col("observation_time") + F.make_dt_interval(F.lit(0), hours))
-    return df.withColumns({"action": action, "action_priority": level, "decision_deadline": deadline})
+    say = lambda which, **v: F.concat(*[v[p[1:]] if p[:1] == "$" else F.lit(p) for p in REASONS[which]])             # noqa: E731
+    reasons = [F.when(pct.isNotNull(), say("seasonal", pct=ordinal(pct)))]
+    if has("rx_pct"):
+        reasons.append(F.when(F.col("rx_pct").isNotNull(), say("spatial", pct=ordinal(F.col("rx_pct")))))
+    if has("agreeing"):
+        reasons.append(F.when(F.size("agreeing") > 0, say("agreement", n=F.size("agreeing").cast("string"), names=F.array_join("agreeing", ", "))))
+    if has("confidence"):
+        reasons.append(F.when(F.col("confidence").isNotNull(), say("confidence", p=F.format_string("%.2f", F.col("confidence").cast("double")))))
+    reasons.append(F.when(no_field, F.lit(NO_SAMPLE)))
+    if has("nearest_name") and has("nearest_m"):
+        reasons.append(F.when(F.col("nearest_name").isNotNull(), say("nearest", name=F.col("nearest_name"), km=F.format_string("%.1f", F.col("nearest_m") / 1000))))
+    listed = F.array_compact(F.array(*reasons))
+    texts = lambda items: F.array(*[F.lit(x) for x in items]) if items else F.array().cast("array<string>")         # noqa: E731
+    why = F.when(closed, texts([CLOSED])).when(stand_down, F.concat(listed, texts([NORMAL_HERE]))).otherwise(listed)
+    needed = texts(NEEDED["ANALYST_REVIEW"])
+    for name in ("FIELD_VERIFICATION", "MANAGE_CONFIRMED_EVENT", "STAND_DOWN_CONTINUE_MONITORING", "NO_ACTION"):
+        needed = F.when(action == name, texts(NEEDED[name])).otherwise(needed)
+    return df.withColumns({"action": action, "action_priority": level, "reasons": why, "evidence_needed": needed, "decision_deadline": deadline, "not_recommended": texts(NOT_ADVISED)})
 
 
 def alert_message(area: Column, event_type: Column, pct: Column, n_agree: Column) -> Column:

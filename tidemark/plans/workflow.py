@@ -159,33 +159,80 @@ def incident_list(spark, d):
     return wf.incident_list(incidents(spark, d), "UNDER_REVIEW", False).select("incident_id", "status", "aoi")
 
 
-@query("incident_detail", f"""WITH {SQL_INC}, r AS (SELECT o_custkey AS incident_id, count(*) AS n_reviews, arg_max({DECIDE}, (o_orderdate, o_orderkey)) AS last_decision FROM orders GROUP BY 1),
-s AS (SELECT o_custkey AS incident_id, count(*) AS n_samples, count(CASE WHEN l_linenumber = 3 THEN 1 END) AS n_results FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <> 7 GROUP BY 1), m AS (SELECT user_id AS incident_id, count(*) AS n_measurements, avg(value) AS mv FROM events GROUP BY 1)
-SELECT incident_id, status, coalesce(n_reviews, 0) AS n_reviews, last_decision, coalesce(n_samples, 0) AS n_samples, coalesce(n_results, 0) AS n_results, coalesce(n_measurements, 0) AS n_measurements, {r6('mv')} AS mean_value FROM inc LEFT JOIN r USING (incident_id) LEFT JOIN s USING (incident_id) LEFT JOIN m USING (incident_id)""")
-def incident_detail(spark, d):
-    r = table(spark, d, "orders").selectExpr("o_custkey AS incident_id", "o_orderkey AS review_id", "o_orderdate AS created_at", f"{DECIDE} AS decision")
-    li = table(spark, d, "lineitem").selectExpr("l_orderkey AS review_id", "CASE WHEN l_linenumber = 7 THEN 'REMOVED' WHEN l_linenumber = 3 THEN 'RESULT_RECEIVED' ELSE 'PLANNED' END AS status")
-    s = li.join(r.select("incident_id", "review_id"), "review_id")
-    m = table(spark, d, "events").selectExpr("user_id AS incident_id", "value")
-    out = wf.incident_detail(incidents(spark, d), r, s, m)
-    return out.select("incident_id", "status", "n_reviews", "last_decision", "n_samples", "n_results", "n_measurements", rnd(F.col("mean_value")).alias("mean_value"))
-
-
 REC_COLUMNS = {"id": "o_orderkey", "status": pick(wf.STATES, "o_custkey % 7"), "role": "CASE WHEN o_orderkey % 11 = 0 THEN 'negative_control' ELSE 'operational' END", "pct": "CASE WHEN o_orderkey % 6 <> 0 THEN 40e0 + (o_orderkey * 7) % 61 END",
-               "severity": "CASE WHEN o_orderkey % 5 <> 0 THEN (o_custkey % 90) / 90e0 END", "has_field": "o_custkey % 4 = 0", "top_exposure": "(o_orderkey % 80) / 100e0"}
-SQL_RECS = "rc AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in REC_COLUMNS.items()) + ", o_orderdate AS obs FROM orders)"
+               "severity": "CASE WHEN o_orderkey % 5 <> 0 THEN (o_custkey % 90) / 90e0 END", "has_field": "o_custkey % 4 = 0", "top_exposure": "(o_orderkey % 80) / 100e0",
+               "rx_pct": "CASE WHEN o_orderkey % 3 = 0 THEN 1e0 * (o_custkey % 100) END", "confidence": "CASE WHEN o_orderkey % 7 <> 0 THEN (o_custkey % 75) / 100e0 END",
+               "nearest_name": "CASE WHEN o_orderkey % 4 <> 1 THEN concat('Intake ', CAST(o_custkey % 9 AS VARCHAR(9))) END", "nearest_m": "100e0 * (o_custkey % 400)"}
+AGREEING = "CASE o_orderkey % 3 WHEN 0 THEN {0} WHEN 1 THEN {1} ELSE {2} END"
+SQL_RECS = "rc AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in REC_COLUMNS.items()) + f", {AGREEING.format('[]', repr(['sentinel2']), repr(['sentinel2', 'landsat']))} AS agreeing, o_orderdate AS obs FROM orders)"
 
 
 def rec_rows(spark, d):
-    return table(spark, d, "orders").selectExpr(*[f"{v} AS {k}" for k, v in REC_COLUMNS.items()], "cast(o_orderdate as timestamp_ntz) AS observation_time")
+    names = AGREEING.format("array()", "array('sentinel2')", "array('sentinel2', 'landsat')")
+    return table(spark, d, "orders").selectExpr(*[f"{v} AS {k}" for k, v in REC_COLUMNS.items()], f"{names} AS agreeing", "cast(o_orderdate as timestamp_ntz) AS observation_time")
+
 
+def _q(text):
+    return "'" + text.replace("'", "''") + "'"
 
-@query("recommend", f"""WITH {SQL_RECS}, a AS (SELECT *, CASE WHEN status IN ('FALSE_POSITIVE', 'RESOLVED') THEN 'NO_ACTION' WHEN role = 'negative_control' OR pct <= 50 THEN 'STAND_DOWN_CONTINUE_MONITORING' WHEN status = 'CONFIRMED' AND has_field THEN 'MANAGE_CONFIRMED_EVENT'
-WHEN NOT has_field AND (coalesce(pct, 0) >= 90 OR coalesce(severity, 0) >= 0.5) THEN 'FIELD_VERIFICATION' ELSE 'ANALYST_REVIEW' END AS action FROM rc)
-SELECT id, action, CASE action WHEN 'NO_ACTION' THEN 'NONE' WHEN 'STAND_DOWN_CONTINUE_MONITORING' THEN 'LOW' WHEN 'MANAGE_CONFIRMED_EVENT' THEN 'HIGH' WHEN 'FIELD_VERIFICATION' THEN CASE WHEN top_exposure >= 0.5 OR coalesce(pct, 0) >= 97 THEN 'HIGH' ELSE 'MEDIUM' END ELSE 'MEDIUM' END AS action_priority,
-CASE WHEN action <> 'NO_ACTION' THEN strftime(obs + CASE WHEN coalesce(severity, 0) >= 0.6 OR top_exposure >= 0.5 THEN INTERVAL 24 HOUR ELSE INTERVAL 72 HOUR END, '%Y-%m-%d %H:%M:%S') END AS deadline FROM a""")
+
+def sql_recommend(src):
+    """CTEs ra, rb: action, level, reasons, needed and deadline of every row of ``src`` (rc's columns)."""
+    ordinal = lambda c: f"CAST(CAST(round_even({c}, 0) AS BIGINT) AS VARCHAR) || 'th'"                                    # noqa: E731
+    lists = lambda items: "[" + ", ".join(_q(x) for x in items) + "]"                                                   # noqa: E731
+    return f"""ra AS (SELECT *, CASE WHEN status IN ('FALSE_POSITIVE', 'RESOLVED') THEN 'NO_ACTION' WHEN role = 'negative_control' OR pct <= 50 THEN 'STAND_DOWN_CONTINUE_MONITORING' WHEN status = 'CONFIRMED' AND has_field THEN 'MANAGE_CONFIRMED_EVENT'
+WHEN NOT has_field AND (coalesce(pct, 0) >= 90 OR coalesce(severity, 0) >= 0.5) THEN 'FIELD_VERIFICATION' ELSE 'ANALYST_REVIEW' END AS action,
+list_filter([CASE WHEN pct IS NOT NULL THEN 'Main indicator at the ' || {ordinal('pct')} || ' percentile for this place and season.' END, CASE WHEN rx_pct IS NOT NULL THEN 'Stands out from the surrounding water (' || {ordinal('rx_pct')} || ' percentile).' END,
+ CASE WHEN len(agreeing) > 0 THEN len(agreeing) || ' satellite source(s) agree: ' || array_to_string(agreeing, ', ') || '.' END, CASE WHEN confidence IS NOT NULL THEN 'Model confidence ' || printf('%.2f', confidence) || '.' END,
+ CASE WHEN NOT has_field THEN 'No water sample yet.' END, CASE WHEN nearest_name IS NOT NULL THEN 'Nearest asset: ' || nearest_name || ', ' || printf('%.1f', nearest_m / 1000) || ' km away.' END], lambda x: x IS NOT NULL) AS listed FROM {src}),
+rb AS (SELECT *, CASE action WHEN 'NO_ACTION' THEN 'NONE' WHEN 'STAND_DOWN_CONTINUE_MONITORING' THEN 'LOW' WHEN 'MANAGE_CONFIRMED_EVENT' THEN 'HIGH' WHEN 'FIELD_VERIFICATION' THEN CASE WHEN top_exposure >= 0.5 OR coalesce(pct, 0) >= 97 THEN 'HIGH' ELSE 'MEDIUM' END ELSE 'MEDIUM' END AS action_priority,
+CASE action WHEN 'NO_ACTION' THEN ['Incident closed.'] WHEN 'STAND_DOWN_CONTINUE_MONITORING' THEN list_concat(listed, {lists([wf.NORMAL_HERE])}) ELSE listed END AS reasons,
+CASE action {' '.join(f"WHEN '{k}' THEN {lists(v) if v else 'CAST([] AS VARCHAR[])'}" for k, v in wf.NEEDED.items())} END AS needed,
+CASE WHEN action <> 'NO_ACTION' THEN strftime(obs + CASE WHEN coalesce(severity, 0) >= 0.6 OR coalesce(top_exposure, 0) >= 0.5 THEN INTERVAL 24 HOUR ELSE INTERVAL 72 HOUR END, '%Y-%m-%d %H:%M:%S') END AS deadline FROM ra)"""
+
+
+@query("recommend", f"""WITH {SQL_RECS}, {sql_recommend('rc')} SELECT id, action, action_priority, array_to_string(reasons, ' | ') AS reasons, array_to_string(needed, ' | ') AS evidence_needed, deadline, 2 AS n_not_recommended FROM rb""")
 def recommend(spark, d):
-    return wf.recommend(rec_rows(spark, d)).select("id", "action", "action_priority", F.date_format("decision_deadline", "yyyy-MM-dd HH:mm:ss").alias("deadline"))
+    out = wf.recommend(rec_rows(spark, d))
+    return out.select("id", "action", "action_priority", F.array_join("reasons", " | ").alias("reasons"), F.array_join("evidence_needed", " | ").alias("evidence_needed"),
+                      F.date_format("decision_deadline", "yyyy-MM-dd HH:mm:ss").alias("deadline"), F.size("not_recommended").alias("n_not_recommended"))
+
+
+DETAIL_PAGE = 12
+DETAIL_COLUMNS = {"pct": "CASE WHEN c_custkey % 6 <> 0 THEN 40e0 + (c_custkey * 7) % 61 END", "severity": "CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey % 90) / 90e0 END", "top_exposure": "(c_custkey % 80) / 100e0",
+                  "rx_pct": "CASE WHEN c_custkey % 3 = 0 THEN 1e0 * (c_custkey % 100) END", "confidence": "(c_custkey % 75) / 100e0", "nearest_name": "CASE WHEN c_custkey % 4 <> 1 THEN concat('Intake ', CAST(c_custkey % 9 AS VARCHAR(9))) END",
+                  "nearest_m": "100e0 * (c_custkey % 400)"}
+SAMPLE_STATUS = "CASE WHEN l_linenumber = 7 THEN 'REMOVED' WHEN l_linenumber = 3 THEN 'RESULT_RECEIVED' ELSE 'PLANNED' END"
+_KINDS = {"reviews": ("rv", "strftime(created_at, '%Y-%m-%d') || ':' || review_id || ':' || decision", "created_at, review_id", "strftime(created_at, '%Y-%m-%d') || ':' || review_id"), "samples": ("sm", "code || ':' || status", "code", "code"),
+          "measurements": ("ms", "measurement_id || ':' || round(value, 2)", "entered_at, measurement_id", "CAST(measurement_id AS VARCHAR)"), "predictions": ("pd", "prediction_id || ':' || model", "prediction_id", "CAST(prediction_id AS VARCHAR)")}
+
+
+@query("incident_detail", f"""WITH {SQL_INC}, iw AS (SELECT inc.*, {', '.join(f'{v} AS {k}' for k, v in DETAIL_COLUMNS.items())}, ['sentinel2'] AS agreeing, TIMESTAMP '2024-01-05 06:00:00' + CAST(c_custkey % 20 AS INTEGER) * INTERVAL 1 DAY AS obs FROM inc JOIN customer ON c_custkey = incident_id),
+rv AS MATERIALIZED (SELECT o_custkey AS incident_id, o_orderkey AS review_id, o_orderdate AS created_at, {DECIDE} AS decision FROM orders), sm AS MATERIALIZED (SELECT DISTINCT o_custkey AS incident_id, lpad(CAST(l_orderkey AS VARCHAR), 9, '0') || '-' || l_linenumber AS code, {SAMPLE_STATUS} AS status FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <> 7),
+ms AS MATERIALIZED (SELECT user_id AS incident_id, event_id AS measurement_id, ts AS entered_at, value FROM events), pd AS MATERIALIZED (SELECT o_custkey AS incident_id, o_orderkey AS prediction_id, 'triage-' || (o_orderkey % 3) AS model FROM orders WHERE o_orderkey % 2 = 0),
+{', '.join(f"c_{k} AS MATERIALIZED (SELECT incident_id, any_value(n) AS n, string_agg(x, ', ' ORDER BY r) FILTER (WHERE r <= {DETAIL_PAGE}) AS rows, max(CASE WHEN n > {DETAIL_PAGE} AND r = {DETAIL_PAGE} THEN key END) AS next FROM (SELECT incident_id, {x} AS x, {key} AS key, row_number() OVER (PARTITION BY incident_id ORDER BY {o}) AS r, count(*) OVER (PARTITION BY incident_id) AS n FROM {t}) GROUP BY 1)" for k, (t, x, o, key) in _KINDS.items())},
+rc AS (SELECT iw.*, coalesce(c_measurements.n, 0) > 0 AS has_field FROM iw LEFT JOIN c_measurements USING (incident_id)), {sql_recommend('rc')}
+SELECT incident_id, status, {', '.join(f"coalesce(c_{k}.n, 0) AS n_{k}, coalesce(c_{k}.rows, '') AS {k}, c_{k}.next AS next_{k}" for k in _KINDS)}, ld AS last_decision, coalesce(nr, 0) AS n_results, {r6('mv')} AS mean_value, action, action_priority, array_to_string(reasons, ' | ') AS reasons, array_to_string(needed, ' | ') AS evidence_needed, deadline
+FROM rb {' '.join(f'LEFT JOIN c_{k} USING (incident_id)' for k in _KINDS)} LEFT JOIN (SELECT incident_id, arg_max(decision, (created_at, review_id)) AS ld FROM rv GROUP BY 1) USING (incident_id) LEFT JOIN (SELECT incident_id, count(CASE WHEN status = 'RESULT_RECEIVED' THEN 1 END) AS nr FROM sm GROUP BY 1) USING (incident_id)
+LEFT JOIN (SELECT incident_id, avg(value) AS mv FROM ms GROUP BY 1) USING (incident_id)""")
+def incident_detail(spark, d):
+    """Incidents with a page of each kind of children and the recommendation."""
+    r = table(spark, d, "orders").selectExpr("o_custkey AS incident_id", "o_orderkey AS review_id", "o_orderdate AS created_at", f"{DECIDE} AS decision")
+    li = table(spark, d, "lineitem").selectExpr("l_orderkey AS review_id", "concat(lpad(cast(l_orderkey as string), 9, '0'), '-', l_linenumber) AS code", f"{SAMPLE_STATUS} AS status")
+    s = li.join(r.select("incident_id", "review_id"), "review_id").drop("review_id").distinct()
+    m = table(spark, d, "events").selectExpr("user_id AS incident_id", "event_id AS measurement_id", "ts AS entered_at", "value")
+    p = table(spark, d, "orders").where("o_orderkey % 2 = 0").selectExpr("o_custkey AS incident_id", "o_orderkey AS prediction_id", "concat('triage-', o_orderkey % 3) AS model")
+    more = table(spark, d, "customer").selectExpr("c_custkey AS incident_id", *[f"{v} AS {k}" for k, v in DETAIL_COLUMNS.items()], "array('sentinel2') AS agreeing",
+                                                 "timestamp_ntz'2024-01-05 06:00:00' + make_dt_interval(cast(c_custkey % 20 as int)) AS observation_time")
+    out = wf.incident_detail(incidents(spark, d).drop("observation_time").join(more, "incident_id"), r, s, m, p, DETAIL_PAGE)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")                                                                      # noqa: E731
+    text = {"reviews": lambda x: F.concat_ws(":", day(x["created_at"]), x["review_id"].cast("string"), x["decision"]), "samples": lambda x: F.concat_ws(":", x["code"], x["status"]),
+            "measurements": lambda x: F.concat_ws(":", x["measurement_id"].cast("string"), F.round(x["value"], 2).cast("string")), "predictions": lambda x: F.concat_ws(":", x["prediction_id"].cast("string"), x["model"])}
+    key = {"reviews": F.concat_ws(":", day(F.col("next_reviews.created_at")), F.col("next_reviews.review_id").cast("string")), "samples": F.col("next_samples.code"), "measurements": F.col("next_measurements.measurement_id").cast("string"),
+           "predictions": F.col("next_predictions.prediction_id").cast("string")}
+    return out.select("incident_id", "status", *[c for k in text for c in (F.col(f"n_{k}"), F.coalesce(F.array_join(F.transform(k, text[k]), ", "), F.lit("")).alias(k), F.when(F.col(f"next_{k}").isNotNull(), key[k]).alias(f"next_{k}"))],
+                      "last_decision", "n_results", rnd(F.col("mean_value")).alias("mean_value"), "recommendation.action", "recommendation.action_priority", F.array_join("recommendation.reasons", " | ").alias("reasons"),
+                      F.array_join("recommendation.evidence_needed", " | ").alias("evidence_needed"), F.date_format("recommendation.decision_deadline", "yyyy-MM-dd HH:mm:ss").alias("deadline"))
 
 
 SQL_TEXT = f"CASE {{}} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in wf.EVENT_TYPES.items()) + " ELSE 'Water anomaly' END"

@@ -31,13 +31,17 @@ def cloud_or_hundred(cloud: Column, zero_is_missing: bool = True) -> Column:
     return F.coalesce(F.nullif(cloud, F.lit(0)) if zero_is_missing else cloud, F.lit(100))
 
 
+def clear_tiles(items: DataFrame, max_cloud: float, zero_is_missing: bool = True) -> DataFrame:
+    return items.where(cloud_or_hundred(F.col("cloud"), zero_is_missing) <= max_cloud)
+
+
 def overpasses(items: DataFrame, max_cloud: float, zero_is_missing: bool = True) -> DataFrame:
     """Clear items grouped into physical overpasses (date, relative orbit, platform).
 
     ``items``: item_id, d, orbit, platform, cloud.  An overpass of any size stays a combined
     aggregate; its tiles remain rows of the item table under the same three keys.
     """
-    ok = items.where(cloud_or_hundred(F.col("cloud"), zero_is_missing) <= max_cloud)
+    ok = clear_tiles(items, max_cloud, zero_is_missing)
     return (ok.groupBy("d", F.coalesce("orbit", F.lit(0)).alias("orbit"), "platform")
             .agg(F.count(F.lit(1)).alias("n_tiles"), F.min("item_id").alias("first_tile"), F.max("item_id").alias("last_tile"), F.avg("cloud").alias("mean_cloud")))
 

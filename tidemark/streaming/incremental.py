@@ -1,15 +1,19 @@
 """The two incremental jobs as Structured Streaming: screening new overpasses, raising new alerts.
 
-Both write each micro-batch into its own ``batch_id`` folder (overwritten on a replay), so a
-restarted batch leaves the same rows, and both give the rows of the batch operators.
+What has been seen is keyed state of the stream, held by a RocksDB store and its change log in the checkpoint
+location; earlier output is never read again, so the time of a batch depends on the batch alone.  No watermark
+drops what comes late, so the state keeps one small entry per overpass or incident ever seen.  Each micro-batch is
+written to its own ``batch_id`` folder (overwritten on a replay), so a restarted batch leaves the same rows.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators import ingest, workflow
 from tidemark.session import ensure_checkpoint_dir
@@ -21,54 +25,60 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def written(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame:
-    """What earlier batches stored (all of it, or only batches before one)."""
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path):
-        return spark.createDataFrame([], schema)
-    stored = spark.read.schema(schema.add("batch_id", "long") if before is not None else schema).option("basePath", path).parquet(path)
-    return stored.where(F.col("batch_id") < before).drop("batch_id") if before is not None else stored
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def screen_overpasses(items: DataFrame, done: DataFrame | None, out: str, checkpoint: str, max_cloud: float, available_now: bool = True):
-    """Append the overpasses not screened before; ``done`` is an existing table of tags."""
-    schema = "d date, tag string"
+def on_rocksdb(spark: SparkSession) -> None:
+    """Hold state outside the heap, its changes logged, unless the session already names such a store."""
+    if "RocksDB" not in spark.conf.get(PROVIDER, ""):
+        spark.conf.set(PROVIDER, ROCKSDB)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
 
+def _started(stream: DataFrame, out: str, checkpoint: str, available_now: bool):
     def batch(df: DataFrame, batch_id: int) -> None:
-        o = ingest.overpasses(df, max_cloud)
-        acq = o.select("d", ingest.overpass_tag(F.col("d"), F.col("orbit"), F.col("platform")).alias("tag"))
-        known = written(df.sparkSession, out, _schema(schema), batch_id).select("tag")
-        if done is not None:
-            known = known.unionByName(done.select("tag"))
-        _, fresh = ingest.split_new(acq, known)
-        fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-
-    w = items.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+        df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    w = stream.writeStream.outputMode("append").foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w).start()
 
 
-def raise_alerts(incidents: DataFrame, known: DataFrame, out: str, checkpoint: str, event_time: str, available_now: bool = True):
-    """One alert per first-seen open incident, however late it comes.
+def screen_overpasses(items: DataFrame, done: DataFrame | None, out: str, checkpoint: str, max_cloud: float, available_now: bool = True):
+    """Append the overpasses not screened before; ``done`` is an existing table of tags.
 
-    What was raised before is read back from the output, so nothing is dropped by a watermark
-    and no state grows; inside a micro-batch the first open row by ``event_time`` counts.
+    One overpass arrives as many tiles, in one batch or in several; the first clear tile brings its tag.
     """
+    on_rocksdb(items.sparkSession)
+    tags = ingest.clear_tiles(items, max_cloud).select("d", ingest.overpass_tag(F.col("d"), F.coalesce("orbit", F.lit(0)), F.col("platform")).alias("tag"))
+    if done is not None:
+        tags = tags.join(done.select("tag"), "tag", "left_anti")
+    return _started(tags.select("d", "tag").dropDuplicates(["tag"]), out, checkpoint, available_now)
 
-    def batch(df: DataFrame, batch_id: int) -> None:
-        earlier = written(df.sparkSession, out, _schema("incident_id long, level string"), batch_id).select("incident_id")
-        seen = known.select("incident_id").unionByName(earlier)
-        fresh = workflow.new_alerts(df, seen)
-        level = F.min_by("level", F.struct(F.col(event_time), F.col("level")))
-        fresh.groupBy("incident_id").agg(F.coalesce(level, F.min("level")).alias("level")).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    w = incidents.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (w.trigger(availableNow=True) if available_now else w).start()
+class FirstOpen(StatefulProcessor):
+    """The first open row of an incident in the batch that brings one; later rows of it raise nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.raised = handle.getValueState("raised", "raised boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:                                        # noqa: N802, N803
+        best = min(rows, key=lambda r: (r.at is not None, r.at or 0, r.level), default=None)
+        if best is not None and not self.raised.exists():
+            self.raised.update((True,))
+            yield Row(incident_id=key[0], level=best.level)
 
+    def close(self) -> None:
+        pass
 
-def _schema(ddl: str):
-    from pyspark.sql.types import StructType
-    return StructType.fromDDL(ddl)
+
+def raise_alerts(incidents: DataFrame, known: DataFrame, out: str, checkpoint: str, event_time: str, available_now: bool = True):
+    """One alert per first-seen open incident, however late it comes; inside a micro-batch the first open row by ``event_time`` counts."""
+    on_rocksdb(incidents.sparkSession)
+    fresh = workflow.new_alerts(incidents, known).select("incident_id", F.unix_micros(F.col(event_time).cast("timestamp")).alias("at"), "level")
+    kind = fresh.schema["incident_id"].dataType.simpleString()
+    alerts = fresh.groupBy("incident_id").transformWithState(FirstOpen(), f"incident_id {kind}, level string", "append", "none")
+    return _started(alerts, out, checkpoint, available_now)
 
 
 def run_to_end(stream) -> None:

@@ -190,7 +190,7 @@ def test_assets_and_sinks_round_trip(spark, tmp_path):
     sinks.write_json(df, str(tmp_path / "j"))
     sinks.write_table(df, str(tmp_path / "t"))
     sinks.write_markdown(df, str(tmp_path / "m"))
-    f = json.loads(spark.read.text(str(tmp_path / "g")).first()[0])
+    (f,) = json.loads((tmp_path / "g" / "features.geojson").read_text())["features"]
     assert f["geometry"] == {"type": "Point", "coordinates": [55.0, 25.0]} and f["properties"] == {"id": "q"}
     assert spark.read.csv(str(tmp_path / "c"), header=True).first()["id"] == "q"
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1

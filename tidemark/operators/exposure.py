@@ -8,7 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.geo import bearing_deg, compass, haversine_m, neighbour_cells, sphere_cell
+from tidemark.functions.geo import EARTH_RADIUS_M, bearing_deg, compass, haversine_m, neighbour_cells, sphere_cell
+from tidemark.functions.joins import join_small
 from tidemark.functions.nulls import clip
 from tidemark.functions.quantiles import exact_quantiles, select_ranks
 from tidemark.session import cut_lineage
@@ -21,31 +22,102 @@ M_PER_DEG_LAT, M_PER_DEG_LON = 110_574.0, 111_320.0
 ROLE_PRIORITY = {"EVENT_CORE": 1, "LEADING_EDGE": 2, "ASSET_BOUNDARY": 1, "BACKGROUND_CONTROL": 2, "UNCERTAINTY_POINT": 3}
 
 
-def nearest_assets(events: DataFrame, assets: DataFrame, radius_m: float = 40_000.0) -> DataFrame:
-    """Event / asset pairs within a radius, ranked nearest first per event, anywhere on the globe.
+#: Assets up to this number are sent, 27 copies each, to the events; beyond it both sides are shuffled.
+FEW_ASSETS = 4_000
+#: Assets of a cube beyond which it is cut into finer cubes, and the finest cut (pieces along an edge).
+DENSE, FINEST = 2_000, 8
+
+
+def _chord(metres: Column | float) -> Column:
+    """Straight distance, in radii, of points that far apart on the sphere."""
+    return 2 * F.sin(F.least((metres if isinstance(metres, Column) else F.lit(float(metres))) / (2 * EARTH_RADIUS_M), F.lit(math.pi / 2)))
+
+
+def _unit(lon: Column, lat: Column) -> list[Column]:
+    p, q = F.radians(lat), F.radians(lon)
+    return [F.cos(p) * F.cos(q), F.cos(p) * F.sin(q), F.sin(p)]
+
+
+def _places(prefix: str, lon: Column, lat: Column) -> dict[str, Column]:
+    return {f"{prefix}{c}": v for c, v in zip("xyz", _unit(lon, lat), strict=True)}
+
 
-    Cubes of the sphere no smaller than the radius turn the distance join into an equi-join
-    on 27 cells.  ``events``: event_id, lon, lat; ``assets``: asset_id, alon, alat and
-    anything else.
+def _within(limit: Column) -> Column:
+    """Squared chord of the two places at most ``limit`` squared: no angle is computed for the others."""
+    d = [F.col(f"_e{c}") - F.col(f"_a{c}") for c in "xyz"]
+    return d[0] * d[0] + d[1] * d[1] + d[2] * d[2] <= limit * limit
+
+
+def asset_pairs(events: DataFrame, assets: DataFrame, radius_m: float, few: int = FEW_ASSETS, dense: int = DENSE) -> DataFrame:
+    """Event / asset pairs within a radius, anywhere on the globe.
+
+    Cubes of the sphere no smaller than the radius turn the distance join into an equi-join.  Few (counted) assets
+    go to the events with the 27 cubes they reach.  Otherwise events ask 27 cubes, and a cube that holds
+    more than ``dense`` assets is cut into finer cubes, of which an event asks those its radius touches: no key holds many assets
+    and most far pairs are never formed.  A squared chord decides before any angle is computed.
     """
     size = radius_m * 1.001                                       # room for rounding at a cell's edge
-    asked = events.withColumn("_c", F.explode(neighbour_cells(sphere_cell(F.col("lon"), F.col("lat"), size))))
-    at = sphere_cell(F.col("alon"), F.col("alat"), size)
-    keyed = assets.withColumn("_c", F.struct(at[0].alias("x"), at[1].alias("y"), at[2].alias("z")))
+    edge = size / EARTH_RADIUS_M
+    limit = _chord(radius_m) * (1 + 1e-9)
+    cell = lambda lon, lat: [c.alias(n) for n, c in zip("xyz", sphere_cell(lon, lat, size), strict=True)]                # noqa: E731
+    e = events.withColumns(_places("_e", F.col("lon"), F.col("lat")))
+    a = assets.withColumns(_places("_a", F.col("alon"), F.col("alat")))
     d = haversine_m(F.col("lon"), F.col("lat"), F.col("alon"), F.col("alat"))
-    pairs = asked.join(keyed, "_c").withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_c")
+    extra = [f"_{s}{c}" for s in "ea" for c in "xyz"]
+    if assets.limit(few + 1).count() <= few:
+        a = a.withColumn("_c", F.explode(neighbour_cells(sphere_cell(F.col("alon"), F.col("alat"), size))))
+        e = e.withColumn("_c", F.struct(*cell(F.col("lon"), F.col("lat"))))
+        met = e.join(F.broadcast(a), "_c").where(_within(limit))
+    else:
+        a = a.withColumn("_c", F.struct(*cell(F.col("alon"), F.col("alat"))))
+        counts = a.groupBy("_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > dense)
+        cut = F.least(F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_n") / dense) / 2)), F.lit(float(FINEST))).cast("int")
+        counts = cut_lineage(counts.select("_c", cut.alias("_m")))
+        fine = lambda v, n: F.least(F.floor((F.col(v) / edge - F.col(f"_c.{n}")) * F.col("_m")), F.col("_m") - 1)         # noqa: E731
+        piece = F.when(F.col("_m").isNull(), F.lit(0)).otherwise((fine("_ax", "x") * F.col("_m") + fine("_ay", "y")) * F.col("_m") + fine("_az", "z"))
+        a = join_small(a, counts, ["_c"], "left").withColumn("_p", piece.cast("int")).drop("_m")
+        e = e.withColumn("_c", F.explode(neighbour_cells(sphere_cell(F.col("lon"), F.col("lat"), size))))
+        e = join_small(e, counts, ["_c"], "left")
+
+        def gap(v, n, i):
+            low = (F.col(f"_c.{n}") + i / F.col("_m")) * edge
+            return F.greatest(low - F.col(v), F.col(v) - low - edge / F.col("_m"), F.lit(0.0))
+
+        def touched(p):
+            m = F.col("_m")
+            x, y, z = gap("_ex", "x", F.floor(p / (m * m))), gap("_ey", "y", F.floor(p / m) % m), gap("_ez", "z", p % m)
+            return x * x + y * y + z * z <= limit * limit * (1 + 1e-6)
+
+        pieces = F.when(F.col("_m").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("_m") * F.col("_m") * F.col("_m") - 1), touched))
+        met = e.withColumn("_p", F.explode(pieces)).drop("_m").join(a, ["_c", "_p"]).where(_within(limit)).drop("_p")
+    return met.withColumn("distance_m", d).where(F.col("distance_m") <= radius_m).drop("_c", *extra)
+
+
+def nearest_assets(events: DataFrame, assets: DataFrame, radius_m: float = 40_000.0) -> DataFrame:
+    """Event / asset pairs within a radius, ranked nearest first per event (``asset_pairs``).
+
+    ``events``: event_id, lon, lat; ``assets``: asset_id, alon, alat and anything else.
+    """
     w = Window.partitionBy("event_id").orderBy("distance_m", "asset_id")
-    return pairs.withColumn("rank", F.row_number().over(w))
+    return asset_pairs(events, assets, radius_m).withColumn("rank", F.row_number().over(w))
 
 
 def assess(pairs: DataFrame, track: DataFrame, event_radius_m: Column, sensitivity: str = "sensitivity") -> DataFrame:
     """Exposure of each asset: now, along the drift track, and the combined score.
 
-    ``track``: event_id, hours, plon, plat (particles).  Pairs and particles meet on the
-    event; the per-step shares are a combined aggregate.
+    ``track``: event_id, hours, plon, plat (particles).  Each step of a track is first known by the box around its particles:
+    a step that lies farther from the asset than the event does, and beyond its reach, changes nothing, so only the others
+    meet their particles.
     """
+    pairs = cut_lineage(pairs)
     reach = F.greatest(event_radius_m, F.lit(250.0))
-    steps = (pairs.select("event_id", "asset_id", "alon", "alat", reach.alias("_reach")).join(track, "event_id")
+    placed = track.select("event_id", "hours", "plon", "plat", *[v.alias(k) for k, v in _places("_e", F.col("plon"), F.col("plat")).items()])
+    boxes = placed.groupBy("event_id", "hours").agg(*[f(f"_e{c}").alias(f"_{n}{c}") for c in "xyz" for f, n in ((F.min, "l"), (F.max, "h"))])
+    asked = pairs.select("event_id", "asset_id", "alon", "alat", "distance_m", reach.alias("_reach")).withColumns(_places("_a", F.col("alon"), F.col("alat")))
+    off = [F.greatest(F.col(f"_l{c}") - F.col(f"_a{c}"), F.col(f"_a{c}") - F.col(f"_h{c}"), F.lit(0.0)) for c in "xyz"]
+    bound = _chord(F.greatest("distance_m", "_reach")) * (1 + 1e-9)
+    near = asked.join(boxes, "event_id").where(off[0] * off[0] + off[1] * off[1] + off[2] * off[2] <= bound * bound)
+    steps = (near.select("event_id", "asset_id", "hours", "alon", "alat", "_reach").join(placed.select("event_id", "hours", "plon", "plat"), ["event_id", "hours"])
              .withColumn("_d", haversine_m(F.col("plon"), F.col("plat"), F.col("alon"), F.col("alat")))
              .groupBy("event_id", "asset_id", "hours").agg(F.min("_d").alias("_dmin"), F.avg((F.col("_d") <= F.col("_reach")).cast("double")).alias("_frac")))
     path = steps.groupBy("event_id", "asset_id").agg(

@@ -353,7 +353,7 @@ def rx_scores(df: DataFrame, background: DataFrame, keys: Sequence[str], feature
     return _attach(df, background.select(*keys, "mu", "inv"), keys).withColumn("rx", _distance(features, "mu", "inv")).drop("mu", "inv")
 
 
-@F.pandas_udf("struct<axes: array<double>, share: double>")
+@F.pandas_udf(T.StructType([T.StructField("axes", T.ArrayType(T.DoubleType())), T.StructField("share", T.DoubleType())]))
 def principal_axes(cov: pd.Series, k: pd.Series) -> pd.DataFrame:
     """First k eigenvectors of a flattened covariance, one after the other, and the share of variance they hold.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import ingest as ig
 from tidemark.plans.base import query, r6
+from tidemark.streaming.incremental import shared_folder
 from tidemark.sources import assets, sinks
 from tidemark.sources.tables import table
 
@@ -223,8 +224,12 @@ def measurement_units(spark, d):
 
 @query("sinks", """SELECT s_suppkey, json_object('type', 'Feature', 'geometry', json_object('type', 'Point', 'coordinates', [54 + (s_suppkey * 37 % 100) * 0.25e0, 24 + (s_suppkey * 91 % 100) * 0.125e0]), 'properties', json_object('name', s_name)) AS feature FROM supplier""")
 def geojson_sink(spark, d):
+    """Written as one collection, read back line by line."""
     p = supplier_points(spark, d)
-    return p.select("s_suppkey", sinks.feature(F.col("lon"), F.col("lat"), F.struct("name")).alias("feature"))
+    path = shared_folder(spark, "features")
+    sinks.write_geojson(p.select("lon", "lat", "name"), path, "lon", "lat", about={"note": "suggested locations"})
+    lines = spark.read.text(path).where(F.col("value").startswith('{"type":"Feature",')).select(F.rtrim("value", F.lit(",")).alias("feature"))
+    return lines.join(p.select("s_suppkey", "name"), F.get_json_object("feature", "$.properties.name") == F.col("name")).select("s_suppkey", "feature")
 
 
 @query("archive_census", f"""WITH {SQL_ITEMS}, g AS (SELECT aoi, collection, count(*) AS n, count(DISTINCT d) AS nd, min(d) AS a, max(d) AS z, count(CASE WHEN cloud <= 10 THEN 1 END) AS c, count(DISTINCT CASE WHEN cloud <= 10 THEN d END) AS cd, list_sort(list(cloud)) AS s FROM items GROUP BY 1, 2)

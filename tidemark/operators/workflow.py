@@ -314,24 +314,26 @@ def audit_log(events: DataFrame, limit: int, entity_type: str | None = None, ent
 def payload_problems(df: DataFrame, payload: str) -> DataFrame:
     """Add ``problems``: missing keys, invalid enums, ranges and geometry, physical units on a proxy.
 
-    The document is parsed once into its top-level members (raw text, so a present null
-    still counts as present) and only the nested members that matter are parsed again.
+    ``payload`` is JSON text or already a VARIANT.  The document is parsed once; members are read from the binary
+    form, and missing keys are one difference of arrays (a present null counts as present).  Text that is no object lacks every key.
     """
-    df = df.withColumn("_m", F.from_json(F.col(payload), "map<string,string>"))
-    text = lambda k: F.col("_m")[k]                                                                     # noqa: E731
-    df = df.withColumns({"_geo": F.from_json(text("geometry"), "type string"),
-                         "_est": F.from_json(text("water_quality"), "estimates map<string,struct<quantity_kind:string,units:string>>")["estimates"]})
-    has = lambda k: F.coalesce(F.map_contains_key("_m", k), F.lit(False))                               # noqa: E731
-    problems = [F.when(~has(k), F.lit(f"missing {k}")) for k in REQUIRED_KEYS]
-    problems.append(F.when(~F.coalesce(text("status").isin(STATES), F.lit(False)), "invalid status"))
-    problems.append(F.when(~F.coalesce(text("event_type_hypothesis").isin(list(EVENT_TYPES)), F.lit(False)), "invalid event type"))
+    parsed = F.col(payload) if df.schema[payload].dataType.simpleString() == "variant" else F.try_parse_json(payload)
+    df = df.withColumn("_v", parsed)
+    text = lambda path: F.try_variant_get("_v", f"$.{path}", "string")                                  # noqa: E731
+    keys = F.coalesce(F.map_keys(F.try_variant_get("_v", "$", "map<string,variant>")), F.array().cast("array<string>"))
+    missing = F.transform(F.array_except(F.array(*[F.lit(k) for k in REQUIRED_KEYS]), keys), lambda k: F.concat(F.lit("missing "), k))
+    problems = [F.when(~F.coalesce(text("status").isin(STATES), F.lit(False)), "invalid status"),
+                F.when(~F.coalesce(text("event_type_hypothesis").isin(list(EVENT_TYPES)), F.lit(False)), "invalid event type")]
     for k in ("severity", "confidence"):
-        problems.append(F.when(~text(k).try_cast("double").between(0.0, 1.0), F.lit(f"{k} out of [0, 1]")))
-    kind = F.coalesce(F.col("_geo.type").isin("Polygon", "MultiPolygon", "Point"), F.lit(False))
-    problems.append(F.when(text("geometry").isNotNull() & ~kind, "invalid geometry type"))
-    uncalibrated = F.map_filter("_est", lambda _, e: e["units"].isin(PHYSICAL_UNITS) & ~F.coalesce(e["quantity_kind"].isin("CALIBRATED", "GENERIC_CALIBRATION"), F.lit(False)))
+        problems.append(F.when(~F.try_variant_get("_v", f"$.{k}", "double").between(0.0, 1.0), F.lit(f"{k} out of [0, 1]")))
+    geometry = F.try_variant_get("_v", "$.geometry", "variant")
+    kind = F.coalesce(text("geometry.type").isin("Polygon", "MultiPolygon", "Point"), F.lit(False))
+    problems.append(F.when(geometry.isNotNull() & ~F.is_variant_null(geometry) & ~kind, "invalid geometry type"))
+    member = lambda e, k: F.try_variant_get(e, f"$.{k}", "string")                                       # noqa: E731
+    estimates = F.try_variant_get("_v", "$.water_quality.estimates", "map<string,variant>")
+    uncalibrated = F.map_filter(estimates, lambda _, e: F.coalesce(member(e, "units").isin(PHYSICAL_UNITS), F.lit(False)) & ~F.coalesce(member(e, "quantity_kind").isin("CALIBRATED", "GENERIC_CALIBRATION"), F.lit(False)))
     named = F.coalesce(F.transform(F.array_sort(F.map_keys(uncalibrated)), lambda k: F.concat(k, F.lit(": physical units on an uncalibrated proxy"))), F.array().cast("array<string>"))
-    return df.withColumn("problems", F.concat(F.array_compact(F.array(*problems)), named)).drop("_m", "_geo", "_est")
+    return df.withColumn("problems", F.concat(missing, F.array_compact(F.array(*problems)), named)).drop("_v")
 
 
 def merge_sample_plan(current: DataFrame, plan: DataFrame) -> DataFrame:

@@ -188,6 +188,13 @@ def zone_statistics(px: DataFrame, keys: Sequence[str], features: Sequence[str],
     return out.select(*keys, "feature", "n", *[F.when(enough, F.col(c)).alias(c) for c in [f"p{p}" for p in pcts] + ["mean"]])
 
 
+def zone_quality(px: DataFrame, keys: Sequence[str], water: Column, valid: Column, cloudy: Column) -> DataFrame:
+    """Pixels, water pixels, valid share and cloudy share of the valid pixels per zone: one combined aggregate."""
+    ok = F.coalesce(valid, F.lit(False))
+    g = px.groupBy(*keys).agg(F.count(F.lit(1)).alias("zone_px"), F.count_if(F.coalesce(water, F.lit(False))).alias("n_water"), F.count_if(ok).alias("_v"), F.count_if(ok & F.coalesce(cloudy, F.lit(False))).alias("_c"))
+    return g.select(*keys, "zone_px", "n_water", (F.col("_v") / F.col("zone_px")).alias("valid_fraction"), (F.col("_c") / F.greatest("_v", F.lit(1))).alias("cloud_fraction_of_valid"))
+
+
 def series_extract(stats: DataFrame, stat: str, n_water: str = "n_water", min_water_px: int = MIN_WATER_PX) -> DataFrame:
     return stats.where((F.col(n_water) >= min_water_px) & F.col(stat).isNotNull())
 

@@ -167,8 +167,15 @@ def drift_starts(wind: DataFrame, keys: Sequence[str], horizons: Sequence[int] =
     return out.select(*keys, "h", F.explode("_hz").alias("_z")).select(*keys, "h", "_z.*")
 
 
-def drift_bounds(starts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Median, p90, p95 and maximum (km) of displacement and persistence error."""
+def drift_bounds(starts: DataFrame, keys: Sequence[str], season: Column | None = None) -> DataFrame:
+    """Median, p90, p95 and maximum (km) of displacement and persistence error.
+
+    With ``season`` (a condition on the starts, such as days within 45 of a centre) a second view holds those starts alone:
+    column ``view`` is ``all_year`` or ``season``.
+    """
+    if season is not None:
+        views = F.when(season, F.array(F.lit("all_year"), F.lit("season"))).otherwise(F.array(F.lit("all_year")))
+        return drift_bounds(starts.withColumn("view", F.explode(views)), [*keys, "view"])
     km = starts.select(*keys, "horizon_h", (F.col("displacement_m") / 1000).alias("displacement"), (F.col("persistence_error_m") / 1000).alias("persistence_error"))
     long = km.unpivot([*keys, "horizon_h"], ["displacement", "persistence_error"], "measure", "km")
     k = [*keys, "horizon_h", "measure"]

@@ -227,12 +227,17 @@ def split_lab_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where(F.col("problem").isNull()), checked.where(F.col("problem").isNotNull())
 
 
-def normalise_product(spectra: DataFrame, keys: Sequence[str], value: str, nm: str, quantity: str, ed: str) -> DataFrame:
-    """Lw / Ed, rho_w / pi or Rrs to Rrs; refuses unknown quantities, Lw without Ed and bands out of range."""
+def normalised_bands(spectra: DataFrame, value: str, nm: str, quantity: str, ed: str) -> DataFrame:
+    """Every band as remote-sensing reflectance: Lw / Ed, rho_w / pi or Rrs; ``refused`` says why a band has none, ``negative`` marks
+    values below the noise floor."""
     q = F.col(quantity)
     refused = (F.when(~q.isin(QUANTITIES), "unknown quantity").when((q == "Lw") & F.col(ed).isNull(), "Lw needs Ed")
                .when(~F.col(nm).between(SPECTRAL_RANGE[0] - 5, SPECTRAL_RANGE[1] + 5), "band outside range"))
     rrs = (F.when(q == "Lw", F.when(F.col(ed) > 0, F.col(value) / F.col(ed))).when(q == "rho_w", F.col(value) / F.pi()).when(q == "Rrs", F.col(value)))
-    rows = spectra.withColumns({"_refused": refused, "_rrs": rrs})
-    return rows.groupBy(*keys).agg(F.max("_refused").alias("refused"), F.count("_rrs").alias("n_bands"), F.sum("_rrs").alias("sum_rrs"),
-                                   F.coalesce(F.bool_or(F.col("_rrs") < -0.01), F.lit(False)).alias("negative_note"))
+    return spectra.withColumns({"refused": refused, "rrs": rrs}).withColumn("negative", F.coalesce(F.col("rrs") < -0.01, F.lit(False)))
+
+
+def normalise_product(spectra: DataFrame, keys: Sequence[str], value: str, nm: str, quantity: str, ed: str) -> DataFrame:
+    """What ``normalised_bands`` makes of each spectrum: refusal, bands with a value, their sum, note on negative values."""
+    rows = normalised_bands(spectra, value, nm, quantity, ed)
+    return rows.groupBy(*keys).agg(F.max("refused").alias("refused"), F.count("rrs").alias("n_bands"), F.sum("rrs").alias("sum_rrs"), F.bool_or("negative").alias("negative_note"))

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import join_nulls
 from tidemark.functions.nulls import clip, ratio
 from tidemark.functions.ordering import previous_row
 from tidemark.functions.quantiles import exact_quantiles
@@ -443,15 +444,34 @@ def next_pass(pattern: DataFrame, now: Column, repeat_days: int = 10) -> DataFra
     return pattern.withColumn("next_at", F.when(at <= t, at + step).otherwise(at))
 
 
+def earliest_pass(passes: DataFrame, now: Column) -> DataFrame:
+    """The next pass over any of the areas, and the time until then in words; no row without a pattern."""
+    best = passes.agg(F.min(F.struct("next_at", "aoi", "platform", "orbit")).alias("_b")).where(F.col("_b").isNotNull()).select("_b.*")
+    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    minutes = F.round((F.col("next_at") - F.timestamp_diff("SECOND", origin, now)) / 60).cast("long")
+    days = F.format_string("%dd %dh", F.floor(minutes / 1440), F.floor(minutes % 1440 / 60))
+    hours = F.format_string("%dh %02dm", F.floor(minutes / 60), minutes % 60)
+    return best.withColumn("in_text", F.when(minutes >= 1440, days).otherwise(hours))
+
+
+def counts_map(rows: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """How often each value occurs per key, as a map in order of the value."""
+    per = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("string").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return per.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_v", "_n")))).alias(out))
+
+
 def data_quality(rows: DataFrame, keys: Sequence[str], fractions: Sequence[str]) -> DataFrame:
-    """Acquisition counts, usable share, range, offsets applied and medians of the quality fractions."""
+    """Acquisition counts, usable share, range, offsets applied, platforms and processing baselines, and medians of the quality fractions."""
     ok = F.col("error").isNull()
     g = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_datatakes"), F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_failed"), F.count_if(ok & (F.col("n_water") >= 500)).alias("n_usable"),
         F.min(F.when(ok, F.col("d"))).alias("first_d"), F.max(F.when(ok, F.col("d"))).alias("last_d"), F.count_if(ok & (F.col("baseline") >= 4.0)).alias("n_offset_applied"))
     long = rows.where(ok).select(*keys, *fractions).unpivot(list(keys), list(fractions), "_f", "_v")
     med = exact_quantiles(long, [*keys, "_f"], "_v", {"_m": 0.5}).groupBy(*keys).pivot("_f", list(fractions)).agg(F.first("_m"))
-    return g.join(med.select(*keys, *[F.col(f).alias(f"median_{f}") for f in fractions]), list(keys), "left")
+    g = join_nulls(g, med.select(*keys, *[F.col(f).alias(f"median_{f}") for f in fractions]), keys, "left")
+    for value, name in (("platform", "platforms"), ("baseline", "processing_baselines")):
+        g = join_nulls(g, counts_map(rows.where(ok), keys, value, name), keys, "left")
+    return g
 
 
 def tournament(areas: DataFrame) -> DataFrame:
@@ -473,7 +493,9 @@ def tournament(areas: DataFrame) -> DataFrame:
         "burden": F.when(F.col("positive").isNull() | (pos + neg == 0), 0.5).otherwise(ratio(pos.cast("double"), (pos + neg).cast("double"))),
     }
     total = sum([TOURNAMENT_WEIGHTS[k] * F.col(f"s_{k}") for k in scores], F.lit(0.0))
-    return a.withColumns({f"s_{k}": v for k, v in scores.items()}).withColumn("total", total).drop("_mu", "_mc")
+    a = a.withColumns({f"s_{k}": v for k, v in scores.items()}).withColumn("total", total).drop("_mu", "_mc")
+    # one row per area: a short list
+    return a.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "aoi")))
 
 
 def confirmation_rates(labels: DataFrame) -> DataFrame:
@@ -484,5 +506,17 @@ def confirmation_rates(labels: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("referenced"), confirmed.alias("confirmed"), (confirmed / F.count(F.lit(1))).alias("rate"))
 
 
+def portability(labels: DataFrame, scores: DataFrame, candidate: str, rule: str) -> DataFrame:
+    """Range of the areas' confirmation rates, and on how many held-out areas the candidate beats the rule.
+
+    ``scores``: one row per held-out area; areas without both scores are not counted.
+    """
+    per_area = confirmation_rates(labels).where(F.col("aoi").isNotNull())
+    rates = per_area.agg(F.count(F.lit(1)).alias("n_areas"), F.min("rate").alias("rate_min"), F.max("rate").alias("rate_max"))
+    both = scores.where(F.col(candidate).isNotNull() & F.col(rule).isNotNull())
+    wins = both.agg(F.count_if(F.col(candidate) > F.col(rule)).alias("n_wins"), F.count(F.lit(1)).alias("n_scorable"))
+    return rates.crossJoin(F.broadcast(wins))                                                   # one row each
+
+
 def largest_rejections(labels: DataFrame, k: int = 5) -> DataFrame:
     return labels.where(F.col("y") == 0).orderBy(F.col("area_km2").desc(), "label_id").limit(k)

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.joins import join_small
 from tidemark.functions.ordering import previous_row
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.operators import climatology as cl
@@ -178,15 +179,23 @@ def persistence_fraction(spark, d):
 #: Water for the shore line: pixels that were clear enough on half of all acquisitions.
 SHORE_WATER = "tur < 45"
 _D3, _D2 = sql_diamond(3)[0], sql_diamond(2)[0]
+SQL_SHORE = f"""pw AS MATERIALIZED (SELECT row, col FROM stack GROUP BY 1, 2 HAVING avg(CAST({SHORE_WATER} AS INTEGER)) >= 0.5),
+land AS MATERIALIZED (SELECT * FROM (SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM shape, generate_series(0, nr - 1) a(r), generate_series(0, nc - 1) b(c)) ANTI JOIN pw USING (row, col)),
+sh AS MATERIALIZED (SELECT pw.row, pw.col, sqrt(min(pow(pw.row - land.row, 2) + pow(pw.col - land.col, 2))) AS px FROM pw, land GROUP BY 1, 2)"""
+
+
+def shore_distance(spark, d, st):
+    """Distance (pixels) of every persistently clear pixel to the nearest one that is not."""
+    return grid.distance_transform(grid.static_water(st, [], F.expr(SHORE_WATER)).where("persistent"), [], n_rows(spark, d), GRID_COLS)
+
+
 SQL_FEATURES = f"""{_D3}, {_D2}, cloud AS MATERIALIZED (SELECT scene, row, col FROM stack WHERE tur < 12),
 cring AS MATERIALIZED (SELECT DISTINCT c.scene, c.row + dr AS row, c.col + dc AS col FROM cloud c, o3), cr AS MATERIALIZED (SELECT * FROM cring ANTI JOIN cloud USING (scene, row, col)),
 ring AS (SELECT DISTINCT rp.scene, rp.label, rp.row + dr AS row, rp.col + dc AS col FROM rp, o2, shape WHERE rp.row + dr BETWEEN 0 AND nr - 1 AND rp.col + dc BETWEEN 0 AND 49),
 rr AS (SELECT ring.* FROM ring ANTI JOIN rp USING (scene, label, row, col)),
 ca AS (SELECT rr.scene, rr.label, avg(CAST(cr.row IS NOT NULL AS INTEGER)) AS cloud_adjacent_frac FROM rr LEFT JOIN cr USING (scene, row, col) GROUP BY 1, 2),
 vf AS (SELECT scene, count(CASE WHEN {WATER} THEN 1 END) / CAST((SELECT nr * nc FROM shape) AS DOUBLE) AS valid_frac_aoi FROM stack GROUP BY 1),
-pw AS MATERIALIZED (SELECT row, col FROM stack GROUP BY 1, 2 HAVING avg(CAST({SHORE_WATER} AS INTEGER)) >= 0.5),
-land AS MATERIALIZED (SELECT * FROM (SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col FROM shape, generate_series(0, nr - 1) a(r), generate_series(0, nc - 1) b(c)) ANTI JOIN pw USING (row, col)),
-sh AS MATERIALIZED (SELECT pw.row, pw.col, sqrt(min(pow(pw.row - land.row, 2) + pow(pw.col - land.col, 2))) AS px FROM pw, land GROUP BY 1, 2),
+{SQL_SHORE},
 ds AS (SELECT rp.scene, rp.label, median(coalesce(px, 0)) * 20 / 1000.0e0 AS dist_shore_km FROM rp LEFT JOIN sh USING (row, col) GROUP BY 1, 2)"""
 
 
@@ -221,8 +230,7 @@ def candidate_features(spark, d):
     """The triage vector of every region, in the order that models are trained on."""
     st, labelled, px = detected(spark, d, ALL_FEATS)
     k, n = ["scene", "label"], n_rows(spark, d)
-    shore = grid.distance_transform(grid.static_water(st, [], F.expr(SHORE_WATER)).where("persistent"), [], n, GRID_COLS)
-    px = px.join(shore, ["row", "col"], "left")
+    px = px.join(shore_distance(spark, d, st), ["row", "col"], "left")
     deltas = px.select(*k, F.col("ndci_pct").alias("seasonal_pct_primary"), F.col("ndci_z").alias("robust_z_primary"), F.col("fai").alias("fai_mean"),
                        (F.coalesce("dist_px", F.lit(0.0)) * 20 / 1000).alias("dist_shore_km"), (F.col("hue") - F.col("hue_med")).alias("hue_delta_deg"),
                        *[(F.col(f) - F.col(f"{f}_med")).alias(f"{f}_delta") for f in FEATS])
@@ -257,11 +265,12 @@ def date_summary(spark, d):
     return c.groupBy("scene").agg(*aggs)
 
 
-@query("event_summary", f"""WITH RECURSIVE {SQL_DETECT} SELECT scene, CAST(label AS BIGINT) AS label, count(*) AS n_px, {r6('count(*) * 0.0004e0')} AS area_km2, {r6('median(ndci)')} AS ndci, {r6('median(z_ndci)')} AS ndci_z,
-{r6('median(pct_ndci)')} AS ndci_pct, {r6('median(med_ndci)')} AS ndci_med, {r6('median(n_ndci)')} AS ndci_n, {r6('median(mci)')} AS mci, {r6('median(z_mci)')} AS mci_z, {r6('median(tur)')} AS tur FROM rp GROUP BY 1, 2""")
+@query("event_summary", f"""WITH RECURSIVE {SQL_DETECT}, {SQL_SHORE} SELECT scene, CAST(label AS BIGINT) AS label, count(*) AS n_px, {r6('count(*) * 0.0004e0')} AS area_km2, {r6('median(ndci)')} AS ndci, {r6('median(z_ndci)')} AS ndci_z,
+{r6('median(pct_ndci)')} AS ndci_pct, {r6('median(med_ndci)')} AS ndci_med, {r6('median(n_ndci)')} AS ndci_n, {r6('median(mci)')} AS mci, {r6('median(z_mci)')} AS mci_z, {r6('median(tur)')} AS tur, {r6('median(coalesce(px, 0)) * 20 / 1000.0e0')} AS coast_km FROM rp LEFT JOIN sh USING (row, col) GROUP BY 1, 2""")
 def event_summary(spark, d):
-    _, _, px = detected(spark, d)
-    vals = ["ndci", "ndci_z", "ndci_pct", "ndci_med", "ndci_n", "mci", "mci_z", "tur"]
+    st, _, px = detected(spark, d)
+    px = px.join(shore_distance(spark, d, st), ["row", "col"], "left").withColumn("coast_km", F.coalesce("dist_px", F.lit(0.0)) * 20 / 1000)
+    vals = ["coast_km", "ndci", "ndci_z", "ndci_pct", "ndci_med", "ndci_n", "mci", "mci_z", "tur"]
     out = cl.region_medians(px, ["scene", "label"], vals).join(grid.region_stats(px, ["scene"], 20.0).select("scene", "label", "n_px", "area_km2"), ["scene", "label"])
     return out.select("scene", "label", "n_px", *[rnd(F.col(c)).alias(c) for c in [*vals, "area_km2"]])
 
@@ -275,19 +284,27 @@ def region_reselect(spark, d):
 
 
 # --- zones and series ---------------------------------------------------------------------
-SQL_ZONE = f"""zf AS (SELECT CAST(year(d) AS INTEGER) AS yr, aoi || CASE WHEN scl < 6 THEN '_near' ELSE '_off' END AS zone, 'ndci' AS feature,
-  (b05 - b04) / nullif(b05 + b04 - 2 * b12, 0) AS value FROM bands UNION ALL SELECT year(d), aoi || CASE WHEN scl < 6 THEN '_near' ELSE '_off' END, 'swir_b11', b11 FROM bands),
-zv AS (SELECT yr, zone, feature, CASE WHEN feature <> 'ndci' OR value BETWEEN -1 AND 1 THEN value END AS value FROM zf)"""
-
-
-@query("zone_statistics", f"""WITH {SQL_BANDS}, {SQL_ZONE}, g AS (SELECT yr, zone, feature, count(value) AS n, quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q, avg(value) AS m FROM zv GROUP BY 1, 2, 3)
-SELECT yr, zone, feature, n, {', '.join(f"{r6(f'CASE WHEN n >= 30 THEN q[{i + 1}] END', 4)} AS p{p}" for i, p in enumerate((5, 25, 50, 75, 95, 99)))}, {r6('CASE WHEN n >= 30 THEN m END', 4)} AS mean FROM g""")
+ZONE_FEATURES = ["MNDWI", "SWIR_B11", "NDCI", "MCI", "FAI", "RE_RATIO", "CDOM_RATIO", "TUR_NECHAD2016", "SPM_NECHAD2016"]
+ZONE_WATER = "scl NOT IN (0, 1, 3, 8, 9, 10, 11) AND (scl = 6 OR (b03 - b11) / (b03 + b11 + 1e-6) > 0.15) AND b8a < 0.10"
+_ONS2A = "CASE WHEN platform LIKE '%A' THEN {} ELSE {} END"
+SQL_ZONE = f"""zb AS MATERIALIZED (SELECT *, CAST(year(d) AS INTEGER) AS yr, aoi || CASE WHEN scl < 6 THEN '_near' ELSE '_off' END AS zone, {ZONE_WATER} AS water, b03 - b12 AS g, b04 - b12 AS r, b05 - b12 AS e, b06 - b12 AS i,
+ {_ONS2A.format('(704.1e0 - 664.6e0) / (740.5e0 - 664.6e0)', '(703.8e0 - 664.9e0) / (739.1e0 - 664.9e0)')} AS fm, {_ONS2A.format('(864.7e0 - 664.6e0) / (1613.7e0 - 664.6e0)', '(864.0e0 - 664.9e0) / (1610.4e0 - 664.9e0)')} AS ff FROM bands),
+zq AS (SELECT yr, zone, count(*) AS zone_px, count(CASE WHEN water THEN 1 END) AS n_water, count(CASE WHEN scl <> 0 THEN 1 END) / CAST(count(*) AS DOUBLE) AS valid_fraction, count(CASE WHEN scl IN (8, 9, 10) THEN 1 END) / CAST(greatest(count(CASE WHEN scl <> 0 THEN 1 END), 1) AS DOUBLE) AS cloud_fraction_of_valid FROM zb GROUP BY 1, 2),
+zf AS (SELECT yr, zone, unnest({ZONE_FEATURES!r}) AS feature, unnest([(b03 - b11) / nullif(b03 + b11, 0), b11, (e - r) / nullif(e + r, 0), e - (r + (i - r) * fm), b8a - (b04 + (b11 - b04) * ff), CASE WHEN r > 1e-3 THEN e / r END, CASE WHEN r > 1e-3 THEN g / r END,
+ CASE WHEN r < 0.5 * 0.19563e0 THEN 366.14e0 * r / (1 - r / 0.19563e0) END, CASE WHEN r < 0.5 * 0.19563e0 THEN 342.10e0 * r / (1 - r / 0.19563e0) END]) AS value, unnest([-1, NULL, -1, NULL, NULL, 0, 0, 0, 0]) AS lo, unnest([1, NULL, 1, NULL, NULL, 10, 20, 1000, 1000]) AS hi FROM zb WHERE water),
+zv AS (SELECT yr, zone, feature, CASE WHEN lo IS NULL OR value BETWEEN lo AND hi THEN value END AS value FROM zf)"""
+
+
+@query("zone_statistics", f"""WITH {SQL_BANDS}, {SQL_ZONE}, g AS (SELECT yr, zone, feature, count(value) AS n, quantile_cont(value, [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q, avg(value) AS m FROM zv GROUP BY 1, 2, 3 HAVING count(value) > 0)
+SELECT yr, zone, feature, n, {', '.join(f"{r6(f'CASE WHEN n >= 30 THEN q[{i + 1}] END', 4)} AS p{p}" for i, p in enumerate((5, 25, 50, 75, 95, 99)))}, {r6('CASE WHEN n >= 30 THEN m END', 4)} AS mean, zone_px, n_water, {r6('valid_fraction')} AS valid_fraction, {r6('cloud_fraction_of_valid')} AS cloud_fraction_of_valid FROM g JOIN zq USING (yr, zone)""")
 def zone_statistics(spark, d):
     f = feature_columns(BAND_COLUMNS, F.col("platform"))
-    px = bands(spark, d).select(F.year("d").alias("yr"), F.concat("aoi", F.when(F.col("scl") < 6, "_near").otherwise("_off")).alias("zone"),
-                                f["NDCI"].alias("ndci"), f["SWIR_B11"].alias("swir_b11"))
-    out = cl.zone_statistics(px, ["yr", "zone"], ["ndci", "swir_b11"])
-    return out.select("yr", "zone", "feature", "n", *[rnd(F.col(c), 4).alias(c) for c in out.columns[4:]])
+    px = bands(spark, d).withColumns({"yr": F.year("d"), "zone": F.concat("aoi", F.when(F.col("scl") < 6, "_near").otherwise("_off"))})
+    quality = cl.zone_quality(px, ["yr", "zone"], F.expr(ZONE_WATER), F.col("scl") != 0, F.col("scl").isin(8, 9, 10))
+    water = px.where(ZONE_WATER).select("yr", "zone", *[f[k].alias(k) for k in ZONE_FEATURES])
+    out = join_small(cl.zone_statistics(water, ["yr", "zone"], ZONE_FEATURES), quality, ["yr", "zone"])
+    stats = [f"p{p}" for p in cl.ZONE_PCTS] + ["mean"]
+    return out.select("yr", "zone", "feature", "n", *[rnd(F.col(c), 4).alias(c) for c in stats], "zone_px", "n_water", rnd(F.col("valid_fraction")).alias("valid_fraction"), rnd(F.col("cloud_fraction_of_valid")).alias("cloud_fraction_of_valid"))
 
 
 @query("zone_baseline_scene", f"""WITH {SQL_BANDS}, w AS (SELECT year(d) * 100 + month(d) AS ym, aoi, (b03 - b11) / (b03 + b11 + 1e-6) AS mndwi, (b05 - b04) / (b05 + b04 + 1e-6) AS ndci FROM bands

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tidemark.functions.geo import bearing_deg, compass, haversine_m
+from tidemark.operators.climatology import doy_distance
 from tidemark.operators import exposure as ex
 from tidemark.operators import matchup as mu
 from tidemark.operators import pixels as px_ops
@@ -211,6 +212,11 @@ def bearing(spark, d):
     return points(spark, d).select("k", rnd(b).alias("bearing_deg"), compass(b).alias("direction"))
 
 
+@query("compass", f"WITH {SQL_GEO} SELECT k, {SQL_COMPASS.format(b='(k * 7.5e0) % 360')} AS direction FROM pt")
+def compass_points(spark, d):
+    return points(spark, d).select("k", compass(F.col("k") * 7.5 % 360).alias("direction"))
+
+
 RADIUS = 12_000.0
 SQL_PAIRS = f"prs AS MATERIALIZED (SELECT k AS event_id, v, lon, lat, asset_id, alon, alat, sens, {sql_haversine('lon', 'lat', 'alon', 'alat')} AS dist FROM pt JOIN ast ON abs(lat - alat) < 0.2 AND abs(lon - alon) < 0.2 WHERE {sql_haversine('lon', 'lat', 'alon', 'alat')} <= {RADIUS})"
 
@@ -277,15 +283,19 @@ def surface_drift(spark, d):
 SQL_DRIFT = f"""{SQL_WIND}, hr AS MATERIALIZED (SELECT user_id % 3 AS pt, CAST(date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) AS BIGINT) AS h, avg(du) AS du, avg(dv) AS dv FROM w2 GROUP BY 1, 2),
 st AS (SELECT a.pt, a.h, hz, any_value(a.du) AS du, any_value(a.dv) AS dv, sum(b.du) * 3600 AS x, sum(b.dv) * 3600 AS y FROM hr a, unnest([6, 12, 24, 48]) z(hz) JOIN hr b ON b.pt = a.pt AND b.h BETWEEN a.h AND a.h + hz - 1 WHERE a.h % 6 = 0 AND a.h < (SELECT max(m.h) FROM hr m WHERE m.pt = a.pt) + 1 - 48
  AND (SELECT count(*) FROM hr c WHERE c.pt = a.pt AND c.h BETWEEN a.h AND a.h + 47) = 48 GROUP BY 1, 2, 3),
-dp AS (SELECT pt, hz, unnest(['displacement', 'persistence_error']) AS measure, unnest([sqrt(x * x + y * y), sqrt(pow(x - du * 3600 * hz, 2) + pow(y - dv * 3600 * hz, 2))]) / 1000 AS km FROM st)"""
+dp AS (SELECT pt, h, hz, unnest(['displacement', 'persistence_error']) AS measure, unnest([sqrt(x * x + y * y), sqrt(pow(x - du * 3600 * hz, 2) + pow(y - dv * 3600 * hz, 2))]) / 1000 AS km FROM st)"""
+
+
+SEASON_CENTRE, SEASON_DAYS = 12, 6
 
 
-@query("drift_bounds", f"WITH {SQL_DRIFT} SELECT pt, hz AS horizon_h, measure, count(*) AS n, {r6('median(km)')} AS median_km, {r6('quantile_cont(km, 0.9)')} AS p90_km, {r6('quantile_cont(km, 0.95)')} AS p95_km, {r6('max(km)')} AS max_km FROM dp GROUP BY 1, 2, 3")
+@query("drift_bounds", f"WITH {SQL_DRIFT}, vw AS (SELECT *, 'all_year' AS view FROM dp UNION ALL SELECT *, 'season' FROM dp WHERE least(abs(dayofyear(TIMESTAMP '2024-01-01' + h * INTERVAL 1 HOUR) - {SEASON_CENTRE}), 365 - abs(dayofyear(TIMESTAMP '2024-01-01' + h * INTERVAL 1 HOUR) - {SEASON_CENTRE})) <= {SEASON_DAYS}) SELECT pt, view, hz AS horizon_h, measure, count(*) AS n, {r6('median(km)')} AS median_km, {r6('quantile_cont(km, 0.9)')} AS p90_km, {r6('quantile_cont(km, 0.95)')} AS p95_km, {r6('max(km)')} AS max_km FROM vw GROUP BY 1, 2, 3, 4")
 def drift_bounds(spark, d):
     h = F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ '2024-01-01 00:00:00', cast(ts as timestamp_ntz))")
     hourly = wind(spark, d).groupBy((F.col("user_id") % 3).alias("pt"), h.alias("h")).agg(F.avg("du").alias("du"), F.avg("dv").alias("dv"))
-    out = ex.drift_bounds(ex.drift_starts(hourly, ["pt"]), ["pt"])
-    return out.select("pt", "horizon_h", "measure", "n", *[rnd(F.col(c)).alias(c) for c in ("median_km", "p90_km", "p95_km", "max_km")])
+    day = F.dayofyear(F.timestamp_add("HOUR", F.col("h"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
+    out = ex.drift_bounds(ex.drift_starts(hourly, ["pt"]), ["pt"], doy_distance(day, F.lit(SEASON_CENTRE)) <= SEASON_DAYS)
+    return out.select("pt", "view", "horizon_h", "measure", "n", *[rnd(F.col(c)).alias(c) for c in ("median_km", "p90_km", "p95_km", "max_km")])
 
 
 _H = sql_haversine

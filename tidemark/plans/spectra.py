@@ -319,16 +319,28 @@ def pca_reduce(spark, d):
     return arr.select("vec_id", *[rnd(F.get("pc", i)).alias(f"pc{i}") for i in range(4)])
 
 
-@query("real_product_normalise", f"""WITH {SQL_SPECTRA}, q AS (SELECT vec_id, ix, nm, CASE label WHEN 0 THEN 'Lw' WHEN 1 THEN 'rho_w' WHEN 2 THEN 'L_toa' WHEN 3 THEN 'Lw' ELSE 'Rrs' END AS quantity, CASE WHEN label = 3 THEN NULL ELSE 1.5e0 + 0.01e0 * ix END AS ed, refl - 0.05 AS v FROM spectra),
-n AS (SELECT vec_id, quantity, CASE WHEN quantity = 'L_toa' THEN 'unknown quantity' WHEN quantity = 'Lw' AND ed IS NULL THEN 'Lw needs Ed' WHEN nm NOT BETWEEN 395 AND 1705 THEN 'band outside range' END AS refused,
-CASE WHEN quantity = 'L_toa' THEN NULL WHEN quantity = 'Lw' THEN CASE WHEN ed > 0 THEN v / ed END WHEN quantity = 'rho_w' THEN v / pi() ELSE v END AS rrs FROM q)
-SELECT vec_id, quantity, max(refused) AS refused, count(rrs) AS n_bands, {r6('sum(rrs)')} AS sum_rrs, CAST(coalesce(bool_or(rrs < -0.01), false) AS INTEGER) AS negative_note FROM n GROUP BY 1, 2""")
-def real_product_normalise(spark, d):
-    from tidemark.operators.ingest import normalise_product
+SQL_PRODUCT = """pq AS (SELECT vec_id, ix, nm, CASE label WHEN 0 THEN 'Lw' WHEN 1 THEN 'rho_w' WHEN 2 THEN 'L_toa' WHEN 3 THEN 'Lw' ELSE 'Rrs' END AS quantity, CASE WHEN label = 3 THEN NULL ELSE 1.5e0 + 0.01e0 * ix END AS ed, refl - 0.05 AS v FROM spectra),
+pn AS (SELECT vec_id, ix, quantity, CASE WHEN quantity = 'L_toa' THEN 'unknown quantity' WHEN quantity = 'Lw' AND ed IS NULL THEN 'Lw needs Ed' WHEN nm NOT BETWEEN 395 AND 1705 THEN 'band outside range' END AS refused,
+CASE WHEN quantity = 'L_toa' THEN NULL WHEN quantity = 'Lw' THEN CASE WHEN ed > 0 THEN v / ed END WHEN quantity = 'rho_w' THEN v / pi() ELSE v END AS rrs FROM pq)"""
+
+
+def products(spark, d):
     label = F.col("label")
     s = spectra(spark, d).withColumn("quantity", F.when(label.isin(0, 3), "Lw").when(label == 1, "rho_w").when(label == 2, "L_toa").otherwise("Rrs"))
-    s = s.withColumns({"ed": F.when(label != 3, 1.5 + 0.01 * F.col("ix")), "v": F.col("refl") - 0.05})
-    out = normalise_product(s, ["vec_id", "quantity"], "v", "nm", "quantity", "ed")
+    return s.withColumns({"ed": F.when(label != 3, 1.5 + 0.01 * F.col("ix")), "v": F.col("refl") - 0.05})
+
+
+@query("real_product_normalise", f"""WITH {SQL_SPECTRA}, {SQL_PRODUCT} SELECT vec_id, ix, quantity, {r6('rrs', 8)} AS rrs, refused, CAST(coalesce(rrs < -0.01, false) AS INTEGER) AS negative FROM pn""")
+def real_product_normalise(spark, d):
+    from tidemark.operators.ingest import normalised_bands
+    out = normalised_bands(products(spark, d), "v", "nm", "quantity", "ed")
+    return out.select("vec_id", "ix", "quantity", rnd(F.col("rrs"), 8).alias("rrs"), "refused", F.col("negative").cast("int").alias("negative"))
+
+
+@query("real_product_summary", f"""WITH {SQL_SPECTRA}, {SQL_PRODUCT} SELECT vec_id, quantity, max(refused) AS refused, count(rrs) AS n_bands, {r6('sum(rrs)')} AS sum_rrs, CAST(coalesce(bool_or(rrs < -0.01), false) AS INTEGER) AS negative_note FROM pn GROUP BY 1, 2""")
+def real_product_summary(spark, d):
+    from tidemark.operators.ingest import normalise_product
+    out = normalise_product(products(spark, d), ["vec_id", "quantity"], "v", "nm", "quantity", "ed")
     return out.select("vec_id", "quantity", "refused", "n_bands", rnd(F.col("sum_rrs")).alias("sum_rrs"), F.col("negative_note").cast("int").alias("negative_note"))
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import workflow as wf
 from tidemark.plans.base import query, r6
+from tidemark.plans.learn import SQL_SCORED as SQL_LABEL_SCORES
+from tidemark.plans.learn import sql_ap
+from tidemark.plans.learn import scored as label_scores
 from tidemark.sources.tables import table
 
 
@@ -373,7 +376,9 @@ def provenance_missing(spark, d):
 
 
 ROW_COLUMNS = {"aoi": "o_custkey % 10", "platform": "CASE WHEN o_orderstatus = 'O' THEN 'S2A' ELSE 'S2B' END", "orbit": "CASE WHEN o_orderkey % 12 <> 0 THEN o_custkey % 4 END", "n_water": "CAST(floor(o_totalprice) AS BIGINT) % 1500",
-               "error": "CASE WHEN o_custkey % 23 = 0 THEN 'failed' END", "p95": "o_totalprice / 1000000e0", "baseline": "2e0 + (o_orderkey % 7) * 0.5e0", "valid_fraction": "(o_custkey % 37) / 36e0", "cloud_fraction": "(o_orderkey % 41) / 40e0"}
+               "error": "CASE WHEN o_custkey % 23 = 0 THEN 'failed' END", "p95": "o_totalprice / 1000000e0", "baseline": "2e0 + (o_orderkey % 7) * 0.5e0", "valid_fraction": "(o_custkey % 37) / 36e0", "cloud_fraction": "(o_orderkey % 41) / 40e0",
+               "water_fraction": "(o_orderkey % 53) / 52e0", "glint_fraction": "CASE WHEN o_orderkey % 9 <> 0 THEN (o_custkey % 31) / 300e0 END", "b11_water": "0.01e0 + (o_orderkey % 17) / 1000e0", "negative_red_fraction": "(o_custkey % 13) / 130e0"}
+QUALITY = ["valid_fraction", "cloud_fraction", "water_fraction", "glint_fraction", "b11_water", "negative_red_fraction"]
 SQL_ROWS = "rw AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in ROW_COLUMNS.items()) + ", o_orderdate AS tm FROM orders)"
 
 
@@ -400,11 +405,21 @@ def next_pass(spark, d):
     return out.select("aoi", "platform", "orbit", "next_at")
 
 
+@query("next_pass_earliest", f"""WITH {SQL_ROWS}, p AS (SELECT aoi, platform, orbit, epoch(max(tm)) AS l FROM rw WHERE orbit IS NOT NULL GROUP BY 1, 2, 3), q AS (SELECT *, l + greatest(ceil((epoch(TIMESTAMP '{NOW}') - l) / 864000.0), 1) * 864000 AS nx FROM p),
+n AS (SELECT aoi, platform, orbit, CAST(CASE WHEN nx <= epoch(TIMESTAMP '{NOW}') THEN nx + 864000 ELSE nx END AS BIGINT) AS next_at FROM q), b AS (SELECT *, CAST(round((next_at - epoch(TIMESTAMP '{NOW}')) / 60) AS BIGINT) AS m FROM n ORDER BY next_at, aoi, platform, orbit LIMIT 1)
+SELECT next_at, aoi, platform, orbit, CASE WHEN m >= 1440 THEN (m // 1440) || 'd ' || (m % 1440 // 60) || 'h' ELSE (m // 60) || 'h ' || lpad(CAST(m % 60 AS VARCHAR), 2, '0') || 'm' END AS in_text FROM b""")
+def next_pass_earliest(spark, d):
+    now = F.lit(NOW).cast("timestamp_ntz")
+    return wf.earliest_pass(wf.next_pass(wf.pass_pattern(rows(spark, d)), now), now)
+
+
 @query("data_quality_report", f"""WITH {SQL_ROWS} SELECT aoi, count(*) AS n_datatakes, count(CASE WHEN error IS NULL THEN 1 END) AS n_ok, count(error) AS n_failed, count(CASE WHEN error IS NULL AND n_water >= 500 THEN 1 END) AS n_usable, strftime(min(CASE WHEN error IS NULL THEN tm END), '%Y-%m-%d') AS first_d,
-strftime(max(CASE WHEN error IS NULL THEN tm END), '%Y-%m-%d') AS last_d, count(CASE WHEN error IS NULL AND baseline >= 4 THEN 1 END) AS n_offset_applied, {r6('median(CASE WHEN error IS NULL THEN valid_fraction END)')} AS median_valid_fraction, {r6('median(CASE WHEN error IS NULL THEN cloud_fraction END)')} AS median_cloud_fraction FROM rw GROUP BY 1""")
+strftime(max(CASE WHEN error IS NULL THEN tm END), '%Y-%m-%d') AS last_d, count(CASE WHEN error IS NULL AND baseline >= 4 THEN 1 END) AS n_offset_applied, {r6('median(CASE WHEN error IS NULL THEN valid_fraction END)')} AS median_valid_fraction, {', '.join(f"{r6(f'median(CASE WHEN error IS NULL THEN {c} END)')} AS median_{c}" for c in QUALITY[1:])}, (SELECT string_agg(platform || ':' || n, ',' ORDER BY platform) FROM (SELECT platform, count(*) AS n FROM rw q WHERE q.aoi = rw.aoi AND error IS NULL GROUP BY 1)) AS platforms,
+(SELECT string_agg(baseline || ':' || n, ',' ORDER BY CAST(baseline AS VARCHAR)) FROM (SELECT baseline, count(*) AS n FROM rw q WHERE q.aoi = rw.aoi AND error IS NULL GROUP BY 1)) AS processing_baselines FROM rw GROUP BY 1""")
 def data_quality_report(spark, d):
-    out = wf.data_quality(rows(spark, d), ["aoi"], ["valid_fraction", "cloud_fraction"])
-    return out.withColumns({"first_d": F.date_format("first_d", "yyyy-MM-dd"), "last_d": F.date_format("last_d", "yyyy-MM-dd"), "median_valid_fraction": rnd(F.col("median_valid_fraction")), "median_cloud_fraction": rnd(F.col("median_cloud_fraction"))})
+    out = wf.data_quality(rows(spark, d), ["aoi"], QUALITY)
+    listed = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")       # noqa: E731
+    return out.withColumns({"first_d": F.date_format("first_d", "yyyy-MM-dd"), "last_d": F.date_format("last_d", "yyyy-MM-dd"), **{f"median_{c}": rnd(F.col(f"median_{c}")) for c in QUALITY}, "platforms": listed("platforms"), "processing_baselines": listed("processing_baselines")})
 
 
 REGIMES = ["optically deep shelf", "shallow lagoon", "shallow shelf", "open shelf"]
@@ -414,12 +429,12 @@ SQL_AREAS = f"""ar AS (SELECT o_custkey % 25 AS aoi, count(CASE WHEN o_orderstat
 
 @query("aoi_tournament", f"""WITH {SQL_AREAS}, m AS (SELECT greatest(max(usable), 1) AS mu, greatest(max(critical), 1) AS mc FROM ar), s AS (SELECT aoi, usable / CAST(mu AS DOUBLE) AS a, CASE WHEN regime LIKE '%optically deep%' THEN 1.0 WHEN regime LIKE '%lagoon%' THEN 0.2 WHEN regime LIKE '%shallow%' THEN 0.4 ELSE 0.55 END AS b,
 least(1, 0.5 * least(1, coalesce(positive, 0) / 10e0) + 0.5 * least(1, register / 3e0)) AS c, critical / CAST(mc AS DOUBLE) AS d, CASE WHEN positive IS NULL OR positive + negative = 0 THEN 0.5 ELSE positive / CAST(positive + negative AS DOUBLE) END AS e FROM ar, m)
-SELECT aoi, {r6('0.15 * a + 0.2 * b + 0.3 * c + 0.2 * d + 0.15 * e')} AS total, {r6('a')} AS s_data, {r6('b')} AS s_optics, {r6('c')} AS s_evidence, {r6('d')} AS s_exposure, {r6('e')} AS s_burden FROM s""")
+SELECT aoi, CAST(row_number() OVER (ORDER BY 0.15e0 * a + 0.2e0 * b + 0.3e0 * c + 0.2e0 * d + 0.15e0 * e DESC, aoi) AS INTEGER) AS rank, {r6('0.15 * a + 0.2 * b + 0.3 * c + 0.2 * d + 0.15 * e')} AS total, {r6('a')} AS s_data, {r6('b')} AS s_optics, {r6('c')} AS s_evidence, {r6('d')} AS s_exposure, {r6('e')} AS s_burden FROM s""")
 def aoi_tournament(spark, d):
     a = table(spark, d, "orders").withColumn("aoi", F.col("o_custkey") % 25).groupBy("aoi").agg(
         F.count_if(F.col("o_orderstatus") != "P").alias("usable"), F.count_if(F.col("o_totalprice") > 480000).alias("pos"), F.count_if(F.col("o_totalprice") < 20000).alias("negative"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("critical"))
     a = a.withColumns({"regime": F.expr(pick(REGIMES, "aoi % 4")), "positive": F.when(F.col("aoi") % 6 != 0, F.col("pos")), "register": F.col("aoi") % 5})
-    return wf.tournament(a).select("aoi", *[rnd(F.col(c)).alias(c) for c in ("total", "s_data", "s_optics", "s_evidence", "s_exposure", "s_burden")])
+    return wf.tournament(a).select("aoi", "rank", *[rnd(F.col(c)).alias(c) for c in ("total", "s_data", "s_optics", "s_evidence", "s_exposure", "s_burden")])
 
 
 SQL_REF = "rl AS (SELECT o_orderkey AS label_id, o_custkey % 12 AS aoi, 'coast' || CAST(o_custkey % 12 % 3 AS VARCHAR) AS coast, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_totalprice > 200000 THEN 1 ELSE 0 END AS y, o_totalprice / 90000e0 AS area_km2 FROM orders)"
@@ -434,6 +449,15 @@ def confirmation_rates(spark, d):
     return wf.confirmation_rates(ref_labels(spark, d)).withColumn("rate", rnd(F.col("rate")))
 
 
+@query("portability", f"WITH {SQL_REF}, {SQL_LABEL_SCORES}, g AS (SELECT aoi, avg(y) AS r FROM rl WHERE y IS NOT NULL GROUP BY 1), w AS (SELECT c.auprc AS c, r.auprc AS r FROM ({sql_ap('pb')}) c JOIN ({sql_ap('pa')}) r USING (sub) WHERE c.auprc IS NOT NULL AND r.auprc IS NOT NULL) SELECT count(*) AS n_areas, {r6('min(r)')} AS rate_min, {r6('max(r)')} AS rate_max, (SELECT count(CASE WHEN c > r THEN 1 END) FROM w) AS n_wins, (SELECT count(*) FROM w) AS n_scorable FROM g")
+def portability(spark, d):
+    from tidemark.operators import metrics as me
+    s = label_scores(spark, d)
+    both = me.ranking(s, ["sub"], "y", "pb").select("sub", F.col("auprc").alias("candidate")).join(me.ranking(s, ["sub"], "y", "pa").select("sub", F.col("auprc").alias("rule")), "sub")
+    out = wf.portability(ref_labels(spark, d), both, "candidate", "rule")
+    return out.withColumns({c: rnd(F.col(c)) for c in ("rate_min", "rate_max")})
+
+
 @query("largest_rejections", f"WITH {SQL_REF} SELECT label_id, aoi, {r6('area_km2')} AS area_km2 FROM rl WHERE y = 0 ORDER BY rl.area_km2 DESC, label_id LIMIT 5")
 def largest_rejections(spark, d):
     return wf.largest_rejections(ref_labels(spark, d)).select("label_id", "aoi", rnd(F.col("area_km2")).alias("area_km2"))

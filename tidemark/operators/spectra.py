@@ -19,6 +19,14 @@ from tidemark.functions.quantiles import exact_quantiles
 # --- Fixed values: shoulders of the diagnostic absorption features (nm) ----------------
 BAND_DEPTHS = {"chl_a_675": (650.0, 675.0, 715.0), "phycocyanin_620": (600.0, 620.0, 650.0), "chl_a_443": (412.0, 443.0, 490.0)}
 # --- Fixed values: optical classes in reporting order ----------------------------------
+EVIDENCE = ["visible_tilt_665_over_443", "broadband_vis_enhancement", "red_edge_ratio_705_665", "chl_absorption_depth_675", "phycocyanin_absorption_620", "blue_depression_443", "floating_algae_index", "green_dominant_nearshore"]
+LABELS = {
+    "BACKGROUND_WATER": "Normal / background water", "SEDIMENT_LIKE": "High turbidity / suspended sediment signature", "BLOOM_LIKE": "Chlorophyll / bloom-like signature",
+    "CYANO_LIKE": "Cyanobacteria-like pigment signature", "CDOM_LIKE": "Coloured dissolved organic matter signature", "SURFACE_FILM_LIKE": "Surface film / floating material signature",
+    "BOTTOM_INFLUENCED": "Shallow water / bottom reflectance", "UNKNOWN_ANOMALY": "Unclassified spectral anomaly",
+}
+CAVEAT_SHALLOW = " m from shore. Bottom reflectance is a competing explanation that a single scene cannot exclude; the temporal baseline test is required."
+CAVEAT_BACKGROUND = "No distinctive optical signature; treated as background."
 CLASSES = ["BACKGROUND_WATER", "SEDIMENT_LIKE", "BLOOM_LIKE", "CYANO_LIKE", "CDOM_LIKE", "SURFACE_FILM_LIKE", "BOTTOM_INFLUENCED", "UNKNOWN_ANOMALY"]
 GROUP_CLASSES = ["BACKGROUND_WATER", "SEDIMENT_LIKE", "BLOOM_LIKE", "CYANO_LIKE", "CDOM_LIKE", "SURFACE_FILM_LIKE", "UNKNOWN_ANOMALY"]
 # --- Fixed values: multispectral sensor, band centres and widths (nm) ------------------
@@ -188,7 +196,7 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
     Needs columns r443 r560 r665 r705 (ratios), d675 d620 (excess band depths), ``fai``
     (nullable) and ``shore_m`` (nullable).  Adds a normalised score per class, the top
-    class, confidence (margin) and the number of evidence items.
+    class, confidence (margin), the evidence (name, value, class it supports, weight; heaviest first), its number, and caveats.
     """
     z = F.lit(0.0)
     pos = lambda cond, v: F.when(F.coalesce(cond, F.lit(False)), v).otherwise(z)                  # noqa: E731
@@ -221,11 +229,26 @@ def fingerprint(df: DataFrame) -> DataFrame:
     df = df.withColumns({c.lower(): F.when(F.col("_all") > 0, F.col(f"_s_{c}") / F.col("_all")).otherwise(z) for c in CLASSES})
     df = df.withColumn("_o", _top({c: F.col(c.lower()) for c in CLASSES}, CLASSES))
     best, second = F.get("_o", 0), F.get("_o", 1)
-    items = [tilt, broad, edge, d675, d620, fai]
-    n = z.cast("int")
-    for i in items:
-        n = n + i.isNotNull().cast("int")
-    n = n + F.coalesce((blue > 0.6) & (bloom < 0.5), F.lit(False)).cast("int") + F.coalesce(shallow & (green > 0.8), F.lit(False)).cast("int")
+    none = F.lit("none")
+    depressed, dominant = F.coalesce((blue > 0.6) & (bloom < 0.5), F.lit(False)), F.coalesce(shallow & (green > 0.8), F.lit(False))
+    kept = [(tilt, F.when(tilt > 0.5, "SEDIMENT_LIKE").when(tilt < -0.3, "CDOM_LIKE").otherwise(none), F.abs(tilt)),
+            (broad, F.when(broad > 1.8, "SEDIMENT_LIKE").otherwise(none), F.greatest(broad - 1.0, z)),
+            (edge, F.when(edge > 1.15, "BLOOM_LIKE").otherwise(none), F.greatest((edge - 1.0) * 3, z)),
+            (d675, F.when(d675 > 0.02, "BLOOM_LIKE").otherwise(none), d675 * 10),
+            (d620, F.when((d620 > 0.03) & (bloom > 1.0), "CYANO_LIKE").otherwise(none), d620 * 10),
+            (F.when(depressed, blue), F.lit("CDOM_LIKE"), F.least(blue, F.lit(2.0))),
+            (fai, F.when(fai > 0.005, "SURFACE_FILM_LIKE").otherwise(none), F.greatest(fai * 200, z)),
+            (F.when(dominant, green), F.lit("BOTTOM_INFLUENCED"), F.least(green, F.lit(2.5)))]
+    items = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct((-w).alias("_o"), F.lit(i).alias("_i"), F.lit(name).alias("name"), v.alias("value"), s.alias("supports"), w.alias("weight")))
+                                      for i, (name, (v, s, w)) in enumerate(zip(EVIDENCE, kept, strict=True))]))
+    evidence = F.transform(F.array_sort(items), lambda e: F.struct(e["name"].alias("name"), e["value"].alias("value"), e["supports"].alias("supports"), e["weight"].alias("weight")))
+    weak = best["s"] < 0.45
+    label = F.element_at(F.create_map(*[x for c in CLASSES for x in (F.lit(c), F.lit(LABELS[c]))]), best["c"])
+    caveats = F.array_compact(F.array(
+        F.when(shallow, F.concat(F.lit("Pixel is "), F.rint("shore_m").cast("long").cast("string"), F.lit(CAVEAT_SHALLOW))), F.when(best["c"] == "BACKGROUND_WATER", F.lit(CAVEAT_BACKGROUND)),
+        F.when(weak, F.concat(F.lit("Leading hypothesis ("), label, F.lit(") scored only "), F.rint(best["s"] * 100).cast("long").cast("string"), F.lit("%; reported as unclassified rather than asserted.")))))
+    n = F.size("evidence")
+    df = df.withColumns({"evidence": evidence, "caveats": caveats})
     return df.withColumns({
         "top_class": F.when(best["s"] < 0.45, F.lit("UNKNOWN_ANOMALY")).otherwise(best["c"]),
         "confidence": F.least(F.greatest(best["s"] - second["s"], F.lit(0.0)), F.lit(1.0)), "n_evidence": n,

@@ -169,9 +169,19 @@ s5 AS (SELECT *, bgw / (tot + bgw) AS n0, sed / (tot + bgw) AS n1, bloom / (tot
 s6 AS (SELECT *, list_reverse_sort([n0, n1, n2, n3, n4, n5, n6, 0]) AS o FROM s5)"""
 
 
+#: Value, class it supports, weight and condition of each item of evidence.
+SQL_EVIDENCE = [("r - a", "CASE WHEN r - a > 0.5 THEN 'SEDIMENT_LIKE' WHEN r - a < -0.3 THEN 'CDOM_LIKE' ELSE 'none' END", "abs(r - a)", "true"), ("0.5 * (g + r)", "CASE WHEN 0.5 * (g + r) > 1.8 THEN 'SEDIMENT_LIKE' ELSE 'none' END", "greatest(0.5 * (g + r) - 1, 0)", "true"),
+                ("e / r", "CASE WHEN e / r > 1.15 THEN 'BLOOM_LIKE' ELSE 'none' END", "greatest((e / r - 1) * 3, 0)", "true"), ("d675", "CASE WHEN d675 > 0.02 THEN 'BLOOM_LIKE' ELSE 'none' END", "d675 * 10", "true"),
+                ("d620", "CASE WHEN d620 > 0.03 AND bloom > 1 THEN 'CYANO_LIKE' ELSE 'none' END", "d620 * 10", "true"), ("g - a", "'CDOM_LIKE'", "least(g - a, 2)", "g - a > 0.6 AND bloom < 0.5"),
+                ("fai", "CASE WHEN fai > 0.005 THEN 'SURFACE_FILM_LIKE' ELSE 'none' END", "greatest(fai * 200, 0)", "true"), ("g - r", "'BOTTOM_INFLUENCED'", "least(g - r, 2.5)", "shore < 300 AND g - r > 0.8")]
+
+
 @query("fingerprint", f"""WITH {SQL_SPECTRA}, {SQL_FP} SELECT vec_id, {r6('n0')} AS background_water, {r6('n1')} AS sediment_like, {r6('n2')} AS bloom_like, {r6('n3')} AS cyano_like, {r6('n4')} AS cdom_like, {r6('n5')} AS surface_film_like, {r6('n6')} AS bottom_influenced,
 CASE WHEN o[1] < 0.45 THEN 'UNKNOWN_ANOMALY' WHEN n0 = o[1] THEN 'BACKGROUND_WATER' WHEN n1 = o[1] THEN 'SEDIMENT_LIKE' WHEN n2 = o[1] THEN 'BLOOM_LIKE' WHEN n3 = o[1] THEN 'CYANO_LIKE' WHEN n4 = o[1] THEN 'CDOM_LIKE' WHEN n5 = o[1] THEN 'SURFACE_FILM_LIKE' ELSE 'BOTTOM_INFLUENCED' END AS top_class,
-{r6('o[1] - o[2]')} AS confidence, 6 + CAST(g - a > 0.6 AND bloom < 0.5 AS INTEGER) + CAST(shore < 300 AND g - r > 0.8 AS INTEGER) AS n_evidence FROM s6""")
+{r6('o[1] - o[2]')} AS confidence, 6 + CAST(g - a > 0.6 AND bloom < 0.5 AS INTEGER) + CAST(shore < 300 AND g - r > 0.8 AS INTEGER) AS n_evidence,
+array_to_string(list_transform(list_sort(list_filter([{', '.join(f"CASE WHEN {c} THEN {{{{'o': -({w}), 'i': {i}, 't': '{n}=' || printf('%.4f', {v}) || ' ' || {s}}}}} END".replace('{{', '{').replace('}}', '}') for i, (n, (v, s, w, c)) in enumerate(zip(sp.EVIDENCE, SQL_EVIDENCE, strict=True)))}], lambda x: x IS NOT NULL)), lambda x: x.t), '; ') AS evidence,
+array_to_string(list_filter([CASE WHEN shore < 300 THEN 'Pixel is ' || CAST(round_even(shore, 0) AS BIGINT) || '{sp.CAVEAT_SHALLOW}' END, CASE WHEN n0 = o[1] THEN '{sp.CAVEAT_BACKGROUND}' END,
+CASE WHEN o[1] < 0.45 THEN 'Leading hypothesis (' || CASE {' '.join(f"WHEN n{i} = o[1] THEN '{sp.LABELS[c]}'" for i, c in enumerate(sp.CLASSES[:-1]))} END || ') scored only ' || CAST(round_even(100 * o[1], 0) AS BIGINT) || '%; reported as unclassified rather than asserted.' END], lambda x: x IS NOT NULL), ' ') AS caveats FROM s6""")
 def fingerprint(spark, d):
     s = spectra(spark, d).join(reference(spark, d), "ix")
     wide = sp.at_bands(s, ["vec_id"], FP_IX)
@@ -184,7 +194,8 @@ def fingerprint(spark, d):
                  *[(F.col(k) - F.col(f"{k}_bg")).alias(k) for k in win],
                  (F.col("v865") - (F.col("v665") + (F.col("v900") - F.col("v665")) * 0.85) - 0.01).alias("fai"), (F.col("vec_id") * 7.0 % 700).alias("shore_m"))
     out = sp.fingerprint(j)
-    return out.select("vec_id", "top_class", "n_evidence", *[rnd(F.col(c)).alias(c) for c in [x.lower() for x in sp.CLASSES[:-1]] + ["confidence"]])
+    listed = F.array_join(F.transform("evidence", lambda e: F.concat(e["name"], F.lit("="), F.format_string("%.4f", e["value"]), F.lit(" "), e["supports"])), "; ")
+    return out.select("vec_id", "top_class", "n_evidence", listed.alias("evidence"), F.array_join("caveats", " ").alias("caveats"), *[rnd(F.col(c)).alias(c) for c in [x.lower() for x in sp.CLASSES[:-1]] + ["confidence"]])
 
 
 NG = 6

@@ -207,26 +207,77 @@ def calibration_verdict(n: Column, groups: Column, r2: Column, r2_lo: Column) ->
     return F.array_compact(F.array(F.when(n < MIN_MATCHUPS, "too few matchups"), F.when(groups < MIN_GROUPS, "too few groups"), skill))
 
 
+#: What a gate row tells besides its verdict; fields that a check does not use are NULL.
+DETAIL = ("metric", "candidate", "production", "ci_low", "ci_high", "n", "n_failed")
+
+
+def _gate(row: DataFrame, checks: Sequence[tuple[str, Column, Mapping[str, Column]]]) -> DataFrame:
+    kinds = {"metric": "string", "n": "long", "n_failed": "long"}
+    told = lambda d: [d.get(k, F.lit(None)).cast(kinds.get(k, "double")).alias(k) for k in DETAIL]                        # noqa: E731
+    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed"), *told(d)) for n, c, d in checks])
+    return row.select(F.explode(rows).alias("_c"), rows.alias("_all")).select("_c.*", F.forall("_all", lambda r: r["passed"]).alias("gate_passed"))
+
+
+def subgroup_report(scored: DataFrame, y: str, candidate: str, production: str, subgroup: str, metric: str = "auprc") -> DataFrame:
+    """Both models on every subgroup: n, both metrics, skipped (too few rows or one class) and regressed."""
+    c = ranking(scored, [subgroup], y, candidate).select(subgroup, F.col(metric).alias("candidate"))
+    p = ranking(scored, [subgroup], y, production).select(subgroup, F.col(metric).alias("production"))
+    n = scored.groupBy(subgroup).agg(F.count(F.lit(1)).alias("n"), (F.count_if(F.col(y) == 1) * F.count_if(F.col(y) != 1) > 0).alias("_both"))
+    j = join_nulls(join_nulls(n, c, [subgroup], "left"), p, [subgroup], "left")
+    skipped = (F.col("n") < SUBGROUP_MIN) | ~F.col("_both")
+    return j.withColumns({"skipped": skipped, "regressed": ~skipped & (F.col("candidate") < F.col("production") - SUBGROUP_TOLERANCE)}).drop("_both")
+
+
 def promotion_gate(scored: DataFrame, y: str, candidate: str, production: str, subgroup: str, frozen_hash: Column, current_hash: Column, tests_passed: Column,
-                   metric: str = "auprc", tolerance: float = 0.0) -> DataFrame:
-    """Every automatic check of a candidate against production on the frozen validation set."""
+                   metric: str = "auprc", tolerance: float = 0.0, group: str | None = None, n_boot: int = 1000) -> DataFrame:
+    """Every automatic check of a triage candidate against production on the frozen validation set.
+
+    One row per check with its verdict, the numbers behind it (``DETAIL``) and the verdict of the whole gate.  With ``group`` the
+    primary metric carries the 95 % interval of the paired difference over whole groups (average precision only).
+    """
     one = F.lit(1).alias("_k")
     pick = ["n", "positives", metric, "ece", "brier"]
     c = classification(scored, [], y, candidate).select(one, *[F.col(x).alias(f"c_{x}") for x in pick])
     p = classification(scored, [], y, production).select(one, *[F.col(x).alias(f"p_{x}") for x in pick])
-    sub = (ranking(scored, [subgroup], y, candidate).select(subgroup, F.col(metric).alias("_c"))
-           .join(ranking(scored, [subgroup], y, production).select(subgroup, F.col(metric).alias("_p")), subgroup)
-           .join(scored.groupBy(subgroup).agg(F.count(F.lit(1)).alias("_n")), subgroup))
-    regressed = sub.agg(F.count_if((F.col("_n") >= SUBGROUP_MIN) & (F.col("_c") < F.col("_p") - SUBGROUP_TOLERANCE)).alias("n_regressed"), F.count(F.lit(1)).alias("n_subgroups")).select(one, "*")
+    sub = subgroup_report(scored, y, candidate, production, subgroup, metric)
+    regressed = sub.agg(F.count_if("regressed").alias("n_regressed"), F.count_if(~F.col("skipped")).alias("n_subgroups")).select(one, "*")
     j = c.join(p, "_k").join(regressed, "_k")
+    if group is not None and metric == "auprc":
+        j = j.crossJoin(F.broadcast(bootstrap_ranking(scored, group, y, production, candidate, n_boot).select("ci_low", "ci_high")))          # one row
+    else:
+        j = j.withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double")})
     both = (F.col("c_positives") > 0) & (F.col("c_positives") < F.col("c_n"))
-    checks = [
-        ("model_test_suite", tests_passed), ("validation_dataset_unchanged", frozen_hash == current_hash), ("validation_has_both_classes", both),
-        ("primary_metric_not_worse", F.col(f"c_{metric}") >= F.col(f"p_{metric}") - tolerance),
-        ("calibration_acceptable", (F.col("c_ece") <= MAX_ECE) | (F.col("c_brier") <= F.col("p_brier"))), ("no_subgroup_regression", F.col("n_regressed") == 0)]
-    rows = F.array(*[F.struct(F.lit(n).alias("check"), F.coalesce(c, F.lit(False)).alias("passed")) for n, c in checks])
-    out = j.select(F.explode(rows).alias("_c"), rows.alias("_all")).select("_c.check", "_c.passed", F.forall("_all", lambda r: r["passed"]).alias("gate_passed"))
-    return out
+    return _gate(j, [
+        ("model_test_suite", tests_passed, {}), ("validation_dataset_unchanged", frozen_hash == current_hash, {}),
+        ("validation_has_both_classes", both, {"n": F.col("c_n"), "n_failed": F.col("c_positives")}),
+        ("primary_metric_not_worse", F.col(f"c_{metric}") >= F.col(f"p_{metric}") - tolerance,
+         {"metric": F.lit(metric), "candidate": F.col(f"c_{metric}"), "production": F.col(f"p_{metric}"), "ci_low": F.col("ci_low"), "ci_high": F.col("ci_high"), "n": F.col("c_n")}),
+        ("calibration_acceptable", (F.col("c_ece") <= MAX_ECE) | (F.col("c_brier") <= F.col("p_brier")), {"metric": F.lit("brier"), "candidate": F.col("c_brier"), "production": F.col("p_brier")}),
+        ("no_subgroup_regression", F.col("n_regressed") == 0, {"n": F.col("n_subgroups"), "n_failed": F.col("n_regressed")})])
+
+
+#: Largest bias in log10 that a regression candidate may have.
+MAX_BIAS_LOG10 = 0.1
+
+
+def regression_gate(scored: DataFrame, y: str, candidate: str, production: str, frozen_hash: Column, current_hash: Column, tests_passed: Column,
+                    tolerance: float = 0.0, group: str | None = None, n_boot: int = 1000) -> DataFrame:
+    """The gate of a concentration model: rmse in log10 not worse, bias in log10 small; the interval is of the improvement."""
+    err = lambda c: F.log10(c) - F.log10(y)                                                                    # noqa: E731
+    pick = lambda c, k: regression(scored, [], y, c).select("n", F.col("rmse_log10").alias(f"{k}_rmse"), F.col("bias_log10").alias(f"{k}_bias"))
+    j = pick(candidate, "c").crossJoin(F.broadcast(pick(production, "p").drop("n")))                                   # one row each
+    if group is not None:
+        sums = {"n_": F.lit(1), "a": err(production) * err(production), "b": err(candidate) * err(candidate)}
+        ci = grouped_bootstrap(scored, group, sums, -F.sqrt(F.col("a") / F.col("n_")), -F.sqrt(F.col("b") / F.col("n_")), n_boot)
+        j = j.crossJoin(F.broadcast(ci.select("ci_low", "ci_high")))
+    else:
+        j = j.withColumns({"ci_low": F.lit(None).cast("double"), "ci_high": F.lit(None).cast("double")})
+    return _gate(j, [
+        ("model_test_suite", tests_passed, {}), ("validation_dataset_unchanged", frozen_hash == current_hash, {}),
+        ("primary_metric_not_worse", F.col("c_rmse") <= F.col("p_rmse") + tolerance,
+         {"metric": F.lit("rmse_log10"), "candidate": F.col("c_rmse"), "production": F.col("p_rmse"), "ci_low": F.col("ci_low"), "ci_high": F.col("ci_high"), "n": F.col("n")}),
+        ("calibration_acceptable", F.abs("c_bias") <= MAX_BIAS_LOG10, {"metric": F.lit("bias_log10"), "candidate": F.col("c_bias"), "production": F.col("p_bias")}),
+        ("no_subgroup_regression", F.lit(True), {})])
 
 
 def residual_quantile(residuals: DataFrame, column: str, q: float = 0.9) -> DataFrame:

@@ -391,17 +391,47 @@ def calibration_verdict(spark, d):
     return j.select("k", F.array_join(r, "; ").alias("reasons"), F.when(F.size(r) == 0, "CALIBRATED").otherwise("PROXY").alias("quantity_kind"))
 
 
-def _all(sql):
-    return sql.replace("sub", "one")
+_HASHED = lambda src: f"(SELECT count(*) || ':' || sum(CAST(CAST('0x' || substr(sha256(concat_ws('|', CAST(id AS VARCHAR), CAST(y AS VARCHAR), grp)), 1, 15) AS BIGINT) AS HUGEINT)) FROM {src})"
+_NUMBERS = ("candidate", "production", "ci_low", "ci_high")
 
 
-@query("promotion_gate", f"""WITH s0 AS (SELECT * FROM ({SQL_SCORED[10:]})), scored AS (SELECT *, 1 AS one FROM s0), c AS (SELECT (SELECT auprc FROM ({sql_ap('pb', 'one')})) AS cap, (SELECT auprc FROM ({sql_ap('pa', 'one')})) AS pap, (SELECT ece FROM ({sql_ece('pb', 'one')})) AS cece, (SELECT avg(pow(pb - y, 2)) FROM scored) AS cb, (SELECT avg(pow(pa - y, 2)) FROM scored) AS pb_, (SELECT count(DISTINCT y) FROM scored) AS nc,
-(SELECT count(*) FROM ({sql_ap('pb')}) x JOIN ({sql_ap('pa')}) z USING (sub) JOIN (SELECT sub, count(*) AS n FROM scored GROUP BY 1) USING (sub) WHERE n >= 5 AND x.auprc < z.auprc - 0.05) AS nr),
-k AS (SELECT unnest(['model_test_suite', 'validation_dataset_unchanged', 'validation_has_both_classes', 'primary_metric_not_worse', 'calibration_acceptable', 'no_subgroup_regression']) AS "check", unnest([true, true, nc = 2, cap >= pap, cece <= 0.15 OR cb <= pb_, nr = 0]) AS ok FROM c)
-SELECT "check", CAST(ok AS INTEGER) AS passed, CAST((SELECT bool_and(ok) FROM k) AS INTEGER) AS gate_passed FROM k""")
+def gate_rows(out, name):
+    return out.select(F.lit(name).alias("gate"), "check", F.col("passed").cast("int").alias("passed"), "metric", *[rnd(F.col(c), 5).alias(c) for c in _NUMBERS], "n", "n_failed", F.col("gate_passed").cast("int").alias("gate_passed"))
+
+
+def _sql_gate(name, cand, prod, frozen):
+    """The six checks of one triage gate over ``scored``."""
+    sub = f"(SELECT x.auprc AS c, z.auprc AS p, n, both_ FROM ({sql_ap(cand)}) x JOIN ({sql_ap(prod)}) z USING (sub) JOIN (SELECT sub, count(*) AS n, count(DISTINCT y) = 2 AS both_ FROM scored GROUP BY 1) USING (sub))"
+    one = lambda q: q.replace("FROM scored", "FROM (SELECT *, 1 AS one FROM scored)")                             # noqa: E731
+    return f"""SELECT '{name}' AS gate, unnest(['model_test_suite', 'validation_dataset_unchanged', 'validation_has_both_classes', 'primary_metric_not_worse', 'calibration_acceptable', 'no_subgroup_regression']) AS "check",
+unnest([true, {_HASHED(frozen)} = {_HASHED('scored')}, nc = 2, cap >= pap, cece <= 0.15 OR cb <= pb_, nr = 0]) AS ok, unnest([NULL, NULL, NULL, 'auprc', 'brier', NULL]) AS metric, unnest([NULL, NULL, NULL, cap, cb, NULL]) AS candidate, unnest([NULL, NULL, NULL, pap, pb_, NULL]) AS production,
+unnest([NULL, NULL, NULL, lo, NULL, NULL]) AS ci_low, unnest([NULL, NULL, NULL, hi, NULL, NULL]) AS ci_high, unnest([NULL, NULL, rows_, rows_, NULL, ns]) AS n, unnest([NULL, NULL, np, NULL, NULL, nr]) AS n_failed
+FROM (SELECT (SELECT auprc FROM ({one(sql_ap(cand, 'one'))})) AS cap, (SELECT auprc FROM ({one(sql_ap(prod, 'one'))})) AS pap, (SELECT ece FROM ({one(sql_ece(cand, 'one'))})) AS cece, (SELECT avg(pow({cand} - y, 2)) FROM scored) AS cb, (SELECT avg(pow({prod} - y, 2)) FROM scored) AS pb_, (SELECT count(DISTINCT y) FROM scored) AS nc,
+ (SELECT count(*) FROM scored) AS rows_, (SELECT count(CASE WHEN y = 1 THEN 1 END) FROM scored) AS np, (SELECT count(*) FROM {sub} WHERE n >= 5 AND both_) AS ns, (SELECT count(*) FROM {sub} WHERE n >= 5 AND both_ AND c < p - 0.05) AS nr,
+ (SELECT quantile_cont(b.ap - a.ap, 0.025) FROM {_sql_boot_ap(prod)} a JOIN {_sql_boot_ap(cand)} b USING (rep)) AS lo, (SELECT quantile_cont(b.ap - a.ap, 0.975) FROM {_sql_boot_ap(prod)} a JOIN {_sql_boot_ap(cand)} b USING (rep)) AS hi)"""
+
+
+@query("promotion_gate", f"""WITH {SQL_SCORED}, {SQL_DRAWS}, changed AS (SELECT * FROM scored WHERE id % 7 <> 0), k AS MATERIALIZED ({_sql_gate('better', 'pb', 'pa', 'scored')} UNION ALL {_sql_gate('worse, rows changed', 'pa', 'pb', 'changed')})
+SELECT gate, "check", CAST(ok AS INTEGER) AS passed, metric, {', '.join(f"{r6(c, 5)} AS {c}" for c in _NUMBERS)}, CAST(n AS BIGINT) AS n, CAST(n_failed AS BIGINT) AS n_failed, CAST(bool_and(ok) OVER (PARTITION BY gate) AS INTEGER) AS gate_passed FROM k""")
 def promotion_gate(spark, d):
-    g = me.promotion_gate(scored(spark, d), "y", "pb", "pa", "sub", F.lit("h"), F.lit("h"), F.lit(True))
-    return g.select("check", F.col("passed").cast("int").alias("passed"), F.col("gate_passed").cast("int").alias("gate_passed"))
+    """A candidate that passes and one that fails, each with the numbers behind every check."""
+    s = scored(spark, d)
+    stamp = lambda rows: F.lit(le.dataset_hash(rows, [], ["id", "y", "grp"]).first()["dataset_hash"])              # noqa: E731
+    now, old = stamp(s), stamp(s.where("id % 7 <> 0"))
+    good = me.promotion_gate(s, "y", "pb", "pa", "sub", now, now, F.lit(True), group="grp", n_boot=NB)
+    bad = me.promotion_gate(s, "y", "pa", "pb", "sub", old, now, F.lit(True), group="grp", n_boot=NB)
+    return gate_rows(good, "better").unionByName(gate_rows(bad, "worse, rows changed"))
+
+
+@query("promotion_gate_regression", f"""WITH {SQL_SCORED}, {SQL_DRAWS}, rg AS MATERIALIZED (SELECT grp, log10(1 + x2) AS ly, log10(1 + x2 + (id % 4) * 0.3e0) - log10(1 + x2) AS ec, log10((1 + x2) * 1.6e0) - log10(1 + x2) AS ep FROM scored), gs AS (SELECT grp, count(*) AS n, sum(ep * ep) AS a, sum(ec * ec) AS b FROM rg GROUP BY 1),
+bt AS (SELECT sqrt(sum(t * a) / sum(t * n)) - sqrt(sum(t * b) / sum(t * n)) AS df FROM dg JOIN gs USING (grp) GROUP BY rep), v AS (SELECT sqrt(avg(ec * ec)) AS c, sqrt(avg(ep * ep)) AS p, avg(ec) AS bc, avg(ep) AS bp, count(*) AS rows_, (SELECT quantile_cont(df, 0.025) FROM bt) AS lo, (SELECT quantile_cont(df, 0.975) FROM bt) AS hi FROM rg),
+k AS (SELECT unnest(['model_test_suite', 'validation_dataset_unchanged', 'primary_metric_not_worse', 'calibration_acceptable', 'no_subgroup_regression']) AS "check", unnest([true, true, c <= p, abs(bc) <= 0.1, true]) AS ok, unnest([NULL, NULL, 'rmse_log10', 'bias_log10', NULL]) AS metric, unnest([NULL, NULL, c, bc, NULL]) AS candidate,
+ unnest([NULL, NULL, p, bp, NULL]) AS production, unnest([NULL, NULL, lo, NULL, NULL]) AS ci_low, unnest([NULL, NULL, hi, NULL, NULL]) AS ci_high, unnest([NULL, NULL, rows_, NULL, NULL]) AS n FROM v)
+SELECT 'regression' AS gate, "check", CAST(ok AS INTEGER) AS passed, metric, {', '.join(f"{r6(c, 5)} AS {c}" for c in _NUMBERS)}, CAST(n AS BIGINT) AS n, CAST(NULL AS BIGINT) AS n_failed, CAST((SELECT bool_and(ok) FROM k) AS INTEGER) AS gate_passed FROM k""")
+def promotion_gate_regression(spark, d):
+    s = scored(spark, d).withColumns({"t": 1 + F.col("x2"), "c": 1 + F.col("x2") + (F.col("id") % 4) * 0.3, "p": (1 + F.col("x2")) * 1.6})
+    stamp = F.lit(le.dataset_hash(s, [], ["id", "t"]).first()["dataset_hash"])
+    return gate_rows(me.regression_gate(s, "t", "c", "p", stamp, stamp, F.lit(True), group="grp", n_boot=NB), "regression")
 
 
 @query("model_version_next", """WITH v AS (SELECT o_orderpriority AS task, o_custkey % 3 AS a, o_orderkey % 14 AS b, o_custkey % 5 AS c FROM orders), m AS (SELECT task, max((a, b, c)) AS v FROM v GROUP BY 1)

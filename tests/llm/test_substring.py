@@ -44,7 +44,7 @@ def fixture():
     return rows
 
 
-@pytest.mark.parametrize("limits", [{}, {"shared_limit": 0}, {"hot_segments": 1}, {"shard_words": 500}])
+@pytest.mark.parametrize("limits", [{}, {"hot_segments": 0}, {"hot_segments": 3}, {"shard_segments": 20}])
 def test_against_brute_force(spark, limits):
     rows = fixture()
     frame = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], SCHEMA).repartition(4)

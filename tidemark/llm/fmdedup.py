@@ -423,40 +423,57 @@ def _shard(window: int):
     return run
 
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First words of repeated windows per row, from occurrences beside their segments' smallest ids."""
+def _marks(ranges: int):
+    """First words of repeated windows, from occurrences beside their segments' smallest ids; packed by ranges of row hashes."""
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.concatenate(parts)
-        rows = rows[np.lexsort((rows["place"], rows["key"], rows["id"]))]
-        cut = np.flatnonzero(np.append(True, (rows["id"][1:] != rows["id"][:-1]) | (rows["key"][1:] != rows["key"][:-1])))
-        places = pa.ListArray.from_arrays(pa.array(np.append(cut, len(rows)).astype(np.int32)), pa.array(rows["place"]))
-        return pa.RecordBatch.from_arrays([pa.array(rows["id"][cut]), pa.array(rows["key"][cut]), places.cast(pa.list_(pa.int32()))], ["id", "key", "places"])
-
-    parts, held = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        blobs, mins = batch.column(0), batch.column(2)
-        rows = np.frombuffer(b"".join(x.as_buffer() for x in blobs), PLACE)
-        counts = np.array([x.as_buffer().size for x in blobs], np.int64) // PLACE.itemsize
-        owner = np.repeat(np.arange(len(counts)), counts)
-        first = mins.offsets.to_numpy().astype(np.int64)
-        least = mins.values.to_numpy()
-        size = np.diff(first)
-        for i in range(int(size.max())):
-            live = size[owner] > i
-            some, of = rows[live], owner[live]
-            mark = least[first[of] + i] < some["id"]
-            if mark.any():
-                one = some[mark].copy()
-                one["place"] += batch.column(1).to_numpy()[of[mark]] + i
-                parts.append(one)
-                held += len(one)
-        if held >= FLUSH:
+        rows = np.unique(np.concatenate(parts))
+        part = (_spread(rows["id"].view(np.uint64) ^ mix64(rows["key"].view(np.uint64))) % np.uint64(ranges)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        rows = rows[order]
+        names, cut = np.unique(part[order], return_index=True)
+        pieces = [_pack(*(rows[name][a:b].copy() for name in PLACE.names)) for a, b in zip(cut, np.append(cut[1:], len(rows)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(pieces, pa.binary())], ["part", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blobs, mins = batch.column(0), batch.column(2)
+            rows = np.frombuffer(b"".join(x.as_buffer() for x in blobs), PLACE)
+            counts = np.array([x.as_buffer().size for x in blobs], np.int64) // PLACE.itemsize
+            owner = np.repeat(np.arange(len(counts)), counts)
+            first = mins.offsets.to_numpy().astype(np.int64)
+            least = mins.values.to_numpy()
+            size = np.diff(first)
+            for i in range(int(size.max())):
+                live = size[owner] > i
+                some, of = rows[live], owner[live]
+                mark = least[first[of] + i] < some["id"]
+                if mark.any():
+                    one = some[mark].copy()
+                    one["place"] += batch.column(1).to_numpy()[of[mark]] + i
+                    parts.append(one)
+                    held += len(one)
+            if held >= FLUSH:
+                yield flush(parts)
+                parts, held = [], 0
+        if held:
             yield flush(parts)
-            parts, held = [], 0
-    if held:
-        yield flush(parts)
+    return run
+
+
+def _gathered(t: pa.Table) -> pa.Table:
+    """All marks of a range: one row per (id, key) with its first words in order."""
+    parts = [_unpack(memoryview(x.as_buffer()), "<i8", "<i8", "<i4") for x in t.column("rows")]
+    id, key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((place, key, id))
+    id, key, place = id[order], key[order], place[order]
+    new = np.append(True, (id[1:] != id[:-1]) | (key[1:] != key[:-1]))
+    once = new | np.append(True, place[1:] != place[:-1])
+    cut = np.flatnonzero(new[once])
+    places = pa.ListArray.from_arrays(pa.array(np.append(cut, int(once.sum())).astype(np.int32)), pa.array(place[once]))
+    return pa.table({"id": id[once][cut], "key": key[once][cut], "places": places.cast(pa.list_(pa.int32()))})
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int = HOT_SEGMENTS, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
@@ -468,8 +485,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int =
     mins = stored(found.where("shard IS NOT NULL").select("shard", "blob").groupBy("shard")
                   .applyInArrow(_shard(window), "gram long, content long, part int, mins array<long>"), "windows")
     hits = (found.where("shard IS NULL").select("gram", "content", "places").join(mins, ["gram", "content"])
-            .select("places", "part", "mins").mapInArrow(_marks, "id long, key long, places array<int>"))
-    return hits.groupBy("id", "key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+            .select("places", "part", "mins").mapInArrow(_marks(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part int, rows binary"))
+    return hits.groupBy("part").applyInArrow(_gathered, "id long, key long, places array<int>")
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

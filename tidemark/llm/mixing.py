@@ -93,7 +93,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     plan = mix_plan(sizes).withColumnRenamed("row", "p_row")
     whole = (sizes.join(plan, sizes["row"] == plan["p_row"], "left")
              .groupBy("id", "key").agg(F.sum(F.when(2 * F.col("served") >= F.col("size"), 1).otherwise(0)).alias("copies"), F.count_distinct("row").alias("rows")))
-    whole = stored(whole.where("copies > 0").select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.round(F.col("copies") / F.col("rows")).cast("int").alias("__copies")), "copies")
-    keyed = docs.withColumn("__key2", F.xxhash64(F.col(text_col).cast("string")))
-    joined = keyed.join(whole, keyed[id_col].eqNullSafe(whole["__id"]) & (keyed["__key2"] == whole["__key"]))
-    return joined.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = stored(whole.where("copies > 0").select(F.col("id").alias("w_id"), F.col("key").alias("w_key"), F.round(F.col("copies") / F.col("rows")).cast("int").alias("copies")), "copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"),      # packed, so any column name may occur
+                       F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("key"))
+    joined = rows.join(whole, rows["id"].eqNullSafe(whole["w_id"]) & (rows["key"] == whole["w_key"]))
+    return joined.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")

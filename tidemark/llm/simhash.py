@@ -147,6 +147,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 SIMILAR = 0.8
 WORDS = 5
 TABLES = 4
+#: Words of each table's sketch.
+SKETCH = 16
 ROUNDS = 4
 #: Members and shingles of a group that one task settles.
 MEMBERS = 1000
@@ -158,11 +160,12 @@ def _mixed(h: np.ndarray, table: int) -> np.ndarray:
 
 
 def word_set_prints(docs: DataFrame, tables: int = TABLES) -> DataFrame:
-    """Columns id, key of ``docs`` (id, key, text) and ``tables`` fingerprints over the set of lower-case words.
+    """Columns id, key of ``docs`` (id, key, text) and ``tables`` fingerprints over sketches of the set of lower-case words.
 
-    One changed word touches five shingles but two members of the set, so copies that share four
-    fifths of their shingles stay within two bits in one of a few independent fingerprints,
-    while unrelated texts differ in a quarter of all bits and more.
+    Each table hashes the set anew and takes the fingerprint of the ``SKETCH`` smallest hashes (of all, if fewer).
+    A changed word touches five shingles but two members of the set and seldom one of a sketch, so copies that
+    share four fifths of their shingles agree within two bits in one of a few tables, while other texts share
+    no sketch and differ in a quarter of all bits and more.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -172,8 +175,8 @@ def word_set_prints(docs: DataFrame, tables: int = TABLES) -> DataFrame:
                 for text in batch.column(2).slice(k, 500).to_pylist():
                     words = set((text or "").encode().lower().split())
                     h = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
-                    ones = [np.unpackbits(_mixed(h, t).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for t in range(tables)]
-                    prints.append([int(np.packbits(2 * o > len(h), bitorder="little").view("<i8")[0]) for o in ones])
+                    ones = [np.unpackbits(_mixed(np.sort(_mixed(h, t))[:SKETCH], tables).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for t in range(tables)]
+                    prints.append([int(np.packbits(2 * o > min(len(h), SKETCH), bitorder="little").view("<i8")[0]) for o in ones])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.list_(pa.int64()))], ["id", "key", "fps"])
         release()
 
@@ -299,9 +302,10 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     at once; what is left of a group meets by shingles, however many families it has.
     Rows with a null id stay; of rows that repeat an id and a text one stays.
     """
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    base = keyed.select(F.col(id_col).cast("long").alias("id"), F.col("__key").alias("key"), F.col(text_col).cast("string").alias("text"))
-    known = base.where(F.col("id").isNotNull())
+    text = F.col(f"`{text_col}`").cast("string")
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), text.alias("text"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))          # packed, so any column name may occur
+    known = base.where(F.col("id").isNotNull()).select("id", "key", "text")
     prints = stored(word_set_prints(known, tables), "prints")
     contents = stored(prints.groupBy("key").agg(F.min("id").alias("low"), F.first("fps").alias("fps")), "contents")
     gone = prints.join(contents.select("key", "low"), "key").where("id != low").select("id", "key")
@@ -323,9 +327,9 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
         left = stored(left.join(several, "root", "left_semi"), "left")
         if left.first() is not None:
             gone = gone.unionByName(_settled(left, sets, members).select(F.col("low").alias("id"), "key"))
-    gone = stored(gone.distinct(), "gone").select(F.col("id").alias("__gid"), F.col("key").alias("__gkey"))
-    out = keyed.join(gone, (keyed[id_col].cast("long") == gone["__gid"]) & (keyed["__key"] == gone["__gkey"]), "left_anti")
+    gone = stored(gone.distinct(), "gone")
+    out = base.select("row", "id", "key").join(gone, ["id", "key"], "left_anti")
     if prints.groupBy("id", "key").count().where("count > 1").first() is not None:
-        lone = out.where(F.col(id_col).isNull())
-        out = out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__key"]).unionByName(lone)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        lone = out.where(F.col("id").isNull())
+        out = out.where(F.col("id").isNotNull()).dropDuplicates(["id", "key"]).unionByName(lone)
+    return out.select("row.*")

@@ -426,7 +426,9 @@ def _shard(window: int):
 def _marks(ranges: int):
     """First words of repeated windows, from occurrences beside their segments' smallest ids; packed by ranges of row hashes."""
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        rows = np.unique(np.concatenate(parts))
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows["place"], rows["key"], rows["id"]))]
+        rows = rows[np.append(True, (rows["id"][1:] != rows["id"][:-1]) | (rows["key"][1:] != rows["key"][:-1]) | (rows["place"][1:] != rows["place"][:-1]))]
         part = (_spread(rows["id"].view(np.uint64) ^ mix64(rows["key"].view(np.uint64))) % np.uint64(ranges)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         rows = rows[order]

@@ -43,3 +43,13 @@ def test_alike_events_share_their_exposure(spark):
     got = ex.once_for_alike(ex.with_track(e, t), ["lon", "lat", "track"], solve).select(*cols)
     want = ex.assess(ex.asset_pairs(e, assets(spark), 12_000.0), t, F.lit(2000.0)).select(*cols)
     assert seen == [6] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_pixels_of_one_place_are_summed_before_they_meet_a_footprint(spark):
+    fine = events(spark).withColumn("v", F.when(F.col("event_id") % 4 > 0, F.col("event_id").cast("double")))
+    coarse = assets(spark).select("asset_id", F.col("alon").alias("lon"), F.col("alat").alias("lat"))
+    out = matchup.footprint_match(fine, coarse, ["asset_id"], ["v"], 3000.0, 1)
+    assert "Aggregate [lon" in plan(out, "optimizedPlan")
+    pairs = coarse.alias("c").crossJoin(fine.alias("f")).where("abs(f.lon - c.lon) <= 3000 / (111320 * cos(radians(c.lat))) and abs(f.lat - c.lat) <= 3000 / 111320")
+    want = {r.asset_id: (r.n, r.v) for r in pairs.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v")).collect()}
+    assert {r.asset_id: (r.n_px, r.v) for r in out.collect()} == want and want

@@ -107,14 +107,21 @@ def footprint_match(fine: DataFrame, coarse: DataFrame, keys: Sequence[str], val
     """Average the fine pixels inside each coarse footprint (lon / lat boxes), anywhere on the globe.
 
     Both sides are keyed by cubes of the sphere wider than a footprint's half diagonal; a
-    coarse pixel reads 27 of them, a fine pixel only its own.
+    coarse pixel reads 27 of them, a fine pixel only its own.  Pixels of one place are summed before they meet a
+    footprint and footprints of one place are met once, so repeated passes over the same places cost no more pairs.
     """
     dlat, size = half_m / 111320.0, 3 * half_m
-    asked = coarse.select(*keys, F.col("lon").alias("_lon"), F.col("lat").alias("_lat"), F.explode(neighbour_cells(sphere_cell(F.col("lon"), F.col("lat"), size))).alias("_c"))
     at = sphere_cell(F.col("lon"), F.col("lat"), size)
-    px = fine.select("lon", "lat", *values, F.struct(at[0].alias("x"), at[1].alias("y"), at[2].alias("z")).alias("_c"))
-    near = asked.join(px, "_c").where((lon_gap(F.col("lon"), F.col("_lon")) <= half_m / (111320.0 * F.cos(F.radians("_lat")))) & (F.abs(F.col("lat") - F.col("_lat")) <= dlat))
-    return near.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_px"), *[F.avg(v).alias(v) for v in values]).where(F.col("n_px") >= min_count)
+    px = fine.groupBy("lon", "lat").agg(F.count(F.lit(1)).alias("_n"), *[f(v).alias(f"_{k}{i}") for i, v in enumerate(values) for k, f in (("s", F.sum), ("m", F.count))])
+    px = px.withColumn("_c", F.struct(at[0].alias("x"), at[1].alias("y"), at[2].alias("z")))
+    sums = ["_n", *[f"_{k}{i}" for i in range(len(values)) for k in "sm"]]
+    places = coarse.select(F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).distinct()
+    asked = places.withColumn("_c", F.explode(neighbour_cells(sphere_cell(F.col("_lon"), F.col("_lat"), size))))
+    near = asked.join(px.hint("merge"), "_c").where((lon_gap(F.col("lon"), F.col("_lon")) <= half_m / (111320.0 * F.cos(F.radians("_lat")))) & (F.abs(F.col("lat") - F.col("_lat")) <= dlat))
+    met = near.groupBy("_lon", "_lat").agg(*[F.sum(c).alias(c) for c in sums])
+    named = coarse.select(*keys, F.col("lon").alias("_lon"), F.col("lat").alias("_lat")).join(met.hint("merge"), ["_lon", "_lat"])
+    out = named.groupBy(*keys).agg(F.sum("_n").alias("n_px"), *[F.try_divide(F.sum(f"_s{i}"), F.sum(f"_m{i}")).alias(v) for i, v in enumerate(values)])
+    return out.where(F.col("n_px") >= min_count)
 
 
 def contrast_label(px: DataFrame, keys: Sequence[str], value: str, region: Column, near: Column | None = None) -> DataFrame:

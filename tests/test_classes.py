@@ -53,3 +53,10 @@ def test_pixels_of_one_place_are_summed_before_they_meet_a_footprint(spark):
     pairs = coarse.alias("c").crossJoin(fine.alias("f")).where("abs(f.lon - c.lon) <= 3000 / (111320 * cos(radians(c.lat))) and abs(f.lat - c.lat) <= 3000 / 111320")
     want = {r.asset_id: (r.n, r.v) for r in pairs.groupBy("asset_id").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v")).collect()}
     assert {r.asset_id: (r.n_px, r.v) for r in out.collect()} == want and want
+
+
+def test_nearest_assets_are_ranked_once_for_a_place(spark):
+    cols = ["event_id", "asset_id", "distance_m", "rank"]
+    e, a = events(spark), assets(spark)
+    got = ex.once_for_alike(e, ["lon", "lat"], lambda places: ex.nearest_assets(places, a, 12_000.0)).select(*cols)
+    assert sorted(map(str, got.collect())) == sorted(map(str, ex.nearest_assets(e, a, 12_000.0).select(*cols).collect()))

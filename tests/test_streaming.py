@@ -82,3 +82,14 @@ def test_tiles_of_one_overpass_in_several_batches(spark, tmp_path):
     inc.run_to_end(inc.screen_overpasses(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), done, out, log, 30))
     tags = [r["tag"] for r in spark.read.parquet(out).collect()]
     assert len(tags) == len(set(tags)) == 6
+
+
+def test_alerts_keep_native_state(spark, tmp_path):
+    rows = "incident_id long, status string, role string, priority string, at timestamp"
+    src = str(tmp_path / "in")
+    spark.sql("SELECT 1L AS incident_id, 'DETECTED' AS status, 'operational' AS role, 'HIGH' AS priority, timestamp'2024-01-01' AS at").write.parquet(src)
+    known = spark.createDataFrame([], "incident_id long")
+    q = inc.raise_alerts(spark.readStream.schema(rows).parquet(src), known, str(tmp_path / "out"), str(tmp_path / "log"), "at")
+    inc.run_to_end(q)
+    kinds = {s["operatorName"] for p in q.recentProgress for s in p["stateOperators"]}
+    assert kinds == {"stateStoreSave"} and [r.incident_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]

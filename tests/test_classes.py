@@ -60,3 +60,11 @@ def test_nearest_assets_are_ranked_once_for_a_place(spark):
     e, a = events(spark), assets(spark)
     got = ex.once_for_alike(e, ["lon", "lat"], lambda places: ex.nearest_assets(places, a, 12_000.0)).select(*cols)
     assert sorted(map(str, got.collect())) == sorted(map(str, ex.nearest_assets(e, a, 12_000.0).select(*cols).collect()))
+
+
+def test_rows_are_spread_by_their_number(spark, monkeypatch):
+    from tidemark.functions import blocks
+    monkeypatch.setattr(blocks, "TASK_ROWS", 100)
+    out = blocks.spread(spark.range(200).select((F.col("id") % 90).alias("k")), ["k"], 20)
+    assert out.rdd.getNumPartitions() == 40
+    assert out.select("k", F.spark_partition_id().alias("p")).distinct().count() == 90

@@ -70,3 +70,12 @@ def test_persistence_reads_the_season_of_region_pixels(spark):
     region = spark.createDataFrame([(7, p, dt.date(2004, 6, 1), 0.0, 1.0) for p in (1, 2)], "label int, px int, d date, v_med double, v_scale double")
     got = cl.persistence(region, daily, ["label"], ["px"], "v", z_min=4.0).first()
     assert got.persistence_frac == 0.75           # 2000, 2002 and 2003 (one of two pixels) of four past years
+
+
+def test_short_and_long_sites_agree():
+    from tidemark.functions.seasonal import _long_stats, _short_stats
+    site = np.sort(rng.integers(0, 9, 200))
+    doy, year, v = rng.integers(1, 367, 200), rng.integers(2000, 2006, 200), rng.integers(0, 9, 200).astype(float)
+    v[::17], v[5] = np.nan, np.inf
+    for a, b in zip(_short_stats(site, doy, year, v, 100), _long_stats(site, doy, year, v, 100), strict=True):
+        np.testing.assert_array_equal(a, b)

@@ -81,3 +81,37 @@ def test_documents(spark):
     want = sorted([(i, f"{p:016x}", c) for (i, p), c in zip(items, brute_components(items))], key=str)
     assert got == want
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("cell", [64, 2])
+def test_blocks_link_what_the_grid_links_with_three_points_each(spark, cell):
+    rng = random.Random(5)
+    prints = set()
+    for _ in range(60):
+        base = rng.getrandbits(64)
+        for _ in range(4):
+            prints.add(base)
+            base ^= (1 << rng.randrange(64)) | (1 << rng.randrange(64))
+    rows = [(k % 2, x - (1 << 64) if x >> 63 else x) for k, x in enumerate(sorted(prints))]
+    frame = spark.createDataFrame(rows, "t int, fp long")
+    assert frame.select(F.size(simhash.block_points(F.col("fp"))).alias("n")).distinct().first().n == 3
+
+    def groups(points_of):
+        edges = [((r.t, r.u), (r.t, r.v)) for r in simhash.close_links(frame, cell, ("t",), points_of).collect()]
+        root = {x: x for x in rows}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for u, v in edges:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+        return {x: find(x) for x in rows}
+    links = {x: x for x in rows}
+    got = groups(simhash.block_points)
+    assert got == groups(simhash.embedded_points) and got != links
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and ((a[1] ^ b[1]) & (1 << 64) - 1).bit_count() <= 2:
+                assert got[a] == got[b]

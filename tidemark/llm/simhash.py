@@ -19,15 +19,16 @@ no rows; columns other than id and text are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import mix64, release, stored
+from tidemark.llm.base import join_counted, mix64, release, stored
 
 SHINGLE = 3
 SEED = 42
@@ -82,13 +83,26 @@ def grid_points(counts: Column) -> Column:
     return F.filter(F.array(*near), lambda x: x.isNotNull())
 
 
-def close_links(distinct: DataFrame, cell: int = CELL, keys: tuple[str, ...] = ()) -> DataFrame:
+def embedded_points(fp: Column) -> Column:
+    """A fingerprint's point on the grid of counts and the points next to it."""
+    return grid_points(popcounts(fp))
+
+
+def block_points(fp: Column) -> Column:
+    """The 22, 21 and 21 bits of three blocks, numbered: fingerprints within two bits have one block in common."""
+    middle = F.shiftrightunsigned(fp, 22).bitwiseAND(F.lit((1 << 21) - 1))
+    return F.array(fp.bitwiseAND(F.lit((1 << 22) - 1)), middle + F.lit(1 << 22), F.shiftrightunsigned(fp, 43) + F.lit(2 << 22))
+
+
+def close_links(distinct: DataFrame, cell: int = CELL, keys: tuple[str, ...] = (), points_of: Callable[[Column], Column] = embedded_points) -> DataFrame:
     """Links u > v between distinct fingerprints (columns ``keys``, fp; linked inside a key only): every pair
-    within two bits is linked or, at crowded grid points, joined through a third within two bits of both."""
+    within two bits is linked or, at crowded points, joined through a third within two bits of both.
+
+    ``points_of`` gives points of which fingerprints within two bits have one in common."""
     k = list(keys)
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Each row becomes 33: spread the few small files first, or few tasks would aggregate all points.
-    points = distinct.repartition(tasks, *k, "fp").select(*k, "fp", F.explode(grid_points(popcounts(F.col("fp")))).alias("point"))
+    # Each row becomes several: spread the few small files first, or few tasks would aggregate all points.
+    points = distinct.repartition(tasks, *k, "fp").select(*k, "fp", F.explode(points_of(F.col("fp"))).alias("point"))
     crowd = stored(points.groupBy(*k, "point").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "points")
     met = stored(points.join(crowd, [*k, "point"]), "met")
     few = met.where(F.col("m") <= cell).select(*k, "point", "fp")
@@ -150,8 +164,9 @@ TABLES = 4
 #: Words of each table's sketch.
 SKETCH = 16
 ROUNDS = 4
-#: Members and shingles of a group that one task settles.
+#: Members, bytes of text and shingles of a group that one task settles.
 MEMBERS = 1000
+TEXT_BYTES = 8 << 20
 SHINGLES = 1_000_000
 
 
@@ -160,7 +175,7 @@ def _mixed(h: np.ndarray, table: int) -> np.ndarray:
 
 
 def word_set_prints(docs: DataFrame, tables: int = TABLES) -> DataFrame:
-    """Columns id, key of ``docs`` (id, key, text) and ``tables`` fingerprints over sketches of the set of lower-case words.
+    """Columns id, key of ``docs`` (id, key, text), the text's bytes and ``tables`` fingerprints over sketches of the set of lower-case words.
 
     Each table hashes the set anew and takes the fingerprint of the ``SKETCH`` smallest hashes (of all, if fewer).
     A changed word touches five shingles but two members of the set and seldom one of a sketch, so copies that
@@ -177,23 +192,27 @@ def word_set_prints(docs: DataFrame, tables: int = TABLES) -> DataFrame:
                     h = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
                     ones = [np.unpackbits(_mixed(np.sort(_mixed(h, t))[:SKETCH], tables).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for t in range(tables)]
                     prints.append([int(np.packbits(2 * o > min(len(h), SKETCH), bitorder="little").view("<i8")[0]) for o in ones])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints, pa.list_(pa.int64()))], ["id", "key", "fps"])
+            size = pc.fill_null(pc.binary_length(batch.column(2)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array(prints, pa.list_(pa.int64()))], ["id", "key", "bytes", "fps"])
         release()
 
-    return docs.mapInArrow(run, "id long, key long, fps array<long>")
+    return docs.mapInArrow(run, "id long, key long, bytes long, fps array<long>")
+
+
+def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
+    """Distinct hashes of ``width`` lower-case words; a shorter text is one shingle."""
+    words = (text or "").encode().lower().split()
+    got = {xxhash.xxh64_intdigest(b" ".join(words[j:j + width]), SEED) for j in range(max(1, len(words) - width + 1))}
+    return np.fromiter(got, np.uint64, len(got)).view(np.int64)
 
 
 def shingle_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
-    """Columns key and shingles (distinct hashes of ``width`` lower-case words; a shorter text is one shingle)."""
+    """Columns key and shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
             for k in range(0, batch.num_rows, 200):
-                part, sets = batch.slice(k, 200), []
-                for text in part.column(1).to_pylist():
-                    words = (text or "").encode().lower().split()
-                    got = {digest(b" ".join(words[j:j + width]), SEED) for j in range(max(1, len(words) - width + 1))}
-                    sets.append(np.fromiter(got, np.uint64, len(got)).view(np.int64))
+                part = batch.slice(k, 200)
+                sets = [shingle_set(text, width) for text in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["key", "shingles"])
 
     return docs.mapInArrow(run, "key long, shingles array<long>")
@@ -203,7 +222,7 @@ def _print_links(contents: DataFrame) -> DataFrame:
     """Links u > v between contents (key, fps) whose fingerprints of one table are within two bits."""
     rows = contents.select("key", F.posexplode("fps").alias("t", "fp"))
     least = stored(rows.groupBy("t", "fp").agg(F.min("key").alias("rep")), "classes")
-    near = stored(close_links(least.select("t", "fp"), keys=("t",)), "near")
+    near = stored(close_links(least.select("t", "fp"), keys=("t",), points_of=block_points), "near")
     same = rows.join(least, ["t", "fp"]).where("key != rep").select(F.col("key").alias("x"), F.col("rep").alias("y"))
     a, b = least.select("t", F.col("fp").alias("u"), F.col("rep").alias("x")), least.select("t", F.col("fp").alias("v"), F.col("rep").alias("y"))
     pairs = same.unionByName(near.join(a, ["t", "u"]).join(b, ["t", "v"]).select("x", "y"))
@@ -222,6 +241,17 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             .withColumn("same", _similar("a", "b")).drop("a", "b"))
 
 
+#: Large groups whose heads' shingles are broadcast.
+HEADS = 500
+
+
+def _judged(left: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
+    """``left`` (root, key, low) without the ``heads`` (root, head), with ``same``, whether a content is similar to its root's head."""
+    known = stored(heads.join(sets.select(F.col("key").alias("head"), F.col("shingles").alias("b")), "head"), "heads")
+    rows = left.join(sets.select("key", F.col("shingles").alias("a")), "key")
+    return join_counted(rows, known, ["root"], limit=HEADS).where("key != head").select("root", "key", "low", _similar("a", "b").alias("same"))
+
+
 def _prefixes(left: DataFrame, sets: DataFrame) -> DataFrame:
     """The shingles of ``left`` (root, key, low) by which similar members of a root must meet: root, token, key, low.
 
@@ -241,7 +271,18 @@ def _prefixes(left: DataFrame, sets: DataFrame) -> DataFrame:
 def _greedy(t: pa.Table) -> pa.Table:
     """The members of one root that go, taken in the order of (low, key): columns key, low."""
     t = t.sort_by([("low", "ascending"), ("key", "ascending")])
-    sets = [np.sort(x.values.to_numpy()) for x in t.column("shingles")]
+    return _going(t, [np.sort(x.values.to_numpy()) for x in t.column("shingles")])
+
+
+def _greedy_texts(t: pa.Table) -> pa.Table:
+    """``_greedy`` from texts, where rows may repeat."""
+    t = t.sort_by([("low", "ascending"), ("key", "ascending")])
+    _, first = np.unique(t.column("key").to_numpy(), return_index=True)
+    t = t.take(pa.array(np.sort(first)))
+    return _going(t, [np.sort(shingle_set(x.as_py())) for x in t.column("text")])
+
+
+def _going(t: pa.Table, sets: list[np.ndarray]) -> pa.Table:
     _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(often), np.int64)
     rank[np.argsort(often, kind="stable")] = np.arange(len(often))
@@ -298,6 +339,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     Groups come from fingerprint links; in a group a member goes if its five-word shingles have a
     Jaccard similarity of 0.8 or more with a smaller id that is kept, and no two similar ones stay.
+    Groups of up to ``members`` members and ``TEXT_BYTES`` are settled in one task each.  In larger ones
     ``rounds`` rounds compare all with the smallest id left, which settles groups of few families
     at once; what is left of a group meets by shingles, however many families it has.
     Rows with a null id stay; of rows that repeat an id and a text one stays.
@@ -307,12 +349,20 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))          # packed, so any column name may occur
     known = base.where(F.col("id").isNotNull()).select("id", "key", "text")
     prints = stored(word_set_prints(known, tables), "prints")
-    contents = stored(prints.groupBy("key").agg(F.min("id").alias("low"), F.first("fps").alias("fps")), "contents")
+    contents = stored(prints.groupBy("key").agg(F.min("id").alias("low"), F.first("bytes").alias("bytes"), F.first("fps").alias("fps")), "contents")
     gone = prints.join(contents.select("key", "low"), "key").where("id != low").select("id", "key")
     roots = components(stored(_print_links(contents), "links")).select(F.col("u").alias("key"), F.col("v").alias("root"))
     linked = roots.unionByName(roots.select(F.col("root").alias("key"), "root")).distinct()
-    left = stored(contents.select("key", "low").join(linked, "key"), "members")
-    if left.first() is not None:
+    left = stored(contents.select("key", "low", "bytes").join(linked, "key"), "members")
+    sized = left.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
+    sized = stored(sized.select("root", ((F.col("m") <= members) & (F.col("bytes") <= TEXT_BYTES)).alias("small")), "roots")
+    few, left = [left.drop("bytes").join(sized.where(which).select("root"), "root", "left_semi") for which in (F.col("small"), ~F.col("small"))]
+    # Texts are a fraction of their shingles' hashes: groups that one task settles meet as texts, in one shuffle.
+    texts = known.join(few.withColumnRenamed("low", "id"), ["key", "id"]).select("root", "key", F.col("id").alias("low"), "text")
+    settled = stored(texts.groupBy("root").applyInArrow(_greedy_texts, "key long, low long"), "settled")
+    gone = gone.unionByName(settled.select(F.col("low").alias("id"), "key"))
+    if not sized.where(~F.col("small")).isEmpty():
+        left = stored(left, "left")
         wanted = left.select("key", F.col("low").alias("id"))
         sets = stored(shingle_sets(known.join(wanted, ["key", "id"], "left_semi").select("key", "text")).dropDuplicates(["key"]), "shingles")
         for _ in range(rounds):
@@ -320,7 +370,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
                            .select("root", F.col("head.key").alias("head")), "heads")
             if heads.first() is None:
                 break
-            judged = stored(_compared(left.join(heads, "root").where("key != head"), sets), "judged")
+            judged = stored(_judged(left, heads, sets), "judged")
             gone = gone.unionByName(judged.where("same").select(F.col("low").alias("id"), "key"))
             left = judged.where(~F.col("same")).select("root", "key", "low")
         several = left.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")

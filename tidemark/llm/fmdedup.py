@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import mix64, slices, span_hashes, stored, utf8_parts, word_spans
@@ -301,6 +301,17 @@ def _row_hash(id_col: str, key_col: str):
     return F.xxhash64(id_col, key_col)
 
 
+def maybe_marked(marks: DataFrame) -> Column:
+    """Whether a row (columns id, key) may be in ``marks`` (id, key, stored): rows in it are never missed."""
+    marked = marks.sparkSession.sparkContext.broadcast(mark_filter(marks))
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(_set(marked.value, MARK_BITS, h.to_numpy().view(np.uint64)))
+
+    return maybe(_row_hash("id", "key"))
+
+
 def segments(docs: DataFrame, window: int, filters, shards: int) -> DataFrame:
     """Two kinds of rows: packed distinct segments for a shard (shard, blob), and the occurrences of a segment
     (gram, content, places: id, row key and first word of each); both combined over what a task holds at a time."""
@@ -549,14 +560,9 @@ def deduplicated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``docs`` with their repeated words cut from the text (other words stay as they stand, joined
     by one space where something went); documents of which nothing is left go, except those that had no word."""
     marks = stored(repeated_windows(keyed(docs, id_col, text_col), window), "marks")
-    marked = docs.sparkSession.sparkContext.broadcast(mark_filter(marks))
     schema = docs.schema
     at = schema.fieldNames().index(text_col)
 
-    @F.arrow_udf("boolean")
-    def maybe(h: pa.Array) -> pa.Array:
-        return pa.array(_set(marked.value, MARK_BITS, h.to_numpy().view(np.uint64)))
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column(0)
@@ -576,6 +582,6 @@ def deduplicated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("key"))
-    rows = rows.withColumn("maybe", maybe(_row_hash("id", "key")))
+    rows = rows.withColumn("maybe", maybe_marked(marks))
     joined = rows.where("maybe").join(marks, ["id", "key"], "left").select("row", "places").mapInArrow(cut, f"row {schema.simpleString()}")
     return rows.where(~F.col("maybe")).select("row").unionByName(joined).select("row.*")

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.base import join_counted, mix64, release, stored
+from tidemark.llm.fmdedup import maybe_marked
 
 SHINGLE = 3
 SEED = 42
@@ -342,6 +343,8 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     Groups of up to ``members`` members and ``TEXT_BYTES`` are settled in one task each.  In larger ones
     ``rounds`` rounds compare all with the smallest id left, which settles groups of few families
     at once; what is left of a group meets by shingles, however many families it has.
+    Texts are shuffled only if a filter of fixed size holds their row: once as members of a group, once as
+    rows that go or are repeated.
     Rows with a null id stay; of rows that repeat an id and a text one stays.
     """
     text = F.col(f"`{text_col}`").cast("string")
@@ -354,17 +357,18 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     roots = components(stored(_print_links(contents), "links")).select(F.col("u").alias("key"), F.col("v").alias("root"))
     linked = roots.unionByName(roots.select(F.col("root").alias("key"), "root")).distinct()
     left = stored(contents.select("key", "low", "bytes").join(linked, "key"), "members")
+    linked_texts = known.where(maybe_marked(left.select(F.col("low").alias("id"), "key")))
     sized = left.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
     sized = stored(sized.select("root", ((F.col("m") <= members) & (F.col("bytes") <= TEXT_BYTES)).alias("small")), "roots")
     few, left = [left.drop("bytes").join(sized.where(which).select("root"), "root", "left_semi") for which in (F.col("small"), ~F.col("small"))]
     # Texts are a fraction of their shingles' hashes: groups that one task settles meet as texts, in one shuffle.
-    texts = known.join(few.withColumnRenamed("low", "id"), ["key", "id"]).select("root", "key", F.col("id").alias("low"), "text")
+    texts = linked_texts.join(few.withColumnRenamed("low", "id"), ["key", "id"]).select("root", "key", F.col("id").alias("low"), "text")
     settled = stored(texts.groupBy("root").applyInArrow(_greedy_texts, "key long, low long"), "settled")
     gone = gone.unionByName(settled.select(F.col("low").alias("id"), "key"))
     if not sized.where(~F.col("small")).isEmpty():
         left = stored(left, "left")
         wanted = left.select("key", F.col("low").alias("id"))
-        sets = stored(shingle_sets(known.join(wanted, ["key", "id"], "left_semi").select("key", "text")).dropDuplicates(["key"]), "shingles")
+        sets = stored(shingle_sets(linked_texts.join(wanted, ["key", "id"], "left_semi").select("key", "text")).dropDuplicates(["key"]), "shingles")
         for _ in range(rounds):
             heads = stored(left.groupBy("root").agg(F.min(F.struct("low", "key")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
                            .select("root", F.col("head.key").alias("head")), "heads")
@@ -378,8 +382,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
         if left.first() is not None:
             gone = gone.unionByName(_settled(left, sets, members).select(F.col("low").alias("id"), "key"))
     gone = stored(gone.distinct(), "gone")
-    out = base.select("row", "id", "key").join(gone, ["id", "key"], "left_anti")
-    if prints.groupBy("id", "key").count().where("count > 1").first() is not None:
-        lone = out.where(F.col("id").isNull())
-        out = out.where(F.col("id").isNotNull()).dropDuplicates(["id", "key"]).unionByName(lone)
-    return out.select("row.*")
+    repeated = stored(prints.groupBy("id", "key").count().where("count > 1").select("id", "key"), "repeated")
+    rows = base.select("row", "id", "key").withColumn("maybe", maybe_marked(gone.unionByName(repeated)) & F.col("id").isNotNull())
+    met = rows.where("maybe").select("row", "id", "key").join(gone, ["id", "key"], "left_anti").dropDuplicates(["id", "key"])
+    return rows.where(~F.col("maybe")).select("row").unionByName(met.select("row")).select("row.*")

@@ -54,3 +54,14 @@ def test_groups_that_cannot_be_scored_are_reported(spark):
     assert sorted(out.columns) == sorted(full.columns) and all(r.status is None and r.n == 8 for r in full.collect())
     assert learn.leave_one_group_out(df.limit(0), "g", ["x"], "y").collect() == []
     assert learn.compare_feature_sets(some, {"s": "g"}, {"one": ["x"]}, "y").collect() == []        # folds of eight rows are too small
+
+
+def test_nearest_assets_of_the_query_reach_forty_kilometres(spark, tmp_path):
+    from tidemark.plans.matchup import asset_points, nearest_asset_join, points
+    spark.range(40).select(F.col("id").alias("c_custkey"), F.lit(0.0).alias("c_acctbal")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(30).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    pairs = [(metres((e.lon, e.lat), (a.alon, a.alat)), e.k, a.asset_id) for e in points(spark, str(tmp_path)).collect() for a in asset_points(spark, str(tmp_path)).collect()]
+    got = {(r.event_id, r.asset_id): (r.distance_m, r.rank) for r in nearest_asset_join(spark, str(tmp_path)).collect()}
+    assert got.keys() == {(e, a) for m, e, a in pairs if m <= 40_000} and any(12_000 < m <= 40_000 for m, *_ in pairs)
+    for event in {e for e, _ in got}:
+        assert [got[event, a][1] for _, a in sorted((m, a) for m, e, a in pairs if e == event and m <= 40_000)] == list(range(1, sum(e == event for e, _ in got) + 1))

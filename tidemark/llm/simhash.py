@@ -23,13 +23,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import join_counted, mix64, release, stored
+from tidemark.llm.base import join_counted, stored
 from tidemark.llm.fmdedup import maybe_marked
+from tidemark.llm.setjoin import set_facts, similar_links
 
 SHINGLE = 3
 SEED = 42
@@ -161,9 +161,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 SIMILAR = 0.8
 WORDS = 5
-TABLES = 4
-#: Words of each table's sketch.
-SKETCH = 16
 ROUNDS = 4
 #: Members, bytes of text and shingles of a group that one task settles.
 MEMBERS = 1000
@@ -171,35 +168,6 @@ TEXT_BYTES = 8 << 20
 SHINGLES = 1_000_000
 
 
-def _mixed(h: np.ndarray, table: int) -> np.ndarray:
-    return mix64(h ^ np.uint64(0x9E3779B97F4A7C15 * (table + 1) & (1 << 64) - 1))
-
-
-def word_set_prints(docs: DataFrame, tables: int = TABLES) -> DataFrame:
-    """Columns id, key of ``docs`` (id, key, text), the text's bytes and ``tables`` fingerprints over sketches of the set of lower-case words.
-
-    Each table hashes the set anew and takes the fingerprint of the ``SKETCH`` smallest hashes (of all, if fewer).
-    A changed word touches five shingles but two members of the set and seldom one of a sketch, so copies that
-    share four fifths of their shingles agree within two bits in one of a few tables, while other texts share
-    no sketch and differ in a quarter of all bits and more.
-    """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            prints = []
-            for k in range(0, batch.num_rows, 500):
-                for text in batch.column(2).slice(k, 500).to_pylist():
-                    words = set((text or "").encode().lower().split())
-                    h = np.fromiter((digest(w, SEED) for w in words), np.uint64, len(words))
-                    ones = [np.unpackbits(_mixed(np.sort(_mixed(h, t))[:SKETCH], tables).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for t in range(tables)]
-                    prints.append([int(np.packbits(2 * o > min(len(h), SKETCH), bitorder="little").view("<i8")[0]) for o in ones])
-            size = pc.fill_null(pc.binary_length(batch.column(2)), 0).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, pa.array(prints, pa.list_(pa.int64()))], ["id", "key", "bytes", "fps"])
-        release()
-
-    return docs.mapInArrow(run, "id long, key long, bytes long, fps array<long>")
-
-
 def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
     """Distinct hashes of ``width`` lower-case words; a shorter text is one shingle."""
     words = (text or "").encode().lower().split()
@@ -219,17 +187,6 @@ def shingle_sets(docs: DataFrame, width: int = WORDS) -> DataFrame:
     return docs.mapInArrow(run, "key long, shingles array<long>")
 
 
-def _print_links(contents: DataFrame) -> DataFrame:
-    """Links u > v between contents (key, fps) whose fingerprints of one table are within two bits."""
-    rows = contents.select("key", F.posexplode("fps").alias("t", "fp"))
-    least = stored(rows.groupBy("t", "fp").agg(F.min("key").alias("rep")), "classes")
-    near = stored(close_links(least.select("t", "fp"), keys=("t",), points_of=block_points), "near")
-    same = rows.join(least, ["t", "fp"]).where("key != rep").select(F.col("key").alias("x"), F.col("rep").alias("y"))
-    a, b = least.select("t", F.col("fp").alias("u"), F.col("rep").alias("x")), least.select("t", F.col("fp").alias("v"), F.col("rep").alias("y"))
-    pairs = same.unionByName(near.join(a, ["t", "u"]).join(b, ["t", "v"]).select("x", "y"))
-    return pairs.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct()
-
-
 def _similar(a: str, b: str):
     both = F.size(F.array_intersect(a, b))
     return both >= SIMILAR * (F.size(a) + F.size(b) - both)
@@ -335,40 +292,40 @@ def _settled(left: DataFrame, sets: DataFrame, members: int = MEMBERS) -> DataFr
         left = meet.select("root", "key", "low").distinct()
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tables: int = TABLES, rounds: int = ROUNDS, members: int = MEMBERS) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, members: int = MEMBERS) -> DataFrame:
     """The rows of ``docs`` with one document (the smallest id) of each group of copies and near copies.
 
-    Groups come from fingerprint links; in a group a member goes if its five-word shingles have a
-    Jaccard similarity of 0.8 or more with a smaller id that is kept, and no two similar ones stay.
+    Groups hold every pair of texts whose five-word shingles have a Jaccard similarity of 0.8 or more (``similar_links``);
+    in order of their ids a text goes if it is that similar to a smaller one that is kept, so no two similar ones stay.
     Groups of up to ``members`` members and ``TEXT_BYTES`` are settled in one task each.  In larger ones
     ``rounds`` rounds compare all with the smallest id left, which settles groups of few families
     at once; what is left of a group meets by shingles, however many families it has.
     Texts are shuffled only if a filter of fixed size holds their row: once as members of a group, once as
-    rows that go or are repeated.
+    rows that go or are repeated.  Joins whose sides grow with the documents are merge joins, so the driver holds none of them.
     Rows with a null id stay; of rows that repeat an id and a text one stays.
     """
     text = F.col(f"`{text_col}`").cast("string")
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"), text.alias("text"),
                        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))          # packed, so any column name may occur
     known = base.where(F.col("id").isNotNull()).select("id", "key", "text")
-    prints = stored(word_set_prints(known, tables), "prints")
-    contents = stored(prints.groupBy("key").agg(F.min("id").alias("low"), F.first("bytes").alias("bytes"), F.first("fps").alias("fps")), "contents")
-    gone = prints.join(contents.select("key", "low"), "key").where("id != low").select("id", "key")
-    roots = components(stored(_print_links(contents), "links")).select(F.col("u").alias("key"), F.col("v").alias("root"))
+    facts = stored(set_facts(known), "facts")
+    contents = stored(facts.groupBy("key").agg(F.min("id").alias("low"), *[F.first(c).alias(c) for c in ("bytes", "n", "sketch")]), "contents")
+    gone = facts.select("id", "key").join(contents.select("key", "low").hint("merge"), "key").where("id != low").select("id", "key")
+    roots = components(stored(similar_links(known, contents), "links")).select(F.col("u").alias("key"), F.col("v").alias("root"))
     linked = roots.unionByName(roots.select(F.col("root").alias("key"), "root")).distinct()
-    left = stored(contents.select("key", "low", "bytes").join(linked, "key"), "members")
+    left = stored(contents.select("key", "low", "bytes").join(linked.hint("merge"), "key"), "members")
     linked_texts = known.where(maybe_marked(left.select(F.col("low").alias("id"), "key")))
     sized = left.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("bytes").alias("bytes"))
     sized = stored(sized.select("root", ((F.col("m") <= members) & (F.col("bytes") <= TEXT_BYTES)).alias("small")), "roots")
-    few, left = [left.drop("bytes").join(sized.where(which).select("root"), "root", "left_semi") for which in (F.col("small"), ~F.col("small"))]
+    few, left = [left.drop("bytes").join(sized.where(which).select("root").hint("merge"), "root", "left_semi") for which in (F.col("small"), ~F.col("small"))]
     # Texts are a fraction of their shingles' hashes: groups that one task settles meet as texts, in one shuffle.
-    texts = linked_texts.join(few.withColumnRenamed("low", "id"), ["key", "id"]).select("root", "key", F.col("id").alias("low"), "text")
+    texts = linked_texts.join(few.withColumnRenamed("low", "id").hint("merge"), ["key", "id"]).select("root", "key", F.col("id").alias("low"), "text")
     settled = stored(texts.groupBy("root").applyInArrow(_greedy_texts, "key long, low long"), "settled")
     gone = gone.unionByName(settled.select(F.col("low").alias("id"), "key"))
     if not sized.where(~F.col("small")).isEmpty():
         left = stored(left, "left")
         wanted = left.select("key", F.col("low").alias("id"))
-        sets = stored(shingle_sets(linked_texts.join(wanted, ["key", "id"], "left_semi").select("key", "text")).dropDuplicates(["key"]), "shingles")
+        sets = stored(shingle_sets(linked_texts.join(wanted.hint("merge"), ["key", "id"], "left_semi").select("key", "text")).dropDuplicates(["key"]), "shingles")
         for _ in range(rounds):
             heads = stored(left.groupBy("root").agg(F.min(F.struct("low", "key")).alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
                            .select("root", F.col("head.key").alias("head")), "heads")
@@ -382,7 +339,7 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
         if left.first() is not None:
             gone = gone.unionByName(_settled(left, sets, members).select(F.col("low").alias("id"), "key"))
     gone = stored(gone.distinct(), "gone")
-    repeated = stored(prints.groupBy("id", "key").count().where("count > 1").select("id", "key"), "repeated")
+    repeated = stored(facts.groupBy("id", "key").count().where("count > 1").select("id", "key"), "repeated")
     rows = base.select("row", "id", "key").withColumn("maybe", maybe_marked(gone.unionByName(repeated)) & F.col("id").isNotNull())
-    met = rows.where("maybe").select("row", "id", "key").join(gone, ["id", "key"], "left_anti").dropDuplicates(["id", "key"])
+    met = rows.where("maybe").select("row", "id", "key").join(gone.hint("merge"), ["id", "key"], "left_anti").dropDuplicates(["id", "key"])
     return rows.where(~F.col("maybe")).select("row").unionByName(met.select("row")).select("row.*")

@@ -497,7 +497,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, hot_segments: int =
     found = stored(segments(known, window, filters, max(1, -(-total // shard_segments))), "segments")
     mins = stored(found.where("shard IS NOT NULL").select("shard", "blob").groupBy("shard")
                   .applyInArrow(_shard(window), "gram long, content long, part int, mins array<long>"), "windows")
-    hits = (found.where("shard IS NULL").select("gram", "content", "places").join(mins, ["gram", "content"])
+    hits = (found.where("shard IS NULL").select("gram", "content", "places").join(mins.hint("merge"), ["gram", "content"])
             .select("places", "part", "mins").mapInArrow(_marks(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "part int, rows binary"))
     return hits.groupBy("part").applyInArrow(_gathered, "id long, key long, places array<int>")
 
@@ -552,7 +552,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     first = (base.select("id", "text", "key", _row_hash("id", "key").alias("h"))
              .mapInArrow(plain, "id long, key long, text string, n long, digest string"))
-    rows = first.join(marks, ["id", "key"], "left").select("id", "text", "places", "n", "digest")
+    rows = first.join(marks.hint("merge"), ["id", "key"], "left").select("id", "text", "places", "n", "digest")
     return rows.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
@@ -583,5 +583,5 @@ def deduplicated_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("key"))
     rows = rows.withColumn("maybe", maybe_marked(marks))
-    joined = rows.where("maybe").join(marks, ["id", "key"], "left").select("row", "places").mapInArrow(cut, f"row {schema.simpleString()}")
+    joined = rows.where("maybe").join(marks.hint("merge"), ["id", "key"], "left").select("row", "places").mapInArrow(cut, f"row {schema.simpleString()}")
     return rows.where(~F.col("maybe")).select("row").unionByName(joined).select("row.*")

@@ -194,8 +194,8 @@ def _similar(a: str, b: str):
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (key, head and others) with ``same``, whether the two contents' shingles are similar."""
-    return (pairs.join(sets.select("key", F.col("shingles").alias("a")), "key")
-            .join(sets.select(F.col("key").alias("head"), F.col("shingles").alias("b")), "head")
+    return (pairs.join(sets.select("key", F.col("shingles").alias("a")).hint("merge"), "key")
+            .join(sets.select(F.col("key").alias("head"), F.col("shingles").alias("b")).hint("merge"), "head")
             .withColumn("same", _similar("a", "b")).drop("a", "b"))
 
 
@@ -206,7 +206,7 @@ HEADS = 500
 def _judged(left: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
     """``left`` (root, key, low) without the ``heads`` (root, head), with ``same``, whether a content is similar to its root's head."""
     known = stored(heads.join(sets.select(F.col("key").alias("head"), F.col("shingles").alias("b")), "head"), "heads")
-    rows = left.join(sets.select("key", F.col("shingles").alias("a")), "key")
+    rows = left.join(sets.select("key", F.col("shingles").alias("a")).hint("merge"), "key")
     return join_counted(rows, known, ["root"], limit=HEADS).where("key != head").select("root", "key", "low", _similar("a", "b").alias("same"))
 
 
@@ -217,9 +217,9 @@ def _prefixes(left: DataFrame, sets: DataFrame) -> DataFrame:
     size - ceil(0.8 size) + 1 of both have one in common.  Rare ones come first, so that wording all members
     have meets nobody; a shingle that one member has takes its place in the order but meets nobody either.
     """
-    tokens = left.join(sets, "key").select("root", "key", "low", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    tokens = left.join(sets.hint("merge"), "key").select("root", "key", "low", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     often = tokens.groupBy("root", "token").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    ranked = tokens.join(often, ["root", "token"]).groupBy("root", "key", "low", "n").agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("shared"))
+    ranked = tokens.join(often.hint("merge"), ["root", "token"]).groupBy("root", "key", "low", "n").agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("shared"))
     lone = F.col("n") - F.size("shared")
     # A whole number is left out of the product's rounding: one token too many costs a comparison, one too few a pair.
     first = F.col("n") - F.ceil(F.col("n") * F.lit(SIMILAR) - 1e-6).cast("int") + 1 - lone
@@ -270,11 +270,11 @@ def _settled(left: DataFrame, sets: DataFrame, members: int = MEMBERS) -> DataFr
     """
     meet = gone = None
     while True:
-        sized = stored(left.join(sets.select("key", F.size("shingles").alias("n")), "key"), "left")
+        sized = stored(left.join(sets.select("key", F.size("shingles").alias("n")).hint("merge"), "key"), "left")
         roots = stored(sized.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).where("m > 1")
                        .select("root", ((F.col("m") <= members) & (F.col("n") <= SHINGLES)).alias("small")), "roots")
         few = sized.drop("n").join(roots.where("small").select("root"), "root", "left_semi")
-        out = stored(few.join(sets, "key").groupBy("root").applyInArrow(_greedy, "key long, low long"), "out")
+        out = stored(few.join(sets.hint("merge"), "key").groupBy("root").applyInArrow(_greedy, "key long, low long"), "out")
         gone = out if gone is None else gone.unionByName(out)
         large = roots.where(~F.col("small")).select("root")
         if large.first() is None:
@@ -283,12 +283,12 @@ def _settled(left: DataFrame, sets: DataFrame, members: int = MEMBERS) -> DataFr
             meet = stored(_prefixes(sized.drop("n").join(large, "root", "left_semi"), sets), "prefixes")
         meet = meet.join(large, "root", "left_semi")
         least = meet.groupBy("root", "token").agg(F.min(F.struct("low", "key")).alias("least"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-        met = stored(meet.join(least, ["root", "token"]).select("root", "token", "key", "low", F.col("least.key").alias("head")), "met")
+        met = stored(meet.join(least.hint("merge"), ["root", "token"]).select("root", "token", "key", "low", F.col("least.key").alias("head")), "met")
         kept = stored(met.groupBy("key").agg(F.bool_and(F.col("key") == F.col("head")).alias("all")).where("all").select("key"), "kept")
-        pairs = met.where("key != head").select("key", "low", "head").distinct().join(kept.select(F.col("key").alias("head")), "head", "left_semi")
+        pairs = met.where("key != head").select("key", "low", "head").distinct().join(kept.select(F.col("key").alias("head")).hint("merge"), "head", "left_semi")
         out = stored(_compared(pairs, sets).where("same").select("key", "low").distinct(), "out")
         gone = gone.unionByName(out)
-        meet = stored(met.join(kept.unionByName(out.select("key")), "key", "left_anti").select("root", "token", "key", "low"), "prefixes")
+        meet = stored(met.join(kept.unionByName(out.select("key")).hint("merge"), "key", "left_anti").select("root", "token", "key", "low"), "prefixes")
         left = meet.select("root", "key", "low").distinct()
 
 
